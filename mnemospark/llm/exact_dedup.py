@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, documents_of, raw_texts, same, small_batches, written
+from .common import WHITE, documents_of, raw_texts, small_batches, written
 
 PRIME = (1 << 31) - 1
 BASES = (1_103_515_245, 1_566_083_941)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_duplicates
+from .mixing import mixture
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,13 +32,50 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixture(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP10_SQL = r"""
+WITH s AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+  FROM documents),
+a AS (SELECT source, sum(size)::DOUBLE AS source_size FROM s GROUP BY source),
+b AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight, 3.0 * source_size AS cap FROM a),
+c AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS pos FROM b),
+d AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
+e AS (SELECT arg_min(level, pos) AS met FROM d WHERE cap >= level * weight),
+t AS (SELECT source, source_size, least(cap, coalesce(met * weight, cap)) AS target FROM d CROSS JOIN e),
+q AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END AS whole FROM t),
+r AS (
+  SELECT s.*, q.source_size, q.target, q.whole, q.target - q.whole * q.source_size AS quota,
+         sum(size) OVER (PARTITION BY s.source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) AS run
+  FROM s JOIN q ON s.source IS NOT DISTINCT FROM q.source),
+m AS (
+  SELECT *, run <= quota AS chosen,
+         quota - coalesce(max(CASE WHEN run <= quota THEN run END) OVER (PARTITION BY source), 0) AS missing FROM r),
+n AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY chosen OR size = 0, abs(missing - size), h, doc_id) = 1
+            AND NOT chosen AND size > 0 AND abs(missing - size) < missing AS closing FROM m)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target,
+       (size * (whole + CASE WHEN chosen OR closing THEN 1 ELSE 0 END))::BIGINT AS taken FROM n
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_exact_dedup": op4_exact_dedup,
+        "op10_mix_sources": op10_mix_sources,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_exact_dedup": OP4_SQL,
+        "op10_mix_sources": OP10_SQL,
     }
