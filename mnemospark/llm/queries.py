@@ -8,12 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_duplicates
 from .mixing import mixture
+from .packing import packed
+from .tokens import length_histogram
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(_table(spark, sf_dir, "documents"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_histogram(_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -69,6 +79,8 @@ SELECT doc_id, size, source_size::BIGINT AS source_size, target,
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pack_best_fit": op1_pack_best_fit,
+        "op3_token_counts": op3_token_counts,
         "op4_exact_dedup": op4_exact_dedup,
         "op10_mix_sources": op10_mix_sources,
     }
