@@ -45,7 +45,7 @@ def targets(sizes: DataFrame, weight=cycle(1, 2, 3), most_epochs: int = 3) -> Da
     return found.withColumn("target", target).select("source", "source_size", "n_rows", "target")
 
 
-def mixture(docs: DataFrame, weight=cycle(1, 2, 3), most_epochs: int = 3, seed: str = "mix", bucket_rows: int = 20_000) -> DataFrame:
+def mixture(docs: DataFrame, weight=cycle(1, 2, 3), most_epochs: int = 3, seed: str = "mix") -> DataFrame:
     """Decide how often each document enters the mix.
 
     The size of a document is its number of words; sources share the sum of all sizes by
@@ -59,9 +59,9 @@ def mixture(docs: DataFrame, weight=cycle(1, 2, 3), most_epochs: int = 3, seed:
     size 0; a source of size 0 has target 0.  Null is a source of its own, the last one.  Rows
     repeating an id are decided one by one.  Reruns agree.  Empty tables give no rows.
 
-    The order within a source is cut into buckets of about ``bucket_rows`` rows by the leading
-    bits of the hash, so that no source, however large, is sorted in one task: only the one
-    bucket in which its sample ends is.
+    The order within a source of ``n`` rows is cut by the leading bits of the hash into about
+    ``sqrt(n)`` buckets of ``sqrt(n)`` rows, so that no source, however large, is sorted in
+    one task: only its bucket sums are, and the one bucket in which its sample ends.
     """
     texts = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
@@ -72,7 +72,7 @@ def mixture(docs: DataFrame, weight=cycle(1, 2, 3), most_epochs: int = 3, seed:
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
         .withColumn("whole", F.least(F.floor("epochs"), F.lit(most_epochs)).cast("long"))
         .withColumn("quota", F.col("target") - F.col("whole") * F.col("source_size"))
-        .withColumn("bits", F.greatest(F.lit(0), F.ceil(F.log2(F.col("n_rows") / F.lit(float(bucket_rows))))).cast("int"))
+        .withColumn("bits", F.least(F.lit(40), F.ceil(F.log2("n_rows") / 2)).cast("int"))
         .withColumnRenamed("source", "of")
     )
     goal = written(goal, "targets")
