@@ -1,0 +1,47 @@
+"""Connected components of an edge table, without collecting any of it.
+
+Alternating large-star and small-star steps: each step joins every edge with the smallest
+neighbour of one end, so the work of a step is in proportion to the edges and the number of
+steps grows with the logarithm of the longest path.  Each step's edges are written to the
+shared folder, which cuts lineage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """Large-star: connect every larger neighbour of a node with the node's smallest one."""
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    large = both.filter("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
+    return large.filter("a <> b").distinct()
+
+
+def _small(edges: DataFrame) -> DataFrame:
+    """Small-star: connect a node and its smaller neighbours with the smallest of them."""
+    least = edges.groupBy("b").agg(F.min("a").alias("m"))
+    joined = edges.join(least, "b").select("a", "b", "m")
+    out = joined.select(F.col("m").alias("a"), F.col("a").alias("b")).union(least.select(F.col("m").alias("a"), "b"))
+    return out.filter("a <> b").distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node``, ``root`` (smallest node reachable) for every node that has an edge.
+
+    ``edges`` has two columns of one orderable type; order within an edge and repeats do not
+    matter, loops are ignored.  No edges give an empty result.
+    """
+    first, second = edges.columns[:2]
+    edges = edges.filter(F.col(first) != F.col(second)).select(F.least(first, second).alias("a"), F.greatest(first, second).alias("b")).distinct()
+    edges = written(edges, "edges")
+    while True:
+        edges = written(_small(_stars(edges)), "edges")
+        # finished when every edge is a star: no node is both the root of one and a leaf of another
+        if edges.select("b").distinct().join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty() and edges.count() == edges.select("b").distinct().count():
+            break
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())

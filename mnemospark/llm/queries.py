@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import exact_duplicates
 from .mixing import mixture
 from .packing import packed
+from .simhash_dedup import near_duplicates
 from .tokens import length_histogram
 
 
@@ -20,6 +21,11 @@ def op1_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"))
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(_table(spark, sf_dir, "documents"))
 
@@ -80,6 +86,7 @@ SELECT doc_id, size, source_size::BIGINT AS source_size, target,
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pack_best_fit": op1_pack_best_fit,
+        "op2_simhash_dedup": op2_simhash_dedup,
         "op3_token_counts": op3_token_counts,
         "op4_exact_dedup": op4_exact_dedup,
         "op10_mix_sources": op10_mix_sources,
