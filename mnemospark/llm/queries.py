@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_duplicates
+from .line_dedup import line_digests
 from .mixing import mixture
 from .packing import packed
 from .simhash_dedup import near_duplicates
@@ -48,6 +49,25 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digests(_table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents),
+k AS (SELECT *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare FROM l),
+m AS (SELECT *, translate(bare, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM k),
+c AS (SELECT key, max(doc_id) AS largest FROM m WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+d AS (SELECT m.*, c.key IS NOT NULL AND m.doc_id <> c.largest AS gone FROM m LEFT JOIN c ON m.key = c.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM d GROUP BY doc_id
+"""
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixture(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
@@ -89,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash_dedup": op2_simhash_dedup,
         "op3_token_counts": op3_token_counts,
         "op4_exact_dedup": op4_exact_dedup,
+        "op9_line_dedup": op9_line_dedup,
         "op10_mix_sources": op10_mix_sources,
     }
 
@@ -96,5 +117,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_exact_dedup": OP4_SQL,
+        "op9_line_dedup": OP9_SQL,
         "op10_mix_sources": OP10_SQL,
     }
