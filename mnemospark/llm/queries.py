@@ -12,6 +12,7 @@ from .mixing import mixture
 from .packing import packed
 from .simhash_dedup import near_duplicates
 from .tokens import length_histogram
+from .toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +50,11 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digests(_table(spark, sf_dir, "documents"))
 
@@ -109,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash_dedup": op2_simhash_dedup,
         "op3_token_counts": op3_token_counts,
         "op4_exact_dedup": op4_exact_dedup,
+        "op8_toxicity": op8_toxicity,
         "op9_line_dedup": op9_line_dedup,
         "op10_mix_sources": op10_mix_sources,
     }
