@@ -12,6 +12,7 @@ from .line_dedup import line_digests
 from .mixing import mixture
 from .packing import packed
 from .simhash_dedup import near_duplicates
+from .substring_dedup import deduplicated
 from .tokens import length_histogram
 from .topk_search import top_k
 from .toxicity import toxicity
@@ -73,6 +74,31 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated(_table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH w AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i, len(words) AS n
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS words FROM documents)),
+g AS (
+  SELECT doc_id, i, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS win
+  FROM w QUALIFY i + 34 <= n),
+r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY win) > 1),
+c AS (
+  SELECT w.doc_id, w.i, w.word,
+         coalesce(w.i - max(r.i) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS UNBOUNDED PRECEDING) < 35, FALSE) AS gone
+  FROM w LEFT JOIN r ON w.doc_id = r.doc_id AND w.i = r.i),
+k AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed,
+         coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept
+  FROM c GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM (SELECT doc_id FROM documents) LEFT JOIN k USING (doc_id)
+"""
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted")
@@ -140,6 +166,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_dedup": op4_exact_dedup,
         "op5_html_extract": op5_html_extract,
         "op6_exact_topk": op6_exact_topk,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_toxicity": op8_toxicity,
         "op9_line_dedup": op9_line_dedup,
         "op10_mix_sources": op10_mix_sources,
@@ -150,6 +177,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_exact_dedup": OP4_SQL,
         "op6_exact_topk": OP6_SQL,
+        "op7_substring_dedup": OP7_SQL,
         "op9_line_dedup": OP9_SQL,
         "op10_mix_sources": OP10_SQL,
     }
