@@ -106,3 +106,15 @@ def raw_texts(column: pa.Array) -> Iterator[bytes]:
     """Each value of a string column as UTF-8 bytes; null as empty."""
     for value in column.cast(pa.binary()).to_pylist():
         yield value or b""
+
+
+def rows_of(docs: DataFrame, keepers: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that ``keepers`` (``doc_id``, ``sig``) names; of rows
+    that repeat both id and text, one."""
+    named = docs.columns
+    counted = keepers.groupBy("doc_id", "sig").agg(F.count("*").alias("__copies")).select(F.col("doc_id").alias("__id"), F.col("sig").alias("__sig"), "__copies")
+    keyed = docs.withColumn("__text_sig", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    joined = keyed.join(counted.hint("shuffle_hash"), keyed["doc_id"].eqNullSafe(counted["__id"]) & (keyed["__text_sig"] == counted["__sig"]))
+    once = joined.filter("__copies = 1")
+    repeated = joined.filter("__copies > 1").dropDuplicates(["doc_id", "__text_sig"])
+    return once.union(repeated).select(*named)

@@ -225,3 +225,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit: Fi
     """
     rows = scored(docs, fitted(docs, labels, fit), threshold)
     return rows.select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), "score", "predicted", "sig")
+
+
+def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit: Fit = Fit()) -> DataFrame:
+    """The documents scored below ``threshold``, with all their columns.
+
+    Rows pass through the scoring as they are, so nothing is joined or shuffled.
+    """
+    model = fitted(docs, labels, fit)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = model.scorer()
+        for batch in batches:
+            for part in small_batches([batch], "text"):
+                yield part.filter(pa.array([score(raw) < threshold for raw in raw_texts(part.column(at))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
