@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, raw_texts, small_batches
+from .common import documents_of, raw_texts, small_batches, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -83,7 +83,7 @@ def learnable(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2, F.lit(True))
 
 
-def _sample(docs: DataFrame, ids: DataFrame) -> pa.Table:
+def _sample(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Feature counts of the sampled documents: ``kind``, ``doc_id``, ``words``, ids, counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,27 +109,45 @@ def _sample(docs: DataFrame, ids: DataFrame) -> pa.Table:
 
     texts = documents_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     joined = texts.join(F.broadcast(ids), "doc_id").select("kind", "doc_id", "text")  # as many ids as the sample's bound
-    found = joined.mapInArrow(run, "kind string, doc_id long, words int, features array<int>, counts array<int>").toArrow()
-    return found.sort_by([("kind", "ascending"), ("doc_id", "ascending"), ("words", "ascending")])
+    return joined.mapInArrow(run, "kind string, doc_id long, words int, features array<int>, counts array<int>")
+
+
+def _vocabulary(sample: DataFrame, fit: Fit) -> np.ndarray:
+    """The features whose document rates differ most between positive and unlabelled rows."""
+    n_p, n_u = sample.agg(F.count_if(F.col("kind") == "p"), F.count_if(F.col("kind") == "u")).first()
+    counts = sample.select("kind", F.explode("features").alias("f")).groupBy("f").agg(F.count_if(F.col("kind") == "p").alias("p"), F.count_if(F.col("kind") == "u").alias("u"))
+    p, u = (F.col("p") + 0.5) / (n_p + 1), (F.col("u") + 0.5) / (n_u + 1)
+    ranked = counts.filter(F.col("p") >= fit.least_documents).select("f", (F.abs(p - u) / F.sqrt(u * (1 - u))).alias("contrast"))
+    best = ranked.orderBy(F.col("contrast").desc(), "f").limit(fit.most_features).select("f").toArrow()
+    return np.sort(best.column("f").to_numpy())
+
+
+def _reduced(sample: DataFrame, vocabulary: np.ndarray) -> pa.Table:
+    """The sampled rows on the driver, with the vocabulary's features only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            features, counts = batch.column(3), batch.column(4)
+            keep = np.isin(features.flatten().to_numpy(), vocabulary)
+            ends = np.concatenate(([0], np.cumsum(keep)))[np.concatenate(([0], np.cumsum(features.value_lengths().to_numpy())))]
+            offsets = pa.array(ends.astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, x.flatten().filter(pa.array(keep))) for x in (features, counts)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], names=batch.schema.names)
+
+    return sample.mapInArrow(run, sample.schema).toArrow().sort_by([("kind", "ascending"), ("doc_id", "ascending"), ("words", "ascending")])
 
 
 class _Rows:
     """Sparse rows of counts over the square root of the number of words."""
 
-    def __init__(self, table: pa.Table, vocabulary: np.ndarray | None = None) -> None:
+    def __init__(self, table: pa.Table, vocabulary: np.ndarray) -> None:
         words = table.column("words").to_numpy().astype(np.float64)
         features = table.column("features").combine_chunks()
-        lengths = np.diff(features.offsets.to_numpy())
         self.n = len(words)
-        self.row = np.repeat(np.arange(self.n), lengths)
-        self.key = features.values.to_numpy()
-        value = table.column("counts").combine_chunks().values.to_numpy()
+        self.row = np.repeat(np.arange(self.n), features.value_lengths().to_numpy())
+        self.key = np.searchsorted(vocabulary, features.flatten().to_numpy())
         self.root = np.sqrt(words)
-        self.value = value / np.maximum(self.root, 1)[self.row]
-        if vocabulary is not None:
-            at = np.minimum(np.searchsorted(vocabulary, self.key), len(vocabulary) - 1)
-            hit = vocabulary[at] == self.key
-            self.row, self.key, self.value = self.row[hit], at[hit], self.value[hit]
+        self.value = table.column("counts").combine_chunks().flatten().to_numpy() / np.maximum(self.root, 1)[self.row]
 
     def margins(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=w[self.key] * self.value, minlength=self.n) + self.root * w[-2] + w[-1]
@@ -148,26 +166,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def train(positive: pa.Table, unlabelled: pa.Table, prior: float, fit: Fit = Fit()) -> Model:
+def train(positive: pa.Table, unlabelled: pa.Table, vocabulary: np.ndarray, prior: float, fit: Fit = Fit()) -> Model:
     """Minimise the non-negative positive-unlabelled risk of the logistic loss with Adam.
 
-    Without positives or unlabelled rows the score is the prior for every text.
+    Without positives, unlabelled rows or features the score is the prior for every text.
     """
     prior = min(max(prior, 1e-3), 1 - 1e-3)
     constant = Model({}, 0.0, math.log(prior / (1 - prior)))
-    if not positive.num_rows or not unlabelled.num_rows:
-        return constant
-    p, u = _Rows(positive), _Rows(unlabelled)
-    keys, in_p = np.unique(p.key, return_counts=True)
-    keys, in_p = keys[in_p >= fit.least_documents], in_p[in_p >= fit.least_documents]
-    if not len(keys):
+    if not positive.num_rows or not unlabelled.num_rows or not len(vocabulary):
         return constant
-    u_keys, u_counts = np.unique(u.key, return_counts=True)
-    at = np.minimum(np.searchsorted(u_keys, keys), len(u_keys) - 1) if len(u_keys) else np.zeros(len(keys), np.int64)
-    in_u = np.where(u_keys[at] == keys, u_counts[at], 0) if len(u_keys) else np.zeros(len(keys))
-    rate_p, rate_u = (in_p + 0.5) / (p.n + 1), (in_u + 0.5) / (u.n + 1)
-    contrast = np.abs(rate_p - rate_u) / np.sqrt(rate_u * (1 - rate_u))
-    vocabulary = np.sort(keys[np.lexsort((keys, -contrast))[: fit.most_features]])
     p, u = _Rows(positive, vocabulary), _Rows(unlabelled, vocabulary)
     size = len(vocabulary) + 2
     w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
@@ -197,9 +204,11 @@ def fitted(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
     confirmed = known.filter("toxic = 1").select("doc_id").distinct().join(texts.distinct(), "doc_id", "left_semi")
     positive = confirmed.orderBy(*order).limit(fit.most_positive).withColumn("kind", F.lit("p"))
     unlabelled = texts.distinct().orderBy(*order).limit(fit.most_unlabelled).withColumn("kind", F.lit("u"))
-    sample = _sample(docs, positive.union(unlabelled))
-    kind = sample.column("kind").to_numpy(zero_copy_only=False) == "p"
-    return train(sample.filter(pa.array(kind)), sample.filter(pa.array(~kind)), prior or 0.0, fit)
+    sample = written(_sample(docs, positive.union(unlabelled)), "sample")
+    vocabulary = _vocabulary(sample, fit)
+    rows = _reduced(sample, vocabulary)
+    kind = rows.column("kind").to_numpy(zero_copy_only=False) == "p"
+    return train(rows.filter(pa.array(kind)), rows.filter(pa.array(~kind)), vocabulary, prior or 0.0, fit)
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
