@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,9 +26,19 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _load() -> None:
+    import importlib
+
+    for name in ("frame_queries", "text_queries", "vector_queries", "retrieval_queries", "graph_queries", "state_queries", "catalog_queries", "relational_queries", "stream_queries"):
+        if importlib.util.find_spec(f"mnemospark.plans.{name}") is not None:
+            importlib.import_module(f"mnemospark.plans.{name}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
