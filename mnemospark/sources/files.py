@@ -172,7 +172,7 @@ def markdown_requirements(files: DataFrame) -> DataFrame:
     """Sections of Markdown files: ``file``, ``pos``, ``level``, ``heading``, ``body``."""
     parts = files.select("file", F.posexplode(F.split("text", r"(?m)(?=^#{1,6} )")).alias("pos", "part")).filter(F.col("part").rlike(r"^#{1,6} "))
     mark = F.regexp_extract("part", r"^(#{1,6}) ", 1)
-    return parts.select("file", "pos", F.length(mark).alias("level"), F.trim(F.regexp_extract("part", r"^#{1,6} ([^\n]*)", 1)).alias("heading"), F.trim(F.regexp_replace("part", r"^[^\n]*\n?", "")).alias("body"))
+    return parts.select("file", "pos", F.length(mark).alias("level"), F.trim(F.regexp_extract("part", r"^#{1,6} ([^\n]*)", 1)).alias("heading"), F.regexp_replace("part", r"^[^\n]*\n?\s*|\s+$", "").alias("body"))
 
 
 def database(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
