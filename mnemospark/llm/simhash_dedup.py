@@ -29,23 +29,30 @@ SEED = 42
 HALF = (1 << 32) - 1
 
 
-def simhash(words: list[bytes], shingle: int) -> int:
-    """Fingerprint of a word sequence: majority of the XXH64 of its shingles, bit by bit."""
-    if not words:
-        return 0
+def simhash_of(hashes: np.ndarray) -> int:
+    """Majority of hashes, bit by bit: a bit is set if it is in over half of them."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 15):  # bounded memory for very long texts
+        bits = np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of each run of ``shingle`` words joined by a space; of the whole sequence if it is
+    shorter, of nothing if there are no words."""
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)] if words else [], np.uint64)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends))[: len(words) - shingle + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    counts, n = np.zeros(64, np.int64), len(starts)
-    ends = (ends[shingle - 1 :] - 1).tolist()
-    for at in range(0, n, 1 << 15):  # bounded memory for very long texts
-        hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts[at : at + (1 << 15)], ends[at : at + (1 << 15)], strict=True)), np.uint64)
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)), np.uint64, len(starts))
+
+
+def simhash(words: list[bytes], shingle: int) -> int:
+    """Fingerprint of a word sequence, zero for none."""
+    return simhash_of(shingle_hashes(words, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
