@@ -14,67 +14,21 @@ Conventions that hold for every operator of the package:
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import written as written
+
 #: The white space of all contracts: space, tab, line feed, vertical tab, form feed, return.
 WHITE = b" \t\n\x0b\x0c\r"
 #: The same set and its complement as regular expressions for Java, Python and DuckDB.
 WHITE_CLASS = r"[\x20\x09-\x0D]"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-_scratch: dict[str, list[str]] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """Folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where the setting is missing a temporary folder is used, which is right only for a
-    local master; on a cluster the missing setting is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    context = spark.sparkContext
-    own = getattr(context, "_mnemospark_shared", None)
-    if own is None:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        own = context._mnemospark_shared = tempfile.mkdtemp(prefix="mnemospark-")
-    return own
-
-
-def _remove(spark: SparkSession, folder: str) -> None:
-    try:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the session has ended before: the cluster's own clean-up has the folder
-        return
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet to the shared folder and read back.
-
-    Cuts lineage and keeps an expensive stage from running again for a second consumer; a
-    lost executor loses nothing of it.  The folder goes when the driver process ends.
-    """
-    spark = df.sparkSession
-    top = f"{shared_folder(spark)}/mnemospark-{spark.sparkContext.applicationId}"
-    if top not in _scratch:
-        _scratch[top] = []
-        atexit.register(_remove, spark, top)
-    path = f"{top}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _scratch[top].append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def documents_of(docs: DataFrame, text: str = "text") -> DataFrame:
     """``doc_id``, ``text`` (null: empty) and ``sig``, a hash of the text that tells apart

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents_of, raw_texts, small_batches, written
-from .components import components
+from ..operators.components import components
 
 SEED = 42
 HALF = (1 << 32) - 1
