@@ -45,17 +45,19 @@ def targets(sizes: DataFrame, weight=cycle(1, 2, 3), most_epochs: int = 3) -> Da
     return found.withColumn("target", target).select("source", "source_size", "n_rows", "target")
 
 
-def mixture(docs: DataFrame, weight=cycle(1, 2, 3), most_epochs: int = 3, seed: str = "mix") -> DataFrame:
+def mixture(docs: DataFrame, weight=cycle(1, 2, 3), most_epochs: int = 3, seed: str = "mix", fractions: bool = True) -> DataFrame:
     """Decide how often each document enters the mix.
 
     The size of a document is its number of words; sources share the sum of all sizes by
     weight, none above ``most_epochs`` times its own size.  With ``e = target / source_size``
     each document is taken ``floor(e)`` times, and once more if it is in the seeded sample for
-    the rest: documents in the order of an MD5 of seed and id as long as their sizes fit, and
-    then the one document whose size comes nearest to what is still missing, if that helps.
+    the rest: documents in the order of an MD5 of seed and id as long as their sizes fit.  With
+    ``fractions`` the next one gives the words that are still missing, a fractional repetition,
+    so a source misses its target by less than a word; without, documents stay whole, and the
+    one whose size comes nearest to what is missing is taken, if that helps.
 
     Returns per input row ``doc_id``, ``size``, ``source_size``, ``target``, ``taken`` (words,
-    repeats counted), ``repeats`` and ``sig`` (hash of the text).  Null and empty texts have
+    repeats counted), ``repeats`` (whole ones) and ``sig`` (hash of the text).  Null and empty texts have
     size 0; a source of size 0 has target 0.  Null is a source of its own, the last one.  Rows
     repeating an id are decided one by one.  Reruns agree.  Empty tables give no rows.
 
@@ -88,11 +90,15 @@ def mixture(docs: DataFrame, weight=cycle(1, 2, 3), most_epochs: int = 3, seed:
     within = Window.partitionBy("of", "bucket").orderBy("h", F.coalesce("doc_id", F.lit(-(1 << 63))), "row").rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("sum", F.col("before") + F.sum("size").over(within))
     fits = F.when(F.col("sum") <= F.col("quota"), F.struct(key.alias("key"), F.col("sum").alias("sum")))
-    cuts = inside.groupBy("of").agg(F.max(fits).alias("cut"), F.first("before").alias("before"), F.first("last_bucket").alias("last_bucket"), F.first("quota").alias("quota"))
-    cuts = cuts.select(F.col("of").alias("cut_of"), "last_bucket", F.col("cut.key").alias("cut"), (F.col("quota") - F.coalesce("cut.sum", "before")).alias("missing"))
+    beyond = F.when(F.col("sum") > F.col("quota"), key)
+    cuts = inside.groupBy("of").agg(F.max(fits).alias("cut"), F.min(beyond).alias("next"), F.first("before").alias("before"), F.first("last_bucket").alias("last_bucket"), F.first("quota").alias("quota"))
+    cuts = cuts.select(F.col("of").alias("cut_of"), "last_bucket", F.col("cut.key").alias("cut"), F.col("next.row").alias("next_row"), (F.col("quota") - F.coalesce("cut.sum", "before")).alias("missing"))
     cuts = written(cuts, "cuts")
     chosen = (F.col("bucket") < F.col("last_bucket")) | ((F.col("bucket") == F.col("last_bucket")) & F.coalesce(key <= F.col("cut"), F.lit(False)))
     marked = full.join(cuts, F.col("of").eqNullSafe(F.col("cut_of")), "left").withColumn("chosen", F.coalesce(chosen, F.lit(False)))
+    if fractions:
+        words = F.col("size") * F.col("whole") + F.when(F.col("chosen"), F.col("size")).when(F.col("row") == F.col("next_row"), F.floor("missing")).otherwise(0)
+        return marked.select("doc_id", "size", "source_size", "target", words.alias("taken"), (F.col("whole") + F.col("chosen").cast("long")).alias("repeats"), "sig")
     near = F.struct(F.abs(F.col("missing") - F.col("size")).alias("gap"), "h", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "row")
     closing = marked.filter("not chosen and size > 0").groupBy("of").agg(F.min(near).alias("near"), F.first("missing").alias("missing"))
     closing = closing.filter("near.gap < missing").select(F.col("of").alias("close_of"), F.col("near.row").alias("close_row"))
@@ -102,11 +108,11 @@ def mixture(docs: DataFrame, weight=cycle(1, 2, 3), most_epochs: int = 3, seed:
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, all their columns, each repeated as :func:`mixture` says.
+    """The documents of the mix, all their columns, whole, each repeated as :func:`mixture` says.
 
     Rows that repeat both id and text share their repetitions evenly, rounded up.
     """
-    found = mixture(docs, **options).groupBy("doc_id", "sig").agg(F.ceil(F.sum("repeats") / F.count("*")).cast("int").alias("__repeats"))
+    found = mixture(docs, fractions=False, **options).groupBy("doc_id", "sig").agg(F.ceil(F.sum("repeats") / F.count("*")).cast("int").alias("__repeats"))
     found = found.filter("__repeats > 0").select(F.col("doc_id").alias("__doc_id"), F.col("sig").alias("__sig"), "__repeats")
     named = docs.columns
     keyed = docs.withColumn("__text_sig", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))

@@ -81,7 +81,8 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 WITH w AS (
   SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i, len(words) AS n
-  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS words FROM documents)),
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS words FROM documents)),
 g AS (
   SELECT doc_id, i, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS win
   FROM w QUALIFY i + 34 <= n),
@@ -146,15 +147,9 @@ q AS (
 r AS (
   SELECT s.*, q.source_size, q.target, q.whole, q.target - q.whole * q.source_size AS quota,
          sum(size) OVER (PARTITION BY s.source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) AS run
-  FROM s JOIN q ON s.source IS NOT DISTINCT FROM q.source),
-m AS (
-  SELECT *, run <= quota AS chosen,
-         quota - coalesce(max(CASE WHEN run <= quota THEN run END) OVER (PARTITION BY source), 0) AS missing FROM r),
-n AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY chosen OR size = 0, abs(missing - size), h, doc_id) = 1
-            AND NOT chosen AND size > 0 AND abs(missing - size) < missing AS closing FROM m)
+  FROM s JOIN q ON s.source IS NOT DISTINCT FROM q.source)
 SELECT doc_id, size, source_size::BIGINT AS source_size, target,
-       (size * (whole + CASE WHEN chosen OR closing THEN 1 ELSE 0 END))::BIGINT AS taken FROM n
+       (size * whole + floor(least(size, greatest(quota - (run - size), 0))))::BIGINT AS taken FROM r
 """
 
 
