@@ -348,3 +348,51 @@ def json_props(spark, sf_dir):
 def ngram_tiebreak(spark, sf_dir):
     hits = spark.createDataFrame([(1, 1.0, "red fox ran"), (2, 1.0, "a lazy day"), (3, 1.0, "quick brown dog")], "doc_id long, score double, text string")
     return op.ngram_tiebreak(hits, "red fox quick brown dog").withColumn("score", F.round("score", 6))
+
+
+@query("stem_tokens", "SELECT * FROM (VALUES (1::BIGINT, 'consist'), (2, 'knight'), (3, 'generous'), (4, 'sky'), (5, 'run'), (6, 'happili'), (7, 'relat'), (8, 'hope'), (9, 'hop'), (10, 'communic'), (11, 'die'), (12, 'national'), (13, 'cafés')) AS t(id, stem)".replace("'national'", "'nation'"))
+def stem_tokens(spark, sf_dir):
+    from ..functions.stem import stems
+
+    words = "consistency knightly generously skies running happily relational hoping hopping communication dying national cafés".split()
+    rows = spark.createDataFrame(list(enumerate(words, 1)), "id long, word string")
+    return rows.select("id", F.element_at(stems(F.array("word")), 1).alias("stem"))
+
+
+@query("hash_embed")
+def hash_embed(spark, sf_dir):
+    from ..functions.stem import hash_encoder
+
+    rows = docs(spark, sf_dir).select("doc_id", F.posexplode(hash_encoder(16)(T.tokens(F.col("text")))).alias("d", "x"))
+    return rows.withColumn("x", F.round("x", 6))
+
+
+@query(
+    "concept_links",
+    r"""WITH m AS (SELECT doc_id, list_transform(regexp_extract_all(text, '\p{Lu}[\p{L}\p{N}_]+(?: \p{Lu}[\p{L}\p{N}_]+)+|\b[A-Z]{2,}-?\d+\b'), lambda x: lower(x)) AS c FROM documents),
+    e AS (SELECT doc_id, unnest(c) AS concept, generate_subscripts(c, 1) AS i FROM m), f AS (SELECT doc_id, concept, min(i) AS i FROM e GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM f)
+    SELECT concept, count(DISTINCT doc_id) AS n FROM r WHERE k <= 12 GROUP BY concept HAVING count(DISTINCT doc_id) BETWEEN 2 AND 40""",
+)
+def concept_links(spark, sf_dir):
+    from ..functions.stem import concepts
+    from ..operators.graph import list_concepts
+
+    links = docs(spark, sf_dir).select("doc_id", F.explode(concepts(F.col("text"))).alias("concept"))
+    return list_concepts(links, 2, 40)
+
+
+@query("word_pieces", "SELECT * FROM (VALUES (1::BIGINT, 'play ##ing the [UNK] .')) AS t(id, pieces)")
+def word_pieces(spark, sf_dir):
+    from ..functions.stem import word_pieces
+
+    tokenize = word_pieces({"play", "##ing", "the", "."})
+    return spark.createDataFrame([(1, "Playing the xylophone.")], "id long, text string").select("id", F.concat_ws(" ", tokenize(F.col("text"))).alias("pieces"))
+
+
+@query("focused_passages")
+def focused_passages(spark, sf_dir):
+    from ..functions.stem import focused
+
+    cut = focused({"license": 3.0, "version": 2.0})
+    return docs(spark, sf_dir).filter(F.lower("text").contains("license")).select("doc_id", F.posexplode(cut(F.col("text"))).alias("pos", "passage"))

@@ -150,3 +150,32 @@ def test_entry_survives_without_the_training_operators(monkeypatch):
     monkeypatch.setattr(entry, "_HAS_PIPELINE", False)
     names = entry.queries()
     assert "bm25" in names and "pipeline" not in names and set(entry.oracle_sql()) <= set(names)
+
+
+def test_plugins_and_adapters(spark):
+    from mnemospark.operators.plugins import Plugins, edit_lines, register_adapter
+
+    plugins = Plugins()
+    plugins.add("on_recall", "double", lambda df: df.withColumn("x", F.col("x") * 2))
+    assert plugins.run("on_recall", spark.createDataFrame([(2,)], "x int")).first().x == 4
+    with pytest.raises(PermissionError):
+        Plugins(enterprise=True).add("on_remember", "peek", lambda df: df)
+
+    def make(options):
+        from pyspark.sql.datasource import InputPartition
+
+        class Adapter:
+            def parts(self):
+                return [InputPartition(k) for k in range(int(options["n"]))]
+
+            def load(self, part):
+                yield (part.value, f"memory {part.value}")
+
+        return Adapter()
+
+    register_adapter(spark, "numbers", "id int, content string", make)
+    assert values(spark.read.format("numbers").option("n", "2").load()) == [(0, "memory 0"), (1, "memory 1")]
+    text = "a\nb\nc"
+    assert edit_lines(text, [("insert", 2, "x"), ("replace", 3, 3, "y"), ("delete", 1, 1), ("anchor", "c", "d")]) == "x\ny\nd"
+    with pytest.raises(ValueError):
+        edit_lines(text, [("anchor", "z", "")])
