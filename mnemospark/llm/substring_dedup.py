@@ -159,8 +159,9 @@ def repeats(docs: DataFrame, window: int = 35, seed: int = 12) -> DataFrame:
     extend = whole.filter("differ").select("example.*").groupBy(F.col("doc_id").alias("e_id"), F.col("sig").alias("e_sig")).agg(F.collect_list(F.struct("first", "n")).alias("spans"))
     texts = _texts(docs)
     found = texts.join(extend.hint("shuffle_hash"), texts.doc_id.eqNullSafe(extend.e_id) & (texts.sig == extend.e_sig))
-    # an example stands for one row, also where rows repeat both id and text
-    windows = written(_windows(found, window).distinct(), "windows")
+    # where rows repeat both id and text an example comes more than once, but then all its runs
+    # are equal to another's and its windows are repeats anyway
+    windows = written(_windows(found, window), "windows")
     twice = windows.groupBy("w_a", "w_b").count().filter("count > 1").select("w_a", "w_b")
     single = windows.join(twice, ["w_a", "w_b"], "left_semi").select("doc_id", "sig", "first", F.lit(1).alias("n"))
     return equal.union(single)
