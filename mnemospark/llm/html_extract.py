@@ -40,8 +40,11 @@ OUTSIDE = frozenset("head title script style noscript nav footer aside form butt
 NOT_CONTENT = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs "
     "pagination pager footer sidebar aside widget related recommended share sharing social cookie cookies consent gdpr notice notices alert disclaimer popup modal "
-    "overlay newsletter subscribe subscription signup login comment comments respond replies disqus contentinfo complementary search form masthead topbar toolbar skip".split()
+    "overlay newsletter subscribe subscription signup login comment comments commentlist respond replies disqus contentinfo complementary search form masthead topbar toolbar skip "
+    "subnav topnav sidenav leftnav rightnav mainmenu submenu adsbygoogle notification notifications announcement".split()
 )
+#: Words in a class name that say what a block has or lacks, not what it is.
+ABOUT = frozenset("has with no without open closed".split())
 SECTIONS = frozenset("article main section div body html td center".split())
 ARTICLES = frozenset(("article", "main"))
 #: Elements nested deeper than this become siblings, as in browsers.
@@ -56,9 +59,10 @@ class Element:
         self.chars, self.depth = 0.0, parent.depth + 1 if parent else 0
 
 
-def _marks(attributes: str) -> tuple[str, bool]:
-    """Class, id and role of a start tag for its path, and whether they rule out content."""
-    names, outside = [], False
+def _marks(attributes: str) -> tuple[str, bool, bool]:
+    """Class, id and role of a start tag for its path; whether they rule out content; whether
+    they name a header, which is part of an article only within one."""
+    names, outside, header = [], False, False
     for match in ATTRIBUTE.finditer(attributes):
         name, value = match[1].lower(), (match[2] or "").strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -66,13 +70,18 @@ def _marks(attributes: str) -> tuple[str, bool]:
         elif name == "style":
             outside |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
         else:
-            names += value.split()
-            outside |= not NOT_CONTENT.isdisjoint(re.split(r"[^a-z]+", value))
-    return ".".join(names), outside
-
-
-def nodes_of(page: str) -> list[tuple[Element, str, int]]:
-    """Text nodes in page order: the element each is in, its text, and the number of its block."""
+            for one in value.split():
+                names.append(one)
+                parts = re.split(r"[^a-z]+", one)
+                if ABOUT.isdisjoint(parts):
+                    outside |= not NOT_CONTENT.isdisjoint(parts)
+                    header |= "header" in parts
+    return ".".join(names), outside, header
+
+
+def nodes_of(page: str, trust_names: bool = True) -> list[tuple[Element, str, int]]:
+    """Text nodes in page order: the element each is in, its text, and the number of its block.
+    ``trust_names``: class, id and role may rule an element out, unless it is an article."""
     root = Element("", None, False, "")
     at, nodes, block, pos = root, [], 0, 0
 
@@ -111,8 +120,9 @@ def nodes_of(page: str) -> list[tuple[Element, str, int]]:
                     end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, pos)
                     pos = end.end() if end else len(page)
                 elif tag not in VOID and not (match[3] or "").endswith("/"):
-                    names, outside = _marks(match[3]) if match[3] and tag not in ("html", "body") else ("", False)
-                    header = tag == "header" and not any(x.tag in ARTICLES for x in _ancestors(at))
+                    names, outside, header = _marks(match[3]) if match[3] and tag not in ("html", "body") else ("", False, False)
+                    outside &= trust_names and tag not in ARTICLES
+                    header = (tag == "header" or header and trust_names and tag not in ARTICLES) and not any(x.tag in ARTICLES for x in _ancestors(at))
                     if tag in INLINE and tag != "a" and not outside:
                         outside_now, path = at.outside, at.path  # inline marks are not part of a path
                     else:
@@ -132,8 +142,15 @@ def _ancestors(x: Element | None) -> Iterator[Element]:
 
 
 def main_text(page: str, smooth: tuple[float, ...] = (0.25, 0.5, 0.25), share: float = 0.75) -> str:
-    """The article of a page as one line of text; empty if there is none."""
-    found = nodes_of(page)
+    """The article of a page as one line of text; empty if there is none.
+
+    Where names leave no text at all, they are not trusted: the page may call its whole body a
+    sidebar.
+    """
+    return _content(nodes_of(page), smooth, share) or _content(nodes_of(page, False), smooth, share)
+
+
+def _content(found: list[tuple[Element, str, int]], smooth: tuple[float, ...], share: float) -> str:
     solid = [k for k, (_, t, _) in enumerate(found) if not t.isspace()]
     if not solid:
         return ""
