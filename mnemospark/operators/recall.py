@@ -56,7 +56,7 @@ def search_full(docs: DataFrame, query: str, k: int = 10) -> DataFrame:
         return recall_fused(docs, query, k)
     passages = docs.select("doc_id", F.explode(T.word_windows(F.col("text"))).alias("w")).select(F.struct("doc_id", "w.pos").alias("id"), F.col("w.part").alias("text"))
     by_passage = X.top(X.bm25(passages.withColumnRenamed("id", "doc_id"), query), 100, F.col("score").desc(), "doc_id")
-    whole = X.bm25(docs, query).select(F.lit(0).alias("query_id"), "doc_id", F.col("score").alias("sca"))
+    whole = X.bm25(docs, query).select(F.lit(0).alias("query_id"), "doc_id", F.col("score").alias("own"))
     blended = R.passage_blend(whole, by_passage.select(F.lit(0).alias("query_id"), F.col("doc_id.doc_id").alias("doc_id"), "score"))
     return X.top(blended.select("doc_id", "score"), k, F.col("score").desc(), "doc_id")
 

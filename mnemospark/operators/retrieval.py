@@ -88,13 +88,13 @@ def tie_facets(ties: DataFrame, tags: DataFrame, most: int = 6) -> DataFrame:
 
 
 def passage_blend(whole: DataFrame, passages: DataFrame) -> DataFrame:
-    """Document scores (``sca``) raised by their passages: the larger of the score itself and
+    """Document scores (``own``) raised by their passages: the larger of the score itself and
     half of it plus half the best passage, half the number of passages and 0.05 of the sum of
     the three best."""
     best3 = F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, 3)
     by_doc = passages.groupBy("query_id", "doc_id").agg(F.max("score").alias("best"), F.count("*").alias("n"), F.aggregate(best3, F.lit(0.0), lambda a, x: a + x).alias("top3"))
-    blend = 0.5 * F.col("sca") + 0.5 * F.col("best") + 0.5 * F.col("n") + 0.05 * F.col("top3")
-    return whole.join(by_doc, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.greatest("sca", F.coalesce(blend, F.col("sca"))).alias("score"))
+    blend = 0.5 * F.col("own") + 0.5 * F.col("best") + 0.5 * F.col("n") + 0.05 * F.col("top3")
+    return whole.join(by_doc, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.greatest("own", F.coalesce(blend, F.col("own"))).alias("score"))
 
 
 def hybrid(semantic: DataFrame, lexical: DataFrame, least: int = 50) -> DataFrame:

@@ -119,7 +119,7 @@ def tie_facets(spark, sf_dir):
 )
 def passage_blend(spark, sf_dir):
     p = hits(spark, sf_dir).select("query_id", F.floor(F.col("doc_id") / 5).alias("doc_id"), F.col("conf").alias("score"))
-    whole = p.select("query_id", "doc_id").distinct().withColumn("sca", F.lit(0.5))
+    whole = p.select("query_id", "doc_id").distinct().withColumn("own", F.lit(0.5))
     return op.passage_blend(whole, p).withColumn("score", F.round("score", 6))
 
 
