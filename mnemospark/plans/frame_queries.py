@@ -11,9 +11,9 @@ from .tables import FRAMES_SQL, frames, table
 WITH = "WITH " + FRAMES_SQL
 
 
-@query("frames_current", WITH + "SELECT doc_id, frame_id, pillar, created_at, len(content)::INTEGER AS n FROM frames WHERE status = 'active'")
+@query("frames_current", WITH + "SELECT doc_id, frame_id, pillar, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, len(content)::INTEGER AS n FROM frames WHERE status = 'active'")
 def frames_current(spark, sf_dir):
-    return op.current(frames(spark, sf_dir)).select("doc_id", "frame_id", "pillar", "created_at", F.length("content").alias("n"))
+    return op.current(frames(spark, sf_dir)).select("doc_id", "frame_id", "pillar", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"), F.length("content").alias("n"))
 
 
 @query("active_frames", WITH + "SELECT doc_id FROM frames WHERE status = 'active'")
