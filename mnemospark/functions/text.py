@@ -239,3 +239,32 @@ def action_residue(text: Column) -> Column:
 def task_hash(text: Column) -> Column:
     """16 hex digits that name a task, equal for equal normalised text."""
     return F.substring(F.sha2(content_key(text), 256), 1, 16)
+
+
+def spellings(words_: Column) -> Column:
+    """Names that two or three adjacent words may stand for: snake, camel and Pascal case."""
+    first = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))
+
+    def of(n: int) -> Column:
+        runs = F.when(F.size(words_) >= n, F.transform(F.sequence(F.lit(1), F.size(words_) - n + 1), lambda i: F.slice(words_, i, n))).otherwise(F.array().cast("array<array<string>>"))
+        pascal = lambda r: F.concat_ws("", F.transform(r, first))
+        return F.flatten(F.transform(runs, lambda r: F.array(F.concat_ws("_", r), F.concat(F.element_at(r, 1), pascal(F.slice(r, 2, n))), pascal(r))))
+
+    return F.array_distinct(F.concat(of(2), of(3)))
+
+
+def singular(word: Column) -> Column:
+    """A table or class name in the singular by the common English endings."""
+    return F.when(word.rlike("(?i)ies$"), F.regexp_replace(word, "(?i)ies$", "y")).when(word.rlike("(?i)(ss|us|is)$"), word).when(word.rlike("(?i)(x|ch|sh|ss)es$"), F.regexp_replace(word, "(?i)es$", "")).otherwise(F.regexp_replace(word, "(?i)s$", ""))
+
+
+def normal_path(path: Column) -> Column:
+    """A route in one form: lower case, one slash between parts, ``{}`` for parameters."""
+    plain = F.regexp_replace(F.lower(path), r"\{[^}]*\}|:[a-z_]\w*", "{}")
+    return F.regexp_replace(F.concat(F.lit("/"), F.regexp_replace(plain, r"^/+|/+$", "")), "/+", "/")
+
+
+def register_tokenizers(spark) -> None:
+    """``word_tokens(text)`` and ``name_parts(name)`` as SQL functions, inlined into plans."""
+    spark.sql(r"CREATE OR REPLACE TEMPORARY FUNCTION word_tokens(t STRING) RETURNS ARRAY<STRING> RETURN regexp_extract_all(lower(t), '[\\p{L}\\p{N}_]+', 0)")
+    spark.sql(r"CREATE OR REPLACE TEMPORARY FUNCTION name_parts(n STRING) RETURNS ARRAY<STRING> RETURN filter(split(lower(regexp_replace(regexp_replace(n, '([a-z0-9])([A-Z])', '$1 $2'), '([A-Z]+)([A-Z][a-z])', '$1 $2')), '[^a-z0-9]+'), w -> w <> '')")

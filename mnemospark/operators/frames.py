@@ -195,3 +195,16 @@ def chain_breaks(entries: DataFrame, key: str, *fields: str, order: str = "seq")
     line = F.concat_ws("|", *[F.col(f).cast("string") for f in fields])
     before = F.coalesce(F.lag("hash").over(Window.partitionBy(key).orderBy(order)), F.lit(""))
     return entries.withColumn("ok", F.col("hash") == F.sha2(F.concat_ws("|", before, line), 256)).filter(~F.col("ok"))
+
+
+def snapshot(frames: DataFrame, tag: str, path: str) -> None:
+    """A module's active frames as a store of their own."""
+    from ..sources.frames import save
+
+    save(with_all_tags(frames, [tag]), path, "overwrite")
+
+
+def for_language(fixes: DataFrame, language: str) -> DataFrame:
+    """Fixes of a language and of none; a tag decides over the body's and the edits' language."""
+    own = F.coalesce("tag_lang", "body_lang", "edits_lang")
+    return fixes.filter(own.isNull() | (F.lower(own) == language.lower()))

@@ -178,3 +178,114 @@ def markdown_requirements(files: DataFrame) -> DataFrame:
 def database(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
     """Rows of a database query over JDBC."""
     return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+
+
+SHEET_XML = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def xlsx_cells(data: bytes) -> Iterator[tuple[str, int, int, str]]:
+    """Non-empty cells of a workbook: sheet name, row and column from 1, value as text; a
+    merged range repeats its first cell."""
+
+    def place(ref: str) -> tuple[int, int]:
+        letters, digits = re.fullmatch(r"([A-Z]+)(\d+)", ref).groups()
+        column = 0
+        for letter in letters:
+            column = column * 26 + ord(letter) - 64
+        return int(digits), column
+
+    with zipfile.ZipFile(io.BytesIO(data)) as archive:
+        names = set(archive.namelist())
+        shared = []
+        if "xl/sharedStrings.xml" in names:
+            for item in ElementTree.fromstring(archive.read("xl/sharedStrings.xml")).iter(f"{SHEET_XML}si"):
+                shared.append("".join(t.text or "" for t in item.iter(f"{SHEET_XML}t")))
+        titles = [s.get("name") for s in ElementTree.fromstring(archive.read("xl/workbook.xml")).iter(f"{SHEET_XML}sheet")]
+        for number, title in enumerate(titles, 1):
+            sheet = ElementTree.fromstring(archive.read(f"xl/worksheets/sheet{number}.xml"))
+            cells = {}
+            for cell in sheet.iter(f"{SHEET_XML}c"):
+                value = cell.find(f"{SHEET_XML}v")
+                text = "".join(t.text or "" for t in cell.iter(f"{SHEET_XML}t")) if value is None else shared[int(value.text)] if cell.get("t") == "s" else value.text
+                if text:
+                    cells[place(cell.get("r"))] = text
+            for merge in sheet.iter(f"{SHEET_XML}mergeCell"):
+                (top, left), (bottom, right) = map(place, merge.get("ref").split(":"))
+                for row in range(top, bottom + 1):
+                    for column in range(left, right + 1):
+                        if (top, left) in cells:
+                            cells[row, column] = cells[top, left]
+            for (row, column), text in sorted(cells.items()):
+                yield title, row, column, text
+
+
+def xlsx_rows(binaries: DataFrame) -> DataFrame:
+    """Cells of workbooks (``path``, ``content``): ``file``, ``sheet``, ``row``, ``col``,
+    ``value``.  A file that is no workbook gives no rows."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    rows += [(path, *cell) for cell in xlsx_cells(bytes(content))]
+                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError):
+                    continue
+            yield pd.DataFrame(rows, columns=["file", "sheet", "row", "col", "value"]).astype({"row": "int64", "col": "int64"})
+
+    return binaries.select("path", "content").mapInPandas(run, "file string, sheet string, row long, col long, value string")
+
+
+def with_headers(cells: DataFrame) -> DataFrame:
+    """Cells under the header of their column, which is the first row of a sheet that has the
+    most filled cells: ``file``, ``sheet``, ``row``, ``header``, ``value``."""
+    widths = cells.groupBy("file", "sheet", "row").agg(F.count("*").alias("n"))
+    heads = widths.groupBy("file", "sheet").agg(F.max_by("row", F.struct("n", (-F.col("row")).alias("r"))).alias("head"))
+    named = cells.join(heads, ["file", "sheet"])
+    titles = named.filter(F.col("row") == F.col("head")).select("file", "sheet", "col", F.col("value").alias("header"))
+    return named.filter(F.col("row") > F.col("head")).join(titles, ["file", "sheet", "col"]).select("file", "sheet", "row", "header", "value")
+
+
+def parsed_pages(binaries: DataFrame, parse) -> DataFrame:
+    """Pages of binary documents by a parser from bytes to page texts (a PDF library, say):
+    ``file``, ``page`` from 1, ``text``.  Page clean-up operators take it from there."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = [(path, k, text) for path, content in zip(pdf["path"], pdf["content"], strict=True) for k, text in enumerate(parse(bytes(content)), 1)]
+            yield pd.DataFrame(rows, columns=["file", "page", "text"]).astype({"page": "int64"})
+
+    return binaries.select("path", "content").mapInPandas(run, "file string, page long, text string")
+
+
+def transcript_frames(rows: DataFrame) -> DataFrame:
+    """Transcribed segments (``file``, ``start``, ``end`` in seconds, ``text``) as frames."""
+    name = F.element_at(F.split("file", "/"), -1)
+    times = F.array(F.format_string("start:%.2f", F.col("start").cast("double")), F.format_string("end:%.2f", F.col("end").cast("double")))
+    doc_id = F.concat(name, F.lit("::seg_"), F.lpad(F.floor(F.col("start") * 1000).cast("string"), 10, "0"))
+    return conform(rows.filter(F.length(F.trim("text")) > 0).select(doc_id.alias("doc_id"), name.alias("title"), F.col("text").alias("content"), F.lit("document").alias("pillar"), times.alias("tags")))
+
+
+def event_frames(events: DataFrame) -> DataFrame:
+    """Ends of sessions and tool calls (``session``, ``kind``, ``ts``, ``summary``) as episodes;
+    on a stream as on a table."""
+    tags = F.array(F.concat(F.lit("event:"), "kind"), F.concat(F.lit("session:"), "session"))
+    return conform(events.select(F.concat_ws("_", F.lit("event"), "session", F.unix_micros(F.col("ts").cast("timestamp")).cast("string")).alias("doc_id"), F.col("summary").alias("content"), F.col("ts").alias("created_at"), F.lit("episodic").alias("pillar"), tags.alias("tags")))
+
+
+def procedure_facts(batches: DataFrame) -> DataFrame:
+    """What a procedure's body shows (``name``, ``body``): parameters, JSON keys it reads,
+    tables it changes, literals it compares, error codes it throws; one row per fact."""
+    of = lambda kind, pattern: F.transform(F.regexp_extract_all("body", F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value")))
+    facts = F.concat(
+        of("parameter", r"(?i)(@\w+)\s+(?:n?varchar|n?char|int|bigint|bit|decimal|date\w*|uniqueidentifier)"),
+        of("json", r"(?i)'\$\.([\w.]+)'"),
+        of("changes", r"(?i)\b(?:update|delete\s+from|merge\s+into|truncate\s+table)\s+(?:\[?\w+\]?\.)?\[?(\w+)"),
+        of("literal", r"(?:=|<>)\s*N?'([^']*)'"),
+        of("error", r"(?i)\b(?:throw|raiserror)\s*\(?\s*(\d+)"),
+    )
+    return batches.select("name", F.explode(F.array_distinct(facts)).alias("f")).select("name", "f.kind", "f.value")

@@ -179,3 +179,23 @@ def test_plugins_and_adapters(spark):
     assert edit_lines(text, [("insert", 2, "x"), ("replace", 3, 3, "y"), ("delete", 1, 1), ("anchor", "c", "d")]) == "x\ny\nd"
     with pytest.raises(ValueError):
         edit_lines(text, [("anchor", "z", "")])
+
+
+def test_workbooks_and_parsed_pages(spark):
+    data = io.BytesIO()
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(data, "w") as archive:
+        archive.writestr("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="Stories"/></sheets></workbook>')
+        archive.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>Title</t></si><si><t>Method</t></si><si><t>list</t></si></sst>")
+        cells = '<row><c r="A1"><v>7</v></c></row><row><c r="A2" t="s"><v>0</v></c><c r="B2" t="s"><v>1</v></c></row><row><c r="A3" t="s"><v>2</v></c><c r="B3" t="inlineStr"><is><t>GET</t></is></c></row>'
+        archive.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData>{cells}</sheetData><mergeCells><mergeCell ref="A3:A4"/></mergeCells></worksheet>')
+    rows = files.xlsx_rows(spark.createDataFrame([("a.xlsx", data.getvalue()), ("b.xlsx", b"none")], "path string, content binary"))
+    found = values(files.with_headers(rows).select("row", "header", "value"))
+    assert found == [(3, "Method", "GET"), (3, "Title", "list"), (4, "Title", "list")]
+    pages = files.parsed_pages(spark.createDataFrame([("p", b"one|two")], "path string, content binary"), lambda b: b.decode().split("|"))
+    assert values(pages) == [("p", 1, "one"), ("p", 2, "two")]
+
+
+def test_snapshot_of_a_module(spark, sf_dir, tmp_path):
+    frame_ops.snapshot(frames(spark, sf_dir), "role:user", str(tmp_path / "module"))
+    assert store.open_store(spark, str(tmp_path / "module")).count() == frame_ops.with_all_tags(frames(spark, sf_dir), ["role:user"]).count()
