@@ -124,7 +124,7 @@ def collisions(docs: DataFrame, prints: DataFrame, poly: Polynomial = Polynomial
         .filter("rows > 1 and n_bytes > 0")
         .select(*GROUP, F.col("lead.doc_id").alias("lead_id"), F.col("lead.sig").alias("lead_sig"))
     )
-    many = written(many, "many")  # apart from its join, whose hot keys can then be split
+    many = written(many, "many", small=True)  # apart from its join, whose hot keys can then be split
     members = prints.select("doc_id", "sig", *GROUP).join(many, list(GROUP)).withColumn("leads", F.col("doc_id").eqNullSafe(F.col("lead_id")) & (F.col("sig") == F.col("lead_sig")))
     texts = documents_of(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     members = members.select(F.col("doc_id").alias("m_id"), F.col("sig").alias("m_sig"), *GROUP, "leads").distinct().hint("shuffle_hash")
@@ -148,12 +148,12 @@ def exact_duplicates(docs: DataFrame, poly: Polynomial = Polynomial()) -> DataFr
     each of its repeats is marked kept.  An empty table gives an empty result.
     """
     prints = written(fingerprints(docs, poly), "fingerprints")
-    bad = written(collisions(docs, prints, poly), "collisions").withColumn("split", F.lit(True))
+    bad = written(collisions(docs, prints, poly), "collisions", small=True).withColumn("split", F.lit(True))
     rows = prints.join(bad, list(GROUP), "left").withColumn("part", F.when(F.col("split"), F.col("text_sha256")).otherwise(F.lit("")))
     rows = written(rows.select("doc_id", "sig", "n_points", *GROUP, "part", "text_sha256"), "classes")
     best = F.min(F.struct((-F.col("n_points")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id", "sig")).alias("best")
     groups = rows.groupBy(*GROUP, "part").agg(F.count("*").alias("group_size"), best)
-    out = rows.join(written(groups, "groups"), [*GROUP, "part"])
+    out = rows.join(written(groups, "groups", small=True), [*GROUP, "part"])
     return out.select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),

@@ -109,7 +109,7 @@ def dropped_lines(docs: DataFrame, least_points: int = 40, least_documents: int
     own = F.coalesce("doc_id", F.lit(-(1 << 63)))
     still = decided.filter("open")
     sums = still.groupBy("hi", "lo").agg(F.sum("run_docs").alias("n_docs"), F.max(own).alias("largest")).filter(F.col("n_docs") >= least_documents)
-    sums = written(sums, "sums")  # apart from its join, whose hot keys can then be split
+    sums = written(sums, "sums", small=True)  # apart from its join, whose hot keys can then be split
     late = still.join(sums, ["hi", "lo"]).filter(own != F.col("largest"))
     drops = decided.filter("not open").select("doc_id", "sig", "lines").union(late.select("doc_id", "sig", "lines"))
     return drops.groupBy("doc_id", "sig").agg(F.collect_set("lines").alias("drops"))

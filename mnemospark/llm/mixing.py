@@ -77,13 +77,13 @@ def mixture(docs: DataFrame, weight=cycle(1, 2, 3), most_epochs: int = 3, seed:
         .withColumn("bits", F.least(F.lit(40), F.ceil(F.log2("n_rows") / 2)).cast("int"))
         .withColumnRenamed("source", "of")
     )
-    goal = written(goal, "targets")
+    goal = written(goal, "targets", small=True)
     full = rows.join(goal, F.col("source").eqNullSafe(F.col("of"))).withColumn("bucket", F.expr("shiftright(h, 60 - bits)"))
     sums = full.groupBy("of", "bucket").agg(F.sum("size").alias("bucket_size"), F.first("quota").alias("quota"))
     running = Window.partitionBy("of").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.withColumn("before", F.sum("bucket_size").over(running) - F.col("bucket_size"))
     ends = sums.filter((F.col("before") <= F.col("quota")) & (F.col("quota") < F.col("before") + F.col("bucket_size"))).select("of", F.col("bucket").alias("last_bucket"), "before")
-    ends = written(ends, "ends")
+    ends = written(ends, "ends", small=True)
     renamed = ends.select(F.col("of").alias("end_of"), "last_bucket", "before")
     inside = full.join(renamed, F.col("of").eqNullSafe(F.col("end_of")) & (F.col("bucket") == F.col("last_bucket")))
     key = F.struct("h", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "row")
@@ -93,7 +93,7 @@ def mixture(docs: DataFrame, weight=cycle(1, 2, 3), most_epochs: int = 3, seed:
     beyond = F.when(F.col("sum") > F.col("quota"), key)
     cuts = inside.groupBy("of").agg(F.max(fits).alias("cut"), F.min(beyond).alias("next"), F.first("before").alias("before"), F.first("last_bucket").alias("last_bucket"), F.first("quota").alias("quota"))
     cuts = cuts.select(F.col("of").alias("cut_of"), "last_bucket", F.col("cut.key").alias("cut"), F.col("next.row").alias("next_row"), (F.col("quota") - F.coalesce("cut.sum", "before")).alias("missing"))
-    cuts = written(cuts, "cuts")
+    cuts = written(cuts, "cuts", small=True)
     chosen = (F.col("bucket") < F.col("last_bucket")) | ((F.col("bucket") == F.col("last_bucket")) & F.coalesce(key <= F.col("cut"), F.lit(False)))
     marked = full.join(cuts, F.col("of").eqNullSafe(F.col("cut_of")), "left").withColumn("chosen", F.coalesce(chosen, F.lit(False)))
     if fractions:

@@ -97,7 +97,7 @@ def links(prints: DataFrame, bucket: int = 16) -> DataFrame:
     connected what is connected.
     """
     table = _index(prints, False)
-    crowded = written(table.groupBy("seg", "value").count().filter(F.col("count") > bucket).select("seg", "value"), "crowded")
+    crowded = written(table.groupBy("seg", "value").count().filter(F.col("count") > bucket).select("seg", "value"), "crowded", small=True)
     ordinary = table.join(crowded, ["seg", "value"], "left_anti").withColumnRenamed("fp", "found")
     marked = crowded.withColumn("found", F.lit(None).cast("long"))
     met = written(_index(prints, True).join(ordinary.union(marked), ["seg", "value"]), "met")
