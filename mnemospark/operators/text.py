@@ -26,14 +26,13 @@ def lexical_stats(docs: DataFrame, terms: Sequence[str]) -> DataFrame:
     """Postings of the given terms with everything a lexical score needs: ``doc_id``, ``term``,
     ``tf``, ``df``, ``length`` (distinct terms of the document), ``n_docs``, ``mean_length``.
 
-    Only documents that hold a term travel on; the text is tokenised once per document.
+    Tokens are filtered before they are counted, so only the query's terms are shuffled.
     """
     found = docs.select("doc_id", T.tokens(F.col("text")).alias("all"))
     sized = found.select("doc_id", "all", F.size(F.array_distinct("all")).cast("long").alias("length"))
     totals = sized.agg(F.count("*").alias("n_docs"), F.greatest(F.avg("length"), F.lit(1.0)).alias("mean_length"))
-    of = lambda term: F.struct(F.lit(term).alias("term"), F.size(F.filter("all", lambda w: w == term)).cast("long").alias("tf"))
-    wanted = F.array(*[of(term) for term in dict.fromkeys(terms)])
-    hits = sized.select("doc_id", "length", F.explode(F.filter(wanted, lambda x: x["tf"] > 0)).alias("hit")).select("doc_id", "length", "hit.term", "hit.tf")
+    each = sized.select("doc_id", "length", F.explode("all").alias("term")).filter(F.col("term").isin(*dict.fromkeys(terms)))
+    hits = each.groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     return hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(totals))  # df: a row per term asked; totals: one row
 
