@@ -7,9 +7,12 @@ Texts that agree in one segment (the Hamming ball of radius zero: for one recall
 radius one over fewer segments take three times the index rows) are candidates, are verified
 on the distance of an independent 64-bit fingerprint, and are then compared exactly.
 
-A bucket of over ``bucket`` texts is not paired: its texts are compared with two leaders, the
-same ones for most buckets of a group, so a group of near copies costs a few comparisons a
-text.  Which links exist between candidates is always decided by the exact similarity.
+A bucket of over ``bucket`` texts is first compared with two leaders, the same ones for most
+buckets of a group, so most groups of near copies cost a few comparisons a text.  A crowded
+bucket that these links leave in several components is then settled exactly: each of its texts
+is compared with all texts of other components, those first whose shingles most others have, so
+the original of a large group links its variants before they meet each other.  Large buckets
+are dealt as pairs of blocks.  Which links exist is always decided by the exact similarity.
 """
 
 from __future__ import annotations
@@ -104,9 +107,10 @@ def index_rows(nodes: DataFrame, layout: Layout) -> DataFrame:
     return nodes.select("node", "fp", "wide").mapInArrow(run, "seg int, value long, node long, fp long")
 
 
-def candidates(index: DataFrame, bucket: int = 16, most_bits: int = 16) -> DataFrame:
+def candidates(index: DataFrame, bucket: int = 16, most_bits: int = 16) -> tuple[DataFrame, DataFrame]:
     """Pairs ``a`` < ``b`` of nodes with a common segment whose 64-bit fingerprints differ in at
-    most ``most_bits``."""
+    most ``most_bits``, of crowded buckets those with two leaders; and the rows ``seg``, ``value``,
+    ``node``, ``fp`` of crowded buckets."""
     counts = written(index.groupBy("seg", "value").count().filter("count > 1"), "counts", small=True)
     rows = index.join(counts, ["seg", "value"])
     near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= most_bits
@@ -120,7 +124,7 @@ def candidates(index: DataFrame, bucket: int = 16, most_bits: int = 16) -> DataF
     leaders = crowded.groupBy("seg", "value").agg(first(1).alias("l1"), first(2).alias("l2"))
     leaders = written(leaders.select("seg", "value", F.explode(F.array("l1", "l2")).alias("l")), "leaders", small=True)
     led = crowded.join(leaders, ["seg", "value"]).filter((F.col("node") != F.col("l.node")) & near(F.col("fp"), F.col("l.fp")))
-    return ordinary.union(led.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b"))).distinct()
+    return ordinary.union(led.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b"))).distinct(), crowded
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -153,17 +157,73 @@ def _jaccard(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
-def similar_links(docs: DataFrame, rows: DataFrame, layout: Layout, similarity: float, shingle: int, bucket: int) -> DataFrame:
-    """Links ``a``, ``b`` between nodes whose texts are at least ``similarity`` alike."""
+def connecting(sets: list[np.ndarray], labels: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links between sets of distinct hashes at least ``similarity`` alike that connect what all
+    such links and equal ``labels`` connect; sets of one component are not compared."""
+    labels, sizes = labels.copy(), np.array([len(s) for s in sets])
+    held, shingles, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owners = np.repeat(np.arange(len(sets)), sizes)
+    spread = np.bincount(owners, weights=counts[shingles], minlength=len(sets)) / np.maximum(sizes, 1)
+    common = counts[shingles] > 1
+    shingles, owners = shingles[common], owners[common]
+    ends = np.cumsum(np.bincount(owners, minlength=len(sets)))
+    starts = ends - np.bincount(owners, minlength=len(sets))
+    mark, waiting, found = np.zeros(len(held), bool), np.ones(len(sets), bool), []
+    for x in np.argsort(-spread, kind="stable"):
+        waiting[x] = False
+        if (labels == labels[x]).all():
+            break
+        others = waiting & (labels != labels[x]) & (np.minimum(sizes, sizes[x]) >= similarity * np.maximum(sizes, sizes[x]))
+        if not others.any():
+            continue
+        mine = shingles[starts[x] : ends[x]]
+        mark[mine] = True
+        shared = np.bincount(owners[mark[shingles]], minlength=len(sets))
+        mark[mine] = False
+        linked = np.flatnonzero(others & (shared >= similarity * (sizes + sizes[x] - shared)))
+        for y in linked[np.unique(labels[linked], return_index=True)[1]]:
+            found.append((int(x), int(y)))
+        labels[np.isin(labels, labels[linked])] = labels[x]
+    return found
+
+
+def crowded_links(crowded: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float, block: int = 1 << 20) -> DataFrame:
+    """Links ``a``, ``b`` that connect what the similarity connects within each crowded bucket
+    and ``roots`` (``node``, ``root``) does not.  A bucket of over ``block`` shingles is cut into
+    blocks; each pair of blocks is a group of its own."""
+    rooted = crowded.select("seg", "value", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = written(rooted.join(sets.select("node", F.size("s").alias("n")), "node"), "crowded")
+    apart = rooted.groupBy("seg", "value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n").alias("total")).filter("low <> high")
+    apart = written(apart.select("seg", "value", F.ceil(F.greatest(F.col("total"), F.lit(1)) / block).cast("int").alias("blocks")), "apart", small=True)
+    rows = rooted.join(apart, ["seg", "value"]).withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    meets = F.explode(F.filter(every, lambda k: (k != F.col("own")) | (F.col("blocks") == 1)))
+    rows = rows.withColumn("met", meets).select("seg", "value", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), "node", "root")
+
+    def run(table: pa.Table) -> pa.Table:
+        node, (root, s) = table.column("node").to_numpy(), (table.column(k).combine_chunks() for k in ("root", "s"))
+        ends = np.concatenate(([0], np.cumsum(s.value_lengths().to_numpy())))
+        flat = s.flatten().to_numpy()
+        found = connecting([flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], root.to_numpy(), similarity)
+        ends = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(node[ends[:, 0]], pa.int64()), "b": pa.array(node[ends[:, 1]], pa.int64())})
+
+    return rows.join(sets, "node").groupBy("seg", "value", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, layout: Layout, similarity: float, shingle: int, bucket: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links ``a``, ``b`` between nodes whose texts are at least ``similarity`` alike, without
+    those of crowded buckets that no leader has; rows of crowded buckets; shingles of nodes."""
     nodes = written(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("wide").alias("wide"), F.min(F.struct("doc_id", "sig")).alias("one")), "nodes")
-    pairs = written(candidates(index_rows(nodes, layout), bucket), "pairs")
-    met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    pairs, crowded = candidates(index_rows(nodes, layout), bucket)
+    pairs = written(pairs, "pairs")
+    met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowded.select("node")).distinct()
     one = nodes.join(met, "node").select("node", F.col("one.doc_id").alias("o_id"), F.col("one.sig").alias("o_sig"))
     texts = documents_of(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     found = texts.join(one.hint("shuffle_hash"), texts.doc_id.eqNullSafe(one.o_id) & (texts.sig == one.o_sig))
-    sets = written(shingle_sets(found, shingle), "shingles").dropDuplicates(["node"])
+    sets = written(shingle_sets(found, shingle).dropDuplicates(["node"]), "shingles")
     both = pairs.join(sets.withColumnRenamed("node", "a"), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
-    return _jaccard(both, similarity)
+    return _jaccard(both, similarity), crowded, sets
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bucket: int = 16) -> DataFrame:
@@ -177,13 +237,15 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     """
     layout = Layout.of(docs.count())
     rows = written(signatures(docs, layout.words), "signatures")
-    verified = similar_links(docs, rows, layout, similarity, shingle, bucket)
+    verified, crowded, sets = similar_links(docs, rows, layout, similarity, shingle, bucket)
     first = rows.groupBy("fp").agg(F.min("node").alias("node"))
     first = written(first, "first", small=True)
     near = links(first.select("fp"), bucket)
     near = near.join(first.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(first.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     shared = rows.select("fp", "node").distinct().join(first.withColumnRenamed("node", "low"), "fp").filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
-    roots = components(verified.union(near).union(shared))
+    known = written(verified.union(near).union(shared), "links", small=True)
+    more = crowded_links(crowded, sets, written(components(known), "roots", small=True), similarity)
+    roots = components(known.union(more))
     rooted = rows.select("doc_id", "sig", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = written(rooted, "rooted")
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig")).alias("lead"))

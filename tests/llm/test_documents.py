@@ -1,6 +1,7 @@
 """Each operator on awkward documents against a plain version of its contract."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -117,6 +118,39 @@ def test_similar_documents_find_near_copies(docs, awkward):
     assert found.filter("leads").select("root").distinct().count() == len(set(of))
 
 
+@pytest.mark.parametrize("block", [1 << 20, 20_000])
+def test_variants_of_one_text_meet_in_crowded_buckets(spark, block, monkeypatch):
+    """Variants are 0.85 alike to their original and less than 0.8 to each other."""
+    r = random.Random(5)
+    base = [f"w{r.randrange(10**6)}" for _ in range(300)]
+    texts = [" ".join(base)]
+    for k in range(400):
+        words = list(base)
+        for place in range(5):
+            words[60 * place + r.randrange(5, 55)] = f"v{k}x{place}"
+        texts.append(" ".join(words))
+    whole = similar_texts.crowded_links
+    monkeypatch.setattr(similar_texts, "crowded_links", lambda *a: whole(*a, block=block))
+    rows = [(1000 - k, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = similar_texts.similar_documents(docs).groupBy("root").count().collect()
+    assert max(r["count"] for r in found) >= 0.95 * len(texts)
+
+
+def test_connecting_links_equal_all_pairs():
+    rng = np.random.default_rng(7)
+    for _ in range(30):
+        base = [rng.choice(10**6, 60, replace=False) for _ in range(3)]
+        sets = [np.unique(np.where(rng.random(60) < 0.12, rng.integers(10**6, 10**9, 60), base[rng.integers(3)])) for _ in range(40)] + [np.array([], np.int64)]
+        labels = np.arange(len(sets)) % 37
+        alike = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a]) and (c := len(np.intersect1d(sets[a], sets[b]))) >= 0.8 * (len(sets[a]) + len(sets[b]) - c)]
+        same_label = [(a, b) for a in range(len(sets)) for b in range(a) if labels[a] == labels[b]]
+        links = similar_texts.connecting(sets, labels, 0.8)
+        assert {tuple(sorted(x)) for x in links} <= {tuple(sorted(x)) for x in alike}
+        ours, truth = grouped(len(sets), links + same_label), grouped(len(sets), alike + same_label)
+        assert all((ours[a] == ours[b]) == (truth[a] == truth[b]) for a in range(len(sets)) for b in range(a))
+
+
 def test_rows_of_keeps_one_of_repeated_rows(docs, awkward):
     kept = rows_of(docs, exact_dedup.exact_duplicates(docs).filter("kept"))
     assert kept.columns == docs.columns
