@@ -1,8 +1,10 @@
 """Near copies by word-shingle similarity, found with wide SimHash fingerprints.
 
 A 64-bit fingerprint at two differing bits finds only the nearest copies: texts whose five-word
-shingles have a Jaccard similarity of 0.8 differ in seven or eight bits.  Here a fingerprint is
+shingles have a Jaccard similarity of 0.8 differ in seven to ten bits.  Here a fingerprint is
 as wide as the number of documents asks for, and is cut into segments of ``log2(n) + 2`` bits.
+It is taken over the set of those five-word shingles, so that the similarity alone bounds the
+share of bits that differ, whether words, a paragraph or the end of a text were changed.
 Texts that agree in one segment (the Hamming ball of radius zero: for one recall, balls of
 radius one over fewer segments take three times the index rows) are candidates, are verified
 on the distance of an independent 64-bit fingerprint, and are then compared exactly.
@@ -31,12 +33,15 @@ from .common import documents_of, raw_texts, small_batches, written
 from ..operators.components import components
 from .simhash_dedup import links, shingle_hashes, simhash_of
 
-#: Share of bits in which fingerprints of three-word shingles differ at the similarity asked
-#: for, 0.8 on five-word shingles; measured, as is the recall, on the test tables.
-BIT_RATE = 0.117
 BITS = np.array([[(v >> k) & 1 for k in range(8)] for v in range(256)], np.int64)
 
 
+def bit_rate(similarity: float) -> float:
+    """Largest share of bits in which SimHashes of two sets of this Jaccard similarity differ:
+    their cosine is least when they are of one size."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
 @dataclass(frozen=True)
 class Layout:
     """Segments of a wide fingerprint for a number of documents."""
@@ -45,9 +50,10 @@ class Layout:
     segments: int
 
     @staticmethod
-    def of(n: int, missed: float = 0.02) -> Layout:
+    def of(n: int, similarity: float = 0.8, missed: float = 0.02) -> Layout:
+        """``missed``: share of pairs of this similarity without a common segment, at most."""
         bits = max(16, math.ceil(math.log2(max(n, 2))) + 2)
-        return Layout(bits, math.ceil(math.log(missed) / math.log(1 - (1 - BIT_RATE) ** bits)))
+        return Layout(bits, math.ceil(math.log(missed) / math.log(1 - (1 - bit_rate(similarity)) ** bits)))
 
     @property
     def words(self) -> int:
@@ -70,22 +76,25 @@ def wide_simhash(hashes: np.ndarray, words: int) -> bytes:
     return np.packbits(counts.reshape(-1) * 2 > len(hashes), bitorder="little").tobytes()
 
 
-def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id``, ``sig``, ``fp`` (64 bits of three-word shingles), ``wide``, ``node``: texts
-    with equal fingerprints are one node."""
+def signatures(docs: DataFrame, words: int, shingle: int) -> DataFrame:
+    """``doc_id``, ``sig``, ``fp`` (64 bits of three-word shingles), ``wide`` and ``own`` (64 bits
+    more) of the set of ``shingle``-word shingles, ``node``: texts with equal fingerprints are one
+    node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             fps, wides = [], []
             for raw in raw_texts(batch.column(1)):
-                hashes = shingle_hashes(raw.lower().split(), 3)
-                fps.append(simhash_of(hashes))
-                wides.append(wide_simhash(hashes, words))
+                split = raw.lower().split()
+                fps.append(simhash_of(shingle_hashes(split, 3)))
+                wides.append(wide_simhash(np.unique(shingle_hashes(split, shingle)), words + 1))
             fp = pa.array(np.array(fps, np.uint64).view(np.int64))
             node = np.array([xxhash.xxh3_64_intdigest(w, f) for w, f in zip(wides, fps, strict=True)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), fp, pa.array(wides, pa.binary()), pa.array(node)], names=["doc_id", "sig", "fp", "wide", "node"])
+            own = pa.array(np.frombuffer(b"".join(w[-8:] for w in wides), np.int64))
+            wide = pa.array([w[:-8] for w in wides], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), fp, wide, own, pa.array(node)], names=["doc_id", "sig", "fp", "wide", "own", "node"])
 
-    return documents_of(docs).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, sig long, fp long, wide binary, node long")
+    return documents_of(docs).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, sig long, fp long, wide binary, own long, node long")
 
 
 def index_rows(nodes: DataFrame, layout: Layout) -> DataFrame:
@@ -107,7 +116,7 @@ def index_rows(nodes: DataFrame, layout: Layout) -> DataFrame:
     return nodes.select("node", "fp", "wide").mapInArrow(run, "seg int, value long, node long, fp long")
 
 
-def candidates(index: DataFrame, bucket: int = 16, most_bits: int = 16) -> tuple[DataFrame, DataFrame]:
+def candidates(index: DataFrame, bucket: int = 16, most_bits: int = 20) -> tuple[DataFrame, DataFrame]:
     """Pairs ``a`` < ``b`` of nodes with a common segment whose 64-bit fingerprints differ in at
     most ``most_bits``, of crowded buckets those with two leaders; and the rows ``seg``, ``value``,
     ``node``, ``fp`` of crowded buckets."""
@@ -214,7 +223,7 @@ def crowded_links(crowded: DataFrame, sets: DataFrame, roots: DataFrame, similar
 def similar_links(docs: DataFrame, rows: DataFrame, layout: Layout, similarity: float, shingle: int, bucket: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Links ``a``, ``b`` between nodes whose texts are at least ``similarity`` alike, without
     those of crowded buckets that no leader has; rows of crowded buckets; shingles of nodes."""
-    nodes = written(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("wide").alias("wide"), F.min(F.struct("doc_id", "sig")).alias("one")), "nodes")
+    nodes = written(rows.groupBy("node").agg(F.first("own").alias("fp"), F.first("wide").alias("wide"), F.min(F.struct("doc_id", "sig")).alias("one")), "nodes")
     pairs, crowded = candidates(index_rows(nodes, layout), bucket)
     pairs = written(pairs, "pairs")
     met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowded.select("node")).distinct()
@@ -235,8 +244,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     last, then the smallest hash.  Null, empty and white-space texts are one group.  An empty
     table gives no rows.
     """
-    layout = Layout.of(docs.count())
-    rows = written(signatures(docs, layout.words), "signatures")
+    layout = Layout.of(docs.count(), similarity)
+    rows = written(signatures(docs, layout.words, shingle), "signatures")
     verified, crowded, sets = similar_links(docs, rows, layout, similarity, shingle, bucket)
     first = rows.groupBy("fp").agg(F.min("node").alias("node"))
     first = written(first, "first", small=True)

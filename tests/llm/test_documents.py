@@ -137,6 +137,31 @@ def test_variants_of_one_text_meet_in_crowded_buckets(spark, block, monkeypatch)
     assert max(r["count"] for r in found) >= 0.95 * len(texts)
 
 
+@pytest.mark.parametrize("n", [10_000, 210_000, 20_000_000])
+@pytest.mark.parametrize("kind", ["words", "block", "tail"])
+def test_layout_finds_pairs_at_least_similarity(n, kind):
+    """Pairs of 190 words or more at a similarity of 0.8 to 0.81, however the copy was changed."""
+    r, layout, hit, pairs = random.Random(n), similar_texts.Layout.of(n), 0, 200
+    words = lambda k: [b"w%d" % r.randrange(10**9) for _ in range(k)]
+    for _ in range(pairs):
+        x = words(190)
+        y = list(x)
+        if kind == "words":
+            for place in range(20, 180, 44):
+                y[place] = words(1)[0]
+        elif kind == "block":
+            y[60:76] = words(16)
+        else:
+            y += words(45)
+        sets = [np.unique(similar_texts.shingle_hashes(t, 5)) for t in (x, y)]
+        common = len(np.intersect1d(*sets))
+        assert common >= 0.8 * (len(sets[0]) + len(sets[1]) - common)
+        wide = [np.frombuffer(similar_texts.wide_simhash(s, layout.words), np.uint8) for s in sets]
+        bits = np.unpackbits(wide[0] ^ wide[1], bitorder="little")[: layout.bits * layout.segments]
+        hit += not bits.reshape(layout.segments, layout.bits).any(axis=1).all()
+    assert hit >= 0.94 * pairs
+
+
 def test_connecting_links_equal_all_pairs():
     rng = np.random.default_rng(7)
     for _ in range(30):
