@@ -4,9 +4,10 @@ Each text node of a page hangs on a path of tags from the root.  Per path the le
 text and its punctuation are summed and divided by the number of nodes: navigation has many
 nodes with little text, articles have few with much.  Both ratios are fused, smoothed along
 the page, averaged per path again, and paths over a threshold (the spread of the page's own
-values) are content paths.  The content block is the innermost section that holds nearly all
-text of content paths; its nodes are the result, so a heading or a short last paragraph, whose
-own path has little text, stays with its article.
+values) are content paths.  If the innermost section that holds nearly all text of content paths
+is in an article, the content block is that article, else the innermost section that holds all
+such text; its nodes are the result, so a heading or a short last paragraph, whose own path has
+little text, stays with its article.
 """
 
 from __future__ import annotations
@@ -170,8 +171,9 @@ def _content(found: list[tuple[Element, str, int]], smooth: tuple[float, ...], s
             for x in _ancestors(found[k][0]):
                 x.chars += n
     holders = {id(x): x for k in solid for x in _ancestors(found[k][0]) if x.chars >= share * total and (x.tag in SECTIONS or x.parent is None)}
-    best = max(holders.values(), key=lambda x: x.depth)
-    for x in _ancestors(best):
+    main = max(holders.values(), key=lambda x: x.depth)
+    best = max((x for x in holders.values() if x.chars >= total), key=lambda x: x.depth)
+    for x in _ancestors(main):
         if x.tag in ARTICLES:
             best = x
             break

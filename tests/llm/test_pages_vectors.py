@@ -32,6 +32,20 @@ def test_odd_pages(page, text):
     assert html_extract.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "content",
+    [
+        "<div id=content><h1>A title</h1><div class=lead>{0}{1}</div><div class=body>{2}{3}{4}{5}{6}{7}{8}{9}</div></div>",
+        "<div id=content><h1>A title</h1><section>{0}</section><section>{1}{2}{3}{4}{5}{6}{7}{8}</section><section>{9}</section></div>",
+        "<section><h1>A title</h1><div>{0}{1}{2}{3}{4}{5}{6}{7}</div><div>{8}</div><div>{9}</div></section>",
+    ],
+)
+def test_blocks_beside_the_largest_one(content):
+    texts = [f"Sentence {k} of the page, with commas, and with words that go on for long enough." for k in range(10)]
+    page = "<body><div><a href=/>Home</a><a href=/x>More</a><a href=/y>Links</a></div>" + content.format(*(f"<p>{t}</p>" for t in texts)) + "<div>imprint</div></body>"
+    assert html_extract.main_text(page) == " ".join(["A title", *texts])
+
+
 def test_deep_and_long_pages():
     deep = "<div>" * 5000 + "<p>core of it, at last.</p>" + "</div>" * 5000
     assert html_extract.main_text(deep) == "core of it, at last."
