@@ -167,7 +167,7 @@ def dream_drift(spark, sf_dir):
 
 @query("kmeans_topics")
 def kmeans_topics(spark, sf_dir):
-    clusters, _ = op.kmeans(vectors(spark, sf_dir), k=8, rounds=10)
+    clusters, _ = op.kmeans(vectors(spark, sf_dir))
     return clusters
 
 
@@ -180,9 +180,9 @@ def cluster_health(spark, sf_dir):
 @query("ivf_search")
 def ivf_search(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    found, centres = op.kmeans(rows, k=8, rounds=5)
+    found, centres = op.kmeans(rows)
     clusters = found.join(rows.select("vec_id", V.doubles(F.col("embedding")).alias("x")), "vec_id")
-    return op.cluster_search(clusters, centres, asked(rows, V.doubles(F.col("embedding")).alias("q")), 4, 10).withColumn("score", F.round("score", 6))
+    return op.cluster_search(clusters, centres, asked(rows, V.doubles(F.col("embedding")).alias("q")), 24, 10).withColumn("score", F.round("score", 6))
 
 
 @query(

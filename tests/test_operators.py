@@ -53,6 +53,23 @@ def test_filter_then_top_equals_top_then_filter(spark, sf_dir):
     assert {r.doc_id for r in late.collect()} == {r.doc_id for r in early.collect()}
 
 
+def test_ivf_search_recalls_nearest_vectors(spark, sf_dir):
+    import numpy as np
+
+    from mnemospark.plans.registry import queries
+
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = {(r.query_id, r.vec_id) for r in queries()["ivf_search"](spark, sf_dir).collect()}
+    hits = total = 0
+    for q in np.flatnonzero(ids % 100 == 0):
+        scores = np.where(ids == ids[q], -np.inf, x @ x[q])
+        near = ids[np.argsort(-scores)[:10]].tolist()
+        hits, total = hits + sum((int(ids[q]), v) in found for v in near), total + len(near)
+    assert hits >= 0.9 * total
+
+
 def test_kmeans_finds_planted_clusters(spark):
     rows = [(k, [float(k % 3 == d) + 0.01 * k for d in range(4)]) for k in range(30)]
     clusters, centres = vector_ops.kmeans(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3)
