@@ -14,23 +14,33 @@ from pyspark.sql import functions as F
 from ..scratch import written
 
 
-def _stars(edges: DataFrame) -> DataFrame:
+#: Edges to a file of a step's result; later steps of a large graph have few edges left.
+EDGES_PER_FILE = 500_000
+
+
+def _stars(edges: DataFrame, files: int) -> DataFrame:
     """Large-star: connect every larger neighbour of a node with the node's smallest one."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    least = written(least, "least", small=True)  # apart from its join, whose hubs can then be split
+    least = written(least, "least", files=files)  # apart from its join, whose hubs can then be split
     large = both.filter("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
     return large.filter("a <> b").distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, files: int) -> DataFrame:
     """Small-star: connect a node and its smaller neighbours with the smallest of them."""
-    least = written(edges.groupBy("b").agg(F.min("a").alias("m")), "least", small=True)
+    least = written(edges.groupBy("b").agg(F.min("a").alias("m")), "least", files=files)
     joined = edges.join(least, "b").select("a", "b", "m")
     out = joined.select(F.col("m").alias("a"), F.col("a").alias("b")).union(least.select(F.col("m").alias("a"), "b"))
     return out.filter("a <> b").distinct()
 
 
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether every node is either the root of its edges or the leaf of one."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(0).alias("leaf")).union(edges.select("b", F.lit(1)))
+    return ends.groupBy("node").agg(F.min("leaf").alias("least"), F.sum("leaf").alias("leaves")).filter("leaves > 1 or (leaves = 1 and least = 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``root`` (smallest node reachable) for every node that has an edge.
 
@@ -40,9 +50,8 @@ def components(edges: DataFrame) -> DataFrame:
     first, second = edges.columns[:2]
     edges = edges.filter(F.col(first) != F.col(second)).select(F.least(first, second).alias("a"), F.greatest(first, second).alias("b")).distinct()
     edges = written(edges, "edges", small=True)
-    while True:
-        edges = written(_small(_stars(edges)), "edges", small=True)
-        # finished when every edge is a star: no node is both the root of one and a leaf of another
-        if edges.select("b").distinct().join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty() and edges.count() == edges.select("b").distinct().count():
-            break
+    while not _only_stars(edges):
+        files = -(-edges.count() // EDGES_PER_FILE) or 1
+        stars = written(_stars(edges, files), "stars", files=files)
+        edges = written(_small(stars, files), "edges", files=files)
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())

@@ -37,17 +37,17 @@ def _remove(spark: SparkSession, folder: str) -> None:
         return
 
 
-def written(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, small: bool = False, files: int | None = None) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back.
 
     Cuts lineage and keeps an expensive stage from running again for a second consumer; a
     lost executor loses nothing of it.  The folder goes when the driver process ends.
-    ``small``: what an aggregation leaves goes to at most four files a core of the cluster,
-    however many partitions the shuffle before it has.
+    ``small``: what an aggregation leaves goes to at most one file a core of the cluster,
+    however many partitions the shuffle before it has; ``files``: to at most so many.
     """
     spark = df.sparkSession
-    if small:
-        df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
+    if small or files:
+        df = df.coalesce(max(1, min(files or 1 << 30, spark.sparkContext.defaultParallelism)))
     top = f"{shared_folder(spark)}/mnemospark-{spark.sparkContext.applicationId}"
     if top not in _scratch:
         _scratch[top] = []
