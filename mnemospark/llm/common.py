@@ -62,13 +62,41 @@ def raw_texts(column: pa.Array) -> Iterator[bytes]:
         yield value or b""
 
 
-def rows_of(docs: DataFrame, keepers: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that ``keepers`` (``doc_id``, ``sig``) names; of rows
-    that repeat both id and text, one."""
-    named = docs.columns
-    counted = keepers.groupBy("doc_id", "sig").agg(F.count("*").alias("__copies")).select(F.col("doc_id").alias("__id"), F.col("sig").alias("__sig"), "__copies")
-    keyed = docs.withColumn("__text_sig", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    joined = keyed.join(counted.hint("shuffle_hash"), keyed["doc_id"].eqNullSafe(counted["__id"]) & (keyed["__text_sig"] == counted["__sig"]))
-    once = joined.filter("__copies = 1")
-    repeated = joined.filter("__copies > 1").dropDuplicates(["doc_id", "__text_sig"])
-    return once.union(repeated).select(*named)
+#: Rows of (id, hash, flag) up to which a table is broadcast: about 64 bytes each once hashed, so 64 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(small: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``small``, a written table, marked for a broadcast if its counted rows are at most
+    ``most``, else for a hash join whose sides both shuffle."""
+    return F.broadcast(small) if small.count() <= most else small.hint("shuffle_hash")
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def rows_of(docs: DataFrame, decisions: DataFrame, kept: str, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that ``decisions`` keeps.
+
+    ``decisions`` has a row for each row of ``docs``: ``doc_id``, ``sig`` (hash of the text) and
+    the boolean ``kept``.  Of rows that repeat both id and text one stays if any is kept.  Only
+    names of rows that go, or that repeat, meet the texts; while they are few they are broadcast
+    and no text is shuffled.  Columns of ``docs`` may have any names.  Empty tables give no rows.
+    """
+    named, sig = docs.columns, fresh(docs, "text_sig")
+    gone, once = fresh(docs, "gone"), fresh(docs, "once")
+    marks = decisions.groupBy("doc_id", "sig").agg(F.count("*").alias("rows"), F.count_if(F.col(kept)).alias("stay"))
+    marks = marks.filter("stay < rows or rows > 1").select(F.col("doc_id").alias("m_id"), F.col("sig").alias("m_sig"), (F.col("stay") == 0).alias("m_gone"))
+    marks = written(marks, "marks", small=True)
+    keyed = docs.withColumn(sig, F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    joined = keyed.join(bounded(marks), keyed["doc_id"].cast("long").eqNullSafe(marks["m_id"]) & (keyed[sig] == marks["m_sig"]), "left")
+    joined = joined.select(*[keyed[c] for c in named], keyed[sig], marks["m_gone"].alias(gone))
+    out = joined.filter(F.col(gone).isNull()).select(*named)
+    if marks.filter("not m_gone").isEmpty():
+        return out
+    return out.union(joined.filter(~F.col(gone)).dropDuplicates(["doc_id", sig]).select(*named))

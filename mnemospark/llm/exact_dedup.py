@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, documents_of, raw_texts, small_batches, written
+from .common import WHITE, bounded, documents_of, raw_texts, small_batches, written
 
 PRIME = (1 << 31) - 1
 BASES = (1_103_515_245, 1_566_083_941)
@@ -59,12 +59,12 @@ class Polynomial:
         return whole
 
 
-FINGERPRINTS = "doc_id long, sig long, n_points long, n_bytes long, fp_a long, fp_b long, text_sha256 string"
+FINGERPRINTS = "doc_id long, sig long, row long, n_points long, n_bytes long, fp_a long, fp_b long, text_sha256 string"
 
 
 def fingerprints(docs: DataFrame, poly: Polynomial = Polynomial()) -> DataFrame:
-    """One row per document: code points of the text, bytes, fingerprints and SHA-256 of the
-    normalised text."""
+    """One row per document: a number of its own, code points of the text, bytes, fingerprints
+    and SHA-256 of the normalised text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = poly.powers()
@@ -80,11 +80,12 @@ def fingerprints(docs: DataFrame, poly: Polynomial = Polynomial()) -> DataFrame:
                 sha.append(hashlib.sha256(data).hexdigest())
             long = lambda x: pa.array(x, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), long(points), long(sizes), long(a), long(b), pa.array(sha, pa.string())],
-                names=["doc_id", "sig", "n_points", "n_bytes", "fp_a", "fp_b", "text_sha256"],
+                [batch.column(0), batch.column(2), batch.column(3), long(points), long(sizes), long(a), long(b), pa.array(sha, pa.string())],
+                names=["doc_id", "sig", "row", "n_points", "n_bytes", "fp_a", "fp_b", "text_sha256"],
             )
 
-    return documents_of(docs).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, FINGERPRINTS)
+    rows = documents_of(docs).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("row", F.monotonically_increasing_id())
+    return rows.mapInArrow(run, FINGERPRINTS)
 
 
 def _chunks(rows: DataFrame, chunk: int) -> DataFrame:
@@ -115,8 +116,10 @@ GROUP = ("fp_a", "fp_b", "n_bytes")
 def collisions(docs: DataFrame, prints: DataFrame, poly: Polynomial = Polynomial()) -> DataFrame:
     """Groups of equal fingerprints in which some text differs from the group's first one.
 
-    Only texts of groups with two or more rows travel on; each is compared chunk by chunk with
-    its group's leader.  A hot group is a skewed join side, which adaptive execution splits.
+    Only texts of groups with two or more rows are cut into chunks; each is compared chunk by
+    chunk with its group's leader.  While the names of those texts are few they are broadcast to
+    the scan, and only chunks are shuffled.  The leaders' chunks are written apart, so a hot
+    group is a skewed side between two exchanges, which adaptive execution splits.
     """
     many = (
         prints.groupBy(*GROUP)
@@ -124,13 +127,14 @@ def collisions(docs: DataFrame, prints: DataFrame, poly: Polynomial = Polynomial
         .filter("rows > 1 and n_bytes > 0")
         .select(*GROUP, F.col("lead.doc_id").alias("lead_id"), F.col("lead.sig").alias("lead_sig"))
     )
-    many = written(many, "many", small=True)  # apart from its join, whose hot keys can then be split
+    many = written(many, "many", small=True)
     members = prints.select("doc_id", "sig", *GROUP).join(many, list(GROUP)).withColumn("leads", F.col("doc_id").eqNullSafe(F.col("lead_id")) & (F.col("sig") == F.col("lead_sig")))
+    members = written(members.select(F.col("doc_id").alias("m_id"), F.col("sig").alias("m_sig"), *GROUP, "leads").distinct(), "members", small=True)
     texts = documents_of(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    members = members.select(F.col("doc_id").alias("m_id"), F.col("sig").alias("m_sig"), *GROUP, "leads").distinct().hint("shuffle_hash")
-    found = texts.join(members, texts.doc_id.eqNullSafe(members.m_id) & (texts.sig == members.m_sig))
+    found = texts.join(bounded(members), texts.doc_id.eqNullSafe(members.m_id) & (texts.sig == members.m_sig))
     chunks = written(_chunks(found, poly.chunk), "chunks")
     lead = chunks.filter("leads").select(*GROUP, "chunk_no", F.col("chunk").alias("lead_chunk")).dropDuplicates([*GROUP, "chunk_no"])
+    lead = written(lead, "leaders", small=True)
     pairs = chunks.filter("not leads").join(lead, [*GROUP, "chunk_no"], "left")
     return pairs.filter(~F.col("chunk").eqNullSafe(F.col("lead_chunk"))).select(*GROUP).distinct()
 
@@ -144,21 +148,18 @@ def exact_duplicates(docs: DataFrame, poly: Polynomial = Polynomial()) -> DataFr
     original text).
 
     Null and empty texts, and texts of white space only, form one group.  Rows that repeat a
-    ``doc_id`` count separately in ``group_size``; if the row that stays is itself repeated,
-    each of its repeats is marked kept.  An empty table gives an empty result.
+    ``doc_id`` count separately in ``group_size``.  Exactly one row of a group is marked kept,
+    also where rows repeat both id and text.  An empty table gives an empty result.
     """
     prints = written(fingerprints(docs, poly), "fingerprints")
-    bad = written(collisions(docs, prints, poly), "collisions", small=True).withColumn("split", F.lit(True))
-    rows = prints.join(bad, list(GROUP), "left").withColumn("part", F.when(F.col("split"), F.col("text_sha256")).otherwise(F.lit("")))
-    rows = written(rows.select("doc_id", "sig", "n_points", *GROUP, "part", "text_sha256"), "classes")
-    best = F.min(F.struct((-F.col("n_points")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id", "sig")).alias("best")
+    bad = written(collisions(docs, prints, poly), "collisions", files=1)
+    rows = prints
+    if bad.isEmpty():
+        rows = rows.withColumn("part", F.lit(""))
+    else:
+        split = bad.withColumn("split", F.lit(True))
+        rows = written(rows.join(split, list(GROUP), "left").withColumn("part", F.when(F.col("split"), F.col("text_sha256")).otherwise(F.lit(""))).drop("split"), "classes")
+    best = F.min(F.struct((-F.col("n_points")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
     groups = rows.groupBy(*GROUP, "part").agg(F.count("*").alias("group_size"), best)
     out = rows.join(written(groups, "groups", small=True), [*GROUP, "part"])
-    return out.select(
-        "doc_id",
-        F.col("best.doc_id").alias("keep_id"),
-        "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("sig") == F.col("best.sig"))).alias("kept"),
-        "text_sha256",
-        "sig",
-    )
+    return out.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256", "sig")
