@@ -1,13 +1,17 @@
 """Main text of web pages by tag-path ratios.
 
 Each text node of a page hangs on a path of tags from the root.  Per path the length of its
-text and its punctuation are summed and divided by the number of nodes: navigation has many
-nodes with little text, articles have few with much.  Both ratios are fused, smoothed along
-the page, averaged per path again, and paths over a threshold (the spread of the page's own
-values) are content paths.  If the innermost section that holds nearly all text of content paths
-is in an article, the content block is that article, else the innermost section that holds all
-such text; its nodes are the result, so a heading or a short last paragraph, whose own path has
-little text, stays with its article.
+text and its punctuation are aggregated over its nodes: navigation has many nodes of little,
+even text, articles have nodes of much and uneven text.  The mean length, the mean punctuation
+and the spread of the lengths are fused to one value per path, smoothed along the page, and
+averaged per path again; paths over a threshold, six tenths of what a character of the page
+has on average (four tenths is what a node without a value of its own has between two content
+nodes), are content paths.  Boilerplate that markup itself declares (a footer, a form, a
+sidebar, a class of advertisement) counts in the values but is never a content path.
+
+Content paths select the nodes: those on them, and those of the sections that hold them, so a
+heading or a last short paragraph, whose own path has little text, stays with its article, and
+a block beside it that has no content path goes.
 """
 
 from __future__ import annotations
@@ -36,8 +40,10 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 SAME_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th")}
 SCOPES = frozenset("table td th ul ol dl select article section div body html main aside nav footer header form".split())
-# what an article does not consist of: elements, and words in class, id or role
-OUTSIDE = frozenset("head title script style noscript nav footer aside form button select option textarea input iframe object svg math canvas template dialog menu noembed noframes xmp audio video search".split())
+# elements whose text is not part of the page that a reader sees, or belongs to a control
+UNSEEN = frozenset("head title script style noscript button select option textarea input iframe object svg math canvas template noembed noframes xmp audio video datalist".split())
+# elements that declare what is not the article, and words that do so in class, id or role
+BESIDE = frozenset("nav footer aside form dialog menu search".split())
 NOT_CONTENT = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs "
     "pagination pager footer sidebar aside widget related recommended share sharing social cookie cookies consent gdpr notice notices alert disclaimer popup modal "
@@ -46,48 +52,50 @@ NOT_CONTENT = frozenset(
 )
 #: Words in a class name that say what a block has or lacks, not what it is.
 ABOUT = frozenset("has with no without open closed".split())
-SECTIONS = frozenset("article main section div body html td center".split())
+SECTIONS = frozenset("article main section div body html center".split())
 ARTICLES = frozenset(("article", "main"))
 #: Elements nested deeper than this become siblings, as in browsers.
 DEEPEST = 512
 
 
 class Element:
-    __slots__ = ("tag", "parent", "outside", "path", "chars", "depth")
+    __slots__ = ("tag", "parent", "unseen", "beside", "path", "depth", "section", "holds")
 
-    def __init__(self, tag: str, parent: Element | None, outside: bool, path: str) -> None:
-        self.tag, self.parent, self.outside, self.path = tag, parent, outside, path
-        self.chars, self.depth = 0.0, parent.depth + 1 if parent else 0
+    def __init__(self, tag: str, parent: Element | None, unseen: bool, beside: bool, path: str) -> None:
+        self.tag, self.parent, self.unseen, self.beside, self.path = tag, parent, unseen, beside, path
+        self.depth = parent.depth + 1 if parent else 0
+        #: The innermost section around, itself included; whether it holds a node of a content path.
+        self.section, self.holds = self if parent is None or tag in SECTIONS else parent.section, False
 
 
-def _marks(attributes: str) -> tuple[str, bool, bool]:
-    """Class, id and role of a start tag for its path; whether they rule out content; whether
-    they name a header, which is part of an article only within one."""
-    names, outside, header = [], False, False
+def _marks(attributes: str) -> tuple[str, bool, bool, bool]:
+    """Class, id and role of a start tag for its path; whether it is hidden; whether the names
+    declare boilerplate; whether they name a header, which is part of an article only within one."""
+    names, hidden, beside, header = [], False, False, False
     for match in ATTRIBUTE.finditer(attributes):
         name, value = match[1].lower(), (match[2] or "").strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            outside = True
+            hidden = True
         elif name == "style":
-            outside |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
+            hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
         else:
             for one in value.split():
                 names.append(one)
                 parts = re.split(r"[^a-z]+", one)
                 if ABOUT.isdisjoint(parts):
-                    outside |= not NOT_CONTENT.isdisjoint(parts)
+                    beside |= not NOT_CONTENT.isdisjoint(parts)
                     header |= "header" in parts
-    return ".".join(names), outside, header
+    return ".".join(names), hidden, beside, header
 
 
 def nodes_of(page: str, trust_names: bool = True) -> list[tuple[Element, str, int]]:
     """Text nodes in page order: the element each is in, its text, and the number of its block.
-    ``trust_names``: class, id and role may rule an element out, unless it is an article."""
-    root = Element("", None, False, "")
+    ``trust_names``: class, id and role may declare an element boilerplate, unless it is an article."""
+    root = Element("", None, False, False, "")
     at, nodes, block, pos = root, [], 0, 0
 
     def text(upto: int) -> None:
-        if upto > pos and (piece := page[pos:upto]) and not at.outside:
+        if upto > pos and (piece := page[pos:upto]) and not at.unseen:
             nodes.append((at, html.unescape(piece) if "&" in piece else piece, block))
 
     def close(tags: tuple[str, ...], scoped: bool) -> Element:
@@ -121,15 +129,14 @@ def nodes_of(page: str, trust_names: bool = True) -> list[tuple[Element, str, in
                     end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, pos)
                     pos = end.end() if end else len(page)
                 elif tag not in VOID and not (match[3] or "").endswith("/"):
-                    names, outside, header = _marks(match[3]) if match[3] and tag not in ("html", "body") else ("", False, False)
-                    outside &= trust_names and tag not in ARTICLES
-                    header = (tag == "header" or header and trust_names and tag not in ARTICLES) and not any(x.tag in ARTICLES for x in _ancestors(at))
-                    if tag in INLINE and tag != "a" and not outside:
-                        outside_now, path = at.outside, at.path  # inline marks are not part of a path
-                    else:
-                        outside_now = at.outside or outside or header or tag in OUTSIDE
-                        path = f"{at.path}/{tag}{'.' + names if names else ''}" if at.depth < 64 else at.path
-                    at = Element(tag, at if at.depth < DEEPEST else at.parent, outside_now, path)
+                    names, hidden, named, header = _marks(match[3]) if match[3] and tag not in ("html", "body") else ("", False, False, False)
+                    within = any(x.tag in ARTICLES for x in _ancestors(at)) if tag == "header" or header else False
+                    named = trust_names and tag not in ARTICLES and (named or header and not within)
+                    beside = at.beside or named or tag in BESIDE or tag == "header" and not within
+                    path = at.path
+                    if (tag not in INLINE or tag == "a" or named) and at.depth < 64:  # inline marks are not part of a path
+                        path = f"{at.path}/{tag}{'.' + names if names else ''}"
+                    at = Element(tag, at if at.depth < DEEPEST else at.parent, at.unseen or hidden or tag in UNSEEN, beside, path)
         match = TOKEN.search(page, pos)
     cut = page.rfind("<", pos)
     text(cut if cut >= 0 and UNFINISHED.match(page, cut) else len(page))
@@ -142,51 +149,77 @@ def _ancestors(x: Element | None) -> Iterator[Element]:
         x = x.parent
 
 
-def main_text(page: str, smooth: tuple[float, ...] = (0.25, 0.5, 0.25), share: float = 0.75) -> str:
+def path_values(paths: list[str], texts: list[str], beside: list[bool], smooth: tuple[float, ...] = (0.2, 0.6, 0.2)) -> tuple[dict[str, float], float]:
+    """The value of each path, and the threshold of the page.
+
+    ``paths``, ``texts``, ``beside`` (declared boilerplate): the nodes in page order.  Lengths are
+    counted without white space.  Declared boilerplate has its part in smoothing and in the
+    threshold, but the value of its paths is fused to zero.
+    """
+    names, of = np.unique(paths, return_inverse=True)
+    chars = np.array([len("".join(t.split())) for t in texts], float)
+    marks = np.array([len(PUNCTUATION.findall(t)) for t in texts], float)
+    nodes = np.bincount(of)
+    mean = np.bincount(of, weights=chars) / nodes
+    spread = np.sqrt(np.bincount(of, weights=(chars - mean[of]) ** 2) / nodes)
+    fused = np.sqrt(mean * (1 + np.bincount(of, weights=marks) / nodes) * (1 + spread))[of]
+    smoothed = np.convolve(np.pad(fused, len(smooth) // 2, mode="edge"), smooth, mode="valid")
+    values = np.bincount(of, weights=smoothed) / nodes
+    threshold = 0.6 * float((values[of] * chars).sum() / chars.sum())
+    values[np.bincount(of, weights=np.array(beside, float)) > 0] = 0
+    return dict(zip(names.tolist(), values.tolist(), strict=True)), threshold
+
+
+def main_text(page: str) -> str:
     """The article of a page as one line of text; empty if there is none.
 
     Where names leave no text at all, they are not trusted: the page may call its whole body a
     sidebar.
     """
-    return _content(nodes_of(page), smooth, share) or _content(nodes_of(page, False), smooth, share)
+    return _content(nodes_of(page)) or _content(nodes_of(page, False))
 
 
-def _content(found: list[tuple[Element, str, int]], smooth: tuple[float, ...], share: float) -> str:
-    solid = [k for k, (_, t, _) in enumerate(found) if not t.isspace()]
-    if not solid:
+def _content(found: list[tuple[Element, str, int]]) -> str:
+    solid = [(x, t) for x, t, _ in found if not t.isspace()]
+    if all(x.beside for x, _ in solid):
         return ""
-    paths, of = np.unique([found[k][0].path for k in solid], return_inverse=True)
-    chars = np.array([len("".join(found[k][1].split())) for k in solid], float)
-    marks = np.array([len(PUNCTUATION.findall(found[k][1])) for k in solid], float)
-    nodes = np.bincount(of)
-    text_ratio, mark_ratio = np.bincount(of, weights=chars) / nodes, np.bincount(of, weights=marks) / nodes
-    fused = np.sqrt(text_ratio * (1 + mark_ratio))[of]
-    smoothed = np.convolve(np.pad(fused, len(smooth) // 2, mode="edge"), smooth, mode="valid")
-    by_path = np.bincount(of, weights=smoothed) / nodes
-    content = by_path >= smoothed.std()
-    total = 0.0
-    for k, n, p in zip(solid, chars, of, strict=True):
-        if content[p]:
-            total += n
-            for x in _ancestors(found[k][0]):
-                x.chars += n
-    holders = {id(x): x for k in solid for x in _ancestors(found[k][0]) if x.chars >= share * total and (x.tag in SECTIONS or x.parent is None)}
-    main = max(holders.values(), key=lambda x: x.depth)
-    best = max((x for x in holders.values() if x.chars >= total), key=lambda x: x.depth)
-    for x in _ancestors(main):
-        if x.tag in ARTICLES:
-            best = x
-            break
+    values, threshold = path_values([x.path for x, _ in solid], [t for _, t in solid], [x.beside for x, _ in solid])
+    content = {p for p, v in values.items() if v >= threshold} or {max(sorted(values), key=values.get)}
+    chosen = [x for x, _ in solid if x.path in content]
+    common = chosen[0].section  # the innermost section that holds all of them
+    for x in chosen:
+        for y in _ancestors(x):
+            if y.holds:
+                break
+            y.holds = True
+        common = _common(common, x.section)
+    inside = set()
     parts, last = [], None
     for x, t, b in found:
-        if any(y is best for y in _ancestors(x)):
-            if last is not None and b != last:
-                parts.append(" ")
-            parts.append(t)
-            last = b
+        if x.beside and x.path not in content:
+            continue
+        section = x.section
+        if id(section) not in inside:
+            if not (section.holds and any(y is common for y in _ancestors(section))):
+                continue
+            inside.add(id(section))
+        if last is not None and b != last:
+            parts.append(" ")
+        parts.append(t)
+        last = b
     return " ".join("".join(parts).split())
 
 
+def _common(x: Element, y: Element) -> Element:
+    """The innermost section that holds both sections."""
+    while x is not y:
+        if x.depth >= y.depth:
+            x = x.parent.section
+        else:
+            y = y.parent.section
+    return x
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` (code points) of every page.
 

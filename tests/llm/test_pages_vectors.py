@@ -1,8 +1,10 @@
 """HTML extraction and top-k search against plain versions."""
 
 import html
+import random
 import re
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -46,6 +48,96 @@ def test_blocks_beside_the_largest_one(content):
     assert html_extract.main_text(page) == " ".join(["A title", *texts])
 
 
+def test_boxes_without_names_go_by_their_ratios():
+    """No article, no class, no element that declares anything: only ratios tell."""
+    texts = [f"Sentence {k} of the page, with commas, and with words that go on for {'long ' * (k % 7 + 1)}enough." for k in range(9)]
+    menu = "<div>" + "".join(f"<span><a href=/{k}>Menu {k}</a></span> " for k in range(9)) + "</div>"
+    body = "<div><h2>A title</h2>" + "".join(f"<p>{t}</p>" for t in texts[:5]) + "<p>Hm.</p><div>Buy it now</div>" + "".join(f"<p>{t}</p>" for t in texts[5:]) + "</div>"
+    page = f"<html><body>{menu}<div>Advert of the day</div>{body}<div>imprint</div></body></html>"
+    want = " ".join(["A title", *texts[:5], "Hm.", *texts[5:]])
+    assert html_extract.main_text(page) == want
+    # names that speak of a sidebar without being one, or that mislead altogether
+    assert html_extract.main_text(page.replace("<div><h2>", "<div class='content no-sidebar'><h2>")) == want
+    assert html_extract.main_text(page.replace("<body>", "<body class='sidebar menu'>")) == want
+
+
+def test_ratios_decide(spark, sf_dir, monkeypatch):
+    """Without the word list nearly all pages stay the same, without the ratios none does."""
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir.replace('0.001', '0.1')}/pages.parquet").collect()]
+    want = [html_extract.main_text(p) for p in pages]
+    with monkeypatch.context() as m:
+        m.setattr(html_extract, "path_values", lambda paths, texts, beside: (dict.fromkeys(paths, 1.0), 0.0))
+        assert not any(html_extract.main_text(p) == w for p, w in zip(pages, want, strict=True))
+    monkeypatch.setattr(html_extract, "NOT_CONTENT", frozenset())
+    assert sum(html_extract.main_text(p) == w for p, w in zip(pages, want, strict=True)) >= 0.95 * len(pages)
+
+
+class Nodes(HTMLParser):
+    """Text nodes of well-formed pages by the standard library: path, section ids and text."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.open, self.nodes, self.count = [("", "", 0)], [], 0
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.count += 1
+        self.open.append((tag, tag + "".join("." + v for _, v in attrs if _ == "class"), self.count))
+
+    def handle_endtag(self, tag):
+        assert self.open.pop()[0] == tag
+
+    def handle_data(self, data):
+        if data.strip():
+            sections = [k for t, _, k in self.open if t in ("", "html", "body", "div", "section")]
+            self.nodes.append(("/".join(n for _, n, _ in self.open), sections, any("ad" == n.rpartition(".")[2] for _, n, _ in self.open), data))
+
+
+def plain_main_text(page):
+    nodes = Nodes(page).nodes
+    if all(beside for _, _, beside, _ in nodes):
+        return None
+    by = {p: [t for q, _, _, t in nodes if q == p] for p, _, _, _ in nodes}
+    size = lambda t: len(re.sub(r"\s", "", t))
+    mean = lambda x: sum(x) / len(x)
+    fused = {}
+    for path, texts in by.items():
+        sizes = [size(t) for t in texts]
+        spread = mean([(n - mean(sizes)) ** 2 for n in sizes]) ** 0.5
+        fused[path] = (mean(sizes) * (1 + mean([len(re.findall("[.,;:!?]", t)) for t in texts])) * (1 + spread)) ** 0.5
+    line = [fused[p] for p, _, _, _ in nodes]
+    padded = [line[0], *line, line[-1]]
+    smoothed = [0.2 * padded[k] + 0.6 * padded[k + 1] + 0.2 * padded[k + 2] for k in range(len(line))]
+    value = {p: mean([v for v, (q, _, _, _) in zip(smoothed, nodes, strict=True) if q == p]) for p in by}
+    threshold = 0.6 * sum(value[p] * size(t) for p, _, _, t in nodes) / sum(size(t) for _, _, _, t in nodes)
+    value |= {p: 0 for p, _, beside, _ in nodes if beside}
+    content = {p for p in by if value[p] >= threshold} or {max(sorted(by), key=value.get)}
+    holding = [set(s) for p, s, _, _ in nodes if p in content]
+    inside = set.union(*holding) - set.intersection(*holding) | {max(set.intersection(*holding))}
+    return " ".join(" ".join(t for p, s, beside, t in nodes if s[-1] in inside and (p in content or not beside)).split())
+
+
+def test_equals_plain_ratios():
+    r, other = random.Random(4), 0
+    for _ in range(400):
+        def block(depth):
+            kind = r.choice(["div", "section", "p", "h2", "ul", "div class=ad", "div"] if depth < 4 else ["p", "h2", "ul"])
+            words = lambda n: " ".join(r.choice(["one", "two,", "longer", "word.", "x"]) for _ in range(n))
+            if kind in ("p", "h2"):
+                return f"<{kind}>{words(r.choice([2, 5, 30, 60]))}</{kind}>"
+            if kind == "ul":
+                return "<ul>" + "".join(f"<li>{words(2)}</li>" for _ in range(r.randint(1, 5))) + "</ul>"
+            inner = words(r.choice([0, 0, 3, 20])) + "".join(block(depth + 1) for _ in range(r.randint(0, 4)))
+            return f"<{kind}>{inner}</{kind.split()[0]}>"
+
+        page = "<html><body>" + "".join(block(0) for _ in range(r.randint(1, 5))) + "</body></html>"
+        if Nodes(page).nodes and (want := plain_main_text(page)) is not None:
+            assert html_extract.main_text(page) == want, page
+            other += want != " ".join(" ".join(t for *_, t in Nodes(page).nodes).split())
+    assert other >= 100
+
+
 def test_deep_and_long_pages():
     deep = "<div>" * 5000 + "<p>core of it, at last.</p>" + "</div>" * 5000
     assert html_extract.main_text(deep) == "core of it, at last."
