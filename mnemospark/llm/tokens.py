@@ -17,13 +17,18 @@ from .common import documents_of, raw_texts, small_batches
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
-@lru_cache(maxsize=2)
-def encoder(vocabulary: str = VOCABULARY):
+#: Special tokens of a rank file, which has none of its own: string and id.
+SPECIAL = {"byte_bpe_50k.tiktoken": {"<|endoftext|>": 50256}}
+
+
+@lru_cache(maxsize=4)
+def encoder(vocabulary: str = VOCABULARY, special_as_text: bool = False):
     """Function from text to ids, loaded once per worker process.
 
     A ``.tiktoken`` rank file is read by tiktoken, a ``.json`` file by tokenizers; for
-    ``byte_bpe_50k`` both give the same ids (tests compare them) and tiktoken is faster.
-    Strings of special tokens within a text are ordinary text.
+    ``byte_bpe_50k`` both give the same ids (tests compare them) and tiktoken is faster.  The
+    string of a special token within a text gives that token, as tokenizers does without
+    settings; with ``special_as_text`` it is ordinary text.
     """
     import public_tokenizers
 
@@ -32,7 +37,7 @@ def encoder(vocabulary: str = VOCABULARY):
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(path)
-        model.encode_special_tokens = True
+        model.encode_special_tokens = special_as_text
         return lambda text: model.encode(text, add_special_tokens=False).ids
     import base64
 
@@ -40,8 +45,12 @@ def encoder(vocabulary: str = VOCABULARY):
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    model = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return model.encode_ordinary
+    special = SPECIAL.get(os.path.basename(path), {})
+    model = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    if special_as_text or not special:
+        return model.encode_ordinary
+    marks = tuple(special)
+    return lambda text: model.encode(text, allowed_special="all") if any(m in text for m in marks) else model.encode_ordinary(text)
 
 
 def lengths(docs: DataFrame, vocabulary: str = VOCABULARY, end_tokens: int = 1) -> DataFrame:

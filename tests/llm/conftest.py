@@ -25,7 +25,7 @@ def make_rows(seed=1):
     out += [(160 + k, text(20) + "\n  " + line.upper() + " \n" + text(3)) for k in range(7)]
     near = text(150).split()
     out += [(180 + k, " ".join([*near[:k], "zz", *near[k + 1 :]])) for k in (3, 60, 149)]
-    out += [(200, None), (201, ""), (202, " \t\r\n\x0b\x0c"), (203, "a"), (204, "ÀÉ ñ 日本 🙂"), (205, text(9000)), (206, passage + " " + passage)]
+    out += [(200, None), (201, ""), (202, " \t\r\n\x0b\x0c"), (203, "a"), (204, "ÀÉ ñ 日本 🙂"), (205, text(9000)), (207, "x <|endoftext|> y"), (208, "<|endoftext|>" * 3), (206, passage + " " + passage)]
     out += [(210, base[9]), (210, base[9]), (211, text(60)), (211, text(61)), (None, text(70)), (None, None), (None, base[2])]
     rows = [(i, t, r.choice(["en", None]), r.choice(["s1", "s1", "s1", "s2", "s3", None]), 0 if t is None else len(t), "x", 1, "y") for i, t in out]
     r.shuffle(rows)
