@@ -10,25 +10,43 @@ way, which undoes the overfitting that made it so.
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, raw_texts, small_batches, written
+from .common import bounded, documents_of, raw_texts, small_batches, written
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: What stands between words: anything but letters.
+BETWEEN = r"[^\pL]+"
 
 
-def words_of(raw: bytes) -> set[str]:
-    """Distinct runs of letters, lower-cased."""
-    return set(LETTERS.findall(raw.decode("utf-8", "replace").lower()))
+def _valid(texts: pa.Array) -> pa.Array:
+    """Texts with bytes that are no UTF-8 replaced; null as empty."""
+    try:
+        texts = texts.fill_null("")
+        texts.validate(full=True)
+        return texts
+    except pa.ArrowInvalid:
+        return pa.array([raw.decode("utf-8", "replace") for raw in raw_texts(texts)], pa.string())
+
+
+def distinct_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The distinct words of each text: text numbers, word numbers, and the words.  A word is a
+    run of letters, lower-cased."""
+    lists = pc.split_pattern_regex(pc.utf8_lower(_valid(texts)), pattern=BETWEEN)
+    flat = lists.flatten().dictionary_encode()
+    words = flat.dictionary.to_pylist()
+    row = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())
+    pairs = np.unique(row * max(len(words), 1) + flat.indices.to_numpy())
+    row, word = np.divmod(pairs, max(len(words), 1))
+    some = word != (words.index("") if "" in words else -1)
+    return row[some], word[some], words
 
 
 def features_of(word: str) -> list[int]:
@@ -37,9 +55,31 @@ def features_of(word: str) -> list[int]:
     return [xxhash.xxh32_intdigest(part) >> 1 for part in parts]
 
 
+class Features:
+    """Features of the texts of a batch; those of words are remembered up to a bound."""
+
+    def __init__(self, remember: int = 200_000) -> None:
+        self.known: dict[str, np.ndarray] = {}
+        self.remember = remember
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text numbers, features and in how many distinct words of the text each is; distinct
+        words of every text."""
+        row, word, words = distinct_words(texts)
+        if len(self.known) > self.remember:
+            self.known.clear()
+        each = [self.known[w] if w in self.known else self.known.setdefault(w, np.array(features_of(w), np.int64)) for w in words]
+        sizes = np.array([len(x) for x in each], np.int64)
+        flat, starts = (np.concatenate(each), np.cumsum(sizes) - sizes) if words else (np.zeros(0, np.int64), sizes)
+        n = sizes[word]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        both, counts = np.unique((np.repeat(row, n) << 31) | flat[np.repeat(starts[word], n) + inner], return_counts=True)
+        return both >> 31, both & ((1 << 31) - 1), counts, np.bincount(row, minlength=len(texts))
+
+
 @dataclass(frozen=True)
 class Fit:
-    """Bounds of the sample that the classifier is fitted on, and its settings."""
+    """Bounds of the sample that gradient steps use, and settings."""
 
     most_positive: int = 2000
     most_unlabelled: int = 6000
@@ -57,25 +97,27 @@ class Model:
     size_weight: float
     bias: float
 
-    def scorer(self, remember: int = 300_000):
-        """Score of a text, with the weights of words remembered up to a bound."""
+    def scorer(self, remember: int = 200_000):
+        """Scores of a batch of texts, with the weights of words remembered up to a bound."""
         known: dict[str, float] = {}
 
-        def weight(word: str) -> float:
-            found = known.get(word)
-            if found is None:
-                if len(known) >= remember:
-                    known.clear()
-                found = known[word] = sum(self.weights.get(f, 0.0) for f in features_of(word))
-            return found
-
-        def score(raw: bytes) -> float:
-            words = words_of(raw)
-            root = math.sqrt(len(words))
-            margin = self.bias + (math.fsum(map(weight, words)) / root + self.size_weight * root if words else 0.0)
-            return 1 / (1 + math.exp(-max(-40.0, min(40.0, margin))))
-
-        return score
+        def scores(texts: pa.Array) -> np.ndarray:
+            row, word, words = distinct_words(texts)
+            if len(known) > remember:
+                known.clear()
+            for w in words:
+                if w not in known:
+                    known[w] = math.fsum(self.weights.get(f, 0.0) for f in features_of(w))
+            weight = np.array([known[w] for w in words], np.float64)
+            root = np.sqrt(np.bincount(row, minlength=len(texts)))
+            # sums in the order of words, so that a text's score does not depend on its batch
+            rank = np.empty(len(words), np.int64)
+            rank[np.argsort(np.array(words, object), kind="stable")] = np.arange(len(words))
+            order = np.lexsort((rank[word], row)) if len(words) else np.zeros(0, np.int64)
+            sums = np.bincount(row[order], weights=weight[word[order]], minlength=len(texts))
+            return _sigmoid(self.bias + sums / np.maximum(root, 1) + self.size_weight * root)
+
+        return scores
 
 
 def learnable(doc_id: Column) -> Column:
@@ -83,58 +125,72 @@ def learnable(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2, F.lit(True))
 
 
-def _sample(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Feature counts of the sampled documents: ``kind``, ``doc_id``, ``words``, ids, counts."""
+def feature_counts(docs: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """``f``, ``p``, ``u``: in how many confirmed toxic documents, and in how many of all that may
+    be learned from, a feature is; the feature -1 has the numbers of documents.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[int]] = {}
-        for batch in small_batches(batches, "text"):
-            sizes, keys, counts = [], [], []
-            for raw in raw_texts(batch.column(2)):
-                words = words_of(raw)
-                found: Counter = Counter()
-                for word in words:
-                    if word not in known:
-                        if len(known) > 300_000:
-                            known.clear()
-                        known[word] = features_of(word)
-                    found.update(known[word])
-                sizes.append(len(words))
-                keys.append(sorted(found))
-                counts.append([found[k] for k in keys[-1]])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))],
-                names=["kind", "doc_id", "words", "features", "counts"],
-            )
+    One pass over all texts that may be learned from; a task sums over its batches before
+    anything is shuffled.
+    """
 
-    texts = documents_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = texts.join(F.broadcast(ids), "doc_id").select("kind", "doc_id", "text")  # as many ids as the sample's bound
-    return joined.mapInArrow(run, "kind string, doc_id long, words int, features array<int>, counts array<int>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, held, size = Features(), [], 0
 
+        def summed() -> pa.RecordBatch:
+            f, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+            p, u = (np.bincount(at, weights=np.concatenate([x[k] for x in held])).astype(np.int64) for k in (1, 2))
+            held[:] = [(f, p, u)]
+            return pa.RecordBatch.from_arrays([pa.array(f), pa.array(p), pa.array(u)], names=["f", "p", "u"])
 
-def _vocabulary(sample: DataFrame, fit: Fit) -> np.ndarray:
+        for batch in small_batches(batches, "text"):
+            toxic = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            row, feature, _, _ = features.of(batch.column(1))
+            f, at = np.unique(feature, return_inverse=True)
+            held.append((np.append(f, -1), np.append(np.bincount(at, weights=toxic[row], minlength=len(f)), toxic.sum()), np.append(np.bincount(at, minlength=len(f)), len(toxic))))
+            size += len(f)
+            if size > 2_000_000:
+                out = summed()
+                size = out.num_rows
+                if size > 1_000_000:
+                    yield out
+                    held.clear()
+                    size = 0
+        if held:
+            yield summed()
+
+    texts = documents_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull() & learnable(F.col("doc_id")))
+    marked = texts.join(bounded(confirmed.select(F.col("doc_id").alias("c_id"))), F.col("doc_id") == F.col("c_id"), "left").select(F.col("c_id").isNotNull().alias("toxic"), "text")
+    return marked.mapInArrow(run, "f long, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+
+
+def _vocabulary(counts: DataFrame, fit: Fit) -> np.ndarray:
     """The features whose document rates differ most between positive and unlabelled rows."""
-    n_p, n_u = sample.agg(F.count_if(F.col("kind") == "p"), F.count_if(F.col("kind") == "u")).first()
-    counts = sample.select("kind", F.explode("features").alias("f")).groupBy("f").agg(F.count_if(F.col("kind") == "p").alias("p"), F.count_if(F.col("kind") == "u").alias("u"))
-    p, u = (F.col("p") + 0.5) / (n_p + 1), (F.col("u") + 0.5) / (n_u + 1)
-    ranked = counts.filter(F.col("p") >= fit.least_documents).select("f", (F.abs(p - u) / F.sqrt(u * (1 - u))).alias("contrast"))
+    totals = counts.filter("f = -1").first()
+    if totals is None:
+        return np.zeros(0, np.int64)
+    p, u = (F.col("p") + 0.5) / (totals.p + 1), (F.col("u") + 0.5) / (totals.u + 1)
+    ranked = counts.filter((F.col("f") >= 0) & (F.col("p") >= fit.least_documents)).select("f", (F.abs(p - u) / F.sqrt(u * (1 - u))).alias("contrast"))
     best = ranked.orderBy(F.col("contrast").desc(), "f").limit(fit.most_features).select("f").toArrow()
     return np.sort(best.column("f").to_numpy())
 
 
-def _reduced(sample: DataFrame, vocabulary: np.ndarray) -> pa.Table:
-    """The sampled rows on the driver, with the vocabulary's features only."""
+def _sample(docs: DataFrame, ids: DataFrame, vocabulary: np.ndarray) -> pa.Table:
+    """The sampled documents on the driver: ``kind``, ``doc_id``, ``words`` (distinct ones), and
+    the features of the vocabulary with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            features, counts = batch.column(3), batch.column(4)
-            keep = np.isin(features.flatten().to_numpy(), vocabulary)
-            ends = np.concatenate(([0], np.cumsum(keep)))[np.concatenate(([0], np.cumsum(features.value_lengths().to_numpy())))]
-            offsets = pa.array(ends.astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, x.flatten().filter(pa.array(keep))) for x in (features, counts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], names=batch.schema.names)
+        features = Features()
+        for batch in small_batches(batches, "text"):
+            row, feature, count, words = features.of(batch.column(2))
+            keep = np.isin(feature, vocabulary)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row[keep], minlength=batch.num_rows)))).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x[keep].astype(np.int32))) for x in (feature, count)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words.astype(np.int32)), *lists], names=["kind", "doc_id", "words", "features", "counts"])
 
-    return sample.mapInArrow(run, sample.schema).toArrow().sort_by([("kind", "ascending"), ("doc_id", "ascending"), ("words", "ascending")])
+    texts = documents_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    joined = texts.join(F.broadcast(ids), "doc_id").select("kind", "doc_id", "text")  # as many ids as the sample's bound
+    found = joined.mapInArrow(run, "kind string, doc_id long, words int, features array<int>, counts array<int>").toArrow()
+    return found.sort_by([("kind", "ascending"), ("doc_id", "ascending"), ("words", "ascending")])
 
 
 class _Rows:
@@ -166,6 +222,23 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def risk(p: _Rows, u: _Rows, w: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the positive-unlabelled risk of the logistic loss at weights ``w``: that
+    of positives, and the estimate of that of negatives, ``R_u(-) - prior * R_p(-)``."""
+    a, b = p.margins(w), u.margins(w)
+    return prior * _softplus(-a).mean(), _softplus(b).mean() - prior * _softplus(a).mean()
+
+
+def step_of(p: _Rows, u: _Rows, w: np.ndarray, prior: float) -> np.ndarray:
+    """The direction to leave ``w``: the gradient of both parts of the risk, or, where the
+    negative part is below zero, minus the gradient of that part."""
+    a, b, size = p.margins(w), u.margins(w), len(w)
+    of_negative = u.gradient(_sigmoid(b) / u.n, size) - p.gradient(prior * _sigmoid(a) / p.n, size)
+    if risk(p, u, w, prior)[1] < 0:
+        return -of_negative
+    return p.gradient(-prior * _sigmoid(-a) / p.n, size) + of_negative
+
+
 def train(positive: pa.Table, unlabelled: pa.Table, vocabulary: np.ndarray, prior: float, fit: Fit = Fit()) -> Model:
     """Minimise the non-negative positive-unlabelled risk of the logistic loss with Adam.
 
@@ -180,10 +253,7 @@ def train(positive: pa.Table, unlabelled: pa.Table, vocabulary: np.ndarray, prio
     w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
     w[-1] = constant.bias
     for step in range(1, fit.steps + 1):
-        a, b = p.margins(w), u.margins(w)
-        negative = _softplus(b).mean() - prior * _softplus(a).mean()
-        of_negative = u.gradient(_sigmoid(b) / u.n, size) - p.gradient(prior * _sigmoid(a) / p.n, size)
-        g = p.gradient(-prior * _sigmoid(-a) / p.n, size) + of_negative if negative >= 0 else -of_negative
+        g = step_of(p, u, w, prior)
         g[:-1] += fit.decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - fit.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -191,11 +261,12 @@ def train(positive: pa.Table, unlabelled: pa.Table, vocabulary: np.ndarray, prio
 
 
 def fitted(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
-    """Fit on a bounded seeded sample of rows whose labels may be learned from.
+    """Fit on rows whose labels may be learned from.
 
-    Positives are at most ``most_positive`` documents confirmed toxic, unlabelled text is at
-    most ``most_unlabelled`` documents whatever their label; the class prior is the share of
-    toxic among all labels that may be learned.
+    The vocabulary comes from the rates of features in all confirmed toxic documents and in all
+    texts; the class prior is the share of toxic among all labels.  Only gradient steps use a
+    bounded seeded sample: at most ``most_positive`` documents confirmed toxic and at most
+    ``most_unlabelled`` documents whatever their label.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).filter(learnable(F.col("doc_id")))
     prior = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
@@ -204,9 +275,9 @@ def fitted(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
     confirmed = known.filter("toxic = 1").select("doc_id").distinct().join(texts.distinct(), "doc_id", "left_semi")
     positive = confirmed.orderBy(*order).limit(fit.most_positive).withColumn("kind", F.lit("p"))
     unlabelled = texts.distinct().orderBy(*order).limit(fit.most_unlabelled).withColumn("kind", F.lit("u"))
-    sample = written(_sample(docs, positive.union(unlabelled)), "sample")
-    vocabulary = _vocabulary(sample, fit)
-    rows = _reduced(sample, vocabulary)
+    counts = written(feature_counts(docs, written(confirmed, "confirmed", small=True)), "features", small=True)
+    vocabulary = _vocabulary(counts, fit)
+    rows = _sample(docs, positive.union(unlabelled), vocabulary)
     kind = rows.column("kind").to_numpy(zero_copy_only=False) == "p"
     return train(rows.filter(pa.array(kind)), rows.filter(pa.array(~kind)), vocabulary, prior or 0.0, fit)
 
@@ -217,8 +288,8 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
         for batch in small_batches(batches, "text"):
-            found = [score(raw) for raw in raw_texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.float64()), pa.array([int(x >= threshold) for x in found], pa.int32())], names=["doc_id", "sig", "score", "predicted"])
+            found = score(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found), pa.array((found >= threshold).astype(np.int32))], names=["doc_id", "sig", "score", "predicted"])
 
     return documents_of(docs).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, sig long, score double, predicted int")
 
@@ -237,9 +308,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit: Fi
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit: Fit = Fit()) -> DataFrame:
-    """The documents scored below ``threshold``, with all their columns.
+    """The documents scored below ``threshold``, with all their columns, whatever their names.
 
-    Rows pass through the scoring as they are, so nothing is joined or shuffled.
+    Rows pass through the scoring as they are, so nothing is joined or shuffled; null and empty
+    texts get the score of a text without words, repeated rows go or stay together, and an
+    empty table gives no rows.
     """
     model = fitted(docs, labels, fit)
     at = docs.columns.index("text")
@@ -248,6 +321,6 @@ def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit: Fit =
         score = model.scorer()
         for batch in batches:
             for part in small_batches([batch], "text"):
-                yield part.filter(pa.array([score(raw) < threshold for raw in raw_texts(part.column(at))], pa.bool_()))
+                yield part.filter(pa.array(score(part.column(at).cast(pa.string())) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
