@@ -129,8 +129,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bucket: int = 16) -> Data
     prints = written(fingerprints(docs, shingle), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig")).alias("least")), "distinct")
     nodes = components(links(distinct.select("fp"), bucket))
-    rooted = distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("lead"))
+    rooted = written(distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted", small=True)
+    names = written(rooted.groupBy("root").agg(F.min("least").alias("lead")), "names", small=True)  # apart from its join: a giant component can then be split
     named = rooted.select("fp", "root").join(names, "root").select("fp", "lead")
     leads = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("sig") == F.col("lead.sig"))
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("lead.doc_id").alias("component_id"), "sig", leads.alias("leads"))
