@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, raw_texts, small_batches, written
+from .common import bounded, documents_of, raw_texts, small_batches, written
 from ..operators.components import components
 from .simhash_dedup import links, shingle_hashes, simhash_of
 
@@ -133,7 +133,7 @@ def candidates(index: DataFrame, bucket: int = 16, most_bits: int = 20) -> tuple
     leaders = crowded.groupBy("seg", "value").agg(first(1).alias("l1"), first(2).alias("l2"))
     leaders = written(leaders.select("seg", "value", F.explode(F.array("l1", "l2")).alias("l")), "leaders", small=True)
     led = crowded.join(leaders, ["seg", "value"]).filter((F.col("node") != F.col("l.node")) & near(F.col("fp"), F.col("l.fp")))
-    return ordinary.union(led.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b"))).distinct(), crowded
+    return ordinary.union(led.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b"))), crowded
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -220,24 +220,50 @@ def crowded_links(crowded: DataFrame, sets: DataFrame, roots: DataFrame, similar
     return rows.join(sets, "node").groupBy("seg", "value", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
+def _two_bit_pairs(nodes: DataFrame, bucket: int) -> DataFrame:
+    """Pairs of nodes whose 64-bit fingerprints of three-word shingles are two bits apart at most,
+    by multi-index hashing; one node stands for each fingerprint."""
+    first = written(nodes.groupBy("fp3").agg(F.min("node").alias("low")), "first", small=True)
+    near = links(first.select(F.col("fp3").alias("fp")), bucket)
+    of = lambda end, name: first.select(F.col("fp3").alias(end), F.col("low").alias(name))
+    near = near.join(of("a", "na"), "a").join(of("b", "nb"), "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
+    same = nodes.select("fp3", "node").join(first, "fp3").filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    return near.union(same)
+
+
 def similar_links(docs: DataFrame, rows: DataFrame, layout: Layout, similarity: float, shingle: int, bucket: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Links ``a``, ``b`` between nodes whose texts are at least ``similarity`` alike, without
     those of crowded buckets that no leader has; rows of crowded buckets; shingles of nodes."""
-    nodes = written(rows.groupBy("node").agg(F.first("own").alias("fp"), F.first("wide").alias("wide"), F.min(F.struct("doc_id", "sig")).alias("one")), "nodes")
+    nodes = written(rows.groupBy("node").agg(F.first("own").alias("fp"), F.first("wide").alias("wide"), F.first("fp").alias("fp3"), F.min(F.struct("doc_id", "sig")).alias("one")), "nodes")
     pairs, crowded = candidates(index_rows(nodes, layout), bucket)
-    pairs = written(pairs, "pairs")
+    pairs = written(pairs.union(_two_bit_pairs(nodes, bucket)).distinct(), "pairs")
     met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowded.select("node")).distinct()
     one = nodes.join(met, "node").select("node", F.col("one.doc_id").alias("o_id"), F.col("one.sig").alias("o_sig"))
+    one = written(one, "one", small=True)
     texts = documents_of(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    found = texts.join(one.hint("shuffle_hash"), texts.doc_id.eqNullSafe(one.o_id) & (texts.sig == one.o_sig))
+    found = texts.join(bounded(one), texts.doc_id.eqNullSafe(one.o_id) & (texts.sig == one.o_sig))
     sets = written(shingle_sets(found, shingle).dropDuplicates(["node"]), "shingles")
     both = pairs.join(sets.withColumnRenamed("node", "a"), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
     return _jaccard(both, similarity), crowded, sets
 
 
+def _lifted(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links between nodes as links between the components they are in."""
+    out = links
+    for end in ("a", "b"):
+        of = roots.select(F.col("node").alias(end), F.col("root").alias("to"))
+        out = out.join(of, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    return out.select("a", "b")
+
+
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bucket: int = 16) -> DataFrame:
-    """Groups of near copies: texts linked by a similarity of at least ``similarity`` on
-    ``shingle``-word shingles, or by 64-bit fingerprints that differ in two bits at most.
+    """Groups of near copies: texts linked by a Jaccard similarity of at least ``similarity`` on
+    the sets of their ``shingle``-word shingles.
+
+    Every link is verified by the exact similarity.  Candidates are texts with a common segment
+    of their wide fingerprints, which at most 2 % of the pairs at ``similarity`` miss, fewer
+    above it; all texts of a crowded segment; and texts within two bits on 64-bit fingerprints
+    of three-word shingles.
 
     Returns per input row ``doc_id``, ``sig`` (hash of the text), ``root`` (its group) and
     ``leads``: whether it is the row of its group to keep, the one with the smallest id, null
@@ -247,15 +273,13 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     layout = Layout.of(docs.count(), similarity)
     rows = written(signatures(docs, layout.words, shingle), "signatures")
     verified, crowded, sets = similar_links(docs, rows, layout, similarity, shingle, bucket)
-    first = rows.groupBy("fp").agg(F.min("node").alias("node"))
-    first = written(first, "first", small=True)
-    near = links(first.select("fp"), bucket)
-    near = near.join(first.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(first.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    shared = rows.select("fp", "node").distinct().join(first.withColumnRenamed("node", "low"), "fp").filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
-    known = written(verified.union(near).union(shared), "links", small=True)
-    more = crowded_links(crowded, sets, written(components(known), "roots", small=True), similarity)
-    roots = components(known.union(more))
-    rooted = rows.select("doc_id", "sig", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = written(verified, "links", small=True)
+    roots = written(components(known), "roots", small=True)
+    # what crowded buckets add links whole components, so only their roots meet again
+    more = written(crowded_links(crowded, sets, roots, similarity), "more", small=True)
+    over = written(components(_lifted(more, roots)).withColumnRenamed("node", "low").withColumnRenamed("root", "over"), "over", small=True)
+    rooted = rows.select("doc_id", "sig", "node").join(roots, "node", "left").withColumn("low", F.coalesce("root", "node")).drop("root")
+    rooted = rooted.join(over, "low", "left").select("doc_id", "sig", F.coalesce("over", "low").alias("root"))
     rooted = written(rooted, "rooted")
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig")).alias("lead"))
     best = written(best, "best", small=True)
