@@ -22,13 +22,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal without white space, the longest original with the smallest id."""
-    return common.rows_of(docs, exact_dedup.exact_duplicates(docs).filter("kept"))
+    return common.rows_of(docs, exact_dedup.exact_duplicates(docs), "kept")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (0.8 or more alike on five-word shingles, or within two
     bits), the document with the smallest id."""
-    return common.rows_of(docs, similar_texts.similar_documents(docs).filter("leads"))
+    return common.rows_of(docs, similar_texts.similar_documents(docs), "leads")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
