@@ -1,12 +1,14 @@
 """Exact top-k inner products by no-random-access aggregation.
 
-Candidates are dealt to blocks.  Within a block every dimension is a list of its candidates
-sorted by component; a query reads all lists from its own better end, in rounds of growing
-depth.  After a round each candidate has a lower and an upper score bound: what has been read
-of it, plus for each list where it has not been seen the list's worst value or the value at
-the reading front.  A query stops when few enough candidates have an upper bound that reaches
-its k-th largest lower bound; no outsider can qualify then, and the scores of those left are
-resolved.  All queries of a block read in step, so bounds are matrix products.
+Candidates are dealt to blocks, and within a block, sorted by length, the longest first, to
+groups.  In a group every dimension is a list.  A query reads the lists in sequence, those first
+that can change scores most: its weight times the list's range.  Of each candidate it keeps the
+sum of what has been read and the squared length of what has not; with the query's own unread
+length that bounds the rest from both sides (Cauchy and Schwarz), and so do the best and worst
+entries of the unread lists.  After each round, candidates whose upper bound does not reach the
+k-th largest lower bound, in which the groups read before have a part, cannot qualify and are
+read no further.  The scores of those left when few are left, or the lists end, are resolved.  A
+group whose longest vector cannot qualify is not read at all.
 """
 
 from __future__ import annotations
@@ -34,68 +36,78 @@ def _exact_scores(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.array([max(-LARGEST - 1, min(LARGEST, sum(int(a) * b for a, b in zip(row, q, strict=True)))) for row in rows], np.int64)
 
 
-def nra_top_k(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, depths: tuple[float, ...] = (0.75, 0.9), resolve: float = 0.2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query ids, candidate ids and scores of each query's ``k`` best candidates of a block.
+class Lists:
+    """The lists of a group of candidates, one per dimension."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        self.ids, self.rows, self.lists = ids, rows, np.ascontiguousarray(rows.T)
+        self.largest, self.smallest = rows.max(axis=0), rows.min(axis=0)
+        self.squares = (rows * rows).sum(axis=1)
+        self.longest = float(np.sqrt(self.squares.max(initial=0)))
+
+    def candidates(self, query: np.ndarray, own: int, k: int, least: float, at_once: int = 4) -> tuple[np.ndarray, int]:
+        """Candidates that may be among the ``k`` best of at least the score ``least``, and the
+        entries read to tell.  ``at_once``: lists read between two looks at the bounds."""
+        n, d = self.rows.shape
+        most, worst = np.maximum(query * self.largest, query * self.smallest), np.minimum(query * self.largest, query * self.smallest)
+        order = np.argsort(-(most - worst), kind="stable")
+        some = np.flatnonzero(self.ids != own)
+        seen, rest, unread = np.zeros(len(some)), self.squares[some], float(query @ query)
+        read = 0
+        for at in range(0, d, at_once):
+            lists, left = order[at : at + at_once], order[at + at_once :]
+            entries = self.lists[lists] if len(some) == n else self.lists[lists[:, None], some]
+            read += entries.size
+            seen += query[lists] @ entries
+            rest -= np.einsum("ij,ij->j", entries, entries)
+            unread -= float(query[lists] @ query[lists])
+            bound = np.sqrt(np.maximum(rest, 0) * max(unread, 0)) * (1 + 1e-9)
+            upper = seen + np.minimum(bound, most[left].sum())
+            lower = seen - np.minimum(bound, -worst[left].sum())
+            limit = max(least, np.partition(lower, len(some) - k)[len(some) - k]) if len(some) >= k else least
+            can = upper >= limit - 0.5  # scores are whole numbers
+            if (kept := np.count_nonzero(can)) < 0.8 * len(some):
+                some, seen, rest = some[can], seen[can], rest[can]
+            if kept <= 2 * k:
+                break
+        return some, read
 
-    ``depths``: the shares of each list read after each round; ``resolve``: the share of
-    candidates from which on reading goes to the end of the lists instead.
-    """
+
+def nra_top_k(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, group: int = 8192) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Query ids, candidate ids and scores of each query's ``k`` best candidates of a block, and
+    the number of list entries read."""
     n, d = rows.shape
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def resolved(query: int, some: np.ndarray) -> None:
-        some = some[ids[some] != query_ids[query]]
-        scores = _exact_scores(rows[some], queries[query])
-        best = np.lexsort((ids[some], -scores))[:k]
-        out.append((np.full(len(best), query_ids[query]), ids[some][best], scores[best]))
-
-    waiting = np.arange(len(queries))
-    doubles = d > 0 and n > 4 * k and np.abs(rows).max(initial=0) * np.abs(queries).max(initial=0) * d < EXACT
-    if doubles:
-        order = np.argsort(rows, axis=0, kind="stable")
-        rank = np.empty_like(order)
-        np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)  # place in the list, from the small end
-        low, high = rows[order[0], np.arange(d)], rows[order[-1], np.arange(d)]
-        for depth in depths:
-            read = min(n - 1, int(depth * n))
-            up, down = rank >= n - read, rank < read  # seen by queries that read from the large, the small end
-            up_front, down_front = rows[order[n - read], np.arange(d)], rows[order[read - 1], np.arange(d)]
-            seen = np.hstack((np.where(up, rows, 0), np.where(down, rows, 0)))
-            above = np.hstack((np.where(up, 0, up_front), np.where(down, 0, down_front)))
-            below = np.hstack((np.where(up, 0, low), np.where(down, 0, high)))
-            most, least = seen + above, seen + below
-            still = []
-            for at in range(0, len(waiting), 128):
-                some = waiting[at : at + 128]
-                q = queries[some]
-                both = np.hstack((np.maximum(q, 0), np.minimum(q, 0))).T
-                lower, upper = least @ both, most @ both
-                lower[ids[:, None] == query_ids[some][None, :]] = -np.inf
-                kth = np.partition(lower, n - k, axis=0)[n - k]
-                can = upper >= kth
-                few = can.sum(axis=0) <= resolve * n
-                for j in np.nonzero(few)[0]:
-                    resolved(some[j], np.nonzero(can[:, j])[0])
-                still.append(some[~few])
-            waiting = np.concatenate(still) if still else waiting[:0]
-            if not len(waiting):
-                break
-        for at in range(0, len(waiting), 128):  # lists read to their ends: both bounds are the score
-            some = waiting[at : at + 128]
-            scores = rows @ queries[some].T
-            scores[ids[:, None] == query_ids[some][None, :]] = -np.inf
-            kth = np.partition(scores, n - k, axis=0)[n - k]
-            for j, query in enumerate(some):
-                resolved(query, np.nonzero(scores[:, j] >= kth[j])[0])
-    else:
-        for query in waiting:
-            resolved(query, np.arange(n))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate([x[m] for x in out]) for m in range(3))
-
-
-def top_k(vectors: DataFrame, every: int = 50, k: int = 5, block: int = 2048, query_block: int = 2048) -> DataFrame:
+    best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in queries]
+    read = 0
+    if d and max(np.abs(rows).max(initial=0), np.abs(queries).max(initial=0)) ** 2 * d < EXACT:
+        lengths = np.sqrt((queries * queries).sum(axis=1)) * (1 + 1e-9)
+        order = np.argsort(-(rows * rows).sum(axis=1), kind="stable")
+        for at in range(0, n, group):
+            some = order[at : at + group]
+            lists = Lists(ids[some], rows[some])
+            for q, (scores, found) in enumerate(best):
+                least = float(scores[-1]) if len(scores) == k else -np.inf
+                if lengths[q] * lists.longest < least:
+                    continue
+                can, n_read = lists.candidates(queries[q], query_ids[q], k, least)
+                read += n_read
+                best[q] = _merged(scores, found, _exact_scores(lists.rows[can], queries[q]), lists.ids[can], k)
+    else:  # whole numbers too large for doubles: sums in Python integers, no bounds
+        for q, (scores, found) in enumerate(best):
+            can = np.flatnonzero(ids != query_ids[q])
+            best[q] = _merged(scores, found, _exact_scores(rows[can], queries[q]), ids[can], k)
+    sizes = [len(x) for x, _ in best]
+    out = [np.concatenate([x[m] for x in best]) if best else np.zeros(0, np.int64) for m in (1, 0)]
+    return np.repeat(query_ids, sizes), out[0], out[1], read
+
+
+def _merged(scores: np.ndarray, ids: np.ndarray, more: np.ndarray, their: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    scores, ids = np.concatenate((scores, more)), np.concatenate((ids, their))
+    order = np.lexsort((ids, -scores))[:k]
+    return scores[order], ids[order]
+
+
+def top_k(vectors: DataFrame, every: int = 50, k: int = 5, block: int = 65_536, query_block: int = 8192) -> DataFrame:
     """For each query row the ``k`` candidates with the highest inner product.
 
     Components ``x`` become ``floor(256 * x)``.  Queries are the rows whose ``vec_id`` is
@@ -108,8 +120,9 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, block: int = 2048, qu
     row is asked once.  Scores beyond a long are held to its range.  Too few candidates give
     fewer rows, an empty table none.
 
-    Blocks of at most about ``block`` candidates meet blocks of about ``query_block`` queries,
-    dealt by a hash of the id, so equal vectors, however many, spread over all blocks.
+    Blocks of about ``block`` candidates (32 MB at 64 dimensions) meet blocks of at most about
+    ``query_block`` queries, of fewer where the cluster would have idle cores.  Both are dealt by
+    a hash of the id, so equal vectors, however many, spread over all blocks.
     """
     x = F.col("embedding").cast("array<double>")
     valid = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -118,7 +131,9 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, block: int = 2048, qu
     rows = written(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(valid).select("vec_id", whole.alias("x"), F.size("embedding").alias("d")), "vectors")
     is_query = F.col("vec_id") % every == 0
     n, q = rows.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
-    blocks, query_blocks = max(1, -(-n // block)), max(1, -(-q // query_block))
+    blocks = max(1, -(-n // block))
+    spread = -(-2 * vectors.sparkSession.sparkContext.defaultParallelism // blocks)
+    query_blocks = max(1, -(-q // query_block), min(spread, q // 64))
     hashed = F.xxhash64("vec_id")
     candidates = rows.withColumn("block", F.pmod(hashed, F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     asked = rows.filter(is_query).dropDuplicates(["vec_id", "d"])
@@ -131,7 +146,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, block: int = 2048, qu
 
         (ids, block_rows), (query_ids, asked_rows) = matrix(left), matrix(right)
         if len(ids) and len(query_ids):
-            found = nra_top_k(ids, block_rows, query_ids, asked_rows, k)
+            found = nra_top_k(ids, block_rows, query_ids, asked_rows, k)[:3]
         else:
             found = (np.zeros(0, np.int64),) * 3
         return pa.table({"query_id": found[0], "vec_id": found[1], "score": found[2]})

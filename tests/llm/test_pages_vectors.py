@@ -179,6 +179,21 @@ def test_top_k_equals_brute_force(spark, block):
     assert Counter(map(tuple, found.collect())) == brute(rows, 50, 5)
 
 
+def test_reading_stops_early_and_loses_nothing():
+    """Entries read are far from all; groups of short vectors are not read."""
+    rng = np.random.default_rng(6)
+    rows = np.floor(rng.normal(size=(6000, 64)) * rng.choice([1, 1, 8], 64) * 40)
+    rows[3000:] = np.floor(rows[3000:] / 50)
+    ids = rng.permutation(6000).astype(np.int64)
+    queries = rows[:40]
+    q, c, s, read = topk_search.nra_top_k(ids, rows, ids[:40], queries, 5, group=1000)
+    assert read < 0.35 * 40 * rows.size
+    scores = rows @ queries.T
+    for j in range(40):
+        want = sorted((-scores[i, j], ids[i]) for i in range(6000) if i != j)[:5]
+        assert list(zip(-s[q == ids[j]].astype(float), c[q == ids[j]], strict=True)) == want
+
+
 def test_top_k_of_few_rows(spark):
     schema = "vec_id long, embedding array<float>"
     assert topk_search.top_k(spark.createDataFrame([], schema)).count() == 0
