@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import written as written
@@ -66,10 +66,12 @@ def raw_texts(column: pa.Array) -> Iterator[bytes]:
 BROADCAST_ROWS = 1_000_000
 
 
-def bounded(small: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+def bounded(small: DataFrame, most: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
     """``small``, a written table, marked for a broadcast if its counted rows are at most
-    ``most``, else for a hash join whose sides both shuffle."""
-    return F.broadcast(small) if small.count() <= most else small.hint("shuffle_hash")
+    ``most``, else for a hash join whose sides both shuffle.  ``weight``: what a row counts,
+    where rows hold lists or bytes."""
+    rows = small.count() if weight is None else small.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(small) if rows <= most else small.hint("shuffle_hash")
 
 
 def fresh(docs: DataFrame, name: str) -> str:

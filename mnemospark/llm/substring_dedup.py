@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, raw_texts, small_batches, written
+from .common import bounded, documents_of, raw_texts, small_batches, written
 
 #: Odd multipliers of the rolling hashes, modulo 2**64, and their inverses.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -130,13 +130,10 @@ def _windows(found: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 1 << 20):
             hashes = Hashes(list(raw_texts(batch.column(1))))
-            rows, places = [], []
-            for k, spans in enumerate(batch.column(3).to_pylist()):
-                for span in spans:
-                    for at in range(span["first"], span["first"] + span["n"]):
-                        rows.append(k)
-                        places.append(at)
-            document, place = np.array(rows, np.int64), np.array(places, np.int64)
+            spans = batch.column(3)
+            first, n = (spans.flatten().field(k).to_numpy().astype(np.int64) for k in ("first", "n"))
+            document = np.repeat(np.repeat(np.arange(batch.num_rows), spans.value_lengths().to_numpy()), n)
+            place = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
             start = hashes.starts[document] + place
             at = pa.array(document)
             yield pa.RecordBatch.from_arrays(
@@ -157,8 +154,9 @@ def repeats(docs: DataFrame, window: int = 35, seed: int = 12) -> DataFrame:
     whole = written(whole, "whole")
     equal = met.select("doc_id", "sig", "anchor", "stretch", "first", "n").join(whole.filter("rows > 1").select("anchor", "stretch"), ["anchor", "stretch"], "left_semi").select("doc_id", "sig", "first", "n")
     extend = whole.filter("differ").select("example.*").groupBy(F.col("doc_id").alias("e_id"), F.col("sig").alias("e_sig")).agg(F.collect_list(F.struct("first", "n")).alias("spans"))
+    extend = written(extend, "extend", small=True)
     texts = _texts(docs)
-    found = texts.join(extend.hint("shuffle_hash"), texts.doc_id.eqNullSafe(extend.e_id) & (texts.sig == extend.e_sig))
+    found = texts.join(bounded(extend, weight=1 + F.size("spans")), texts.doc_id.eqNullSafe(extend.e_id) & (texts.sig == extend.e_sig))
     # an example stands for one row, also where rows repeat both id and text
     windows = written(_windows(found, window).distinct(), "windows")
     twice = windows.groupBy("w_a", "w_b").count().filter("count > 1").select("w_a", "w_b")
@@ -169,8 +167,9 @@ def repeats(docs: DataFrame, window: int = 35, seed: int = 12) -> DataFrame:
 def removed_words(docs: DataFrame, window: int = 35, seed: int = 12) -> DataFrame:
     """Per document the texts and ``spans`` of its maximal repeats in words."""
     spans = repeats(docs, window, seed).groupBy(F.col("doc_id").alias("r_id"), F.col("sig").alias("r_sig")).agg(F.collect_set(F.struct("first", "n")).alias("spans"))
+    spans = written(spans, "spans", small=True)
     texts = _texts(docs)
-    return texts.join(spans, texts.doc_id.eqNullSafe(spans.r_id) & (texts.sig == spans.r_sig), "left").select("doc_id", "text", "sig", "spans")
+    return texts.join(bounded(spans, weight=1 + F.size("spans")), texts.doc_id.eqNullSafe(spans.r_id) & (texts.sig == spans.r_sig), "left").select("doc_id", "text", "sig", "spans")
 
 
 def covered(n_words: int, spans: list[dict] | None, window: int) -> np.ndarray:
