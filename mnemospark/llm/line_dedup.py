@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, documents_of, raw_texts, small_batches, written
+from .common import WHITE, bounded, documents_of, raw_texts, small_batches, written
 
 
 def line_key(line: bytes) -> bytes:
@@ -68,33 +68,33 @@ DECIDED = "hi long, lo long, doc_id long, sig long, lines binary, run_docs int,
 
 
 def _stream(least_documents: int):
-    """Decide the runs of one sorted range.
+    """Decide the runs of one sorted range, batch by batch.
 
-    Emits the rows that lose their lines (``open`` false) and all rows of the range's first and
-    last run (``open`` true), whose key may go on in the next range; ``run_docs`` is, on the
-    first row of such a run, how many documents it has here.  Equal (key, document) never
-    straddle a range, so these numbers add up.
+    Emits the rows that lose their lines (``open`` false) and all rows of each batch's first and
+    last run (``open`` true), whose key may go on in the next batch or range; ``run_docs`` is, on
+    the first row of such a run in a batch, how many documents it adds there.  Equal (key,
+    document) never straddle a range, so these numbers add up.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
-            return
-        hi, lo = (table.column(k).to_numpy() for k in ("hi", "lo"))
-        doc = table.column("doc_id").combine_chunks()
-        ids, none = doc.fill_null(0).to_numpy(zero_copy_only=False), doc.is_null().to_numpy(zero_copy_only=False)
-        new_run = np.concatenate(([True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])))
-        new_doc = new_run | np.concatenate(([True], (ids[1:] != ids[:-1]) | (none[1:] != none[:-1])))
-        run_of = np.cumsum(new_run) - 1
-        docs_of_run = np.bincount(run_of, weights=new_doc).astype(np.int64)
-        doc_of = np.cumsum(new_doc)
-        first_doc = doc_of == doc_of[new_run][run_of]  # of the run's largest document
-        edge = (run_of == 0) | (run_of == run_of[-1])
-        emit = edge | (~first_doc & (docs_of_run[run_of] >= least_documents))
-        at = np.nonzero(emit)[0]
-        told = np.where(new_run & edge, docs_of_run[run_of], 0).astype(np.int32)
-        out = table.take(pa.array(at)).append_column("run_docs", pa.array(told[at])).append_column("open", pa.array(edge[at]))
-        yield from out.to_batches(max_chunksize=10_000)
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            hi, lo = (batch.column(k).to_numpy() for k in (0, 1))
+            ids, none = batch.column(2).fill_null(0).to_numpy(), batch.column(2).is_null().to_numpy(zero_copy_only=False)
+            new_run = np.concatenate(([True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])))
+            new_doc = new_run | np.concatenate(([True], (ids[1:] != ids[:-1]) | (none[1:] != none[:-1])))
+            run_of, doc_of = np.cumsum(new_run) - 1, np.cumsum(new_doc)
+            first_doc = doc_of == doc_of[new_run][run_of]  # of the run's largest document
+            new_doc[0] = last != (hi[0], lo[0], ids[0], none[0])
+            last = hi[-1], lo[-1], ids[-1], none[-1]
+            docs_of_run = np.bincount(run_of, weights=new_doc).astype(np.int64)
+            edge = (run_of == 0) | (run_of == run_of[-1])
+            at = np.nonzero(edge | (~first_doc & (docs_of_run[run_of] >= least_documents)))[0]
+            told = np.where(new_run & edge, docs_of_run[run_of], 0).astype(np.int32)
+            columns = batch.take(pa.array(at)).columns
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(told[at]), pa.array(edge[at])], names=[*batch.schema.names, "run_docs", "open"])
 
     return run
 
@@ -152,10 +152,16 @@ def kept_lines(raw: bytes, keep: bytes) -> bytes:
 
 
 def line_digests(docs: DataFrame, **options) -> DataFrame:
-    """``doc_id``, ``n_lines``, ``n_dropped``, ``kept_sha256`` of the text each bitmap leaves."""
-    maps = keep_bitmaps(docs, **options).select(F.col("doc_id").alias("m_id"), F.col("sig").alias("m_sig"), "n_lines", "n_dropped", F.when(F.col("n_dropped") > 0, F.col("keep")).alias("keep")).distinct()
+    """``doc_id``, ``n_lines``, ``n_dropped``, ``kept_sha256`` of the text each bitmap leaves.
+
+    Only bitmaps of documents that lose lines travel; while they are few enough they are
+    broadcast to the scan and no text is shuffled.
+    """
+    maps = keep_bitmaps(docs, **options).filter("n_dropped > 0").select(F.col("doc_id").alias("m_id"), F.col("sig").alias("m_sig"), "n_dropped", "keep").distinct()
+    maps = written(maps, "bitmaps", small=True)
     texts = documents_of(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    joined = texts.join(maps.hint("shuffle_hash"), texts.doc_id.eqNullSafe(maps.m_id) & (texts.sig == maps.m_sig))
+    joined = texts.join(bounded(maps, weight=F.greatest(F.lit(1), F.octet_length("keep") / 64)), texts.doc_id.eqNullSafe(maps.m_id) & (texts.sig == maps.m_sig), "left")
+    n_lines = (F.regexp_count("text", F.lit("\n")) + 1).cast("long").alias("n_lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
@@ -163,4 +169,5 @@ def line_digests(docs: DataFrame, **options) -> DataFrame:
             found = [hashlib.sha256(raw if keep is None else kept_lines(raw, keep)).hexdigest() for raw, keep in pairs]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    return joined.select("doc_id", "n_lines", "n_dropped", "text", "keep").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    rows = joined.select("doc_id", n_lines, F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), "text", "keep")
+    return rows.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
