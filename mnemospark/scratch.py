@@ -37,17 +37,24 @@ def _remove(spark: SparkSession, folder: str) -> None:
         return
 
 
-def written(df: DataFrame, name: str, small: bool = False, files: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, small: bool = False, narrow: bool = False, per_core: int | None = None, files: int | None = None) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back.
 
     Cuts lineage and keeps an expensive stage from running again for a second consumer; a
     lost executor loses nothing of it.  The folder goes when the driver process ends.
-    ``small``: what an aggregation leaves goes to at most one file a core of the cluster,
-    however many partitions the shuffle before it has; ``files``: to at most so many.
+
+    Every file costs the folder's store a few calls, so what is small goes to few: ``small``,
+    what an aggregation leaves, to at most one file a core of the cluster; ``per_core``, what
+    comes from a shuffle of however many partitions, to at most so many; ``files``, to at most
+    so many in all; ``narrow``, what a pass over texts tells in a few bytes a text, is dealt out
+    to two a core, so that the pass keeps its own number of tasks.
     """
     spark = df.sparkSession
-    if small or files:
-        df = df.coalesce(max(1, min(files or 1 << 30, spark.sparkContext.defaultParallelism)))
+    cores = spark.sparkContext.defaultParallelism
+    if narrow:
+        df = df.repartition(2 * cores)
+    elif small or per_core or files:
+        df = df.coalesce(max(1, min(files or 1 << 30, cores * (per_core or 1))))
     top = f"{shared_folder(spark)}/mnemospark-{spark.sparkContext.applicationId}"
     if top not in _scratch:
         _scratch[top] = []
