@@ -22,8 +22,11 @@ from pyspark.sql import functions as F
 
 from .common import bounded, documents_of, raw_texts, small_batches, written
 
+#: Weights of words are multiples of one over this.
+UNIT = float(1 << 30)
 #: What stands between words: anything but letters.
 BETWEEN = r"[^\pL]+"
+LOW = (1 << 31) - 1
 
 
 def _valid(texts: pa.Array) -> pa.Array:
@@ -42,39 +45,67 @@ def distinct_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     lists = pc.split_pattern_regex(pc.utf8_lower(_valid(texts)), pattern=BETWEEN)
     flat = lists.flatten().dictionary_encode()
     words = flat.dictionary.to_pylist()
-    row = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())
-    pairs = np.unique(row * max(len(words), 1) + flat.indices.to_numpy())
-    row, word = np.divmod(pairs, max(len(words), 1))
-    some = word != (words.index("") if "" in words else -1)
-    return row[some], word[some], words
-
-
-def features_of(word: str) -> list[int]:
-    """31-bit hashes of the whole word and of its starts of 3 to 8 letters."""
-    parts = [word + "$", *(word[:n] for n in range(3, min(len(word), 8) + 1))]
-    return [xxhash.xxh32_intdigest(part) >> 1 for part in parts]
+    pairs = np.repeat(np.arange(len(texts), dtype=np.int64) << 31, lists.value_lengths().to_numpy()) | flat.indices.to_numpy()
+    pairs.sort()
+    keep = np.concatenate(([True], pairs[1:] != pairs[:-1])) if len(pairs) else np.zeros(0, bool)
+    if "" in words:
+        keep &= (pairs & LOW) != words.index("")
+    pairs = pairs[keep]
+    return pairs >> 31, pairs & LOW, words
+
+
+#: Odd multipliers of the hashes of word starts, modulo 2**64.
+STEP, FINISH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def features_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """31-bit hashes of whole words (XXH32) and of their starts of 3 to 8 letters, word by word;
+    how many each word has."""
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    length = np.fromiter(map(len, words), np.int64, n)
+    letters = np.array(words, "U8").view(np.uint32).reshape(n, 8).astype(np.uint64)
+    found = np.zeros((n, 7), np.int64)
+    found[:, 0] = np.fromiter(map(xxhash.xxh32_intdigest, words), np.int64, n) >> 1
+    state = np.zeros(n, np.uint64)
+    for k in range(8):
+        state = (state + letters[:, k] + np.uint64(1)) * STEP
+        if k >= 2:
+            found[:, k - 1] = ((state ^ (state >> np.uint64(29))) * FINISH >> np.uint64(33)).astype(np.int64)
+    there = np.concatenate((np.ones((n, 1), bool), length[:, None] >= np.arange(3, 9)), axis=1)
+    return found[there], there.sum(axis=1)
 
 
 class Features:
     """Features of the texts of a batch; those of words are remembered up to a bound."""
 
     def __init__(self, remember: int = 200_000) -> None:
-        self.known: dict[str, np.ndarray] = {}
         self.remember = remember
+        self.known: dict[str, int] = {}
+        self.flat, self.ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
-    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Text numbers, features and in how many distinct words of the text each is; distinct
-        words of every text."""
-        row, word, words = distinct_words(texts)
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """The number of each word in the tables; new words are entered."""
         if len(self.known) > self.remember:
-            self.known.clear()
-        each = [self.known[w] if w in self.known else self.known.setdefault(w, np.array(features_of(w), np.int64)) for w in words]
-        sizes = np.array([len(x) for x in each], np.int64)
-        flat, starts = (np.concatenate(each), np.cumsum(sizes) - sizes) if words else (np.zeros(0, np.int64), sizes)
-        n = sizes[word]
-        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        both, counts = np.unique((np.repeat(row, n) << 31) | flat[np.repeat(starts[word], n) + inner], return_counts=True)
-        return both >> 31, both & ((1 << 31) - 1), counts, np.bincount(row, minlength=len(texts))
+            self.__init__(self.remember)
+        fresh = [w for w in words if w not in self.known]
+        flat, sizes = features_of(fresh)
+        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
+        self.flat = np.concatenate((self.flat, flat))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Each text's features, once for every distinct word that has them, as sorted
+        ``text number << 31 | feature``; the number of distinct words of every text."""
+        row, word, words = distinct_words(texts)
+        number = self._numbers(words)[word]
+        start, n = self.ends[number], self.ends[number + 1] - self.ends[number]
+        inner = np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+        both = (np.repeat(row, n) << 31) | self.flat[inner]
+        both.sort()
+        return both, np.bincount(row, minlength=len(texts))
 
 
 @dataclass(frozen=True)
@@ -87,7 +118,7 @@ class Fit:
     least_documents: int = 3
     steps: int = 400
     rate: float = 0.05
-    decay: float = 1e-4
+    decay: float = 0.03  # divided by the number of positives
     seed: str = "toxicity"
 
 
@@ -98,23 +129,28 @@ class Model:
     bias: float
 
     def scorer(self, remember: int = 200_000):
-        """Scores of a batch of texts, with the weights of words remembered up to a bound."""
+        """Scores of a batch of texts, with the weights of words remembered up to a bound.
+
+        Weights are rounded to multiples of 2**-30, so that sums are exact in any order and a
+        text's score does not depend on its batch.
+        """
         known: dict[str, float] = {}
+        keys = np.array(sorted(self.weights), np.int64)
+        values = np.append(np.array([self.weights[k] for k in keys.tolist()]), 0.0)
 
         def scores(texts: pa.Array) -> np.ndarray:
             row, word, words = distinct_words(texts)
             if len(known) > remember:
                 known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = math.fsum(self.weights.get(f, 0.0) for f in features_of(w))
-            weight = np.array([known[w] for w in words], np.float64)
+            fresh = [w for w in words if w not in known]
+            flat, sizes = features_of(fresh)
+            at = np.searchsorted(keys, flat)
+            at[np.append(keys, -1)[at] != flat] = len(keys)
+            sums = np.bincount(np.repeat(np.arange(len(fresh)), sizes), weights=values[at], minlength=len(fresh))
+            known.update(zip(fresh, np.rint(sums * UNIT).tolist(), strict=True))
+            weight = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
             root = np.sqrt(np.bincount(row, minlength=len(texts)))
-            # sums in the order of words, so that a text's score does not depend on its batch
-            rank = np.empty(len(words), np.int64)
-            rank[np.argsort(np.array(words, object), kind="stable")] = np.arange(len(words))
-            order = np.lexsort((rank[word], row)) if len(words) else np.zeros(0, np.int64)
-            sums = np.bincount(row[order], weights=weight[word[order]], minlength=len(texts))
+            sums = np.bincount(row, weights=weight[word], minlength=len(texts)) / UNIT
             return _sigmoid(self.bias + sums / np.maximum(root, 1) + self.size_weight * root)
 
         return scores
@@ -142,16 +178,20 @@ def feature_counts(docs: DataFrame, confirmed: DataFrame) -> DataFrame:
             held[:] = [(f, p, u)]
             return pa.RecordBatch.from_arrays([pa.array(f), pa.array(p), pa.array(u)], names=["f", "p", "u"])
 
-        for batch in small_batches(batches, "text"):
-            toxic = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            row, feature, _, _ = features.of(batch.column(1))
-            f, at = np.unique(feature, return_inverse=True)
-            held.append((np.append(f, -1), np.append(np.bincount(at, weights=toxic[row], minlength=len(f)), toxic.sum()), np.append(np.bincount(at, minlength=len(f)), len(toxic))))
+        for batch in small_batches(batches, "text", 1 << 20):
+            toxic = batch.column(0).to_numpy(zero_copy_only=False)
+            both, _ = features.of(batch.column(1))
+            both = both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both
+            f, u = np.unique(both & LOW, return_counts=True)
+            marked = np.unique(both[toxic[both >> 31]] & LOW, return_counts=True) if toxic.any() else ([], [])
+            p = np.zeros(len(f), np.int64)
+            p[np.searchsorted(f, marked[0])] = marked[1]
+            held.append((np.append(f, -1), np.append(p, toxic.sum()), np.append(u, len(toxic))))
             size += len(f)
-            if size > 2_000_000:
+            if size > 1_000_000:
                 out = summed()
                 size = out.num_rows
-                if size > 1_000_000:
+                if size > 500_000:
                     yield out
                     held.clear()
                     size = 0
@@ -181,10 +221,11 @@ def _sample(docs: DataFrame, ids: DataFrame, vocabulary: np.ndarray) -> pa.Table
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in small_batches(batches, "text"):
-            row, feature, count, words = features.of(batch.column(2))
-            keep = np.isin(feature, vocabulary)
-            offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row[keep], minlength=batch.num_rows)))).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x[keep].astype(np.int32))) for x in (feature, count)]
+            both, words = features.of(batch.column(2))
+            both, count = np.unique(both[np.isin(both & LOW, vocabulary)], return_counts=True)
+            row, feature = both >> 31, both & LOW
+            offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=batch.num_rows)))).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (feature, count)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words.astype(np.int32)), *lists], names=["kind", "doc_id", "words", "features", "counts"])
 
     texts = documents_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -254,7 +295,7 @@ def train(positive: pa.Table, unlabelled: pa.Table, vocabulary: np.ndarray, prio
     w[-1] = constant.bias
     for step in range(1, fit.steps + 1):
         g = step_of(p, u, w, prior)
-        g[:-1] += fit.decay * w[:-1]
+        g[:-1] += fit.decay / p.n * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - fit.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Model(dict(zip(vocabulary.tolist(), w[:-2].tolist(), strict=True)), float(w[-2]), float(w[-1]))
@@ -287,7 +328,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", 1 << 20):
             found = score(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found), pa.array((found >= threshold).astype(np.int32))], names=["doc_id", "sig", "score", "predicted"])
 
@@ -320,7 +361,7 @@ def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit: Fit =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
         for batch in batches:
-            for part in small_batches([batch], "text"):
+            for part in small_batches([batch], "text", 1 << 20):
                 yield part.filter(pa.array(score(part.column(at).cast(pa.string())) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
