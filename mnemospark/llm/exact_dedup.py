@@ -132,7 +132,7 @@ def collisions(docs: DataFrame, prints: DataFrame, poly: Polynomial = Polynomial
     members = written(members.select(F.col("doc_id").alias("m_id"), F.col("sig").alias("m_sig"), *GROUP, "leads").distinct(), "members", small=True)
     texts = documents_of(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     found = texts.join(bounded(members), texts.doc_id.eqNullSafe(members.m_id) & (texts.sig == members.m_sig))
-    chunks = written(_chunks(found, poly.chunk), "chunks")
+    chunks = written(_chunks(found, poly.chunk), "chunks", narrow=True)
     lead = chunks.filter("leads").select(*GROUP, "chunk_no", F.col("chunk").alias("lead_chunk")).dropDuplicates([*GROUP, "chunk_no"])
     lead = written(lead, "leaders", small=True)
     pairs = chunks.filter("not leads").join(lead, [*GROUP, "chunk_no"], "left")
@@ -151,14 +151,14 @@ def exact_duplicates(docs: DataFrame, poly: Polynomial = Polynomial()) -> DataFr
     ``doc_id`` count separately in ``group_size``.  Exactly one row of a group is marked kept,
     also where rows repeat both id and text.  An empty table gives an empty result.
     """
-    prints = written(fingerprints(docs, poly), "fingerprints")
+    prints = written(fingerprints(docs, poly), "fingerprints", narrow=True)
     bad = written(collisions(docs, prints, poly), "collisions", files=1)
     rows = prints
     if bad.isEmpty():
         rows = rows.withColumn("part", F.lit(""))
     else:
         split = bad.withColumn("split", F.lit(True))
-        rows = written(rows.join(split, list(GROUP), "left").withColumn("part", F.when(F.col("split"), F.col("text_sha256")).otherwise(F.lit(""))).drop("split"), "classes")
+        rows = written(rows.join(split, list(GROUP), "left").withColumn("part", F.when(F.col("split"), F.col("text_sha256")).otherwise(F.lit(""))).drop("split"), "classes", per_core=4)
     best = F.min(F.struct((-F.col("n_points")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
     groups = rows.groupBy(*GROUP, "part").agg(F.count("*").alias("group_size"), best)
     out = rows.join(written(groups, "groups", small=True), [*GROUP, "part"])

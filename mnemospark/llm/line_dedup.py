@@ -105,7 +105,7 @@ def dropped_lines(docs: DataFrame, least_points: int = 40, least_documents: int
     keys = written(line_keys(docs, least_points), "lines")
     ranges = -(-keys.count() // rows_per_range) or 1
     order = [F.col("hi"), F.col("lo"), F.col("doc_id").desc_nulls_last()]
-    decided = written(keys.repartitionByRange(ranges, *order).sortWithinPartitions(*order, "sig").mapInArrow(_stream(least_documents), DECIDED), "decided")
+    decided = written(keys.repartitionByRange(ranges, *order).sortWithinPartitions(*order, "sig").mapInArrow(_stream(least_documents), DECIDED), "decided", per_core=4)
     own = F.coalesce("doc_id", F.lit(-(1 << 63)))
     still = decided.filter("open")
     sums = still.groupBy("hi", "lo").agg(F.sum("run_docs").alias("n_docs"), F.max(own).alias("largest")).filter(F.col("n_docs") >= least_documents)

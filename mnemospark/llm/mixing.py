@@ -65,7 +65,7 @@ def _bucket(h: str = "h", bits: str = "bits") -> Column:
 def _sizes(docs: DataFrame, seed: str) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sizes = texts.select("doc_id", "source", F.xxhash64("text").alias("sig"), F.regexp_count("text", F.lit(WORD_PATTERN)).cast("long").alias("size"), _order(seed).alias("h"))
-    return written(sizes.withColumn("row", F.monotonically_increasing_id()), "sizes")
+    return written(sizes.withColumn("row", F.monotonically_increasing_id()), "sizes", narrow=True)
 
 
 def _cuts(rows: DataFrame, weight, most_epochs: int) -> DataFrame:

@@ -109,7 +109,7 @@ def packed(docs: DataFrame, size: int = 1024, vocabulary: str = VOCABULARY, end_
 
     Rows that repeat an id are packed as documents of their own.  An empty table gives no rows.
     """
-    cut = written(pieces(docs, size, vocabulary, end_id), "pieces")
+    cut = written(pieces(docs, size, vocabulary, end_id), "pieces", narrow=True)
     full = cut.filter(F.col("length") == size).select("*", (F.monotonically_increasing_id() * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     short = cut.filter(F.col("length") < size)
     tasks = -(-short.count() // rows_per_task) or 1

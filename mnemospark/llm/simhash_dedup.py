@@ -100,7 +100,7 @@ def links(prints: DataFrame, bucket: int = 16) -> DataFrame:
     crowded = written(table.groupBy("seg", "value").count().filter(F.col("count") > bucket).select("seg", "value"), "crowded", small=True)
     ordinary = table.join(crowded, ["seg", "value"], "left_anti").withColumnRenamed("fp", "found")
     marked = crowded.withColumn("found", F.lit(None).cast("long"))
-    met = written(_index(prints, True).join(ordinary.union(marked), ["seg", "value"]), "met")
+    met = written(_index(prints, True).join(ordinary.union(marked), ["seg", "value"]), "met", per_core=4)
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("found"))) <= 2
     pairs = met.filter(F.col("found").isNotNull() & (F.col("fp") != F.col("found")) & near).select(F.col("fp").alias("a"), F.col("found").alias("b"))
     # crowded buckets: members are in them by their own value (no flip), probes by at most one
@@ -126,8 +126,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bucket: int = 16) -> Data
     one fingerprint and never meet in pairs.  A null ``doc_id`` gives no name to a component
     unless all its ids are null.  An empty table gives no rows.
     """
-    prints = written(fingerprints(docs, shingle), "fingerprints")
-    distinct = written(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig")).alias("least")), "distinct")
+    prints = written(fingerprints(docs, shingle), "fingerprints", narrow=True)
+    distinct = written(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig")).alias("least")), "distinct", per_core=4)
     nodes = components(links(distinct.select("fp"), bucket))
     rooted = written(distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted", small=True)
     names = written(rooted.groupBy("root").agg(F.min("least").alias("lead")), "names", small=True)  # apart from its join: a giant component can then be split

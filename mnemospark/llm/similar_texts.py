@@ -128,7 +128,7 @@ def candidates(index: DataFrame, bucket: int = 16, most_bits: int = 20) -> tuple
     left = lists.select("e", F.explode("e").alias("x"))
     pairs = left.select("x", F.explode(F.filter("e", lambda y: (y["node"] > F.col("x.node")) & near(y["fp"], F.col("x.fp")))).alias("y"))
     ordinary = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    crowded = written(rows.filter(F.col("count") > bucket).select("seg", "value", "node", "fp"), "crowded")
+    crowded = written(rows.filter(F.col("count") > bucket).select("seg", "value", "node", "fp"), "crowded", per_core=4)
     first = lambda salt: F.min(F.struct(F.xxhash64("node", F.lit(salt)).alias("h"), "node", "fp"))
     leaders = crowded.groupBy("seg", "value").agg(first(1).alias("l1"), first(2).alias("l2"))
     leaders = written(leaders.select("seg", "value", F.explode(F.array("l1", "l2")).alias("l")), "leaders", small=True)
@@ -201,7 +201,7 @@ def crowded_links(crowded: DataFrame, sets: DataFrame, roots: DataFrame, similar
     and ``roots`` (``node``, ``root``) does not.  A bucket of over ``block`` shingles is cut into
     blocks; each pair of blocks is a group of its own."""
     rooted = crowded.select("seg", "value", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = written(rooted.join(sets.select("node", F.size("s").alias("n")), "node"), "crowded")
+    rooted = written(rooted.join(sets.select("node", F.size("s").alias("n")), "node"), "crowded", per_core=4)
     apart = rooted.groupBy("seg", "value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n").alias("total")).filter("low <> high")
     apart = written(apart.select("seg", "value", F.ceil(F.greatest(F.col("total"), F.lit(1)) / block).cast("int").alias("blocks")), "apart", small=True)
     rows = rooted.join(apart, ["seg", "value"]).withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
@@ -234,15 +234,15 @@ def _two_bit_pairs(nodes: DataFrame, bucket: int) -> DataFrame:
 def similar_links(docs: DataFrame, rows: DataFrame, layout: Layout, similarity: float, shingle: int, bucket: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Links ``a``, ``b`` between nodes whose texts are at least ``similarity`` alike, without
     those of crowded buckets that no leader has; rows of crowded buckets; shingles of nodes."""
-    nodes = written(rows.groupBy("node").agg(F.first("own").alias("fp"), F.first("wide").alias("wide"), F.first("fp").alias("fp3"), F.min(F.struct("doc_id", "sig")).alias("one")), "nodes")
+    nodes = written(rows.groupBy("node").agg(F.first("own").alias("fp"), F.first("wide").alias("wide"), F.first("fp").alias("fp3"), F.min(F.struct("doc_id", "sig")).alias("one")), "nodes", per_core=4)
     pairs, crowded = candidates(index_rows(nodes, layout), bucket)
-    pairs = written(pairs.union(_two_bit_pairs(nodes, bucket)).distinct(), "pairs")
+    pairs = written(pairs.union(_two_bit_pairs(nodes, bucket)).distinct(), "pairs", per_core=4)
     met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowded.select("node")).distinct()
     one = nodes.join(met, "node").select("node", F.col("one.doc_id").alias("o_id"), F.col("one.sig").alias("o_sig"))
     one = written(one, "one", small=True)
     texts = documents_of(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     found = texts.join(bounded(one), texts.doc_id.eqNullSafe(one.o_id) & (texts.sig == one.o_sig))
-    sets = written(shingle_sets(found, shingle).dropDuplicates(["node"]), "shingles")
+    sets = written(shingle_sets(found, shingle).dropDuplicates(["node"]), "shingles", per_core=4)
     both = pairs.join(sets.withColumnRenamed("node", "a"), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
     return _jaccard(both, similarity), crowded, sets
 
@@ -271,7 +271,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     table gives no rows.
     """
     layout = Layout.of(docs.count(), similarity)
-    rows = written(signatures(docs, layout.words, shingle), "signatures")
+    rows = written(signatures(docs, layout.words, shingle), "signatures", narrow=True)
     verified, crowded, sets = similar_links(docs, rows, layout, similarity, shingle, bucket)
     known = written(verified, "links", small=True)
     roots = written(components(known), "roots", small=True)
@@ -280,7 +280,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     over = written(components(_lifted(more, roots)).withColumnRenamed("node", "low").withColumnRenamed("root", "over"), "over", small=True)
     rooted = rows.select("doc_id", "sig", "node").join(roots, "node", "left").withColumn("low", F.coalesce("root", "node")).drop("root")
     rooted = rooted.join(over, "low", "left").select("doc_id", "sig", F.coalesce("over", "low").alias("root"))
-    rooted = written(rooted, "rooted")
+    rooted = written(rooted, "rooted", per_core=4)
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig")).alias("lead"))
     best = written(best, "best", small=True)
     out = rooted.join(best, "root")

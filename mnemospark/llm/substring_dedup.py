@@ -148,10 +148,10 @@ def repeats(docs: DataFrame, window: int = 35, seed: int = 12) -> DataFrame:
     """Stretches of repeated windows: ``doc_id``, ``sig``, ``first`` window, ``n`` windows."""
     all_runs = written(runs(docs, window, seed), "runs")
     by_anchor = all_runs.groupBy("anchor").agg(F.count("*").alias("rows"), (F.min("stretch") != F.max("stretch")).alias("differ")).filter("rows > 1").select("anchor", "differ")
-    by_anchor = written(by_anchor, "anchors")  # apart from its join, whose hot keys can then be split
-    met = written(all_runs.join(by_anchor, "anchor"), "met")
+    by_anchor = written(by_anchor, "anchors", per_core=4)  # apart from its join, whose hot keys can then be split
+    met = written(all_runs.join(by_anchor, "anchor"), "met", per_core=4)
     whole = met.groupBy("anchor", "stretch").agg(F.count("*").alias("rows"), F.min(F.struct("doc_id", "sig", "first", "n")).alias("example"), F.first("differ").alias("differ"))
-    whole = written(whole, "whole")
+    whole = written(whole, "whole", per_core=4)
     equal = met.select("doc_id", "sig", "anchor", "stretch", "first", "n").join(whole.filter("rows > 1").select("anchor", "stretch"), ["anchor", "stretch"], "left_semi").select("doc_id", "sig", "first", "n")
     extend = whole.filter("differ").select("example.*").groupBy(F.col("doc_id").alias("e_id"), F.col("sig").alias("e_sig")).agg(F.collect_list(F.struct("first", "n")).alias("spans"))
     extend = written(extend, "extend", small=True)
