@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from mnemospark.operators import components
 from mnemospark.operators import frames as frame_ops
 from mnemospark.operators import graph, retrieval, state
 from mnemospark.operators import text as text_ops
@@ -77,6 +78,24 @@ def test_kmeans_finds_planted_clusters(spark):
     assert len(centres) == 3 and len({(k % 3, c) for k, c in found.items()}) == 3
 
 
+@pytest.mark.parametrize(("kind", "most"), [("long", 500_000), ("long", 40), ("string", 40)])
+def test_components_of_random_graphs(spark, monkeypatch, kind, most):
+    """Trees, paths, a hub and cycles; in one task or over many with star steps between."""
+    import random
+
+    r = random.Random(3)
+    edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 420)] + [(500, k) for k in range(501, 600)] + [(7, 7)]
+    r.shuffle(edges)
+    root = {x: x for e in edges for x in e}
+    while (low := {x: min([root[x], *(root[b] for a, b in edges if a == x), *(root[a] for a, b in edges if b == x)]) for x in root}) != root:
+        root = low
+    name = (lambda x: f"n{x:04d}") if kind == "string" else int
+    monkeypatch.setattr(components, "EDGES_PER_TASK", most)
+    found = components.components(spark.createDataFrame([(name(a), name(b)) for a, b in edges], f"x {kind}, y {kind}").repartition(3))
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert values(found.select("node", "root")) == sorted((name(x), name(root[x])) for x in linked)
+
+
 def test_layers_and_components_of_a_cycle(spark):
     nodes = spark.createDataFrame([(1,), (2,), (3,), (4,)], "node long")
     edges = spark.createDataFrame([(2, 1), (3, 4), (4, 3)], "node long, target long")
