@@ -2,7 +2,8 @@
 
 A 64-bit fingerprint at two differing bits finds only the nearest copies: texts whose five-word
 shingles have a Jaccard similarity of 0.8 differ in seven to ten bits.  Here a fingerprint is
-as wide as the number of documents asks for, and is cut into segments of ``log2(n) + 2`` bits.
+as wide as the number of documents asks for, and is cut into segments of ``log2(n) - 2`` bits,
+so that a segment's bucket holds a few texts by chance.
 It is taken over the set of those five-word shingles, so that the similarity alone bounds the
 share of bits that differ, whether words, a paragraph or the end of a text were changed.
 Texts that agree in one segment (the Hamming ball of radius zero: for one recall, balls of
@@ -52,7 +53,7 @@ class Layout:
     @staticmethod
     def of(n: int, similarity: float = 0.8, missed: float = 0.02) -> Layout:
         """``missed``: share of pairs of this similarity without a common segment, at most."""
-        bits = max(16, math.ceil(math.log2(max(n, 2))) + 2)
+        bits = max(10, math.ceil(math.log2(max(n, 2))) - 2)
         return Layout(bits, math.ceil(math.log(missed) / math.log(1 - (1 - bit_rate(similarity)) ** bits)))
 
     @property
@@ -98,7 +99,8 @@ def signatures(docs: DataFrame, words: int, shingle: int) -> DataFrame:
 
 
 def index_rows(nodes: DataFrame, layout: Layout) -> DataFrame:
-    """``seg``, ``value``, ``node``, ``fp``: every node under each of its segments."""
+    """``key``, ``node``, ``fp``: every node under each of its segments; the key is the number of
+    the segment and its value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = 1 << np.arange(layout.bits, dtype=np.int64)
@@ -108,31 +110,29 @@ def index_rows(nodes: DataFrame, layout: Layout) -> DataFrame:
                 n = part.num_rows
                 raw = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(n, -1)
                 bits = np.unpackbits(raw, axis=1, bitorder="little")[:, : layout.bits * layout.segments]
-                values = bits.reshape(n, layout.segments, layout.bits) @ powers
+                keys = bits.reshape(n, layout.segments, layout.bits) @ powers + (np.arange(layout.segments, dtype=np.int64) << layout.bits)
                 repeat = lambda k: pa.array(np.repeat(part.column(k).to_numpy(), layout.segments))  # noqa: B023, E731
-                seg = pa.array(np.tile(np.arange(layout.segments, dtype=np.int32), n))
-                yield pa.RecordBatch.from_arrays([seg, pa.array(values.ravel()), repeat(0), repeat(1)], names=["seg", "value", "node", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), repeat(0), repeat(1)], names=["key", "node", "fp"])
 
-    return nodes.select("node", "fp", "wide").mapInArrow(run, "seg int, value long, node long, fp long")
+    return nodes.select("node", "fp", "wide").mapInArrow(run, "key long, node long, fp long")
 
 
-def candidates(index: DataFrame, bucket: int = 16, most_bits: int = 20) -> tuple[DataFrame, DataFrame]:
+def candidates(index: DataFrame, bucket: int = 32, most_bits: int = 20) -> tuple[DataFrame, DataFrame]:
     """Pairs ``a`` < ``b`` of nodes with a common segment whose 64-bit fingerprints differ in at
-    most ``most_bits``, of crowded buckets those with two leaders; and the rows ``seg``, ``value``,
-    ``node``, ``fp`` of crowded buckets."""
-    counts = written(index.groupBy("seg", "value").count().filter("count > 1"), "counts", small=True)
-    rows = index.join(counts, ["seg", "value"])
+    most ``most_bits``, of crowded buckets those with two leaders; and the rows ``key``, ``node``,
+    ``fp`` of crowded buckets, those of over ``bucket`` nodes."""
+    crowds = written(index.groupBy("key").count().filter(F.col("count") > bucket).select("key"), "crowds", per_core=4)
     near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= most_bits
     entry = F.struct("node", "fp")
-    lists = rows.filter(F.col("count") <= bucket).groupBy("seg", "value").agg(F.collect_list(entry).alias("e"))
+    lists = index.join(bounded(crowds), "key", "left_anti").groupBy("key").agg(F.collect_list(entry).alias("e")).filter(F.size("e") > 1)
     left = lists.select("e", F.explode("e").alias("x"))
     pairs = left.select("x", F.explode(F.filter("e", lambda y: (y["node"] > F.col("x.node")) & near(y["fp"], F.col("x.fp")))).alias("y"))
     ordinary = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    crowded = written(rows.filter(F.col("count") > bucket).select("seg", "value", "node", "fp"), "crowded", per_core=4)
+    crowded = written(index.join(bounded(crowds), "key", "left_semi"), "crowded", per_core=4)
     first = lambda salt: F.min(F.struct(F.xxhash64("node", F.lit(salt)).alias("h"), "node", "fp"))
-    leaders = crowded.groupBy("seg", "value").agg(first(1).alias("l1"), first(2).alias("l2"))
-    leaders = written(leaders.select("seg", "value", F.explode(F.array("l1", "l2")).alias("l")), "leaders", small=True)
-    led = crowded.join(leaders, ["seg", "value"]).filter((F.col("node") != F.col("l.node")) & near(F.col("fp"), F.col("l.fp")))
+    leaders = crowded.groupBy("key").agg(first(1).alias("l1"), first(2).alias("l2"))
+    leaders = written(leaders.select("key", F.explode(F.array("l1", "l2")).alias("l")), "leaders", small=True)
+    led = crowded.join(leaders, "key").filter((F.col("node") != F.col("l.node")) & near(F.col("fp"), F.col("l.fp")))
     return ordinary.union(led.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b"))), crowded
 
 
@@ -200,14 +200,14 @@ def crowded_links(crowded: DataFrame, sets: DataFrame, roots: DataFrame, similar
     """Links ``a``, ``b`` that connect what the similarity connects within each crowded bucket
     and ``roots`` (``node``, ``root``) does not.  A bucket of over ``block`` shingles is cut into
     blocks; each pair of blocks is a group of its own."""
-    rooted = crowded.select("seg", "value", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = crowded.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = written(rooted.join(sets.select("node", F.size("s").alias("n")), "node"), "crowded", per_core=4)
-    apart = rooted.groupBy("seg", "value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n").alias("total")).filter("low <> high")
-    apart = written(apart.select("seg", "value", F.ceil(F.greatest(F.col("total"), F.lit(1)) / block).cast("int").alias("blocks")), "apart", small=True)
-    rows = rooted.join(apart, ["seg", "value"]).withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n").alias("total")).filter("low <> high")
+    apart = written(apart.select("key", F.ceil(F.greatest(F.col("total"), F.lit(1)) / block).cast("int").alias("blocks")), "apart", small=True)
+    rows = rooted.join(apart, "key").withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     meets = F.explode(F.filter(every, lambda k: (k != F.col("own")) | (F.col("blocks") == 1)))
-    rows = rows.withColumn("met", meets).select("seg", "value", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), "node", "root")
+    rows = rows.withColumn("met", meets).select("key", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), "node", "root")
 
     def run(table: pa.Table) -> pa.Table:
         node, (root, s) = table.column("node").to_numpy(), (table.column(k).combine_chunks() for k in ("root", "s"))
@@ -217,7 +217,7 @@ def crowded_links(crowded: DataFrame, sets: DataFrame, roots: DataFrame, similar
         ends = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(node[ends[:, 0]], pa.int64()), "b": pa.array(node[ends[:, 1]], pa.int64())})
 
-    return rows.join(sets, "node").groupBy("seg", "value", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return rows.join(sets, "node").groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def _two_bit_pairs(nodes: DataFrame, bucket: int) -> DataFrame:
@@ -256,7 +256,7 @@ def _lifted(links: DataFrame, roots: DataFrame) -> DataFrame:
     return out.select("a", "b")
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bucket: int = 16) -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bucket: int = 32) -> DataFrame:
     """Groups of near copies: texts linked by a Jaccard similarity of at least ``similarity`` on
     the sets of their ``shingle``-word shingles.
 
