@@ -111,33 +111,54 @@ def _parts(name: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.substring(name, i, j - i + 1)))))
 
 
-def borrow(entities: DataFrame, tables: DataFrame, threshold: int = 50) -> DataFrame:
-    """The table that fits an entity best: 50 for its name within the table's, 80 or 40 for the
-    schema, 10 for each column in common; from ``threshold``; the first in name order wins.
+#: Column names that too many tables have to tell anything (fixed values).
+COMMON_COLUMNS = ("id", "code", "name", "type", "status", "")
+
 
-    A pair that scores has a name, a schema or a column in common, so pairs come from three
-    joins on these and not from every entity with every table.
+def borrow(entities: DataFrame, tables: DataFrame, threshold: int = 50) -> DataFrame:
+    """The table that fits an entity best: 50 for its name within the table's, 80 for a schema
+    of its name or 40 for one that holds it or lies in it, 10 for each of its columns that holds
+    or lies in a column of the table; from ``threshold``; of equal scores the first ``ord`` wins.
+
+    ``entity``, ``fields``; ``table``, ``ord``, ``schema`` (may be null), ``columns``.  Names are
+    compared without case and underscores; columns that all tables have do not count.  A pair
+    that scores has a name, a schema or a column within another, so pairs come from joins on
+    the parts of names and not from every entity with every table.
     """
-    low = lambda c: F.transform(c, F.lower)
-    e = entities.select("entity", F.lower("entity").alias("name"), F.lower("module").alias("module"), low("fields").alias("fields"))
-    t = tables.select("table", "ord", F.lower("table").alias("t_name"), F.lower("schema").alias("t_schema"), low("columns").alias("columns"))
-    on = lambda left, right: e.select("entity", left.alias("k")).join(t.select("table", right.alias("k")), "k").select("entity", "table")
-    pairs = on(F.col("name"), F.explode(_parts(F.col("t_name")))).union(on(F.col("module"), F.explode(_parts(F.col("t_schema"))))).union(on(F.explode("fields"), F.explode("columns"))).distinct()
+    bare = lambda c: F.regexp_replace(F.lower(c), "_", "")
+    e = entities.select("entity", bare("entity").alias("name"), F.filter(F.transform("fields", bare), lambda f: ~f.isin(*COMMON_COLUMNS)).alias("fields"))
+    t = tables.select("table", "ord", bare("table").alias("t_name"), F.lower("schema").alias("t_schema"), F.transform("columns", bare).alias("columns"))
+    on = lambda left, right: e.select("entity", left.alias("k")).join(t.select("ord", right.alias("k")), "k").select("entity", "ord")
+    parts = lambda of: F.explode(F.array_distinct(F.flatten(F.transform(of, _parts))))
+    found = (
+        (F.col("name"), F.explode(_parts(F.col("t_name")))),
+        (F.col("name"), F.explode(_parts(F.col("t_schema")))),
+        (F.explode(_parts(F.col("name"))), F.col("t_schema")),
+        (F.explode("fields"), parts(F.col("columns"))),
+        (parts(F.col("fields")), F.explode("columns")),
+    )
+    pairs = None
+    for left, right in found:
+        pairs = on(left, right) if pairs is None else pairs.union(on(left, right))
     name = F.when(F.contains("t_name", "name"), 50).otherwise(0)
-    schema = F.when(F.col("t_schema") == F.col("module"), 80).when(F.contains("t_schema", "module"), 40).otherwise(0)
-    scored = pairs.join(e, "entity").join(t, "table").withColumn("score", name + schema + 10 * F.size(F.array_intersect("fields", "columns"))).filter(F.col("score") >= threshold)
+    schema = F.when(F.col("t_schema") == F.col("name"), 80).when(F.contains("t_schema", "name") | F.contains("name", "t_schema"), 40).otherwise(0)
+    alike = F.size(F.filter("fields", lambda f: F.exists("columns", lambda c: F.contains(c, f) | F.contains(f, c))))
+    scored = pairs.distinct().join(e, "entity").join(t, "ord").withColumn("score", name + schema + 10 * alike).filter(F.col("score") >= threshold)
     return scored.groupBy("entity").agg(F.max_by("table", F.struct("score", (-F.col("ord")).alias("o"))).alias("table"), F.max("score").alias("score"))
 
 
 def token_score(questions: DataFrame, tables: DataFrame, k: int = 4) -> DataFrame:
-    """Tables by the words of a question: 3 for the schema, 2 for a singular word in the name,
-    1 for the word as it is; the best ``k``."""
-    words = questions.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("w")).filter(F.length("w") >= 3)
-    rules = (("w", F.array(F.lower("schema")), 3), ("one", _parts(F.lower("table")), 2), ("w", _parts(F.lower("table")), 1))
-    keyed = words.withColumn("one", F.regexp_replace("w", "s$", ""))
+    """Tables by the words of a question, each as often as it occurs: 3 for a schema and 2 for a
+    table that holds the word in the singular, 1 for a table that holds the word as it is; the
+    best ``k``, ties in name order."""
+    words = questions.select("query_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("w")).filter(F.length("w") >= 3)
+    counted = words.groupBy("query_id", "w").agg(F.count("*").alias("times"))
+    one = F.when(F.col("w").endswith("ies"), F.concat(F.expr("left(w, length(w) - 3)"), F.lit("y"))).when(F.col("w").rlike("(?<!s)s$"), F.expr("left(w, length(w) - 1)")).otherwise(F.col("w"))
+    keyed = counted.withColumn("one", one)
     hits = None
-    for word, keys, points in rules:
-        found = keyed.select("query_id", F.col(word).alias("k")).join(tables.select("table", F.explode(keys).alias("k")), "k").select("query_id", "table", F.lit(points).alias("p"))
+    for word, of, points in (("one", "schema", 3), ("one", "table", 2), ("w", "table", 1)):
+        keys = tables.select("table", F.explode(_parts(F.lower(of))).alias("k"))
+        found = keyed.select("query_id", F.col(word).alias("k"), (F.col("times") * points).alias("p")).join(keys, "k").select("query_id", "table", "p")
         hits = found if hits is None else hits.union(found)
     scored = hits.groupBy("query_id", "table").agg(F.sum("p").alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "table"))).filter(F.col("rank") <= k)

@@ -82,12 +82,18 @@ def trigram_postings(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(T.trigrams(F.col("text"))).alias("tri"), "doc_id")
 
 
-def trigram_candidates(postings: DataFrame, pattern: str) -> DataFrame:
-    """Documents that hold every trigram of a pattern of three characters or more."""
+def trigram_candidates(docs: DataFrame, pattern: str) -> DataFrame:
+    """``doc_id`` of documents that hold every trigram of a pattern; a pattern of fewer than
+    three characters is looked for itself, in all documents.
+
+    One literal is answered by one pass; :func:`trigram_postings` is what to store for many.
+    """
     low = pattern.lower()
-    wanted = sorted({low[k : k + 3] for k in range(len(low) - 2)})
-    hits = postings.filter(F.col("tri").isin(*wanted))
-    return hits.groupBy("doc_id").agg(F.count_distinct("tri").alias("n")).filter(F.col("n") == len(wanted)).select("doc_id")
+    wanted = sorted({low[k : k + 3] for k in range(len(low) - 2)}) or [low]
+    found = F.lit(True)
+    for part in wanted:
+        found = found & F.lower("text").contains(part)
+    return docs.filter(found).select("doc_id")
 
 
 def holding_all(docs: DataFrame, terms: Sequence[str]) -> DataFrame:

@@ -81,7 +81,7 @@ def drift(stats: DataFrame, asked: DataFrame, rate: float = 0.05, least: int = 1
     return stats.join(F.broadcast(of), "d", "left").select("d", mean.alias("mean"), std.alias("std"))  # a row per dimension
 
 
-def associations(vectors: DataFrame, order: str, decay: float = 0.999, column: str = "embedding", dims: int | None = None) -> DataFrame:
+def associations(vectors: DataFrame, order: str, decay: float = 0.999, column: str = "embedding") -> DataFrame:
     """``i``, ``j``, ``value`` of the decayed sum of outer products of vectors in order.
 
     ``S <- decay * S + e e'`` over n vectors is ``sum of decay**(n - k) e_k e_k'``, one
@@ -89,7 +89,6 @@ def associations(vectors: DataFrame, order: str, decay: float = 0.999, column: s
     to count without gaps.
     """
     x = V.doubles(F.col(column))
-    x = F.slice(x, 1, dims) if dims else x
     last = F.broadcast(vectors.agg(F.max(order).alias("__last")))  # one row
     rows = vectors.crossJoin(last).select(F.pow(F.lit(decay), F.col("__last") - F.col(order)).alias("w"), x.alias("x"))
     left = rows.select("w", "x", F.posexplode("x").alias("i", "a"))

@@ -112,19 +112,41 @@ def suffix_join(spark, sf_dir):
     return op.suffix_join(spark.createDataFrame([("dbo.Orders",), ("orders",), ("x.y",)], "name string"), spark.createDataFrame([("orders",), ("items",)], "table string"))
 
 
-TABLES = [(0, "sales", "Orders", ["id", "total"]), (1, "sales", "OrderLines", ["id", "order_id"]), (2, "hr", "People", ["name"])]
+#: Part names as tables: the first word is the schema, the types are the columns.
+PARTS_SQL = """WITH t AS (SELECT min(p_partkey) AS ord, split_part(p_name, ' ', 1) AS schema, replace(p_name, ' ', '_') AS "table", list_distinct(list(p_type)) AS columns FROM part GROUP BY p_name)"""
 
 
-@query("borrow_best", "SELECT * FROM (VALUES ('order', 'Orders', 150), ('people', 'People', 60)) AS t(entity, \"table\", score)")
-def borrow_best(spark, sf_dir):
-    entities = spark.createDataFrame([("order", "sales", ["Id", "Total"]), ("people", "x", ["name"]), ("none", "y", ["id"])], "entity string, module string, fields array<string>")
-    return op.borrow(entities, spark.createDataFrame(TABLES, "ord int, schema string, table string, columns array<string>"))
+def _part_tables(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("ord"), F.collect_set("p_type").alias("columns"))
+    return rows.select("ord", F.split("p_name", " ")[0].alias("schema"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("table"), "columns")
 
 
-@query("table_token_score", "SELECT * FROM (VALUES (1::BIGINT, 'Orders', 6::BIGINT, 1), (1, 'OrderLines', 5, 2)) AS t(query_id, \"table\", score, rank)")
+@query(
+    "borrow_best",
+    PARTS_SQL
+    + """, e AS (SELECT entity, list_distinct(list(p_type)) AS fields FROM (SELECT split_part(p_name, ' ', 1) AS entity, p_type FROM part UNION ALL SELECT split_part(p_name, ' ', 2), p_type FROM part) GROUP BY entity),
+    b AS (SELECT entity, "table", ord, lower(entity) AS n, replace(lower("table"), '_', '') AS tn, lower(schema) AS sn,
+      list_transform(fields, lambda x: replace(lower(x), '_', '')) AS fields, list_transform(columns, lambda x: replace(lower(x), '_', '')) AS columns FROM e, t),
+    s AS (SELECT entity, "table", ord, CASE WHEN contains(tn, n) THEN 50 ELSE 0 END + CASE WHEN sn = n THEN 80 WHEN contains(sn, n) OR contains(n, sn) THEN 40 ELSE 0 END
+      + 10 * len(list_filter(fields, lambda f: len(list_filter(columns, lambda c: contains(c, f) OR contains(f, c))) > 0)) AS score FROM b)
+    SELECT entity, "table", score::INTEGER AS score FROM s WHERE score >= 50 QUALIFY row_number() OVER (PARTITION BY entity ORDER BY score DESC, ord) = 1""",
+)
+def borrow_best(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("entity"), "p_type")
+    return op.borrow(part.groupBy("entity").agg(F.collect_set("p_type").alias("fields")), _part_tables(spark, sf_dir))
+
+
+@query(
+    "table_token_score",
+    PARTS_SQL
+    + r""", w AS (SELECT p_partkey AS query_id, unnest(regexp_extract_all(lower(p_name || ' ' || p_type || 's'), '[a-z0-9]+')) AS w FROM part),
+    o AS (SELECT query_id, w, CASE WHEN w LIKE '%ies' THEN left(w, length(w) - 3) || 'y' WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN left(w, length(w) - 1) ELSE w END AS o FROM w WHERE length(w) > 2),
+    s AS (SELECT query_id, "table", sum(CASE WHEN contains(lower(schema), o) THEN 3 ELSE 0 END + CASE WHEN contains(lower("table"), o) THEN 2 ELSE 0 END + CASE WHEN contains(lower("table"), w) THEN 1 ELSE 0 END)::BIGINT AS score FROM o, t GROUP BY ALL)
+    SELECT query_id, "table", score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, "table")::INTEGER AS rank FROM s WHERE score > 0 QUALIFY rank <= 4""",
+)
 def table_token_score(spark, sf_dir):
-    asked = spark.createDataFrame([(1, "sales orders today")], "query_id long, text string")
-    return op.token_score(asked, spark.createDataFrame(TABLES, "ord int, schema string, table string, columns array<string>"))
+    asked = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.concat("p_name", F.lit(" "), "p_type", F.lit("s")).alias("text"))
+    return op.token_score(asked, _part_tables(spark, sf_dir))
 
 
 @query("column_match", "SELECT * FROM (VALUES ('Id', 'id', 2), ('total', 'total', 1), ('Name', 'strName', 3), ('orderId', 'order_id', 4), ('x', 'y', 0), ('none', NULL, NULL)) AS t(field, \"column\", rule)")

@@ -45,10 +45,9 @@ def tokenize(spark, sf_dir):
     return rows.select("doc_id", F.size("t").cast("long").alias("n"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
 
 
-@query("postings", "WITH " + TOKENS_SQL + "SELECT term, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM tokens WHERE term LIKE 'tha%' GROUP BY term")
+@query("postings", "WITH " + TOKENS_SQL + "SELECT term, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM tokens GROUP BY term")
 def postings(spark, sf_dir):
-    rows = op.term_freq(docs(spark, sf_dir)).filter(F.col("term").startswith("tha"))
-    return rows.groupBy("term").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    return op.term_freq(docs(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
 @query(
@@ -102,7 +101,7 @@ def search_exact(spark, sf_dir):
 
 @query("trigram_candidates", "SELECT doc_id FROM documents WHERE contains(lower(text), 'lic') AND contains(lower(text), 'ice') AND contains(lower(text), 'cen') AND contains(lower(text), 'ens') AND contains(lower(text), 'nse')")
 def trigram_candidates(spark, sf_dir):
-    return op.trigram_candidates(op.trigram_postings(docs(spark, sf_dir)), "License")
+    return op.trigram_candidates(docs(spark, sf_dir), "License")
 
 
 @query("grep_lines", r"SELECT doc_id, i::INTEGER AS line_no, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE regexp_matches(line, '[Ll]icensed? under')")
@@ -292,10 +291,10 @@ def cjk_bigrams(spark, sf_dir):
     return rows.select("id", F.explode(T.cjk_bigrams(F.col("text"))).alias("gram"))
 
 
-@query("token_bigrams", "WITH " + TOKENS_SQL + ", d AS (SELECT DISTINCT doc_id, term FROM tokens), b AS (SELECT doc_id, term, lead(term) OVER (PARTITION BY doc_id ORDER BY term) AS next FROM d) SELECT term || ' ' || next AS gram, count(*) AS n FROM b WHERE next IS NOT NULL AND term LIKE 'th%' GROUP BY 1")
+@query("token_bigrams", "WITH " + TOKENS_SQL + ", d AS (SELECT DISTINCT doc_id, term FROM tokens), b AS (SELECT doc_id, term, lead(term) OVER (PARTITION BY doc_id ORDER BY term) AS next FROM d) SELECT term || ' ' || next AS gram, count(*) AS n FROM b WHERE next IS NOT NULL GROUP BY 1")
 def token_bigrams(spark, sf_dir):
     pairs = T.ngrams(F.array_sort(F.array_distinct(T.tokens(F.col("text")))), 2)
-    grams = docs(spark, sf_dir).select(F.explode(pairs).alias("gram")).filter(F.col("gram").startswith("th"))
+    grams = docs(spark, sf_dir).select(F.explode(pairs).alias("gram"))
     return grams.groupBy("gram").agg(F.count("*").alias("n"))
 
 
@@ -305,11 +304,11 @@ def phrase_boost(spark, sf_dir):
     return op.phrase_boost(docs(spark, sf_dir), "licensed under the apache license")
 
 
-PAGES_SQL = "pages0 AS (SELECT source, doc_id AS page, 'Header of ' || source || chr(10) || left(text, 200) || chr(10) || ' COPY ' AS text FROM documents WHERE text IS NOT NULL)"
+PAGES_SQL = "pages0 AS (SELECT source, doc_id AS page, 'Header of ' || source || chr(10) || text || chr(10) || ' COPY ' AS text FROM documents WHERE text IS NOT NULL)"
 
 
 def _paged(spark, sf_dir):
-    body = F.concat(F.lit("Header of "), "source", F.lit("\n"), F.substring("text", 1, 200), F.lit("\n COPY "))
+    body = F.concat(F.lit("Header of "), "source", F.lit("\n"), "text", F.lit("\n COPY "))
     return docs(spark, sf_dir).filter("text is not null").select("source", F.col("doc_id").alias("page"), body.alias("text"))
 
 

@@ -148,11 +148,11 @@ def holo16(spark, sf_dir):
 
 @query(
     "s_slow",
-    WITH + """, w AS (SELECT vec_id, d, x, pow(0.999::DOUBLE, (SELECT max(vec_id) FROM embeddings) - vec_id) AS w FROM v WHERE d < 8)
+    WITH + """, w AS (SELECT vec_id, d, x, pow(0.999::DOUBLE, (SELECT max(vec_id) FROM embeddings) - vec_id) AS w FROM v)
     SELECT a.d::INTEGER AS i, b.d::INTEGER AS j, round(sum(a.w * a.x * b.x), 6) AS value FROM w a JOIN w b ON a.vec_id = b.vec_id GROUP BY 1, 2""",
 )
 def s_slow(spark, sf_dir):
-    return op.associations(vectors(spark, sf_dir), "vec_id", dims=8).withColumn("value", F.round("value", 6))
+    return op.associations(vectors(spark, sf_dir), "vec_id").withColumn("value", F.round("value", 6))
 
 
 @query(

@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from mnemospark.operators import components
+from mnemospark.operators import catalog, components
 from mnemospark.operators import frames as frame_ops
 from mnemospark.operators import graph, retrieval, state
 from mnemospark.operators import text as text_ops
@@ -235,3 +235,20 @@ def test_workbooks_and_parsed_pages(spark):
 def test_snapshot_of_a_module(spark, sf_dir, tmp_path):
     frame_ops.snapshot(frames(spark, sf_dir), "role:user", str(tmp_path / "module"))
     assert store.open_store(spark, str(tmp_path / "module")).count() == frame_ops.with_all_tags(frames(spark, sf_dir), ["role:user"]).count()
+
+
+def test_borrow_and_token_score_on_fixed_cases(spark):
+    """Names within names, schemas that hold or lie in the entity's name, columns too common to
+    count, words counted as often as they occur."""
+    rows = [(0, "sales", "Order_Lines", ["Id", "Order_Id"]), (1, "sales", "Orders", ["id", "total"]), (2, "people_hr", "People", ["name"]), (3, None, "Addresses", ["street"])]
+    tables = spark.createDataFrame(rows, "ord int, schema string, table string, columns array<string>")
+    entities = spark.createDataFrame([("Order", ["Id", "Total_Sum", "order"]), ("people", ["name"]), ("saleses", ["id"]), ("none", ["id", "name"])], "entity string, fields array<string>")
+    assert values(catalog.borrow(entities, tables).select("entity", "table", "score")) == [("Order", "Order_Lines", 60), ("people", "People", 90)]
+    asked = spark.createDataFrame([(1, "Sales orders, orders of addresses")], "query_id long, text string")
+    assert values(catalog.token_score(asked, tables).select("table", "score", "rank")) == [("Addresses", 3, 3), ("Order_Lines", 7, 2), ("Orders", 9, 1)]
+
+
+def test_short_patterns_are_looked_for_themselves(spark):
+    docs = spark.createDataFrame([(1, "a License"), (2, "LI"), (3, "x"), (4, None)], "doc_id long, text string")
+    assert values(text_ops.trigram_candidates(docs, "Li")) == [(1,), (2,)]
+    assert values(text_ops.trigram_candidates(docs, "license")) == [(1,)]
