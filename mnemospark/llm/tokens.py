@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents_of, raw_texts, small_batches
+from .common import documents_of, raw_texts, small_batches, written
 
 #: Vocabulary of the byte-level BPE, by its name among the public tokenizers or by path.
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -79,7 +79,8 @@ def length_histogram(docs: DataFrame, vocabulary: str = VOCABULARY, end_tokens:
     Suffix sums run within blocks of lengths, and over the blocks, so no task sorts more than
     ``block`` lengths or one row per block.
     """
-    counts = lengths(docs, vocabulary, end_tokens).withColumn("tokens", F.col("length") * F.col("n_docs")).withColumn("block", F.floor(F.col("length") / block))
+    counts = written(lengths(docs, vocabulary, end_tokens), "lengths", small=True)  # used twice, encoded once
+    counts = counts.withColumn("tokens", F.col("length") * F.col("n_docs")).withColumn("block", F.floor(F.col("length") / block))
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("block_docs"), F.sum("tokens").alias("block_tokens"))
     later = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
