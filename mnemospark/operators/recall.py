@@ -11,6 +11,7 @@ from ..functions import text as T
 from . import retrieval as R
 from . import text as X
 from .graph import concept_bridge
+from .index import TextIndex
 
 
 def phrases(query: str) -> list[str]:
@@ -23,14 +24,15 @@ def phrases(query: str) -> list[str]:
     return list(dict.fromkeys(x for x in clean if len(x) >= 3)) or [query.strip(" ?.!").lower()]
 
 
-def recall_fused(docs: DataFrame, query: str, k: int = 10) -> DataFrame:
+def recall_fused(docs: DataFrame, query: str, k: int = 10, index: TextIndex | None = None) -> DataFrame:
     """Lexical top 50, raised by documents that hold a rare phrase of the question, ties among
     the best settled by shared word runs.
 
     A phrase counts if at most ten documents hold it: fully up to five, then by ``5 / n``.
-    Returns ``doc_id``, ``score``, the best ``k``.
+    Returns ``doc_id``, ``score``, the best ``k``.  With an ``index`` of ``docs`` the lexical part
+    reads postings; phrases are one pass over the texts either way.
     """
-    base = X.top(X.bm25(docs, query), 50, F.col("score").desc(), "doc_id").withColumn("query_id", F.lit(0))
+    base = X.top(X.bm25(index or docs, query), 50, F.col("score").desc(), "doc_id").withColumn("query_id", F.lit(0))
     hits = [X.grep(docs, phrase).withColumn("phrase", F.lit(phrase)) for phrase in phrases(query)]
     found = hits[0]
     for more in hits[1:]:
@@ -44,33 +46,34 @@ def recall_fused(docs: DataFrame, query: str, k: int = 10) -> DataFrame:
     return X.ngram_tiebreak(with_text, query)
 
 
-def search_full(docs: DataFrame, query: str, k: int = 10) -> DataFrame:
+def search_full(docs: DataFrame, query: str, k: int = 10, index: TextIndex | None = None) -> DataFrame:
     """Questions about codes by keyword, short ones by fused recall, long ones by BM25 over
     windows of words blended into their documents."""
     parts = query.lower().split()
     if any(w in T.CODE_WORDS or re.fullmatch(r"\d{5,10}", w) for w in parts):
-        scores = X.bm25(docs, query).withColumn("query_id", F.lit(0))
+        scores = X.bm25(index or docs, query).withColumn("query_id", F.lit(0))
         counts = docs.select(F.lit(0).alias("query_id"), "doc_id", sum((T.count_of(F.col("text"), w) for w in parts if w in T.CODE_WORDS), F.lit(0)).alias("n")).filter("n > 0")
         return X.top(R.needle(scores, counts).select("doc_id", "score"), k, F.col("score").desc(), "doc_id")
     if len(parts) < 20:
-        return recall_fused(docs, query, k)
+        return recall_fused(docs, query, k, index)
     passages = docs.select("doc_id", F.explode(T.word_windows(F.col("text"))).alias("w")).select(F.struct("doc_id", "w.pos").alias("id"), F.col("w.part").alias("text"))
     by_passage = X.top(X.bm25(passages.withColumnRenamed("id", "doc_id"), query), 100, F.col("score").desc(), "doc_id")
-    whole = X.bm25(docs, query).select(F.lit(0).alias("query_id"), "doc_id", F.col("score").alias("own"))
+    whole = X.bm25(index or docs, query).select(F.lit(0).alias("query_id"), "doc_id", F.col("score").alias("own"))
     blended = R.passage_blend(whole, by_passage.select(F.lit(0).alias("query_id"), F.col("doc_id.doc_id").alias("doc_id"), "score"))
     return X.top(blended.select("doc_id", "score"), k, F.col("score").desc(), "doc_id")
 
 
-def ask(docs: DataFrame, query: str, links: DataFrame, symbols: DataFrame, k: int = 10) -> DataFrame:
+def ask(docs: DataFrame, query: str, links: DataFrame, symbols: DataFrame, k: int = 10, index: TextIndex | None = None) -> DataFrame:
     """Hits of the symbol, text and lexical engines and of links, merged by confidence.
 
     ``links`` has ``doc_id``, ``concept``; ``symbols`` has ``name``, ``doc_id``.  A document
     keeps its highest confidence; documents one concept away from the best four join behind
-    them; equal texts keep one; then the relative cut-off.  Reading changes no state.
+    them; equal texts keep one; then the relative cut-off.  Reading changes no state.  With an
+    ``index`` of ``docs`` only the texts of the best are read.
     """
     words = [w for w in dict.fromkeys(re.findall(r"\w+", query.lower())) if w not in T.QUESTION_STOPWORDS and (len(w) >= 3 or w.isdigit())]
     zero = F.lit(0).alias("query_id")
-    stats = X.lexical_stats(docs, words)
+    stats = X.lexical_stats(index or docs, index.query_terms(words) if index else words)
     rarity = F.greatest(F.lit(0.0), F.log(F.col("n_docs") / F.col("df"))) / F.greatest(F.lit(1.0), F.log("n_docs"))
     held = stats.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.max(rarity).alias("rarity"), F.sum(F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     text = R.grep_confidence(held.select(zero, "doc_id", "n_terms", "rarity"), len(words))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .index import TextIndex
 
 
 def term_freq(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -22,13 +23,16 @@ def word_idf(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.crossJoin(F.broadcast(n)).select("word", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # n: one row
 
 
-def lexical_stats(docs: DataFrame, terms: Sequence[str]) -> DataFrame:
+def lexical_stats(docs: DataFrame | TextIndex, terms: Sequence[str]) -> DataFrame:
     """Postings of the given terms with everything a lexical score needs: ``doc_id``, ``term``,
     ``tf``, ``df``, ``length`` (distinct terms of the document), ``n_docs``, ``mean_length``.
 
-    Tokens are filtered before they are counted, so only the query's terms are shuffled.
+    From an index only the postings of the terms are read.  From texts, tokens are filtered before
+    they are counted, so only the query's terms are shuffled; a null text is empty.
     """
-    found = docs.select("doc_id", T.tokens(F.col("text")).alias("all"))
+    if isinstance(docs, TextIndex):
+        return docs.stats(terms)
+    found = docs.select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("all"))
     sized = found.select("doc_id", "all", F.size(F.array_distinct("all")).cast("long").alias("length"))
     totals = sized.agg(F.count("*").alias("n_docs"), F.greatest(F.avg("length"), F.lit(1.0)).alias("mean_length"))
     each = sized.select("doc_id", "length", F.explode("all").alias("term")).filter(F.col("term").isin(*dict.fromkeys(terms)))
@@ -37,10 +41,16 @@ def lexical_stats(docs: DataFrame, terms: Sequence[str]) -> DataFrame:
     return hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(totals))  # df: a row per term asked; totals: one row
 
 
-def bm25(docs: DataFrame, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def _terms(docs: DataFrame | TextIndex, query: str) -> list[str]:
+    """Words of a query as the terms of what is searched: stemmed where its index is."""
+    words = query.lower().split()
+    return docs.query_terms(words) if isinstance(docs, TextIndex) else words
+
+
+def bm25(docs: DataFrame | TextIndex, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``doc_id``, ``score`` of all documents that hold a term of the query; a word that the
     query repeats counts as often."""
-    terms = query.lower().split()
+    terms = _terms(docs, query)
     times = F.create_map(*[F.lit(x) for t in dict.fromkeys(terms) for x in (t, float(terms.count(t)))])
     s = lexical_stats(docs, terms)
     idf = F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1
@@ -48,9 +58,9 @@ def bm25(docs: DataFrame, query: str, k1: float = 1.2, b: float = 0.75) -> DataF
     return s.withColumn("part", times[F.col("term")] * idf * F.col("tf") * (k1 + 1) / norm).groupBy("doc_id").agg(F.sum("part").alias("score"))
 
 
-def lexical_share(docs: DataFrame, query: str) -> DataFrame:
+def lexical_share(docs: DataFrame | TextIndex, query: str) -> DataFrame:
     """Share of the query's idf that a document matches, over all documents with a match."""
-    s = lexical_stats(docs, query.lower().split())
+    s = lexical_stats(docs, _terms(docs, query))
     idf = F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1
     known = s.select("term", idf.alias("idf")).distinct().agg(F.greatest(F.sum("idf"), F.lit(1.0)).alias("all_idf"))
     return s.withColumn("idf", idf).groupBy("doc_id").agg(F.sum("idf").alias("matched")).crossJoin(F.broadcast(known)).select("doc_id", (F.col("matched") / F.col("all_idf")).alias("score"))
@@ -82,12 +92,14 @@ def trigram_postings(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(T.trigrams(F.col("text"))).alias("tri"), "doc_id")
 
 
-def trigram_candidates(docs: DataFrame, pattern: str) -> DataFrame:
+def trigram_candidates(docs: DataFrame, pattern: str, index: TextIndex | None = None) -> DataFrame:
     """``doc_id`` of documents that hold every trigram of a pattern; a pattern of fewer than
     three characters is looked for itself, in all documents.
 
-    One literal is answered by one pass; :func:`trigram_postings` is what to store for many.
+    With an index the posting lists answer; without one a pass over the texts does.
     """
+    if index is not None and len(pattern) >= 3:
+        return index.trigram_candidates(pattern)
     low = pattern.lower()
     wanted = sorted({low[k : k + 3] for k in range(len(low) - 2)}) or [low]
     found = F.lit(True)

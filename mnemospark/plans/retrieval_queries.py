@@ -14,7 +14,7 @@ from ..operators import retrieval as op
 from ..operators import text as X
 from ..operators import vectors as W
 from .registry import query
-from .tables import table
+from .tables import table, text_index
 from .text_queries import LEX_SQL, QUERY
 from .vector_queries import V_SQL
 
@@ -149,13 +149,13 @@ SEM_SQL = "," + V_SQL + ", sem AS (SELECT c.vec_id AS doc_id, 1 - bit_count(xor(
     SELECT doc_id, round(score, 6) AS score, round(sem, 6) AS sem FROM r WHERE k <= greatest(n, 50)""",
 )
 def hybrid(spark, sf_dir):
-    lexical = X.lexical_share(table(spark, sf_dir, "documents"), QUERY).select(F.lit(0).alias("query_id"), "doc_id", F.col("score").alias("lex"))
+    lexical = X.lexical_share(text_index(spark, sf_dir), QUERY).select(F.lit(0).alias("query_id"), "doc_id", F.col("score").alias("lex"))
     found = op.hybrid(_semantic(spark, sf_dir), lexical)
     return found.select("doc_id", F.round("score", 6).alias("score"), F.round("sem", 6).alias("sem"))
 
 
 def _postings(spark, sf_dir):
-    s = X.lexical_stats(table(spark, sf_dir, "documents"), QUERY.split()).withColumn("idf", F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).withColumn("query_id", F.lit(0))
+    s = X.lexical_stats(text_index(spark, sf_dir), QUERY.split()).withColumn("idf", F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).withColumn("query_id", F.lit(0))
     asked = s.select("term", "idf").distinct().agg(F.avg("idf").alias("idf_mean"), (F.count_if(F.col("idf") > 2.5) / F.count("*")).alias("rare_share"))
     return s.crossJoin(F.broadcast(asked))  # one row
 
@@ -262,13 +262,13 @@ def span_density(spark, sf_dir):
 
 @query("recall_fused")
 def recall_fused(spark, sf_dir):
-    found = recall.recall_fused(table(spark, sf_dir, "documents"), "Apache License, Version of the License")
+    found = recall.recall_fused(table(spark, sf_dir, "documents"), "Apache License, Version of the License", index=text_index(spark, sf_dir))
     return found.withColumn("score", F.round("score", 6))
 
 
 @query("search_full")
 def search_full(spark, sf_dir):
-    found = recall.search_full(table(spark, sf_dir, "documents"), "which documents are licensed under the Apache license version and where is the text of the whole license said to be found in them")
+    found = recall.search_full(table(spark, sf_dir, "documents"), "which documents are licensed under the Apache license version and where is the text of the whole license said to be found in them", index=text_index(spark, sf_dir))
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -277,4 +277,4 @@ def ask(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     links = docs.select("doc_id", F.explode(F.array("lang", "source")).alias("concept"))
     symbols = docs.filter("doc_id % 100 = 0").select(F.concat(F.lit("symbol"), F.col("doc_id").cast("string")).alias("name"), "doc_id")
-    return recall.ask(docs, "Where is symbol100 licensed under the Apache license?", links, symbols).withColumn("conf", F.round("conf", 6))
+    return recall.ask(docs, "Where is symbol100 licensed under the Apache license?", links, symbols, index=text_index(spark, sf_dir)).withColumn("conf", F.round("conf", 6))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.index import TextIndex
+from ..scratch import own_folder
 from ..sources.frames import from_conversations
 
 
@@ -15,6 +19,23 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_conversations(table(spark, sf_dir, "conversations"))
 
 
+_indexes: dict[tuple[str, str], TextIndex] = {}
+
+
+def build_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """A new index of all documents in the shared folder, used by the queries that follow."""
+    path = f"{own_folder(spark)}/index-{uuid.uuid4().hex}"
+    index = TextIndex.create(spark, path).append(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    _indexes[spark.sparkContext.applicationId, sf_dir] = index
+    return index
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The index of all documents, built by the application's first query that needs it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    return _indexes[key] if key in _indexes else build_index(spark, sf_dir)
+
+
 #: The same frames as :func:`frames`: common table expressions to begin an oracle with.
 FRAMES_SQL = """
 c0 AS (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import text as op
 from .registry import query
-from .tables import TOKENS_SQL, table
+from .tables import TOKENS_SQL, build_index, table, text_index
 
 QUERY = "the license version worthless licensed the"
 TERMS = list(dict.fromkeys(QUERY.split()))
@@ -71,6 +71,18 @@ def bm25_all(spark, sf_dir):
     return op.bm25(docs(spark, sf_dir), QUERY).withColumn("score", F.round("score", 6))
 
 
+@query("bm25_indexed", LEX_SQL + "SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY round(score, 6) DESC, doc_id LIMIT 10")
+def bm25_indexed(spark, sf_dir):
+    rows = op.bm25(text_index(spark, sf_dir), QUERY).withColumn("score", F.round("score", 6))
+    return op.top(rows, 10, F.col("score").desc(), "doc_id")
+
+
+@query("index_build", "WITH " + TOKENS_SQL + "SELECT (SELECT count(*) FROM documents) AS n_docs, (SELECT count(*) FROM (SELECT DISTINCT doc_id, term FROM tokens)) AS n_terms")
+def index_build(spark, sf_dir):
+    n_docs, n_terms = build_index(spark, sf_dir).totals
+    return spark.createDataFrame([(n_docs, n_terms)], "n_docs long, n_terms long")
+
+
 @query("topk", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 25")
 def topk(spark, sf_dir):
     return op.top(docs(spark, sf_dir).select("doc_id", "n_chars"), 25, F.col("n_chars").desc(), "doc_id")
@@ -104,6 +116,11 @@ def trigram_candidates(spark, sf_dir):
     return op.trigram_candidates(docs(spark, sf_dir), "License")
 
 
+@query("trigrams_indexed", "SELECT doc_id FROM documents WHERE contains(lower(text), 'lic') AND contains(lower(text), 'ice') AND contains(lower(text), 'cen') AND contains(lower(text), 'ens') AND contains(lower(text), 'nse')")
+def trigrams_indexed(spark, sf_dir):
+    return op.trigram_candidates(docs(spark, sf_dir), "License", text_index(spark, sf_dir))
+
+
 @query("grep_lines", r"SELECT doc_id, i::INTEGER AS line_no, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE regexp_matches(line, '[Ll]icensed? under')")
 def grep_lines(spark, sf_dir):
     return op.grep_lines(docs(spark, sf_dir), "[Ll]icensed? under")

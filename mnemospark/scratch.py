@@ -37,6 +37,15 @@ def _remove(spark: SparkSession, folder: str) -> None:
         return
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's folder within the shared one; it goes when the driver process ends."""
+    top = f"{shared_folder(spark)}/mnemospark-{spark.sparkContext.applicationId}"
+    if top not in _scratch:
+        _scratch[top] = []
+        atexit.register(_remove, spark, top)
+    return top
+
+
 def written(df: DataFrame, name: str, small: bool = False, narrow: bool = False, per_core: int | None = None, files: int | None = None) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back.
 
@@ -55,10 +64,7 @@ def written(df: DataFrame, name: str, small: bool = False, narrow: bool = False,
         df = df.repartition(2 * cores)
     elif small or per_core or files:
         df = df.coalesce(max(1, min(files or 1 << 30, cores * (per_core or 1))))
-    top = f"{shared_folder(spark)}/mnemospark-{spark.sparkContext.applicationId}"
-    if top not in _scratch:
-        _scratch[top] = []
-        atexit.register(_remove, spark, top)
+    top = own_folder(spark)
     path = f"{top}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _scratch[top].append(path)

@@ -252,3 +252,70 @@ def test_short_patterns_are_looked_for_themselves(spark):
     docs = spark.createDataFrame([(1, "a License"), (2, "LI"), (3, "x"), (4, None)], "doc_id long, text string")
     assert values(text_ops.trigram_candidates(docs, "Li")) == [(1,), (2,)]
     assert values(text_ops.trigram_candidates(docs, "license")) == [(1,)]
+
+
+def _contents(texts, index, query):
+    return {(r.doc_id, round(r.score, 9)) for r in text_ops.bm25(texts, query).collect()}, {(r.doc_id, round(r.score, 9)) for r in text_ops.bm25(index, query).collect()}
+
+
+def test_index_in_batches_equals_texts(spark, sf_dir, tmp_path):
+    from mnemospark.operators.index import TextIndex
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    extra = spark.createDataFrame([(-1, None), (-2, ""), (-3, "Licen")], "doc_id long, text string")
+    index = TextIndex.create(spark, str(tmp_path / "i"), buckets=7)
+    index = index.append(docs.filter("doc_id % 2 = 0")).append(docs.filter("doc_id % 2 = 1")).append(extra)
+    left, right = _contents(docs.union(extra), index, "the license version the nosuchword")
+    assert left == right and left
+    for pattern in ("license", "nosuchword", "the"):
+        assert values(text_ops.trigram_candidates(docs.union(extra), pattern, index)) == values(text_ops.trigram_candidates(docs.union(extra), pattern))
+    assert values(text_ops.trigram_candidates(docs, "th", index)) == values(text_ops.trigram_candidates(docs, "th"))
+
+    # rows replaced and removed, a batch written twice, one that was never committed, a compaction
+    new = docs.filter("doc_id % 3 = 0").select("doc_id", F.lit("the one license").alias("text"))
+    kept = docs.filter("doc_id % 3 = 1").union(new)
+    index = index.append(new).append(new, 3).remove(docs.filter("doc_id % 3 = 2").union(extra))
+    left, right = _contents(kept, index, "the license version")
+    assert left == right and left
+    index._deal(spark.createDataFrame([("license", 7, 1, 1)], "term string, doc_id long, tf long, length long"), "postings", "term", 9)
+    for again in (TextIndex.open(spark, index.path), index.compacted(str(tmp_path / "c"), 3)):
+        assert _contents(kept, again, "the license version")[1] == left
+        assert values(text_ops.trigram_candidates(kept, "license", again)) == values(text_ops.trigram_candidates(kept, "license"))
+    assert TextIndex.open(spark, str(tmp_path / "c")).batches == [0]
+
+
+def test_empty_index_gives_no_rows(spark, tmp_path):
+    from mnemospark.operators.index import TextIndex
+
+    index = TextIndex.create(spark, str(tmp_path / "i"))
+    assert text_ops.bm25(index, "a b").count() == 0 and index.trigram_candidates("abc").count() == 0
+    index = index.append(spark.createDataFrame([], "doc_id long, text string")).remove(spark.createDataFrame([(1,)], "doc_id long"))
+    assert text_ops.bm25(index, "a b").count() == 0 and index.totals == (0, 0)
+
+
+def test_stemmed_index_meets_word_forms(spark, tmp_path):
+    from mnemospark.operators.index import TextIndex
+
+    docs = spark.createDataFrame([(1, "he licensed it"), (2, "two licenses, licensing"), (3, "nothing")], "doc_id long, text string")
+    index = TextIndex.create(spark, str(tmp_path / "i"), stemmed=True).append(docs)
+    assert sorted(r.doc_id for r in text_ops.bm25(index, "License").collect()) == [1, 2]
+    assert text_ops.bm25(docs, "License").count() == 0
+
+
+def test_index_of_a_stream_equals_batch(spark, sf_dir, tmp_path, streamed):
+    from mnemospark.operators.index import TextIndex
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stream = streamed(docs)
+    TextIndex.create(spark, str(tmp_path / "i"))
+    ingest.index_texts(stream, str(tmp_path / "i"), str(tmp_path / "c")).awaitTermination()
+    left, right = _contents(docs, TextIndex.open(spark, str(tmp_path / "i")), "the license")
+    assert left == right and left
+
+
+def test_index_reads_the_buckets_of_its_terms(spark, sf_dir):
+    from mnemospark.plans.tables import text_index
+
+    index = text_index(spark, sf_dir)
+    files = index.postings(["license"]).inputFiles()
+    assert files and len({f.split("bucket=")[1].split("/")[0] for f in files}) == 1
