@@ -46,6 +46,20 @@ def own_folder(spark: SparkSession) -> str:
     return top
 
 
+#: Bytes of the tables read for each file written, at most, however few cores there are.
+READ_PER_FILE = 64 << 20
+
+
+def read_bytes(df: DataFrame) -> int:
+    """Bytes of the files behind a plan, by their sizes and without a job; tables that are not
+    files have no known size and count nothing."""
+    leaves, total = df._jdf.queryExecution().analyzed().collectLeaves().iterator(), 0
+    while leaves.hasNext():
+        size = int(str(leaves.next().stats().sizeInBytes()))
+        total += size if size < 1 << 60 else 0
+    return total
+
+
 def written(df: DataFrame, name: str, small: bool = False, narrow: bool = False, per_core: int | None = None, files: int | None = None) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back.
 
@@ -56,14 +70,18 @@ def written(df: DataFrame, name: str, small: bool = False, narrow: bool = False,
     what an aggregation leaves, to at most one file a core of the cluster; ``per_core``, what
     comes from a shuffle of however many partitions, to at most so many; ``files``, to at most
     so many in all; ``narrow``, what a pass over texts tells in a few bytes a text, is dealt out
-    to two a core, so that the pass keeps its own number of tasks.
+    to two a core, so that the pass keeps its own number of tasks.  Where the tables behind ``df``
+    are large, :data:`READ_PER_FILE` raises all these numbers but ``files``, so that a task's share
+    does not grow with the input.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    if narrow:
-        df = df.repartition(2 * cores)
-    elif small or per_core or files:
-        df = df.coalesce(max(1, min(files or 1 << 30, cores * (per_core or 1))))
+    if narrow or small or per_core or files:
+        least = -(-read_bytes(df) // READ_PER_FILE)
+        if narrow:
+            df = df.repartition(max(2 * cores, least))
+        else:
+            df = df.coalesce(max(1, min(files or 1 << 30, max(cores * (per_core or 1), least))))
     top = own_folder(spark)
     path = f"{top}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)

@@ -319,3 +319,17 @@ def test_index_reads_the_buckets_of_its_terms(spark, sf_dir):
     index = text_index(spark, sf_dir)
     files = index.postings(["license"]).inputFiles()
     assert files and len({f.split("bucket=")[1].split("/")[0] for f in files}) == 1
+
+
+def test_files_of_intermediate_tables_grow_with_what_is_read(spark, sf_dir, monkeypatch):
+    from mnemospark import scratch
+
+    docs = table(spark, sf_dir, "documents")
+    size = scratch.read_bytes(docs.filter("doc_id > 1"))
+    assert size > 0 and scratch.read_bytes(docs.join(docs.select("doc_id"), "doc_id")) == 2 * size
+    assert scratch.read_bytes(spark.range(3).rdd.toDF("id long")) == 0
+    rows = docs.select("doc_id").repartition(40)
+    count = lambda **how: len(scratch.written(rows, "t", **how).inputFiles())
+    assert count(small=True) <= 4 and count(narrow=True) <= 8 and count(files=2) <= 2
+    monkeypatch.setattr(scratch, "READ_PER_FILE", size // 20)
+    assert count(small=True) >= 20 and count(narrow=True) >= 20 and count(files=2) <= 2
