@@ -10,13 +10,19 @@ def allowed(docs: DataFrame, roles: DataFrame, operation: str) -> DataFrame:
     """Documents that some role may use: the operation is the role's, an allowed tag (or ``*``)
     is on the document and no denied one; a denial counts within its role only.
 
-    Documents meet roles on tags, so only pairs with a tag in common exist.
+    Documents meet roles on tags, so only pairs with a tag in common exist.  Roles that allow
+    every document meet none: such a document is theirs unless as many of them deny it as there
+    are.
     """
-    able = roles.filter(F.array_contains("operations", operation))
-    tagged = docs.select("doc_id", F.explode(F.array_append("tags", F.lit("*"))).alias("tag"))
-    may = tagged.join(able.select("role", F.explode("allows").alias("tag")), "tag").select("doc_id", "role").distinct()
-    may_not = tagged.join(able.select("role", F.explode("denies").alias("tag")), "tag").select("doc_id", "role").distinct()
-    return docs.join(may.join(may_not, ["doc_id", "role"], "left_anti"), "doc_id", "left_semi")
+    able = roles.filter(F.array_contains("operations", operation) & ~F.array_contains("denies", "*"))
+    every = F.array_contains("allows", "*")
+    tagged = docs.select("doc_id", F.explode(F.array_distinct("tags")).alias("tag"))
+    on = lambda side, of: tagged.join(side.select("role", F.explode(of).alias("tag")), "tag").select("doc_id", "role").distinct()
+    may = on(able.filter(~every), "allows").join(on(able.filter(~every), "denies"), ["doc_id", "role"], "left_anti").select("doc_id")
+    denied = on(able.filter(every), "denies").groupBy("doc_id").agg(F.count("*").alias("denied"))
+    roles_of_all = able.filter(every).agg(F.countDistinct("role").alias("n"))
+    free = docs.select("doc_id").join(denied, "doc_id", "left").filter(F.coalesce("denied", F.lit(0)) < roles_of_all.scalar()).select("doc_id")
+    return docs.join(may.union(free), "doc_id", "left_semi")
 
 
 def deletable(docs: DataFrame, retention: DataFrame, now: Column) -> DataFrame:
@@ -60,6 +66,19 @@ def seal(rows: DataFrame, *fields: str) -> DataFrame:
     return rows.withColumn("seal", F.sha2(F.concat_ws("|", *fields), 256))
 
 
+def originals(puts: DataFrame) -> DataFrame:
+    """Store of original bytes from ``doc_id``, ``seq``, ``payload``: the last put of each document
+    with its SHA-256 and size."""
+    last = puts.groupBy("doc_id").agg(F.max_by("payload", "seq").alias("payload"))
+    return last.select("doc_id", F.sha2("payload", 256).alias("hash"), F.octet_length("payload").cast("long").alias("size"), "payload")
+
+
+def original(store: DataFrame, doc_ids: DataFrame) -> DataFrame:
+    """``doc_id``, ``payload`` of the documents asked that the store has, byte for byte; bytes that
+    do not give their hash any more are not returned."""
+    return store.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi").filter(F.sha2("payload", 256) == F.col("hash")).select("doc_id", "payload")
+
+
 def positional_diff(old: DataFrame, new: DataFrame, most: int = 5) -> DataFrame:
     """First positions at which two versions differ: ``pos``, ``old``, ``new``."""
     joined = old.select("pos", F.col("content").alias("old")).join(new.select("pos", F.col("content").alias("new")), "pos", "full_outer")
@@ -105,6 +124,26 @@ def suffix_join(names: DataFrame, tables: DataFrame) -> DataFrame:
     return names.withColumn("k", last("name")).join(tables.withColumn("k", last("table")), "k").drop("k")
 
 
+def procs_for(operations: DataFrame, procs: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Stored procedures that an operation should call: ``op``, ``proc``, ``confidence``, ``rule``.
+
+    ``operations`` has ``op``, ``method``, ``tables``; ``procs`` ``proc``, ``tables``, ``kinds``;
+    ``overrides`` ``op``, ``procs``.  An override with procedures wins.  Else those that refer to
+    one of the tables, by last part of the name and without case: medium confidence if writing
+    methods meet procedures that write, and others procedures that do anything; else low.  An
+    operation without any has a null ``proc``.
+    """
+    told = overrides.filter(F.size("procs") > 0).join(operations.select("op").distinct(), "op", "left_semi")
+    stated = told.select("op", F.explode("procs").alias("proc"), F.lit("explicit").alias("confidence"), F.lit("override.procs").alias("rule"))
+    last = lambda of: F.explode(F.array_distinct(F.transform(of, lambda t: F.lower(F.element_at(F.split(t, r"\."), -1))))).alias("k")
+    rest = operations.join(told, "op", "left_anti").withColumn("writes", F.upper(F.coalesce("method", F.lit(""))).isin("POST", "PUT", "PATCH", "DELETE"))
+    does = procs.select("proc", F.size("kinds") > 0, F.arrays_overlap(F.transform("kinds", F.lower), F.array(*map(F.lit, ("insert", "update", "delete")))), last("tables")).toDF("proc", "any", "change", "k")
+    met = rest.select("op", "writes", last("tables")).join(does, "k").select("op", "proc", F.when(F.col("writes"), F.col("change")).otherwise(F.col("any")).alias("fits")).distinct()
+    found = rest.select("op").join(met, "op", "left")
+    rule = F.when(F.col("proc").isNull(), "missing.no_proc_references").when(F.col("fits"), "heuristic.proc_method_aligned").otherwise("heuristic.proc_method_misaligned")
+    return stated.union(found.select("op", "proc", F.when(F.col("proc").isNull(), "none").when(F.col("fits"), "medium").otherwise("low"), rule))
+
+
 def _parts(name: Column) -> Column:
     """All substrings of a name: what it contains, as keys to join on."""
     n = F.length(name)

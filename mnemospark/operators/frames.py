@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..scratch import written
 from ..sources.frames import ACTIVE, DELETED, TOMBSTONE
 
 
@@ -29,6 +31,56 @@ def put(frames: DataFrame, new: DataFrame) -> DataFrame:
     return superseding(frames.select(*keep).unionByName(new.select(*keep)))
 
 
+# What a pillar puts before its own ids, and the kind of memory that it is.
+PREFIXES = {"episodic": "ep_", "semantic": "sem_", "procedural": "proc_", "external": "ext_", "code": "code_", "memory": "mem_", "document": "doc_"}
+MEMORY_TYPES = {"episodic": "episodic", "semantic": "factual", "procedural": "procedural", "external": "factual", "code": "factual", "memory": "relational", "document": "factual"}
+
+
+def _numbered(frames: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` with ``number``, from the number of frames on without gaps in order of reading, and
+    ``frame_id``, from the largest on.  Rows are counted per partition, so none are moved."""
+    rows = written(new.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__row", 33)
+    counts = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("__row").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per partition
+    starts = written(counts.select("part", "first", before.alias("before")), "starts", files=1)
+    have = frames.agg(F.count("*").alias("have"), F.coalesce(F.max("frame_id") + 1, F.lit(0)).alias("next"))
+    placed = rows.join(F.broadcast(starts), part == F.col("part")).crossJoin(F.broadcast(have)).withColumn("at", F.col("before") + F.col("__row") - F.col("first"))  # a row per partition; one row
+    return placed.withColumn("number", F.col("have") + F.col("at")).withColumn("frame_id", F.col("next") + F.col("at")).drop("__row", "part", "first", "before", "have", "next", "at")
+
+
+def remember(frames: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` (``content``) as frames with ids ``mem_`` and the number of frames before each."""
+    return _numbered(frames, new).withColumn("doc_id", F.concat(F.lit("mem_"), F.col("number").cast("string"))).drop("number")
+
+
+def remember_as(frames: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` (``doc_id``, ``content``, ``title``) as frames tagged ``link:`` with each concept
+    that the content links to; whole, never cut."""
+    tags = F.transform(T.wikilinks(F.coalesce("content", F.lit(""))), lambda c: F.concat(F.lit("link:"), c))
+    return _numbered(frames, new).withColumn("tags", tags).withColumn("memory_type", F.lit("episodic")).drop("number")
+
+
+def remember_with_pillar(frames: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` (``doc_id`` or null, ``content``, ``pillar``, ``tags``) as frames: a null id is the
+    pillar's prefix and a number, the pillar is a tag too and gives the kind of memory.  Links
+    are not looked for, since code has double brackets of its own."""
+    of = lambda values: F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("pillar")]
+    own = F.concat(of(PREFIXES), F.col("number").cast("string"))
+    tags = F.array_union(F.coalesce("tags", F.array().cast("array<string>")), F.array(F.concat(F.lit("pillar:"), "pillar")))
+    return _numbered(frames, new).withColumn("doc_id", F.coalesce("doc_id", own)).withColumn("tags", tags).withColumn("memory_type", of(MEMORY_TYPES)).drop("number")
+
+
+def put_binary(frames: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` (``doc_id``, ``payload``, ``pillar``, ``tags``) as frames whose content is bytes."""
+    return _numbered(frames, new).withColumn("content", F.lit(None).cast("string")).withColumn("memory_type", F.lit("episodic")).drop("number")
+
+
+def read_binary(frames: DataFrame) -> DataFrame:
+    """``doc_id``, ``payload`` of active frames: their bytes, or their text in UTF-8."""
+    return current(frames).select("doc_id", F.coalesce("payload", F.encode("content", "UTF-8")).alias("payload"))
+
+
 def current(frames: DataFrame) -> DataFrame:
     """Active frames."""
     return frames.filter(F.col("status") == ACTIVE)

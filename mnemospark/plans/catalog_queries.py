@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalog as op
+from ..sources import files
 from .registry import query
 from .tables import FRAMES_SQL, frames, table
 
@@ -198,3 +199,39 @@ def glossary_lookup(spark, sf_dir):
 def type_fits(spark, sf_dir):
     rows = spark.createDataFrame([("string", "NVARCHAR(50)"), ("integer", "decimal(9,2)"), ("number", "decimal(9,2)"), ("blob", "int")], "logical string, sql string")
     return rows.withColumn("fits", op.type_fits(F.col("logical"), F.col("sql")))
+
+
+@query("originals", WITH + " SELECT doc_id, sha256(max_by(content, turn)) AS hash, strlen(max_by(content, turn))::BIGINT AS size FROM frames GROUP BY doc_id")
+def originals(spark, sf_dir):
+    store = op.originals(frames(spark, sf_dir).select("doc_id", F.col("turn").alias("seq"), F.encode("content", "UTF-8").alias("payload")))
+    back = op.original(store, store.select("doc_id"))
+    return back.select("doc_id", F.sha2("payload", 256).alias("hash"), F.octet_length("payload").cast("long").alias("size"))
+
+
+@query(
+    "proc_for_op",
+    """WITH o AS (SELECT s_suppkey AS op, CASE s_suppkey % 3 WHEN 0 THEN 'POST' WHEN 1 THEN 'get' END AS method, n_name AS k FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_nationkey <> 3),
+    p AS (SELECT 'p_' || n_name AS proc, n_name AS k, n_nationkey % 3 AS kind FROM nation),
+    f AS (SELECT op, proc, CASE WHEN method = 'POST' THEN kind = 1 ELSE kind > 0 END AS fits FROM o JOIN p USING (k) WHERE op <> 2)
+    SELECT op, proc, CASE WHEN fits THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN fits THEN 'heuristic.proc_method_aligned' ELSE 'heuristic.proc_method_misaligned' END AS rule FROM f
+    UNION ALL SELECT s_suppkey, NULL, 'none', 'missing.no_proc_references' FROM supplier WHERE s_nationkey = 3 AND s_suppkey <> 2
+    UNION ALL SELECT 2, p, 'explicit', 'override.procs' FROM (VALUES ('a'), ('b')) AS t(p)""",
+)
+def proc_for_op(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    calls = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    method = F.when(F.col("s_suppkey") % 3 == 0, "POST").when(F.col("s_suppkey") % 3 == 1, "get")
+    named = F.when(F.col("s_nationkey") == 3, "nowhere").otherwise(F.col("n_name"))
+    calls = calls.select(F.col("s_suppkey").alias("op"), method.alias("method"), F.array(F.concat(F.lit("dbo."), named)).alias("tables"))
+    kinds = F.when(F.col("n_nationkey") % 3 == 1, F.array(F.lit("Select"), F.lit("Insert"))).when(F.col("n_nationkey") % 3 == 2, F.array(F.lit("Select"))).otherwise(F.array().cast("array<string>"))
+    procs = nation.select(F.concat(F.lit("p_"), "n_name").alias("proc"), F.array(F.lower("n_name")).alias("tables"), kinds.alias("kinds"))
+    return op.procs_for(calls, procs, spark.createDataFrame([(2, ["a", "b"]), (4, [])], "op long, procs array<string>"))
+
+
+@query(
+    "directive_source",
+    r"""SELECT page_id, CASE WHEN regexp_matches(url, '^https?://') THEN CASE WHEN regexp_matches(lower(url), '\.(yaml|yml|json)$') OR contains(lower(url), 'openapi') OR contains(lower(url), 'swagger') THEN 'openapi'
+    WHEN regexp_matches(lower(url), '\.(md|markdown)$') THEN 'markdown' END END AS source FROM pages""",
+)
+def directive_source(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", files.directive_source(F.col("url")).alias("source"))

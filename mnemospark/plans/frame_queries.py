@@ -246,3 +246,23 @@ def parse_tag(spark, sf_dir):
 def memory_manifest(spark, sf_dir):
     line = F.substring(F.regexp_replace("content", r"[\x20\x09-\x0D]+", " "), 1, 80).alias("line")
     return op.current(frames(spark, sf_dir)).filter("pillar = 'semantic'").select("doc_id", line)
+
+
+@query(
+    "remember_with_pillar",
+    WITH + """ SELECT pillar, CASE pillar WHEN 'semantic' THEN 'factual' ELSE pillar END AS memory_type, CASE pillar WHEN 'episodic' THEN 'ep' WHEN 'semantic' THEN 'sem' ELSE 'proc' END AS prefix,
+    count(*) AS n, count(*) AS n_ids, count(*) AS n_tagged FROM frames GROUP BY pillar""",
+)
+def remember_with_pillar(spark, sf_dir):
+    rows = frames(spark, sf_dir)
+    new = rows.select(F.lit(None).cast("string").alias("doc_id"), "content", "pillar", "tags")
+    found = op.remember_with_pillar(rows, new).withColumn("prefix", F.split_part("doc_id", F.lit("_"), F.lit(1)))
+    tagged = F.count_if(F.array_contains("tags", F.concat(F.lit("pillar:"), "pillar")))
+    return found.groupBy("pillar", "memory_type", "prefix").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_ids"), tagged.alias("n_tagged"))
+
+
+@query("binary_round_trip", WITH + " SELECT doc_id, sha256(content) AS hash FROM frames WHERE status = 'active'")
+def binary_round_trip(spark, sf_dir):
+    rows = frames(spark, sf_dir)
+    new = op.put_binary(rows, rows.select("doc_id", F.encode("content", "UTF-8").alias("payload"), "pillar", "tags", "created_at", "status"))
+    return op.read_binary(new).select("doc_id", F.sha2("payload", 256).alias("hash"))

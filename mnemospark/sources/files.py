@@ -158,6 +158,15 @@ def pointer(doc_id: Column, uri: Column, mime: Column, summary: Column) -> list[
     return [doc_id.alias("doc_id"), summary.alias("content"), F.lit("external").alias("pillar"), tags.alias("tags")]
 
 
+def directive_source(path: Column) -> Column:
+    """Reader of a directive by its path or address: ``openapi``, ``markdown``, null if none."""
+    low = F.lower(path)
+    described = low.rlike(r"\.(yaml|yml|json)$")
+    web = path.rlike("^https?://")
+    spec = F.when(web, described | low.contains("openapi") | low.contains("swagger")).when(path.rlike("^[A-Za-z]*://"), F.lit(False)).otherwise(described)
+    return F.when(spec, "openapi").when(low.rlike(r"\.(md|markdown)$"), "markdown")
+
+
 def openapi_operations(specs: DataFrame) -> DataFrame:
     """Operations of OpenAPI documents (``file``, ``text`` as JSON): ``path``, ``method``,
     ``operation_id``."""

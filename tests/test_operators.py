@@ -333,3 +333,42 @@ def test_files_of_intermediate_tables_grow_with_what_is_read(spark, sf_dir, monk
     assert count(small=True) <= 4 and count(narrow=True) <= 8 and count(files=2) <= 2
     monkeypatch.setattr(scratch, "READ_PER_FILE", size // 20)
     assert count(small=True) >= 20 and count(narrow=True) >= 20 and count(files=2) <= 2
+
+
+def test_roles_of_all_documents(spark):
+    tags = {1: ["a"], 2: ["b"], 3: [], 4: ["a", "b"], 5: None, 6: ["c", "c"]}
+    docs = spark.createDataFrame(list(tags.items()), "doc_id long, tags array<string>")
+    every = [("x", ["*"], ["a"], ["read"]), ("y", ["*"], ["b"], ["read"]), ("z", ["c"], [], ["read"]), ("w", ["*"], [], ["write"]), ("v", ["a", "b"], ["*"], ["read"])]
+    for k in range(1, len(every) + 1):
+        rows = every[:k]
+        roles = spark.createDataFrame(rows, "role string, allows array<string>, denies array<string>, operations array<string>")
+        may = lambda t: any("read" in o and set(t + ["*"]) & set(a) and not set(t + ["*"]) & set(d) for _, a, d, o in rows)  # noqa: B023, E731
+        assert {r.doc_id for r in catalog.allowed(docs, roles, "read").collect()} == {i for i, t in tags.items() if may(t or [])}
+
+
+def test_remember_numbers_without_gaps(spark):
+    have = spark.createDataFrame([(41, "d", "active")], "frame_id long, doc_id string, status string")
+    new = spark.range(100).repartition(7).select(F.concat(F.lit("see [[Plan B]] "), F.col("id").cast("string")).alias("content"))
+    found = frame_ops.remember(have, new)
+    assert sorted(found.select("doc_id").toPandas().doc_id) == sorted(f"mem_{k}" for k in range(1, 101))
+    assert sorted(r.frame_id for r in found.collect()) == list(range(42, 142))
+    assert frame_ops.remember(have, new.limit(0)).count() == 0
+    titled = frame_ops.remember_as(have, new.limit(1).withColumn("doc_id", F.lit("n")).withColumn("title", F.lit("t")))
+    assert values(titled.select("doc_id", "title", "tags")) == [("n", "t", ["link:plan b"])]
+    kept = frame_ops.remember_with_pillar(have, spark.createDataFrame([(None, "[[x]]", "code", None), ("own", "y", "semantic", ["pillar:semantic"])], "doc_id string, content string, pillar string, tags array<string>").coalesce(1))
+    assert values(kept.select("doc_id", "tags", "memory_type")) == [("code_1", ["pillar:code"], "factual"), ("own", ["pillar:semantic"], "factual")]
+
+
+def test_originals_are_verified(spark):
+    puts = spark.createDataFrame([("a", 1, b"x"), ("a", 2, b"\xff\x00"), ("b", 1, b"")], "doc_id string, seq long, payload binary")
+    kept = catalog.originals(puts)
+    asked = spark.createDataFrame([("a",), ("b",), ("c",)], "doc_id string")
+    assert values(catalog.original(kept, asked)) == [("a", bytearray(b"\xff\x00")), ("b", bytearray(b""))]
+    broken = kept.withColumn("payload", F.when(F.col("doc_id") == "a", F.encode(F.lit("y"), "UTF-8")).otherwise(F.col("payload")))
+    assert [r.doc_id for r in catalog.original(broken, asked).collect()] == ["b"]
+
+
+def test_directive_sources(spark):
+    cases = {"a/B.YAML": "openapi", "x.json": "openapi", "http://h/openapi": "openapi", "http://h/page": None, "https://h/a.yml": "openapi", "ftp://h/a.yaml": None, "notes.MD": "markdown", "n.markdown": "markdown", "a.txt": None}
+    rows = spark.createDataFrame([(k,) for k in cases], "path string")
+    assert dict(values(rows.select("path", files.directive_source(F.col("path"))))) == cases
