@@ -137,6 +137,14 @@ def full_hybrid(postings: DataFrame, semantic: DataFrame) -> DataFrame:
     return joined.select("query_id", "doc_id", (weight * F.col("sem") + (1 - weight) * F.coalesce("lex", F.lit(0.0))).alias("score"))
 
 
+def champions(postings: DataFrame, semantic: DataFrame, depth: int = 50) -> DataFrame:
+    """:func:`full_hybrid` of each query's ``depth`` best by meaning only, ties to the smaller id;
+    postings of other documents are dropped before they are scored."""
+    best = Window.partitionBy("query_id").orderBy(F.col("sem").desc(), "doc_id")
+    few = semantic.withColumn("__rank", F.row_number().over(best)).filter(F.col("__rank") <= depth).drop("__rank")
+    return full_hybrid(postings.join(F.broadcast(few.select("query_id", "doc_id")), ["query_id", "doc_id"], "left_semi"), few)  # depth rows a query
+
+
 def float_hybrid(postings: DataFrame, semantic: DataFrame, weight: float = 0.5) -> DataFrame:
     """The variant with fixed 70/30 weights for rare and common terms and BM25 saturation."""
     norm = F.greatest(0.65 + 0.35 * F.col("length") / F.col("mean_length"), F.lit(0.5))

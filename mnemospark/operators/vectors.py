@@ -46,14 +46,24 @@ def nearest(rows: DataFrame, queries: DataFrame, score: Column, k: int, key: str
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(order, key))).filter(F.col("rank") <= k)
 
 
-def mad_scale(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """Per dimension twice the median distance from the mean (upper median), within 0.05..0.5."""
+def mad_scale(vectors: DataFrame, column: str = "embedding", bins: int = 4096) -> DataFrame:
+    """Per dimension twice the median distance from the mean (upper median), within 0.05..0.5.
+
+    The exact median without sorting a dimension: a histogram, summed before it is shuffled, tells
+    the bin that holds it, and only the distinct values of that bin are ranked.
+    """
     rows = vectors.select(F.posexplode(V.doubles(F.col(column))).alias("d", "x"))
     stats = dimension_stats(vectors, column).select("d", "mean")
     far = rows.join(F.broadcast(stats), "d").select("d", F.abs(F.col("x") - F.col("mean")).alias("far"))  # a row per dimension
-    ranked = far.withColumn("k", F.row_number().over(Window.partitionBy("d").orderBy("far"))).withColumn("n", F.count("*").over(Window.partitionBy("d")))
-    middle = ranked.filter(F.col("k") == F.floor(F.col("n") / 2) + 1)
-    return middle.select("d", F.least(F.greatest(2 * F.col("far"), F.lit(0.05)), F.lit(0.5)).alias("scale"))
+    ends = far.groupBy("d").agg(F.max("far").alias("most"), (F.floor(F.count("*") / 2) + 1).alias("want"))
+    place = F.when(F.col("most") > 0, F.least(F.floor(F.col("far") / F.col("most") * bins), F.lit(bins - 1))).otherwise(0)
+    placed = far.join(F.broadcast(ends), "d").withColumn("bin", place)  # a row per dimension
+    upto = lambda order: F.sum("n").over(Window.partitionBy("d").orderBy(order))
+    counts = placed.groupBy("d", "want", "bin").agg(F.count("*").alias("n")).withColumn("upto", upto("bin"))
+    middle = counts.filter((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("n") < F.col("want"))).select("d", "bin", (F.col("want") - F.col("upto") + F.col("n")).alias("left"))
+    inside = placed.join(F.broadcast(middle), ["d", "bin"]).groupBy("d", "left", "far").agg(F.count("*").alias("n")).withColumn("upto", upto("far"))  # a row per dimension
+    found = inside.filter((F.col("upto") >= F.col("left")) & (F.col("upto") - F.col("n") < F.col("left")))
+    return found.select("d", F.least(F.greatest(2 * F.col("far"), F.lit(0.05)), F.lit(0.5)).alias("scale"))
 
 
 def mean_pool(rows: DataFrame, key: str, column: str = "embedding") -> DataFrame:

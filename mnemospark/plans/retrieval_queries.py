@@ -175,6 +175,11 @@ def full_hybrid(spark, sf_dir):
     return op.full_hybrid(_postings(spark, sf_dir), _semantic(spark, sf_dir)).select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query("champions", FULL_SQL + "SELECT doc_id, round(coalesce(alpha, 1) * sem + (1 - coalesce(alpha, 1)) * coalesce(lex, 0), 6) AS score FROM (SELECT * FROM sem ORDER BY sem DESC, doc_id LIMIT 50) LEFT JOIN x USING (doc_id)")
+def champions(spark, sf_dir):
+    return op.champions(_postings(spark, sf_dir), _semantic(spark, sf_dir)).select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query(
     "hybrid_float",
     LEX_SQL + SEM_SQL + """, w AS (SELECT doc_id, sum(CASE WHEN idf > 2.5 THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END * idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * greatest(0.65::DOUBLE + 0.35::DOUBLE * length / mean_length, 0.5))) AS t FROM lex GROUP BY doc_id)

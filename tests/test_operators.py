@@ -372,3 +372,16 @@ def test_directive_sources(spark):
     cases = {"a/B.YAML": "openapi", "x.json": "openapi", "http://h/openapi": "openapi", "http://h/page": None, "https://h/a.yml": "openapi", "ftp://h/a.yaml": None, "notes.MD": "markdown", "n.markdown": "markdown", "a.txt": None}
     rows = spark.createDataFrame([(k,) for k in cases], "path string")
     assert dict(values(rows.select("path", files.directive_source(F.col("path"))))) == cases
+
+
+def test_median_distance_of_ties_and_even_counts(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 5, 200):
+        x = np.round(rng.normal(size=(n, 3)), 1)
+        x[:, 2] = 1.0
+        rows = spark.createDataFrame([(r.tolist(),) for r in x], "embedding array<double>")
+        far = np.sort(np.abs(x - x.mean(0)), axis=0)[n // 2]
+        got = dict(values(vector_ops.mad_scale(rows, bins=8)))
+        assert [round(got[d], 9) for d in range(3)] == [round(min(max(2 * far[d], 0.05), 0.5), 9) for d in range(3)]
