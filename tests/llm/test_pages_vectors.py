@@ -61,15 +61,54 @@ def test_boxes_without_names_go_by_their_ratios():
     assert html_extract.main_text(page.replace("<body>", "<body class='sidebar menu'>")) == want
 
 
+LONG = "<p>The rose is a flower, and people have grown it for ages; gardens hold it, poets name it.</p>"
+
+
+@pytest.mark.parametrize(
+    ("part", "text"),
+    [
+        ('<p>The <span class="share-price">price of 12</span> rose, and then it fell.</p>', "The price of 12 rose, and then it fell."),
+        ('<p>We look for <em class="search-term">whales</em> here, and often.</p>', "We look for whales here, and often."),
+        ('<pre><code><span class="hljs-comment"># set x</span>\nx = 1</code></pre>', "# set x x = 1"),
+        ('<pre><div class="comment"># set x</div><div>x = 1</div></pre>', "# set x x = 1"),
+        ('<p>A <span class="comment">remark</span> within.</p>', "A remark within."),
+        ('<div class="related-work"><p>Others have, before us, grown roses; they wrote about it.</p></div>', "Others have, before us, grown roses; they wrote about it."),
+        ('<div class="form-of-government"><p>A republic, since the war, with two houses.</p></div>', "A republic, since the war, with two houses."),
+        ('<p>So <math><mi>a</mi><mo>=</mo><mn>1</mn></math> holds, as shown.</p>', "So a=1 holds, as shown."),
+        ('<div class="notice"><p>The plague came in 1348, and with it, as the notices said, an end to trade; few, if any, were left to tell.</p></div>', "The plague came in 1348, and with it, as the notices said, an end to trade; few, if any, were left to tell."),
+        ('<div class="share-buttons">Share</div>', ""),
+        ('<div class="ad-container">Buy it now, all of you, at last, for it is cheap, good, and ours; buy it, and buy more.</div>', ""),
+        ('<div class="related-posts"><ul><li>Tulips</li><li>Lilies</li></ul></div>', ""),
+        ('<section class="comments"><p>I liked it, said a reader, and so on, at length, for as long as there was room.</p></section>', ""),
+        ('<form class="x">Mail</form><nav>Up</nav>', ""),
+    ],
+)
+@pytest.mark.parametrize("around", ["article", "main"])
+def test_names_within_an_article(part, text, around):
+    page = f'<body><nav>Home</nav><{around}>{LONG}{part}{LONG}</{around}><div class="site-footer">Imprint</div></body>'
+    rose = re.sub("<.*?>", "", LONG)
+    assert html_extract.main_text(page) == " ".join(x for x in (rose, text, rose) if x)
+
+
+def test_deep_nesting_keeps_text():
+    for n in (100, 700, 5000):
+        page = "<article>" + LONG + "<div>" * n + "<p>Deep down, there is more, and it counts.</p>" + "</div>" * n + LONG + "</article>"
+        assert "Deep down, there is more, and it counts." in html_extract.main_text(page)
+
+
 def test_ratios_decide(spark, sf_dir, monkeypatch):
-    """Without the word list nearly all pages stay the same, without the ratios none does."""
+    """Where pages declare their boilerplate, ratios change nothing; where they do not (the same
+    pages with all elements of meaning made plain boxes), ratios give nearly all texts, and
+    without them none is right."""
     pages = [r.html for r in spark.read.parquet(f"{sf_dir.replace('0.001', '0.1')}/pages.parquet").collect()]
     want = [html_extract.main_text(p) for p in pages]
-    with monkeypatch.context() as m:
-        m.setattr(html_extract, "path_values", lambda paths, texts, beside: (dict.fromkeys(paths, 1.0), 0.0))
-        assert not any(html_extract.main_text(p) == w for p, w in zip(pages, want, strict=True))
-    monkeypatch.setattr(html_extract, "NOT_CONTENT", frozenset())
-    assert sum(html_extract.main_text(p) == w for p, w in zip(pages, want, strict=True)) >= 0.95 * len(pages)
+    bare = [re.sub(r'<(/?)(?:article|nav|footer)\b|<()div class="ad"', r"<\1div", p) for p in pages]
+    right = sum(html_extract.main_text(p) == w for p, w in zip(bare, want, strict=True))
+    assert right >= 0.9 * len(pages)
+    even = lambda paths, texts, beside, claimed: ({p: float(not b) for p, b in zip(paths, beside, strict=True)}, 0.5)
+    monkeypatch.setattr(html_extract, "path_values", even)
+    assert not any(html_extract.main_text(p) == w for p, w in zip(bare, want, strict=True))
+    assert sum(html_extract.main_text(p) == w for p, w in zip(pages, want, strict=True)) == len(pages)
 
 
 class Nodes(HTMLParser):
