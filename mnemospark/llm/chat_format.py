@@ -138,5 +138,6 @@ def digests(chats: DataFrame) -> DataFrame:
 def planted(conversations: DataFrame, conv_id: int, text: str) -> DataFrame:
     """The four columns of ``conversations`` and one conversation more: a user and an assistant,
     both saying ``text``."""
-    columns = conversations.select("conv_id", "turn", "role", "text")
-    return columns.union(conversations.sparkSession.createDataFrame([(conv_id, 0, "user", text), (conv_id, 1, LEARNED, text)], "conv_id long, turn long, role string, text string"))
+    both = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role")) for k, role in enumerate(("user", LEARNED))]))
+    rows = conversations.sparkSession.range(1).select(both.alias("r")).select(F.lit(conv_id).cast("long").alias("conv_id"), "r.turn", "r.role", F.lit(text).alias("text"))
+    return conversations.select("conv_id", "turn", "role", "text").union(rows)
