@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,15 @@ def phrases(query: str) -> list[str]:
     return list(dict.fromkeys(x for x in clean if len(x) >= 3)) or [query.strip(" ?.!").lower()]
 
 
+def _phrase_hits(docs: DataFrame, wanted: list[str]) -> DataFrame:
+    """``doc_id``, ``phrase`` and how often the document's text holds it, for all phrases in one
+    pass over the texts."""
+    low = docs.select("doc_id", F.lower("text").alias("text"))
+    some = low.filter(reduce(or_, [F.col("text").contains(p.lower()) for p in wanted]))
+    counts = F.array(*[F.struct(F.lit(p).alias("phrase"), T.count_of(F.col("text"), p).alias("n")) for p in wanted])
+    return some.select("doc_id", F.explode(F.filter(counts, lambda c: c["n"] > 0)).alias("c")).select("doc_id", "c.phrase", "c.n")
+
+
 def recall_fused(docs: DataFrame, query: str, k: int = 10, index: TextIndex | None = None) -> DataFrame:
     """Lexical top 50, raised by documents that hold a rare phrase of the question, ties among
     the best settled by shared word runs.
@@ -33,10 +44,7 @@ def recall_fused(docs: DataFrame, query: str, k: int = 10, index: TextIndex | No
     reads postings; phrases are one pass over the texts either way.
     """
     base = X.top(X.bm25(index or docs, query), 50, F.col("score").desc(), "doc_id").withColumn("query_id", F.lit(0))
-    hits = [X.grep(docs, phrase).withColumn("phrase", F.lit(phrase)) for phrase in phrases(query)]
-    found = hits[0]
-    for more in hits[1:]:
-        found = found.unionByName(more)
+    found = _phrase_hits(docs, phrases(query))
     spread = found.groupBy("phrase").agg(F.count("*").alias("docs")).filter("docs <= 10")
     weight = F.col("n") * F.when(F.col("docs") <= 5, 1.0).otherwise(5.0 / F.col("docs"))
     specific = found.join(F.broadcast(spread), "phrase").groupBy("doc_id").agg(F.sum(weight).alias("mentions")).withColumn("query_id", F.lit(0))  # at most a row per phrase

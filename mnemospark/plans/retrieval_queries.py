@@ -247,16 +247,16 @@ def authority_boost(spark, sf_dir):
     return op.authority(h, {"text": 1.5, "symbol": 0.5}, 5).withColumn("score", F.round("score", 6))
 
 
-@query(
-    "span_density",
-    r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term, generate_subscripts(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), 1) - 1 AS pos FROM documents),
+SPAN_SQL = r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term, generate_subscripts(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), 1) - 1 AS pos FROM documents),
     h AS (SELECT * FROM t WHERE term IN ('license', 'version', 'under')),
     n AS (SELECT doc_id FROM h GROUP BY 1 HAVING count(DISTINCT term) >= 2),
     k AS (SELECT doc_id, count(DISTINCT term) AS k FROM h GROUP BY 1),
     l AS (SELECT h.doc_id, h.pos, u.term, max(u.pos) AS last FROM h JOIN n USING (doc_id) JOIN h u ON u.doc_id = h.doc_id AND u.pos <= h.pos GROUP BY 1, 2, 3),
     s AS (SELECT doc_id, pos - min(last) + 1 AS span, count(*) AS c FROM l GROUP BY doc_id, pos)
-    SELECT doc_id, min(span)::INTEGER AS span, round(pow(2.0::DOUBLE * any_value(k), 1.5) / (ln(greatest(min(span), 1)) + 1), 6) AS density FROM s JOIN k USING (doc_id) WHERE c = k GROUP BY doc_id""",
-)
+    SELECT doc_id, min(span)::INTEGER AS span, round(pow(2.0::DOUBLE * any_value(k), 1.5) / (ln(greatest(min(span), 1)) + 1), 6) AS density FROM s JOIN k USING (doc_id) WHERE c = k GROUP BY doc_id"""
+
+
+@query("span_density", SPAN_SQL)
 def span_density(spark, sf_dir):
     from ..functions import text as T
 
@@ -265,6 +265,13 @@ def span_density(spark, sf_dir):
     return found.select("doc_id", "span", F.round("density", 6).alias("density"))
 
 
+@query("span_density_indexed", SPAN_SQL)
+def span_density_indexed(spark, sf_dir):
+    """:func:`span_density` from the positions of the stored index; no text is read."""
+    found = op.span_density(text_index(spark, sf_dir).positions(["license", "version", "under"]).select(F.lit(0).alias("query_id"), "doc_id", "pos", "term", F.lit(2.0).alias("idf")))
+    return found.select("doc_id", "span", F.round("density", 6).alias("density"))
+
+
 @query("recall_fused")
 def recall_fused(spark, sf_dir):
     found = recall.recall_fused(table(spark, sf_dir, "documents"), "Apache License, Version of the License", index=text_index(spark, sf_dir))

@@ -19,21 +19,34 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_conversations(table(spark, sf_dir, "conversations"))
 
 
-_indexes: dict[tuple[str, str], TextIndex] = {}
+#: Indexes built in this process, by application and folder, with the files they were built from.
+_indexes: dict[tuple[str, str], tuple[list[tuple[str, int, int]], TextIndex]] = {}
+
+
+def _files(spark: SparkSession, folder: str) -> list[tuple[str, int, int]]:
+    """Names, sizes and times of a table's files, by the file system and without a job."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    found = []
+    while files.hasNext():
+        one = files.next()
+        found.append((one.getPath().toString(), one.getLen(), one.getModificationTime()))
+    return sorted(found)
 
 
 def build_index(spark: SparkSession, sf_dir: str) -> TextIndex:
     """A new index of all documents in the shared folder, used by the queries that follow."""
-    path = f"{own_folder(spark)}/index-{uuid.uuid4().hex}"
+    path, files = f"{own_folder(spark)}/index-{uuid.uuid4().hex}", _files(spark, f"{sf_dir}/documents.parquet")
     index = TextIndex.create(spark, path).append(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    _indexes[spark.sparkContext.applicationId, sf_dir] = index
+    _indexes[spark.sparkContext.applicationId, sf_dir] = files, index
     return index
 
 
 def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
-    """The index of all documents, built by the application's first query that needs it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    return _indexes[key] if key in _indexes else build_index(spark, sf_dir)
+    """The index of all documents, built by the application's first query that needs it, and
+    again where the table's files have changed."""
+    files, index = _indexes.get((spark.sparkContext.applicationId, sf_dir), (None, None))
+    return index if files == _files(spark, f"{sf_dir}/documents.parquet") else build_index(spark, sf_dir)
 
 
 #: The same frames as :func:`frames`: common table expressions to begin an oracle with.

@@ -77,10 +77,49 @@ def bm25_indexed(spark, sf_dir):
     return op.top(rows, 10, F.col("score").desc(), "doc_id")
 
 
-@query("index_build", "WITH " + TOKENS_SQL + "SELECT (SELECT count(*) FROM documents) AS n_docs, (SELECT count(*) FROM (SELECT DISTINCT doc_id, term FROM tokens)) AS n_terms")
+@query("index_build", "WITH " + TOKENS_SQL + "SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM tokens GROUP BY term")
 def index_build(spark, sf_dir):
-    n_docs, n_terms = build_index(spark, sf_dir).totals
-    return spark.createDataFrame([(n_docs, n_terms)], "n_docs long, n_terms long")
+    """A new index; what its blocks hold, by term."""
+    postings, _ = build_index(spark, sf_dir).contents()
+    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("tf"))
+
+
+@query(
+    "index_postings",
+    r"""WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS words FROM documents),
+    t AS (SELECT doc_id, unnest(words) AS term, generate_subscripts(words, 1) - 1 AS pos FROM w)
+    SELECT term, doc_id, count(*)::INTEGER AS tf, (count(*) OVER (PARTITION BY doc_id))::INTEGER AS length, sum(pos)::BIGINT AS pos_sum, max(pos)::INTEGER AS last FROM t GROUP BY term, doc_id""",
+)
+def index_postings(spark, sf_dir):
+    postings, _ = text_index(spark, sf_dir).contents()
+    total = F.aggregate("positions", F.lit(0).cast("long"), lambda a, x: a + x)
+    return postings.select("term", "doc_id", "tf", "length", total.alias("pos_sum"), F.array_max("positions").alias("last"))
+
+
+@query(
+    "index_trigrams",
+    """WITH t AS (SELECT DISTINCT doc_id, substr(low, k::BIGINT, 3) AS tri
+      FROM (SELECT doc_id, low, unnest(range(1, length(low) - 1)) AS k FROM (SELECT doc_id, lower(text) AS low FROM documents)))
+    SELECT tri, count(*) AS df, sum(doc_id)::BIGINT AS id_sum FROM t GROUP BY tri""",
+)
+def index_trigrams(spark, sf_dir):
+    _, trigrams = text_index(spark, sf_dir).contents()
+    return trigrams.groupBy("tri").agg(F.count("*").alias("df"), F.sum("doc_id").alias("id_sum"))
+
+
+@query("index_prefix", "WITH " + TOKENS_SQL + "SELECT term, doc_id, count(*) AS tf FROM tokens WHERE starts_with(term, 'lic') GROUP BY ALL")
+def index_prefix(spark, sf_dir):
+    return text_index(spark, sf_dir).postings_with("lic").select("term", "doc_id", "tf")
+
+
+@query(
+    "index_phrase",
+    r"""WITH w AS (SELECT doc_id, unnest(words) AS term, generate_subscripts(words, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS words FROM documents))
+    SELECT a.doc_id, count(*) AS n FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 JOIN w c ON a.doc_id = c.doc_id AND c.pos = a.pos + 2
+    WHERE a.term = 'under' AND b.term = 'the' AND c.term = 'apache' GROUP BY 1""",
+)
+def index_phrase(spark, sf_dir):
+    return text_index(spark, sf_dir).phrase(["under", "the", "apache"])
 
 
 @query("topk", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 25")

@@ -277,13 +277,88 @@ def test_index_in_batches_equals_texts(spark, sf_dir, tmp_path):
     index = index.append(new).append(new, 3).remove(docs.filter("doc_id % 3 = 2").union(extra))
     left, right = _contents(kept, index, "the license version")
     assert left == right and left
-    index._deal(spark.createDataFrame([("license", 7, 1, 1)], "term string, doc_id long, tf long, length long"), "postings", "term", 9)
+    index._write(spark.createDataFrame([(7, 1)], "doc_id long, length long"), "lengths", "9-failed")
     for again in (TextIndex.open(spark, index.path), index.compacted(str(tmp_path / "c"), 3)):
         assert _contents(kept, again, "the license version")[1] == left
         assert values(text_ops.trigram_candidates(kept, "license", again)) == values(text_ops.trigram_candidates(kept, "license"))
+        assert values(again.positions(["license", "one"])) == values(fresh_index(spark, kept, tmp_path).positions(["license", "one"]))
     assert TextIndex.open(spark, str(tmp_path / "c")).batches == [0]
 
 
+def fresh_index(spark, docs, tmp_path):
+    import uuid
+
+    from mnemospark.operators.index import TextIndex
+
+    return TextIndex.create(spark, str(tmp_path / uuid.uuid4().hex), buckets=5).append(docs)
+
+
+def same_index(index, other):
+    """Postings, trigrams, totals and hits are those of the other index."""
+    assert index.totals == other.totals
+    for one, two in zip(index.contents(), other.contents(), strict=True):
+        assert values(one.select(*two.columns)) == values(two)
+    for query in ("red fish", "blue", "one two three"):
+        assert values(text_ops.bm25(index, query)) == values(text_ops.bm25(other, query))
+
+
+def test_batch_written_again_leaves_nothing_behind(spark, tmp_path):
+    """Whatever a batch held or replaced before, the index is as if only its last rows had ever
+    been written; readers of an earlier snapshot see what they saw."""
+    from mnemospark.operators.index import TextIndex
+
+    rows = lambda *pairs: spark.createDataFrame(list(pairs), "doc_id long, text string")
+    state = lambda ix: (values(text_ops.bm25(ix, "red fish blue")), ix.totals, values(ix.trigram_candidates("fish")))
+    index = TextIndex.create(spark, str(tmp_path / "i"), buckets=5).append(rows((1, "red fish"), (2, "blue fish"), (9, "old"))).append(rows((3, "one fish"), (4, "red red")))
+    before, seen = index, state(index)
+    index = index.append(rows((5, "two fish")), 1)  # other documents under the same number
+    same_index(index, fresh_index(spark, rows((1, "red fish"), (2, "blue fish"), (9, "old"), (5, "two fish")), tmp_path))
+    index = index.append(rows((1, "blue"), (6, "three")), 1)  # replaces one of batch 0
+    same_index(index, fresh_index(spark, rows((1, "blue"), (2, "blue fish"), (9, "old"), (6, "three")), tmp_path))
+    index = index.append(rows((6, "three")), 1)  # and no longer
+    same_index(index, fresh_index(spark, rows((1, "red fish"), (2, "blue fish"), (9, "old"), (6, "three")), tmp_path))
+    index = index.append(rows((6, "red"), (7, "red fish fish"))).remove(rows((9, None), (8, None))).append(rows((6, "one"), (8, "blue"), (9, "new"), (10, "two")), 0)
+    # batch 0 now holds documents that later batches have (6) or remove (8, 9)
+    same_index(index, fresh_index(spark, rows((6, "red"), (7, "red fish fish"), (10, "two")), tmp_path))
+    index = index.append(rows((7, "red fish fish")), 2)  # batch 2 gives 6 back to batch 1
+    same_index(index, fresh_index(spark, rows((6, "three"), (7, "red fish fish"), (10, "two")), tmp_path))
+    same_index(index.compacted(str(tmp_path / "c"), 3), index)
+    assert state(before) == seen and state(TextIndex.open(spark, index.path, before.version)) == seen
+    index.vacuum()
+    same_index(TextIndex.open(spark, index.path), index)
+    assert TextIndex.open(spark, index.path)._versions() == [index.version]
+    with pytest.raises(Exception, match="no snapshot"):
+        TextIndex.open(spark, index.path, before.version)
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    from mnemospark.operators.index import TextIndex
+
+    rows = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    index = TextIndex.create(spark, str(tmp_path / "i"))
+    index.append(rows)
+    with pytest.raises(Exception, match="(?i)exist"):
+        index.append(rows)
+    assert TextIndex.open(spark, index.path).totals == (1, 2)
+
+
+def test_positions_phrases_and_prefixes(spark, tmp_path):
+    rows = [("a", "The red fish, the RED fish! red-fish"), ("b", "fish red fish"), ("c", "redder reddest red"), ("d", None), ("e", "ж🙂жжж Red")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    from mnemospark.operators.index import TextIndex
+
+    index = TextIndex.create(spark, str(tmp_path / "i"), buckets=4, key="string").append(docs.filter("doc_id < 'c'")).append(docs.filter("doc_id >= 'c'"))
+    assert values(index.phrase(["red", "fish"])) == values(spark.createDataFrame([("a", 3), ("b", 1)], "a string, b long"))
+    assert values(index.phrase(["the", "red", "fish"])) == values(spark.createDataFrame([("a", 2)], "a string, b long"))
+    assert index.phrase(["red", "the"]).count() == 0
+    assert {(r.term, r.df) for r in index.terms_with("red").collect()} == {("red", 4), ("redder", 1), ("reddest", 1)}
+    assert {(r.term, r.doc_id, r.tf) for r in index.postings_with("redd").collect()} == {("redder", "c", 1), ("reddest", "c", 1)}
+    assert index.postings_with("zz").count() == 0
+    assert {r.pos for r in index.positions(["fish"]).filter("doc_id = 'a'").collect()} == {2, 5, 7}
+    got = {(r.tri, r.doc_id) for r in index.contents()[1].collect()}
+    assert got == {(t.lower()[k : k + 3], i) for i, t in rows if t for k in range(len(t) - 2)}
+
+
 def test_empty_index_gives_no_rows(spark, tmp_path):
     from mnemospark.operators.index import TextIndex
 
@@ -302,6 +377,16 @@ def test_stemmed_index_meets_word_forms(spark, tmp_path):
     assert text_ops.bm25(docs, "License").count() == 0
 
 
+def test_stored_index_of_changed_files_is_built_anew(spark, tmp_path):
+    from mnemospark.plans.tables import text_index
+
+    for text in ("red fish", "blue"):
+        spark.createDataFrame([(1, text)], "doc_id long, text string").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+        index = text_index(spark, str(tmp_path))
+        assert text_index(spark, str(tmp_path)) is index
+        assert index.postings(["blue"]).count() == (text == "blue")
+
+
 def test_index_of_a_stream_equals_batch(spark, sf_dir, tmp_path, streamed):
     from mnemospark.operators.index import TextIndex
 
