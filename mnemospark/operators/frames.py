@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..scratch import written
 from ..sources.frames import ACTIVE, DELETED, TOMBSTONE
+from . import ordered
 
 
 def _versions() -> Window:
@@ -236,10 +237,7 @@ def latest_per_key(rows: DataFrame, key: str, value: str, *order: str) -> DataFr
 def chained(rows: DataFrame, key: str, *fields: str, order: str = "seq") -> DataFrame:
     """A hash chain per key: each hash covers the hash before and the row's fields."""
     line = F.concat_ws("|", *[F.col(f).cast("string") for f in fields])
-    chains = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, line.alias("line")))).alias("entries"))
-    empty = F.array().cast(f"array<struct<{order}:bigint,hash:string>>")
-    step = lambda acc, x: F.concat(acc, F.array(F.struct(x[order].cast("long").alias(order), F.sha2(F.concat_ws("|", F.coalesce(F.try_element_at(acc, F.lit(-1))["hash"], F.lit("")), x["line"]), 256).alias("hash"))))
-    return chains.select(key, F.explode(F.aggregate("entries", empty, step)).alias("e")).select(key, f"e.{order}", "e.hash")
+    return ordered.chained(rows.withColumn("chain_line", line), key, "chain_line", order)
 
 
 def chain_breaks(entries: DataFrame, key: str, *fields: str, order: str = "seq") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.operators import catalog, components
 from mnemospark.operators import frames as frame_ops
-from mnemospark.operators import graph, retrieval, state
+from mnemospark.operators import graph, ordered, retrieval, state
 from mnemospark.operators import text as text_ops
 from mnemospark.operators import vectors as vector_ops
 from mnemospark.plans.tables import frames, table
@@ -99,7 +99,11 @@ def test_components_of_random_graphs(spark, monkeypatch, kind, most):
 def test_layers_and_components_of_a_cycle(spark):
     nodes = spark.createDataFrame([(1,), (2,), (3,), (4,)], "node long")
     edges = spark.createDataFrame([(2, 1), (3, 4), (4, 3)], "node long, target long")
-    assert values(graph.layers(nodes, edges)) == [(1, 0), (2, 1), (3, 2), (4, 2)]
+    assert values(graph.layers(nodes, edges)) == [(1, 0, True), (2, 1, True), (3, 2, False), (4, 2, False)]
+    long = spark.range(12).select(F.col("id").alias("node"))
+    chain = spark.range(11).select((F.col("id") + 1).alias("node"), F.col("id").alias("target"))
+    assert values(graph.layers(long, chain, 5)) == [(k, min(k, 5), k < 5) for k in range(12)]
+    assert values(graph.layers(long, chain)) == [(k, k, True) for k in range(12)]
     links = edges.select(F.col("node").alias("a"), F.col("target").alias("b"))
     assert values(graph.components(links, nodes)) == [(1, 1), (2, 1), (3, 3), (4, 3)]
 
@@ -116,6 +120,158 @@ def test_accumulator_fires_and_starts_again(spark):
     assert values(state.accumulate(rows, "key", "seq")) == [("a", 2, 80)]
 
 
+@pytest.fixture
+def many_tasks(spark):
+    """Exchanges keep many partitions, so that a key lies in many tasks."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_accumulator_of_keys_over_many_tasks(spark, many_tasks):
+    """One key with a third of all rows, some small ones, a null key and null scores."""
+    import random
+
+    r = random.Random(5)
+    keys = [r.choice(["hot", "hot", "hot", "hot", None, *"abcdefgh"]) for _ in range(6000)]
+    rows = [(k, n, r.choice([0, 3, 40, 100, 170, 7, None])) for n, k in enumerate(keys)]
+    want = {}
+    for k, _, x in rows:
+        total, fired = want.get(k, (0, 0))
+        total += x or 0
+        want[k] = (0, fired + 1) if total >= 150 else (total, fired)
+    table = spark.createDataFrame(rows, "key string, seq long, score int").repartition(7)
+    found = state.accumulate(table, "key", "seq")
+    assert {r.key: (r.rest, r.fired) for r in found.collect()} == want
+    parts = ordered.segmented(table, "key", "seq").filter("key = 'hot'").groupBy("segment").count().collect()
+    assert len(parts) >= 5 and max(p["count"] for p in parts) < 1500
+    assert "collect_list" not in ordered.segmented(table, "key", "seq")._jdf.queryExecution().toString()
+    assert state.accumulate(table.limit(0), "key", "seq").count() == 0
+
+
+@pytest.mark.parametrize("threshold", [1, 2, 7, 150])
+def test_tables_of_sums(threshold):
+    import random
+
+    r = random.Random(threshold)
+    for n in (0, 1, 5, 60, 400):
+        scores = [r.randint(0, max(2, threshold // 3)) for _ in range(n)]
+        sums = ordered.Sums(threshold, threshold)
+        for k in range(0, n, 17):
+            sums.add(scores[k : k + 17])
+        ends, fired = sums.table()
+        for start in range(threshold):
+            total, count = start, 0
+            for x in scores:
+                total += x
+                if total >= threshold:
+                    total, count = 0, count + 1
+            assert (ends[start], fired[start]) == (total, count)
+
+
+def test_positions_and_blocks(spark, many_tasks):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 5 == 0, None).otherwise(F.col("id").cast("string")).alias("key"), (-F.col("id")).alias("o"))
+    placed = ordered.positioned(rows, "key", "o")
+    for key, of in placed.toPandas().groupby("key", dropna=False):
+        assert of.sort_values("o").pos.tolist() == list(range(len(of))), key
+    blocks = ordered.in_blocks(placed.filter("key = 'hot'"), 2, 100)
+    sizes = {(r.block, r.context): r["count"] for r in blocks.groupBy("block", "context").count().collect()}
+    assert sizes == {(k, False): 100 for k in range(20)} | {(k, True): 2 for k in range(1, 21)}
+
+
+def test_bursts_of_a_long_session(spark, many_tasks):
+    import random
+
+    r = random.Random(1)
+    rows = [(k, k // 2, r.choice([1, 1, 1, 2]), r.choice("abcdefghij")) for k in range(900)]
+    table = spark.createDataFrame(rows, "event_id long, ts long, user_id long, doc_id string").repartition(5)
+    last, want = {}, {}
+    for k, _, u, d in rows:
+        last[u] = [*last.get(u, []), d][-10:]
+        want[k] = last[u].count(d) >= 3
+    found = state.bursts(table, block=40)
+    assert found.columns == ["event_id", "ts", "user_id", "doc_id", "burst"]
+    assert {r.event_id: r.burst for r in found.collect()} == want
+
+
+def test_recall_state_is_the_fold_and_goes_on(spark):
+    """Equal to the step by step fold for a document with all recalls, one beyond the summed part
+    and one far from the cap; states go on from states."""
+    import random
+
+    r = random.Random(2)
+    rows = [("hot", k, k, k % 50 == 0) for k in range(3000)] + [(f"d{k % 300}", k, k, r.random() < 0.1) for k in range(2000)]
+
+    def fold(rows, had=None):
+        out = dict(had or {})
+        for d, ts, _, b in rows:
+            n, w, _ = out.get(d, (0, 1.0, None))
+            out[d] = (n + 1, min(2.0, w + 0.05 / (n + 1) ** 0.5 + (0.15 if b else 0.0)), ts)
+        return {d: (n, round(w, 9), t) for d, (n, w, t) in out.items()}
+
+    schema = "doc_id string, ts long, event_id long, burst boolean"
+    told = lambda df: {x.doc_id: (x.recall_count, round(x.weight, 9), x.last_recall) for x in df.collect()}
+    assert told(state.reconsolidated(spark.createDataFrame(rows, schema))) == fold(rows)
+    prior = {"hot": (2900, 1.2, 5), "d1": (10, 1.5, 9), "alone": (4, 1.3, 1)}
+    before = spark.createDataFrame([(d, *x) for d, x in prior.items()], "doc_id string, recall_count int, weight double, last_recall long")
+    late = [("hot", 9000, 9000, False)] + [("d1", 9000 + k, 1, False) for k in range(40)] + [("new", 1, 1, True)]
+    assert told(state.reconsolidated(spark.createDataFrame(late, schema), prior=before)) == fold(late, prior)
+    plan = state.reconsolidated(spark.createDataFrame(rows, schema))._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "partial_count" in plan
+
+
+def test_hash_chain_of_any_length(spark):
+    rows = spark.range(30_000).select(F.when(F.col("id") < 29_000, 1).otherwise(F.col("id") % 7).alias("k"), F.col("id").alias("seq"), F.concat(F.lit("é"), "id").alias("x")).repartition(5)
+    found = frame_ops.chained(rows, "k", "x")
+    import hashlib
+
+    before = ""
+    for x in range(29_000):
+        before = hashlib.sha256(f"{before}|é{x}".encode()).hexdigest()
+    assert found.filter("seq = 28999").first().hash == before and found.count() == 30_000
+    assert frame_ops.chain_breaks(rows.join(found, ["k", "seq"]), "k", "x").count() == 0
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+
+
+def plain_leaders(pairs, most_size):
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    placed, out = set(), set()
+    for node in sorted(near):
+        if node not in placed:
+            members = [node, *sorted(x for x in near[node] if x not in placed and x != node)][:most_size]
+            if len(members) > 1:
+                placed.update(members)
+                out |= {(node, m) for m in members}
+    return out
+
+
+@pytest.mark.parametrize("few", [0, 300, 500_000])
+def test_leaders_equal_the_sequential_rule(spark, few):
+    """A giant component, a hub, a chain and loose pairs, in rounds and in one task."""
+    import random
+
+    r = random.Random(few)
+    pairs = {(r.randint(0, 400), r.randint(0, 400)) for _ in range(700)} | {(500, k) for k in range(501, 560)} | {(600 + k, 601 + k) for k in range(25)} | {(900, 901), (903, 902)}
+    table = spark.createDataFrame([*pairs, (901, 900), (900, 901)], "a long, b long").repartition(3)
+    for most in (2, 8):
+        found = [tuple(x) for x in state.greedy_groups(table, "a", "b", most, few).collect()]
+        assert len(found) == len(set(found)) and set(found) == plain_leaders({p for p in pairs if p[0] != p[1]}, most)
+    assert state.greedy_groups(table.limit(0), "a", "b", few=few).count() == 0
+
+
+def test_copies_are_in_the_classes_of_pairs(spark):
+    rows = [(1, "a b c d"), (2, "d c b a a"), (3, "A b c d e"), (4, None), (5, ""), (6, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in graph.token_classes(docs).collect()} == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 4), (6, 6)}
+    assert [(r.doc_id, r.other) for r in graph.jaccard_pairs(docs).collect()] == [(1, 3)]
+
+
 def test_docx_and_files(spark, tmp_path):
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as archive:
