@@ -68,19 +68,6 @@ def delete_certificate(spark, sf_dir):
     return op.seal(frames(spark, sf_dir).filter("status = 'tombstone'"), "doc_id", "frame_id", "pillar").select("frame_id", "seal")
 
 
-@query("positional_diff", "SELECT * FROM (VALUES (2::BIGINT, 'b', 'x'), (4, NULL, 'd')) AS t(pos, old, new)")
-def positional_diff(spark, sf_dir):
-    old = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "pos long, content string")
-    return op.positional_diff(old, spark.createDataFrame([(1, "a"), (2, "x"), (3, "c"), (4, "d")], "pos long, content string"))
-
-
-@query("array_diff", "SELECT * FROM (VALUES (1::BIGINT, 'name', 'total'), (2, '', '')) AS t(id, missing, extra)")
-def array_diff(spark, sf_dir):
-    rows = spark.createDataFrame([(1, ["Id", "Name"], ["id", "Total"]), (2, ["A"], ["a"])], "id long, want array<string>, have array<string>")
-    found = op.array_diff(rows, "want", "have")
-    return found.select("id", F.concat_ws(",", "missing").alias("missing"), F.concat_ws(",", "extra").alias("extra"))
-
-
 @query("code_range", "SELECT s_suppkey AS code FROM supplier WHERE NOT (s_nationkey < 10 AND s_suppkey BETWEEN 1 AND 50) AND NOT (s_nationkey >= 10 AND s_suppkey BETWEEN 40 AND 80)")
 def code_range(spark, sf_dir):
     codes = table(spark, sf_dir, "supplier").select(F.when(F.col("s_nationkey") < 10, "a").otherwise("b").alias("module"), F.col("s_suppkey").alias("code"))
@@ -95,24 +82,6 @@ def full_outer_conflict(spark, sf_dir):
     return op.conflicts(a, b, "key", "v")
 
 
-@query("schema_drift", "SELECT * FROM (VALUES ('dbo', 'orders', 'total', 'missing'), ('dbo', 'orders', 'note', 'extra'), ('dbo', 'orders', 'id', 'type')) AS t(\"schema\", \"table\", \"column\", state)")
-def schema_drift(spark, sf_dir):
-    s = "schema string, table string, column string, type string"
-    want = spark.createDataFrame([("dbo", "Orders", "Id", "int"), ("dbo", "Orders", "Total", "decimal"), ("dbo", "Orders", "At", "date")], s)
-    return op.drift(want, spark.createDataFrame([("DBO", "orders", "id", "bigint"), ("dbo", "orders", "note", "text"), ("dbo", "orders", "at", "DATE")], s))
-
-
-@query("fk_one_hop", "SELECT * FROM (VALUES ('orders'), ('customers')) AS t(\"table\")")
-def fk_one_hop(spark, sf_dir):
-    fks = spark.createDataFrame([("orders", "customers"), ("customers", "nations")], "table string, target string")
-    return op.fk_one_hop(spark.createDataFrame([("orders",)], "table string"), fks)
-
-
-@query("suffix_join", "SELECT * FROM (VALUES ('dbo.Orders', 'orders'), ('orders', 'orders')) AS t(name, \"table\")")
-def suffix_join(spark, sf_dir):
-    return op.suffix_join(spark.createDataFrame([("dbo.Orders",), ("orders",), ("x.y",)], "name string"), spark.createDataFrame([("orders",), ("items",)], "table string"))
-
-
 #: Part names as tables: the first word is the schema, the types are the columns.
 PARTS_SQL = """WITH t AS (SELECT min(p_partkey) AS ord, split_part(p_name, ' ', 1) AS schema, replace(p_name, ' ', '_') AS "table", list_distinct(list(p_type)) AS columns FROM part GROUP BY p_name)"""
 
@@ -150,19 +119,6 @@ def table_token_score(spark, sf_dir):
     return op.token_score(asked, _part_tables(spark, sf_dir))
 
 
-@query("column_match", "SELECT * FROM (VALUES ('Id', 'id', 2), ('total', 'total', 1), ('Name', 'strName', 3), ('orderId', 'order_id', 4), ('x', 'y', 0), ('none', NULL, NULL)) AS t(field, \"column\", rule)")
-def column_match(spark, sf_dir):
-    fields = spark.createDataFrame([(x,) for x in ("Id", "total", "Name", "orderId", "x", "none")], "field string")
-    columns = spark.createDataFrame([(x,) for x in ("id", "total", "strName", "order_id", "y")], "column string")
-    return op.column_match(fields, columns, spark.createDataFrame([("x", "y")], "field string, column string"))
-
-
-@query("coverage_status", "SELECT * FROM (VALUES ('a', 'complete'), ('b', 'untested'), ('c', 'not built'), ('d', 'unregistered'), ('e', 'specified'), ('f', 'undocumented'), ('g', 'stale')) AS t(key, status)")
-def coverage_status(spark, sf_dir):
-    keys = lambda x: spark.createDataFrame([(k,) for k in x], "key string")
-    return op.coverage(keys("abcde"), keys("abcg"), keys("abdf"), keys("a"))
-
-
 @query("verdict_pivot", "SELECT o_orderpriority AS key, count(*) FILTER (WHERE o_orderstatus = 'F') AS \"F\", count(*) FILTER (WHERE o_orderstatus = 'O') AS \"O\", count(*) FILTER (WHERE o_orderstatus = 'P') AS \"P\" FROM orders GROUP BY 1")
 def verdict_pivot(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("key"), F.col("o_orderstatus").alias("verdict"))
@@ -175,32 +131,12 @@ def literal_index(spark, sf_dir):
     return op.literal_index(rows).select("value", "n", F.col("first_at.line").alias("first_line"))
 
 
-@query("glob_filter", "SELECT * FROM (VALUES (1::BIGINT)) AS t(id)")
-def glob_filter(spark, sf_dir):
-    rows = [(1, "get", "/v1/users/7", "story", ["a"], "Read a user"), (2, "get", "/v2/users/7", "story", ["a"], "Read a user"), (3, "post", "/v1/users/7", "story", ["a"], "x"), (4, "get", "/v1/users/7", "story", ["b"], "Read a user")]
-    stories = spark.createDataFrame(rows, "id long, method string, path string, kind string, tags array<string>, text string")
-    return op.story_filter(stories, "GET", "/v1/*/?", "story", "a", "USER").select("id")
-
-
 @query("pillar_coverage", WITH + " SELECT p.pillar, count(f.frame_id) AS n FROM (VALUES ('episodic'), ('semantic'), ('procedural'), ('code')) AS p(pillar) LEFT JOIN frames f ON f.pillar = p.pillar GROUP BY 1")
 def pillar_coverage(spark, sf_dir):
     domain = spark.createDataFrame([(x,) for x in ("episodic", "semantic", "procedural", "code")], "pillar string")
     return op.pillar_coverage(frames(spark, sf_dir), domain)
 
 
-@query("glossary_lookup", "SELECT * FROM (VALUES ('status', 'int,tinyint'), ('kind', NULL)) AS t(lookup, types)")
-def glossary_lookup(spark, sf_dir):
-    columns = spark.createDataFrame([("orders", "status_id", "int"), ("items", "status", "tinyint")], "table string, column string, type string")
-    fks = spark.createDataFrame([("orders", "status_id", "status"), ("items", "status", "status")], "table string, column string, target string")
-    return op.glossary(spark.createDataFrame([("status",), ("kind",)], "lookup string"), columns, fks)
-
-
-@query("type_fits", "SELECT * FROM (VALUES ('string', 'NVARCHAR(50)', TRUE), ('integer', 'decimal(9,2)', FALSE), ('number', 'decimal(9,2)', TRUE), ('blob', 'int', FALSE)) AS t(logical, sql, fits)")
-def type_fits(spark, sf_dir):
-    rows = spark.createDataFrame([("string", "NVARCHAR(50)"), ("integer", "decimal(9,2)"), ("number", "decimal(9,2)"), ("blob", "int")], "logical string, sql string")
-    return rows.withColumn("fits", op.type_fits(F.col("logical"), F.col("sql")))
-
-
 @query("originals", WITH + " SELECT doc_id, sha256(max_by(content, turn)) AS hash, strlen(max_by(content, turn))::BIGINT AS size FROM frames GROUP BY doc_id")
 def originals(spark, sf_dir):
     store = op.originals(frames(spark, sf_dir).select("doc_id", F.col("turn").alias("seq"), F.encode("content", "UTF-8").alias("payload")))

@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def _load() -> None:
     import importlib
 
-    for name in ("frame_queries", "text_queries", "vector_queries", "retrieval_queries", "graph_queries", "state_queries", "catalog_queries", "source_queries", "stream_queries"):
+    for name in ("frame_queries", "text_queries", "vector_queries", "retrieval_queries", "graph_queries", "state_queries", "catalog_queries", "source_queries", "stream_queries", "word_queries", "design_queries"):
         if importlib.util.find_spec(f"mnemospark.plans.{name}") is not None:
             importlib.import_module(f"mnemospark.plans.{name}")
 

@@ -97,19 +97,6 @@ def abstain(spark, sf_dir):
     return op.abstain(hits(spark, sf_dir).filter("engine = 'semantic' or doc_id % 5 = 0"))
 
 
-@query("tied", "SELECT * FROM (VALUES (1::BIGINT, 1::BIGINT, 0.8::DOUBLE, 3::BIGINT), (1, 2, 0.79, 3), (1, 3, 0.76, 3)) AS t(query_id, doc_id, conf, n)")
-def tied(spark, sf_dir):
-    rows = [(1, 1, 0.8), (1, 2, 0.79), (1, 3, 0.76), (1, 4, 0.2), (2, 1, 0.99), (2, 2, 0.98), (2, 3, 0.97), (3, 1, 0.5)]
-    return op.tied(spark.createDataFrame(rows, "query_id long, doc_id long, conf double"))
-
-
-@query("tie_facets", "SELECT * FROM (VALUES (1::BIGINT, 'a', 2::BIGINT), (1, 'c', 1)) AS t(query_id, tag, k)")
-def tie_facets(spark, sf_dir):
-    ties = spark.createDataFrame([(1, 1, 0.8, 3), (1, 2, 0.79, 3), (1, 3, 0.76, 3)], "query_id long, doc_id long, conf double, n long")
-    tags = spark.createDataFrame([(1, "a"), (2, "a"), (1, "b"), (2, "b"), (3, "b"), (3, "c")], "doc_id long, tag string")
-    return op.tie_facets(ties, tags)
-
-
 @query(
     "passage_blend",
     WITH + """, p AS (SELECT query_id, doc_id // 5 AS doc_id, conf FROM h),
@@ -189,12 +176,6 @@ def hybrid_float(spark, sf_dir):
     return op.float_hybrid(_postings(spark, sf_dir), _semantic(spark, sf_dir)).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query("query_route", "SELECT * FROM (VALUES (1::BIGINT, 'lexical'), (2, 'semantic'), (3, 'hybrid'), (4, 'semantic'), (5, 'semantic')) AS t(query_id, route)")
-def query_route(spark, sf_dir):
-    rows = [(1, 3, 2.0, 3.0, 0.0, True), (2, 5, 1.1, 2.0, 0.0, False), (3, 5, 2.0, 4.0, 0.2, False), (4, 5, 2.0, 4.0, 0.9, False), (5, 0, 0.0, 0.0, 0.0, False)]
-    return op.query_route(spark.createDataFrame(rows, "query_id long, n_words int, idf_avg double, idf_max double, oov double, code boolean"))
-
-
 @query(
     "ndcg",
     """WITH r AS (SELECT doc_id % 5 AS query_id, doc_id, n_chars, row_number() OVER (PARTITION BY doc_id % 5 ORDER BY n_chars DESC, doc_id) - 1 AS rank FROM documents),
@@ -220,13 +201,6 @@ def needle(spark, sf_dir):
     return op.needle(hits(spark, sf_dir).select("query_id", "doc_id", F.col("conf").alias("score")), found).withColumn("score", F.round("score", 6))
 
 
-@query("fix_recall", "SELECT * FROM (VALUES (1::BIGINT, 10::BIGINT, 1, 0.612::DOUBLE), (1, 11, 2, 0.05), (2, 12, 1, 0.15)) AS t(query_id, doc_id, rank, score)")
-def fix_recall(spark, sf_dir):
-    rows = [(1, 10, 0.9, 0.5, 0.2, 0.6), (1, 11, 0.5, 0.1, 0.4, 0.0), (2, 12, 0.5, 0.0, 0.0, 0.0)]
-    found = op.fix_score(spark.createDataFrame(rows, "query_id long, doc_id long, rel double, cos double, fp double, intent double"))
-    return found.withColumn("score", F.round("score", 6))
-
-
 @query(
     "federated",
     WITH + """, b AS (SELECT query_id, doc_id // 3 AS doc_id, max(conf) AS score FROM h GROUP BY 1, 2)

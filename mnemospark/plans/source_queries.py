@@ -45,76 +45,15 @@ def browser_pointers(spark, sf_dir):
     return S.history_frames(visits, 2, 50).select("doc_id", "content")
 
 
-SCRIPT = "CREATE TABLE dbo.Orders (id int NOT NULL, total decimal(9,2), cust int REFERENCES dbo.Customers, CONSTRAINT c CHECK (total > 0))\nGO\nCREATE PROCEDURE [dbo].[pLoad] AS EXEC sp_executesql N'x'\nGO\nSELECT 1"
-
-
-@query("sql_batches", "SELECT * FROM (VALUES (0, 'table', 'dbo.Orders', 'fk:dbo.customers,check'), (1, 'procedure', 'dbo.pLoad', 'dynamic_sql'), (2, 'statement', '', '')) AS t(pos, kind, name, tags)")
-def sql_batches(spark, sf_dir):
-    found = S.sql_batches(spark.createDataFrame([("a.sql", SCRIPT)], "file string, text string"))
-    return found.select("pos", "kind", "name", F.concat_ws(",", "tags").alias("tags"))
-
-
-@query("ddl_columns", "SELECT * FROM (VALUES ('dbo.Orders', 'id', 'int', FALSE), ('dbo.Orders', 'total', 'decimal', TRUE), ('dbo.Orders', 'cust', 'int', TRUE)) AS t(\"table\", \"column\", type, nullable)")
-def ddl_columns(spark, sf_dir):
-    return S.create_table_columns(S.sql_batches(spark.createDataFrame([("a.sql", SCRIPT)], "file string, text string")))
-
-
-@query("code_chunks", "SELECT * FROM (VALUES ('load', 'def', 'read'), ('Store', 'class', ''), ('open', 'def', 'load')) AS t(name, kind, calls)")
-def code_chunks(spark, sf_dir):
-    code = "import os\ndef load(x):\n    return read(x)\nclass Store:\n    def open(self):\n        return load(1)\n"
-    found = S.code_chunks(spark.createDataFrame([("a.py", code)], "file string, text string"))
-    return found.select("name", "kind", F.concat_ws(",", "calls").alias("calls"))
-
-
-@query("openapi_operations", "SELECT * FROM (VALUES ('/pets', 'get', 'listPets'), ('/pets', 'post', 'addPet')) AS t(path, method, operation_id)")
-def openapi_operations(spark, sf_dir):
-    text = '{"paths": {"/pets": {"get": {"operationId": "listPets"}, "post": {"operationId": "addPet"}}}}'
-    return S.openapi_operations(spark.createDataFrame([("a.json", text)], "file string, text string")).drop("file")
-
-
-@query("markdown_sections", "SELECT * FROM (VALUES (1, 'Goals', 'Be fast.'), (2, 'Scope', '')) AS t(level, heading, body)")
-def markdown_sections(spark, sf_dir):
-    found = S.markdown_requirements(spark.createDataFrame([("a.md", "intro\n# Goals\nBe fast.\n## Scope\n")], "file string, text string"))
-    return found.select("level", "heading", "body")
-
-
-@query("transcript_frames", "SELECT * FROM (VALUES ('a.mp3::seg_0000001500', 'start:1.50')) AS t(doc_id, tag)")
-def transcript_frames(spark, sf_dir):
-    rows = spark.createDataFrame([("/in/a.mp3", 1.5, 3.0, "hello"), ("/in/a.mp3", 3.0, 4.0, " ")], "file string, start double, end double, text string")
-    return S.transcript_frames(rows).select("doc_id", F.element_at("tags", 1).alias("tag"))
-
-
 @query("event_frames", "SELECT 'event:' || event_type AS kind, count(*) AS n FROM events GROUP BY 1")
 def event_frames(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session"), F.col("event_type").alias("kind"), "ts", F.col("props").alias("summary"))
     return S.event_frames(rows).groupBy(F.element_at("tags", 1).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("procedure_facts", "SELECT * FROM (VALUES ('p', 'parameter', '@id'), ('p', 'json', 'order.id'), ('p', 'changes', 'Orders'), ('p', 'literal', 'open'), ('p', 'error', '50001')) AS t(name, kind, value)")
-def procedure_facts(spark, sf_dir):
-    body = "CREATE PROC p @id int AS UPDATE dbo.Orders SET s = JSON_VALUE(@j, '$.order.id') WHERE state = 'open'; THROW 50001, 'x', 1"
-    return S.procedure_facts(spark.createDataFrame([("p", body)], "name string, body string"))
-
-
-@query("name_forms", "SELECT * FROM (VALUES (1::BIGINT, 'user_name userName UserName', 'category', '/v1/users/{}'), (2, '', 'status', '/a')) AS t(id, spellings, singular, path)")
-def name_forms(spark, sf_dir):
-    from ..functions import text as T
-
-    rows = spark.createDataFrame([(1, ["user", "name"], "categories", "V1//users/:id/"), (2, ["x"], "status", "/a")], "id long, words array<string>, name string, path string")
-    return rows.select("id", F.concat_ws(" ", T.spellings(F.col("words"))).alias("spellings"), T.singular(F.col("name")).alias("singular"), T.normal_path(F.col("path")).alias("path"))
-
-
 @query("sql_tokenizers", "SELECT n_nationkey, 2 AS n FROM nation")
 def sql_tokenizers(spark, sf_dir):
     from ..functions import text as T
 
     T.register_tokenizers(spark)
     return table(spark, sf_dir, "nation").select("n_nationkey", F.expr("size(name_parts(n_name))").alias("n"))
-
-
-@query("language_filter", "SELECT * FROM (VALUES (1::BIGINT), (3)) AS t(id)")
-def language_filter(spark, sf_dir):
-    from ..operators.frames import for_language
-
-    rows = [(1, "Python", "go", None), (2, None, "go", "python"), (3, None, None, None)]
-    return for_language(spark.createDataFrame(rows, "id long, tag_lang string, body_lang string, edits_lang string"), "python").select("id")

@@ -13,8 +13,6 @@ QUERY = "the license version worthless licensed the"
 TERMS = list(dict.fromkeys(QUERY.split()))
 IN_TERMS = "(" + ", ".join(f"'{t}'" for t in TERMS) + ")"
 WORDS_SQL = r"list_transform(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+'), lambda w: regexp_replace(w, '[!-/:-@\[-`{-~]+$', ''))"
-QUESTIONS = [(1, "What is the passkey for version 4 of the Client report?"), (2, "show draft v12 from dept 7"), (3, "rev 3, final numbers"), (4, "who wrote this confidential memo"), (5, "thanks")]
-QUESTIONS_SQL = "(VALUES " + ", ".join(f"({k}::BIGINT, '{t}')" for k, t in QUESTIONS) + ") AS q(query_id, text)"
 LEX_SQL = "WITH " + TOKENS_SQL + f""",
 sizes AS (SELECT d.doc_id, count(DISTINCT t.term) AS length FROM documents d LEFT JOIN tokens t USING (doc_id) GROUP BY d.doc_id),
 totals AS (SELECT count(*) AS n_docs, greatest(avg(length), 1.0) AS mean_length FROM sizes),
@@ -30,10 +28,6 @@ def docs(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
-def questions(spark):
-    return spark.createDataFrame(QUESTIONS, "query_id long, text string")
-
-
 @query("term_freq", "WITH " + TOKENS_SQL + "SELECT doc_id, term, count(*) AS tf FROM tokens GROUP BY doc_id, term")
 def term_freq(spark, sf_dir):
     return op.term_freq(docs(spark, sf_dir))
@@ -231,18 +225,6 @@ def stopwords(spark, sf_dir):
     return rows.filter("n > 0")
 
 
-@query("split_identifier", "SELECT * FROM (VALUES ('getUserName', 'get user name'), ('HTTPServer_v2', 'http server v2'), ('snake_case_id', 'snake case id'), ('x', 'x')) AS t(name, parts)")
-def split_identifier(spark, sf_dir):
-    names = spark.createDataFrame([("getUserName",), ("HTTPServer_v2",), ("snake_case_id",), ("x",)], "name string")
-    return names.select("name", F.concat_ws(" ", T.split_identifier(F.col("name"))).alias("parts"))
-
-
-@query("soundex_ref", "SELECT * FROM (VALUES ('ashcraft', 'A226'), ('Robert', 'R163'), ('Rupert', 'R163'), ('Tymczak', 'T522'), ('', '0000'), ('12', '0000')) AS t(word, code)")
-def soundex_ref(spark, sf_dir):
-    words = spark.createDataFrame([(w,) for w in ("ashcraft", "Robert", "Rupert", "Tymczak", "", "12")], "word string")
-    return words.select("word", T.sounds(F.col("word")).alias("code"))
-
-
 @query("levenshtein", "SELECT a.n_name AS a, b.n_name AS b, levenshtein(a.n_name, b.n_name)::INTEGER AS d FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
 def levenshtein(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
@@ -250,58 +232,12 @@ def levenshtein(spark, sf_dir):
     return a.join(F.broadcast(b), F.col("x") < F.col("y")).select("a", "b", F.levenshtein("a", "b").alias("d"))  # nation has 25 rows at every scale
 
 
-@query("fuzzy_expand", "SELECT * FROM (VALUES ('pasword', 'password', 1, 1), ('licence', 'license', 1, 1), ('version', 'version', 0, 1)) AS t(word, match, distance, rank)")
-def fuzzy_expand(spark, sf_dir):
-    vocabulary = spark.createDataFrame([(w,) for w in ("password", "license", "version", "verses", "report")], "word string")
-    return op.fuzzy(spark.createDataFrame([("pasword",), ("licence",), ("version",)], "word string"), vocabulary)
-
-
-@query("morph_variants", "SELECT * FROM (VALUES ('workers', 'workers work worker'), ('testing', 'testing test'), ('well-known', 'well-known well known'), ('boxes', 'boxes box boxe'), ('is', 'is')) AS t(word, forms)")
-def morph_variants(spark, sf_dir):
-    words = spark.createDataFrame([(w,) for w in ("workers", "testing", "well-known", "boxes", "is")], "word string")
-    return words.select("word", F.concat_ws(" ", T.variants(F.col("word"))).alias("forms"))
-
-
-@query("compound_split", "SELECT * FROM (VALUES ('passkey', 'pass key'), ('password', 'pass word'), ('other', 'other')) AS t(word, parts)")
-def compound_split(spark, sf_dir):
-    words = spark.createDataFrame([("passkey",), ("password",), ("other",)], "word string")
-    return words.select("word", F.concat_ws(" ", T.compounds(F.col("word"))).alias("parts"))
-
-
-@query("keywords", "SELECT * FROM (VALUES (1::BIGINT, 'passkey version 4 client report'), (2, 'show draft v12 dept 7'), (3, 'rev 3 final numbers'), (4, 'wrote confidential memo'), (5, 'thanks')) AS t(query_id, words)")
-def keywords(spark, sf_dir):
-    return questions(spark).select("query_id", F.concat_ws(" ", T.keywords(F.col("text"))).alias("words"))
-
-
-@query("detect_scope_tag", "SELECT * FROM (VALUES (1::BIGINT, 'version:4'), (2, 'dept:7'), (3, 'version:3'), (4, 'status:confidential'), (5, NULL)) AS t(query_id, tag)")
-def detect_scope_tag(spark, sf_dir):
-    return questions(spark).select("query_id", T.scope_tag(F.col("text")).alias("tag"))
-
-
 @query("extract_entities", r"""WITH e AS (SELECT doc_id, unnest(list_distinct(list_concat(regexp_extract_all(text, '\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)+'), regexp_extract_all(text, '\(([^()]{2,60})\)', 1)))) AS entity FROM documents)
   SELECT entity, count(*) AS n FROM e GROUP BY entity""")
 def extract_entities(spark, sf_dir):
     return docs(spark, sf_dir).select(F.explode(T.entities(F.col("text"))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n"))
 
 
-@query("wikilinks", "SELECT * FROM (VALUES (1::BIGINT, 'alpha'), (1, 'beta gamma'), (3, 'delta')) AS t(id, concept)")
-def wikilinks(spark, sf_dir):
-    rows = [(1, "see [[Alpha]] and [[Beta Gamma|x]] and [[alpha#y]]"), (2, "m[[i]] [[12]] [[a]]"), (3, "([[delta]])")]
-    return spark.createDataFrame(rows, "id long, text string").select("id", F.explode(T.wikilinks(F.col("text"))).alias("concept"))
-
-
-@query("action_residue", "SELECT * FROM (VALUES (1::BIGINT, 'fix the race in'), (2, 'rename to')) AS t(id, residue)")
-def action_residue(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "Fix the race in src/main.rs"), (2, "rename foo_bar to v2")], "id long, text string")
-    return rows.select("id", T.action_residue(F.col("text")).alias("residue"))
-
-
-@query("search_kv", "SELECT * FROM (VALUES (1::BIGINT, '8412'), (2, 'blue'), (3, '')) AS t(id, value)")
-def search_kv(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "The passkey is 8412; keep it"), (2, "color: blue, size 4"), (3, "none")], "id long, text string")
-    return rows.select("id", F.coalesce(F.nullif(F.trim(T.value_of_key(F.col("text"), "passkey")), F.lit("")), F.trim(T.value_of_key(F.col("text"), "color"))).alias("value"))
-
-
 @query("recall_context", "SELECT doc_id, substr(text, greatest(1, strpos(lower(text), 'license') - 40), strpos(lower(text), 'license') + 7 + 40 - greatest(1, strpos(lower(text), 'license') - 40)) AS context FROM documents WHERE contains(lower(text), 'license')")
 def recall_context(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.snippet(F.col("text"), "license").alias("context")).filter("context is not null")
@@ -312,41 +248,11 @@ def normalize_unicode(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.md5(T.normalized(F.col("text"))).alias("h"))
 
 
-@query("auto_tags", "SELECT * FROM (VALUES (1::BIGINT, 'version:3'), (1, 'status:draft'), (2, 'version:7'), (2, 'status:confidential'), (3, 'status:final')) AS t(id, tag)")
-def auto_tags(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "plan_v3_draft.docx", "text"), (2, "notes.md", "Revision 7 CONFIDENTIAL"), (3, "final.pdf", "x")], "id long, name string, text string")
-    return rows.select("id", F.explode(T.auto_tags(F.col("name"), F.col("text"))).alias("tag"))
-
-
-@query("ground_dates", "SELECT * FROM (VALUES (1::BIGINT, 'sales last year [last year = 2023]'), (2, 'since last quarter and last month [last quarter = Q4 2023] [last month = 2024-01]'), (3, 'now')) AS t(id, text)")
-def ground_dates(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "sales last year"), (2, "since last quarter and last month"), (3, "now")], "id long, text string")
-    return rows.select("id", T.ground_dates(F.col("text"), F.lit("2024-02-10").cast("date")).alias("text"))
-
-
-@query("clean_text", "SELECT * FROM (VALUES (1::BIGINT, 'hello woorld'), (2, ''), (3, 'a b')) AS t(id, text)")
-def clean_text(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "hello   woooorld"), (2, "-- ** !!"), (3, "a\n b")], "id long, text string")
-    return rows.select("id", T.clean_ocr(F.col("text")).alias("text"))
-
-
-@query("extract_calls", "SELECT * FROM (VALUES (1::BIGINT, 'foo'), (1, 'bar'), (2, 'usp_Load')) AS t(id, call)")
-def extract_calls(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "if (foo(bar (1))) return"), (2, "EXEC dbo.usp_Load @x=1")], "id long, text string")
-    return rows.select("id", F.explode(T.calls(F.col("text"))).alias("call"))
-
-
 @query("task_identity", r"SELECT doc_id, substr(sha256(lower(trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g'), ' '))), 1, 16) AS task FROM documents")
 def task_identity(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.task_hash(F.col("text")).alias("task"))
 
 
-@query("cjk_bigrams", "SELECT * FROM (VALUES (1::BIGINT, '日本'), (1, '本語'), (2, '中文')) AS t(id, gram)")
-def cjk_bigrams(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "abc 日本語 x"), (2, "中文"), (3, "one 語 two")], "id long, text string")
-    return rows.select("id", F.explode(T.cjk_bigrams(F.col("text"))).alias("gram"))
-
-
 @query("token_bigrams", "WITH " + TOKENS_SQL + ", d AS (SELECT DISTINCT doc_id, term FROM tokens), b AS (SELECT doc_id, term, lead(term) OVER (PARTITION BY doc_id ORDER BY term) AS next FROM d) SELECT term || ' ' || next AS gram, count(*) AS n FROM b WHERE next IS NOT NULL GROUP BY 1")
 def token_bigrams(spark, sf_dir):
     pairs = T.ngrams(F.array_sort(F.array_distinct(T.tokens(F.col("text")))), 2)
@@ -382,12 +288,6 @@ def strip_watermark_lines(spark, sf_dir):
     return op.strip_lines(pages, op.repeated_page_lines(pages)).select("page", F.md5("text").alias("h"))
 
 
-@query("stitch_pages", "SELECT * FROM (VALUES (1::BIGINT, 'It began. The end'), (2, 'The end of the story.'), (3, 'New page')) AS t(page, text)")
-def stitch_pages(spark, sf_dir):
-    rows = [("s", 1, "It began. The end"), ("s", 2, "of the story."), ("s", 3, "New page")]
-    return op.stitch_pages(spark.createDataFrame(rows, "source string, page long, text string")).select("page", "text")
-
-
 @query("pages_host_pointer", r"SELECT page_id, 'page:' || substr(sha256(url), 1, 16) AS doc_id, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host FROM pages WHERE url IS NOT NULL")
 def pages_host_pointer(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").filter("url is not null")
@@ -399,21 +299,6 @@ def json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").filter("props is not null").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-@query("ngram_tiebreak", "SELECT * FROM (VALUES (1::BIGINT, 1.2), (2, 1.0), (3, 1.85)) AS t(doc_id, score0)".replace("score0", "score").replace("1.2)", "1.2::DOUBLE)"))
-def ngram_tiebreak(spark, sf_dir):
-    hits = spark.createDataFrame([(1, 1.0, "red fox ran"), (2, 1.0, "a lazy day"), (3, 1.0, "quick brown dog")], "doc_id long, score double, text string")
-    return op.ngram_tiebreak(hits, "red fox quick brown dog").withColumn("score", F.round("score", 6))
-
-
-@query("stem_tokens", "SELECT * FROM (VALUES (1::BIGINT, 'consist'), (2, 'knight'), (3, 'generous'), (4, 'sky'), (5, 'run'), (6, 'happili'), (7, 'relat'), (8, 'hope'), (9, 'hop'), (10, 'communic'), (11, 'die'), (12, 'national'), (13, 'cafés')) AS t(id, stem)".replace("'national'", "'nation'"))
-def stem_tokens(spark, sf_dir):
-    from ..functions.stem import stems
-
-    words = "consistency knightly generously skies running happily relational hoping hopping communication dying national cafés".split()
-    rows = spark.createDataFrame(list(enumerate(words, 1)), "id long, word string")
-    return rows.select("id", F.element_at(stems(F.array("word")), 1).alias("stem"))
-
-
 @query("hash_embed")
 def hash_embed(spark, sf_dir):
     from ..functions.stem import hash_encoder
@@ -437,14 +322,6 @@ def concept_links(spark, sf_dir):
     return list_concepts(links, 2, 40)
 
 
-@query("word_pieces", "SELECT * FROM (VALUES (1::BIGINT, 'play ##ing the [UNK] .')) AS t(id, pieces)")
-def word_pieces(spark, sf_dir):
-    from ..functions.stem import word_pieces
-
-    tokenize = word_pieces({"play", "##ing", "the", "."})
-    return spark.createDataFrame([(1, "Playing the xylophone.")], "id long, text string").select("id", F.concat_ws(" ", tokenize(F.col("text"))).alias("pieces"))
-
-
 @query("focused_passages")
 def focused_passages(spark, sf_dir):
     from ..functions.stem import focused

@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -104,10 +104,12 @@ def code_chunks(files: DataFrame) -> DataFrame:
     reaches to the next definition."""
     pattern = r"(?m)^[ \t]*((?:pub(?:\([^)]*\))?\s+|export\s+|async\s+|static\s+|public\s+|private\s+)*(?:def|fn|function|class|struct|interface|enum|trait)\s+[A-Za-z_]\w*)"
     parts = files.select("file", F.posexplode(F.split("text", f"(?={pattern})")).alias("pos", "body"))
+    before = F.coalesce(F.sum(F.length("body") - F.length(F.replace("body", F.lit("\n"), F.lit("")))).over(Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = F.regexp_extract("body", pattern, 1)
     kind = F.regexp_extract(starts, r"(def|fn|function|class|struct|interface|enum|trait)\s+\w+$", 1)
-    named = parts.withColumn("kind", kind).withColumn("name", F.regexp_extract(starts, r"(\w+)$", 1)).filter("kind <> ''")
-    return named.select("file", "name", "kind", "pos", F.array_remove(T.calls(F.col("body")), F.col("name")).alias("calls"))
+    lined = parts.withColumn("line", (before + 1).cast("int"))
+    named = lined.withColumn("kind", kind).withColumn("name", F.regexp_extract(starts, r"(\w+)$", 1)).filter("kind <> ''")
+    return named.select("file", "name", "kind", "line", F.array_remove(T.calls(F.col("body")), F.col("name")).alias("calls"))
 
 
 def mem0_frames(records: DataFrame) -> DataFrame:
