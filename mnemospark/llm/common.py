@@ -82,6 +82,11 @@ def fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it literally, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def rows_of(docs: DataFrame, decisions: DataFrame, kept: str, text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that ``decisions`` keeps.
 
@@ -90,7 +95,7 @@ def rows_of(docs: DataFrame, decisions: DataFrame, kept: str, text: str = "text"
     names of rows that go, or that repeat, meet the texts; while they are few they are broadcast
     and no text is shuffled.  Columns of ``docs`` may have any names.  Empty tables give no rows.
     """
-    named, sig = docs.columns, fresh(docs, "text_sig")
+    named, sig = [quoted(c) for c in docs.columns], fresh(docs, "text_sig")
     gone, once = fresh(docs, "gone"), fresh(docs, "once")
     marks = decisions.groupBy("doc_id", "sig").agg(F.count("*").alias("rows"), F.count_if(F.col(kept)).alias("stay"))
     marks = marks.filter("stay < rows or rows > 1").select(F.col("doc_id").alias("m_id"), F.col("sig").alias("m_sig"), (F.col("stay") == 0).alias("m_gone"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, bounded, fresh, written
+from .common import WORD_PATTERN, bounded, fresh, quoted, written
 
 
 def cycle(*weights: int):
@@ -150,7 +150,7 @@ def mixed(docs: DataFrame, weight=cycle(1, 2, 3), most_epochs: int = 3, seed: st
     plan = written(plan.select(F.struct("of", "whole", "bits", "last_bucket", "cut_key", "close").alias("plan")), "plan", small=True)
     named, own, copy = docs.columns, fresh(docs, "own"), fresh(docs, "copy")
     told = docs.withColumn(own, F.struct(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), _order(seed).alias("h"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("sig")))
-    joined = told.select(F.struct(*[told[c] for c in named]).alias("d"), F.col(own).alias("o")).join(bounded(plan), F.col("o.source").eqNullSafe(F.col("plan.of")))
+    joined = told.select(F.struct(*[told[quoted(c)].alias(c) for c in named]).alias("d"), F.col(own).alias("o")).join(bounded(plan), F.col("o.source").eqNullSafe(F.col("plan.of")))
     key, bucket = _key("o."), _bucket("o.h", "plan.bits")
     again = (bucket < F.col("plan.last_bucket")) | ((bucket == F.col("plan.last_bucket")) & (key <= F.col("plan.cut_key")))
     again = F.coalesce(again, F.lit(False)) | F.coalesce(key == F.col("plan.close"), F.lit(False))

@@ -5,6 +5,11 @@ examples and unlabelled text.  The risk of the negative class cannot be read off
 text directly, since that holds toxic examples too; it is estimated as ``R_u(-) - p * R_p(-)``
 with the class prior ``p``, kept from going negative: where it would, the step goes the other
 way, which undoes the overfitting that made it so.
+
+The part of the risk that unlabelled text has is that of all texts.  A few times the gradient is
+summed over all of them, at the weights of that moment; the steps between take a sample's
+gradient plus the difference of both sums there (variance-reduced steps), so that where they
+come to rest is decided by all texts, and the sample decides only how far each step looks.
 """
 
 from __future__ import annotations
@@ -110,10 +115,13 @@ class Features:
 
 @dataclass(frozen=True)
 class Fit:
-    """Bounds of the sample that gradient steps use, and settings."""
+    """Settings.  ``most_positive`` bounds the labelled rows that are learned from; ``sampled`` are the
+    unlabelled documents that steps look at between the ``passes`` over all of them; the model
+    has the weights of ``most_features`` features."""
 
     most_positive: int = 2000
-    most_unlabelled: int = 6000
+    sampled: int = 6000
+    passes: int = 3
     most_features: int = 1024
     least_documents: int = 3
     steps: int = 400
@@ -214,35 +222,71 @@ def _vocabulary(counts: DataFrame, fit: Fit) -> np.ndarray:
     return np.sort(best.column("f").to_numpy())
 
 
-def _sample(docs: DataFrame, ids: DataFrame, vocabulary: np.ndarray) -> pa.Table:
-    """The sampled documents on the driver: ``kind``, ``doc_id``, ``words`` (distinct ones), and
-    the features of the vocabulary with their counts."""
+ROWS = "doc_id long, words int, features array<int>, counts array<int>"
+
+
+def _feature_rows(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+    """A row for each document that may be learned from: its distinct ``words``, and the
+    ``features`` of the vocabulary that it has, by their place there, with their ``counts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
-        for batch in small_batches(batches, "text"):
-            both, words = features.of(batch.column(2))
+        for batch in small_batches(batches, "text", 1 << 20):
+            both, words = features.of(batch.column(1))
             both, count = np.unique(both[np.isin(both & LOW, vocabulary)], return_counts=True)
-            row, feature = both >> 31, both & LOW
+            row, feature = both >> 31, np.searchsorted(vocabulary, both & LOW)
             offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=batch.num_rows)))).astype(np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (feature, count)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words.astype(np.int32)), *lists], names=["kind", "doc_id", "words", "features", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words.astype(np.int32)), *lists], names=["doc_id", "words", "features", "counts"])
+
+    texts = documents_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull() & learnable(F.col("doc_id")))
+    return texts.mapInArrow(run, ROWS)
 
-    texts = documents_of(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = texts.join(F.broadcast(ids), "doc_id").select("kind", "doc_id", "text")  # as many ids as the sample's bound
-    found = joined.mapInArrow(run, "kind string, doc_id long, words int, features array<int>, counts array<int>").toArrow()
+
+def _sample(rows: DataFrame, ids: DataFrame) -> pa.Table:
+    """The sampled documents' rows on the driver, with their ``kind``."""
+    found = rows.join(F.broadcast(ids), "doc_id").select("kind", "doc_id", "words", "features", "counts").toArrow()  # as many ids as the sample's bound
     return found.sort_by([("kind", "ascending"), ("doc_id", "ascending"), ("words", "ascending")])
 
 
+#: Sums over all texts are of multiples of one over this, so their order does not matter.
+GRAIN = float(1 << 20)
+
+
+def over_all(rows: DataFrame, size: int):
+    """A function from weights to the mean loss of all unlabelled rows as negatives, and the mean
+    of its gradient; each call is one pass over the stored rows, summed in the tasks."""
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size + 2, np.int64)
+            for batch in batches:
+                if batch.num_rows:
+                    x = _Rows(pa.Table.from_batches([batch]))
+                    b = x.margins(w)
+                    sums = np.concatenate((x.gradient(_sigmoid(b), size), [_softplus(b).sum()]))
+                    total += np.append(np.rint(sums * GRAIN).astype(np.int64), batch.num_rows)
+            yield pa.record_batch({"i": pa.array(np.arange(size + 2), pa.int32()), "x": pa.array(total)})
+
+        sums = rows.mapInArrow(run, "i int, x long").groupBy("i").agg(F.sum("x").alias("x")).collect()
+        total = np.zeros(size + 2)
+        for r in sums:
+            total[r.i] = r.x
+        n = max(total[-1], 1)
+        return float(total[-2] / GRAIN / n), total[:-2] / GRAIN / n
+
+    return at
+
+
 class _Rows:
     """Sparse rows of counts over the square root of the number of words."""
 
-    def __init__(self, table: pa.Table, vocabulary: np.ndarray) -> None:
+    def __init__(self, table: pa.Table) -> None:
         words = table.column("words").to_numpy().astype(np.float64)
         features = table.column("features").combine_chunks()
         self.n = len(words)
         self.row = np.repeat(np.arange(self.n), features.value_lengths().to_numpy())
-        self.key = np.searchsorted(vocabulary, features.flatten().to_numpy())
+        self.key = features.flatten().to_numpy()
         self.root = np.sqrt(words)
         self.value = table.column("counts").combine_chunks().flatten().to_numpy() / np.maximum(self.root, 1)[self.row]
 
@@ -263,37 +307,64 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def risk(p: _Rows, u: _Rows, w: np.ndarray, prior: float) -> tuple[float, float]:
+class Negatives:
+    """The loss of unlabelled rows as negatives and its gradient: those of the sample, moved by what
+    sums over all rows have told at an anchor."""
+
+    def __init__(self, u: _Rows, size: int, whole=None) -> None:
+        self.u, self.size, self.whole = u, size, whole
+        self.anchor, self.shift, self.slope = np.zeros(size), 0.0, np.zeros(size)
+
+    def _own(self, w: np.ndarray) -> tuple[float, np.ndarray]:
+        b = self.u.margins(w)
+        return _softplus(b).mean(), self.u.gradient(_sigmoid(b) / self.u.n, self.size)
+
+    def move(self, w: np.ndarray) -> None:
+        if self.whole is not None:
+            (loss, slope), (own, own_slope) = self.whole(w), self._own(w)
+            self.anchor, self.shift, self.slope = w.copy(), loss - own, slope - own_slope
+
+    def at(self, w: np.ndarray) -> tuple[float, np.ndarray]:
+        loss, slope = self._own(w)
+        return loss + self.shift + self.slope @ (w - self.anchor), slope + self.slope
+
+
+def risk(p: _Rows, u: Negatives, w: np.ndarray, prior: float) -> tuple[float, float]:
     """The two parts of the positive-unlabelled risk of the logistic loss at weights ``w``: that
     of positives, and the estimate of that of negatives, ``R_u(-) - prior * R_p(-)``."""
-    a, b = p.margins(w), u.margins(w)
-    return prior * _softplus(-a).mean(), _softplus(b).mean() - prior * _softplus(a).mean()
+    a = p.margins(w)
+    return prior * _softplus(-a).mean(), u.at(w)[0] - prior * _softplus(a).mean()
 
 
-def step_of(p: _Rows, u: _Rows, w: np.ndarray, prior: float) -> np.ndarray:
+def step_of(p: _Rows, u: Negatives, w: np.ndarray, prior: float) -> np.ndarray:
     """The direction to leave ``w``: the gradient of both parts of the risk, or, where the
     negative part is below zero, minus the gradient of that part."""
-    a, b, size = p.margins(w), u.margins(w), len(w)
-    of_negative = u.gradient(_sigmoid(b) / u.n, size) - p.gradient(prior * _sigmoid(a) / p.n, size)
-    if risk(p, u, w, prior)[1] < 0:
+    a, size = p.margins(w), len(w)
+    loss, slope = u.at(w)
+    of_negative = slope - p.gradient(prior * _sigmoid(a) / p.n, size)
+    if loss - prior * _softplus(a).mean() < 0:
         return -of_negative
     return p.gradient(-prior * _sigmoid(-a) / p.n, size) + of_negative
 
 
-def train(positive: pa.Table, unlabelled: pa.Table, vocabulary: np.ndarray, prior: float, fit: Fit = Fit()) -> Model:
+def train(positive: pa.Table, unlabelled: pa.Table, vocabulary: np.ndarray, prior: float, fit: Fit = Fit(), whole=None) -> Model:
     """Minimise the non-negative positive-unlabelled risk of the logistic loss with Adam.
 
-    Without positives, unlabelled rows or features the score is the prior for every text.
+    ``whole``: the function of :func:`over_all`, asked ``passes`` times; without it the unlabelled
+    rows given are all there are.  Without positives, unlabelled rows or features the score is
+    the prior for every text.
     """
     prior = min(max(prior, 1e-3), 1 - 1e-3)
     constant = Model({}, 0.0, math.log(prior / (1 - prior)))
     if not positive.num_rows or not unlabelled.num_rows or not len(vocabulary):
         return constant
-    p, u = _Rows(positive, vocabulary), _Rows(unlabelled, vocabulary)
     size = len(vocabulary) + 2
+    p, u = _Rows(positive), Negatives(_Rows(unlabelled), size, whole)
     w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
     w[-1] = constant.bias
     for step in range(1, fit.steps + 1):
+        if (step - 1) % -(-fit.steps // fit.passes) == 0:
+            u.move(w)
         g = step_of(p, u, w, prior)
         g[:-1] += fit.decay / p.n * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -305,22 +376,24 @@ def fitted(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
     """Fit on rows whose labels may be learned from.
 
     The vocabulary comes from the rates of features in all confirmed toxic documents and in all
-    texts; the class prior is the share of toxic among all labels.  Only gradient steps use a
-    bounded seeded sample: at most ``most_positive`` documents confirmed toxic and at most
-    ``most_unlabelled`` documents whatever their label.
+    texts that may be learned from; the class prior is the share of toxic among all labels.  The
+    unlabelled risk is that of all these texts, whatever their label, of which a table of features
+    is stored once.  Of documents confirmed toxic at most ``most_positive``, by a seeded hash, are
+    learned from: a bound on labelled rows.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).filter(learnable(F.col("doc_id")))
     prior = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
     order = [F.xxhash64("doc_id", F.lit(fit.seed)), F.col("doc_id")]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(F.col("doc_id").isNotNull()).filter(learnable(F.col("doc_id")))
-    confirmed = known.filter("toxic = 1").select("doc_id").distinct().join(texts.distinct(), "doc_id", "left_semi")
-    positive = confirmed.orderBy(*order).limit(fit.most_positive).withColumn("kind", F.lit("p"))
-    unlabelled = texts.distinct().orderBy(*order).limit(fit.most_unlabelled).withColumn("kind", F.lit("u"))
-    counts = written(feature_counts(docs, written(confirmed, "confirmed", small=True)), "features", small=True)
+    confirmed = written(known.filter("toxic = 1").select("doc_id").distinct().join(texts.distinct(), "doc_id", "left_semi"), "confirmed", small=True)
+    counts = written(feature_counts(docs, confirmed), "features", small=True)
     vocabulary = _vocabulary(counts, fit)
-    rows = _sample(docs, positive.union(unlabelled), vocabulary)
-    kind = rows.column("kind").to_numpy(zero_copy_only=False) == "p"
-    return train(rows.filter(pa.array(kind)), rows.filter(pa.array(~kind)), vocabulary, prior or 0.0, fit)
+    rows = written(_feature_rows(docs, vocabulary), "feature_rows", per_core=2)
+    positive = confirmed.orderBy(*order).limit(fit.most_positive).withColumn("kind", F.lit("p"))
+    unlabelled = rows.select("doc_id").distinct().orderBy(*order).limit(fit.sampled).withColumn("kind", F.lit("u"))
+    sample = _sample(rows, positive.union(unlabelled))
+    kind = sample.column("kind").to_numpy(zero_copy_only=False) == "p"
+    return train(sample.filter(pa.array(kind)), sample.filter(pa.array(~kind)), vocabulary, prior or 0.0, fit, over_all(rows.select("words", "features", "counts"), len(vocabulary) + 2))
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

@@ -403,11 +403,15 @@ def test_toxicity_against_a_plain_version(spark, docs, awkward, labels):
     assert rows == {f: (p[f], u[f]) for f in u}
 
     vocabulary = np.array(sorted(u)[:50])
-    ids = spark.createDataFrame([("p", 0), ("p", 5), ("p", 204), ("u", 1), ("u", 2), ("u", 7), ("u", 201)], "kind string, doc_id long")
-    sample = toxicity._sample(docs, ids, vocabulary)
+    every = [i for i, n in Counter(i for i, _ in texts).items() if n == 1]
+    pos, unl = every[:3], every[3:8]
+    ids = spark.createDataFrame([("p", i) for i in pos] + [("u", i) for i in unl], "kind string, doc_id long")
+    rows = toxicity._feature_rows(docs, vocabulary)
+    sample = toxicity._sample(rows, ids)
     kind = sample.column("kind").to_numpy(zero_copy_only=False) == "p"
-    sides = [toxicity._Rows(sample.filter(k), vocabulary) for k in (kind, ~kind)]
-    by_id = dict(texts) | {i: t for i, t in plain(awkward) if i in (0, 5, 204, 1, 2, 7, 201)}
+    p_rows, u_rows = (toxicity._Rows(sample.filter(k)) for k in (kind, ~kind))
+    sides = p_rows, toxicity.Negatives(u_rows, 52)
+    by_id = dict(texts)
 
     def margin(text, w):
         counts, n = plain_features(text)
@@ -415,7 +419,6 @@ def test_toxicity_against_a_plain_version(spark, docs, awkward, labels):
 
     def parts(w, prior):
         loss = lambda ids, sign: sum(math.log1p(math.exp(-sign * margin(by_id[i], w))) for i in ids) / len(ids)
-        pos, unl = [0, 5, 204], [1, 2, 7, 201]
         return prior * loss(pos, 1), loss(unl, -1) - prior * loss(pos, -1)
 
     rng = np.random.default_rng(1)
@@ -427,6 +430,19 @@ def test_toxicity_against_a_plain_version(spark, docs, awkward, labels):
         value = lambda x: -parts(x, prior)[1] if parts(w, prior)[1] < 0 else sum(parts(x, prior))  # noqa: B023, E731
         slope = [(value(w + d) - value(w - d)) / 2e-5 for d in np.eye(52) * 1e-5]
         assert np.allclose(toxicity.step_of(*sides, w, prior), slope, atol=1e-6)
+    # all texts: their sums at an anchor, and what steps make of them there and beside it
+    whole = toxicity.over_all(rows.select("words", "features", "counts"), 52)
+    all_loss = lambda x: sum(math.log1p(math.exp(margin(t, x))) for _, t in texts) / len(texts)
+    w = rng.normal(size=52) * 0.1
+    loss, slope = whole(w)
+    assert abs(loss - all_loss(w)) < 1e-4
+    assert np.allclose(slope, [(all_loss(w + d) - all_loss(w - d)) / 2e-5 for d in np.eye(52) * 1e-5], atol=1e-4)
+    moved = toxicity.Negatives(u_rows, 52, whole)
+    moved.move(w)
+    assert np.allclose(moved.at(w)[0], loss) and np.allclose(moved.at(w)[1], slope)
+    near = w + 1e-3
+    assert abs(moved.at(near)[0] - all_loss(near)) < 1e-4 and np.allclose(moved.at(near)[1], whole(near)[1], rtol=0.02, atol=2e-3)
+
     w[-1] = 0.2
     model = toxicity.Model(dict(zip(vocabulary.tolist(), w[:-2].tolist(), strict=True)), float(w[-2]), float(w[-1]))
     found = Counter((r.doc_id, round(r.score, 6)) for r in toxicity.scored(docs, model).collect())

@@ -165,3 +165,19 @@ def test_pipeline_stages_on_empty_tables(spark, empty, labels, tmp_path):
         out = stage(spark, empty, str(tmp_path))
         assert out.count() == 0 and (name == "best-fit packing" or out.columns == empty.columns)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_stages_pass_any_column_names(spark, docs, labels, tmp_path):
+    """Names with dots, backticks and spaces, and those that stages use themselves."""
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    odd = {"a.b": 1, "doc_id.text": 2, "x`y": 3, "d": 4, "o": 5, "plan": 6, "two words": 7, "gone": 8, "m_id": 9, "repeats": 10, "text_sig": 11}
+    table = docs.selectExpr("*", *[f"{v} AS `{k.replace('`', '``')}`" for k, v in odd.items()])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, table, str(tmp_path))
+        if name == "best-fit packing":
+            assert out.count()
+            break
+        assert out.columns == table.columns, name
+        rows = out.collect()
+        assert rows and all(tuple(r)[len(docs.columns) :] == tuple(odd.values()) for r in rows)
+        table = spark.createDataFrame(rows, table.schema)
