@@ -434,7 +434,8 @@ def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit: Fit =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
         for batch in batches:
-            for part in small_batches([batch], "text", 1 << 20):
+            for part in small_batches([batch], f"c{at}", 1 << 20):
                 yield part.filter(pa.array(score(part.column(at).cast(pa.string())) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # Spark reads names that go to Python as expressions
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
