@@ -1,14 +1,13 @@
 """Exact top-k inner products by no-random-access aggregation.
 
-Candidates are dealt to blocks, and within a block, sorted by length, the longest first, to
-groups.  In a group every dimension is a list.  A query reads the lists in sequence, those first
-that can change scores most: its weight times the list's range.  Of each candidate it keeps the
-sum of what has been read and the squared length of what has not; with the query's own unread
-length that bounds the rest from both sides (Cauchy and Schwarz), and so do the best and worst
-entries of the unread lists.  After each round, candidates whose upper bound does not reach the
-k-th largest lower bound, in which the groups read before have a part, cannot qualify and are
-read no further.  The scores of those left when few are left, or the lists end, are resolved.  A
-group whose longest vector cannot qualify is not read at all.
+Candidates are dealt to blocks, and a block to groups.  In a group every dimension is a list of
+its candidates, sorted by component.  A query reads all lists in sequence, from the end that is
+better for the sign of its weight, to the same depth; what it has read adds up per candidate.
+The entries of a list that are still unread are no better than the last one read and no worse
+than the list's other end, which bounds every candidate from both sides.  Candidates whose upper
+bound does not reach the k-th largest lower bound, in which the groups read before have a part,
+cannot qualify.  Reading stops when no more than a few can, or the lists end; the final scores
+of those are resolved exactly.
 """
 
 from __future__ import annotations
@@ -37,65 +36,65 @@ def _exact_scores(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 
 class Lists:
-    """The lists of a group of candidates, one per dimension."""
+    """The sorted lists of a group of candidates, one per dimension: ``rank`` is a candidate's place
+    in each, ``values`` has the lists' components from the best to the worst for a positive weight."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
-        self.ids, self.rows, self.lists = ids, rows, np.ascontiguousarray(rows.T)
-        self.largest, self.smallest = rows.max(axis=0), rows.min(axis=0)
-        self.squares = (rows * rows).sum(axis=1)
-        self.longest = float(np.sqrt(self.squares.max(initial=0)))
-
-    def candidates(self, query: np.ndarray, own: int, k: int, least: float, at_once: int = 4) -> tuple[np.ndarray, int]:
-        """Candidates that may be among the ``k`` best of at least the score ``least``, and the
-        entries read to tell.  ``at_once``: lists read between two looks at the bounds."""
+        order = np.argsort(-rows, axis=0, kind="stable")
+        self.ids, self.rows, self.values = ids, rows, np.take_along_axis(rows, order, 0)
+        self.rank = np.empty(rows.shape, np.int32)
+        np.put_along_axis(self.rank, order, np.arange(len(rows), dtype=np.int32)[:, None], 0)
+
+    def candidates(self, query_ids: np.ndarray, queries: np.ndarray, k: int, least: np.ndarray, few: int = 32, looks: int = 8) -> tuple[np.ndarray, int]:
+        """For some queries at once which candidates (rows) may be among the ``k`` best of each query
+        (columns) of at least its score ``least``, and the entries read to tell.  ``few``: how many
+        are left to be resolved when a query stops reading; ``looks``: how often bounds are
+        compared on the way to the lists' ends.
+
+        A query reads a list from the front if its weight is positive, from the back if it is
+        negative; so what all queries read between two depths are two slabs of the lists.
+        """
         n, d = self.rows.shape
-        most, worst = np.maximum(query * self.largest, query * self.smallest), np.minimum(query * self.largest, query * self.smallest)
-        order = np.argsort(-(most - worst), kind="stable")
-        some = np.flatnonzero(self.ids != own)
-        seen, rest, unread = np.zeros(len(some)), self.squares[some], float(query @ query)
-        read = 0
-        for at in range(0, d, at_once):
-            lists, left = order[at : at + at_once], order[at + at_once :]
-            entries = self.lists[lists] if len(some) == n else self.lists[lists[:, None], some]
-            read += entries.size
-            seen += query[lists] @ entries
-            rest -= np.einsum("ij,ij->j", entries, entries)
-            unread -= float(query[lists] @ query[lists])
-            bound = np.sqrt(np.maximum(rest, 0) * max(unread, 0)) * (1 + 1e-9)
-            upper = seen + np.minimum(bound, most[left].sum())
-            lower = seen - np.minimum(bound, -worst[left].sum())
-            limit = max(least, np.partition(lower, len(some) - k)[len(some) - k]) if len(some) >= k else least
-            can = upper >= limit - 0.5  # scores are whole numbers
-            if (kept := np.count_nonzero(can)) < 0.8 * len(some):
-                some, seen, rest = some[can], seen[can], rest[can]
-            if kept <= 2 * k:
-                break
-        return some, read
-
-
-def nra_top_k(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, group: int = 8192) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        can = self.ids[:, None] != query_ids
+        if not n or not d or float(np.abs(self.rows).max()) * float(np.abs(queries).max(initial=0)) * d > 1e290:  # no bounds beyond doubles
+            return can, 0
+        front, back = np.maximum(queries, 0).T, np.minimum(queries, 0).T
+        worst_front, worst_back = front * self.values[-1][:, None], back * self.values[0][:, None]
+        active, at, read = np.flatnonzero(can.sum(axis=0) > few), 0, 0
+        seen = np.zeros((n, len(queries)))
+        lower = np.tile(worst_front.sum(axis=0) + worst_back.sum(axis=0), (n, 1))
+        while at < n and len(active):
+            to = min(n, at + max(few, -(-n // looks)))
+            ahead, behind = ((self.rank >= at) & (self.rank < to)).astype(float), ((self.rank < n - at) & (self.rank >= n - to)).astype(float)
+            found = (ahead * self.rows) @ front[:, active] + (behind * self.rows) @ back[:, active]
+            seen[:, active] += found
+            lower[:, active] += found - ahead @ worst_front[:, active] - behind @ worst_back[:, active]
+            read += (to - at) * int(np.count_nonzero(queries[active]))
+            at = to
+            last = front[:, active] * self.values[at - 1][:, None], back[:, active] * self.values[n - at][:, None]
+            upper = seen[:, active] + (self.rank >= at) @ last[0] + (self.rank < n - at) @ last[1]
+            floor = np.where(can[:, active], lower[:, active], -np.inf)
+            limit = np.maximum(least[active], np.partition(floor, n - k, axis=0)[n - k]) if n >= k else least[active]
+            slack = 0.5 + 1e-9 * np.abs(upper)  # scores are whole numbers; sums of large ones are rounded
+            can[:, active] &= np.minimum(upper, LARGEST) + slack >= np.minimum(limit, LARGEST)
+            active = active[can[:, active].sum(axis=0) > few]
+        return can, read
+
+
+def nra_top_k(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, group: int = 8192, at_once: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Query ids, candidate ids and scores of each query's ``k`` best candidates of a block, and
     the number of list entries read."""
-    n, d = rows.shape
     best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in queries]
     read = 0
-    if d and max(np.abs(rows).max(initial=0), np.abs(queries).max(initial=0)) ** 2 * d < EXACT:
-        lengths = np.sqrt((queries * queries).sum(axis=1)) * (1 + 1e-9)
-        order = np.argsort(-(rows * rows).sum(axis=1), kind="stable")
-        for at in range(0, n, group):
-            some = order[at : at + group]
-            lists = Lists(ids[some], rows[some])
-            for q, (scores, found) in enumerate(best):
-                least = float(scores[-1]) if len(scores) == k else -np.inf
-                if lengths[q] * lists.longest < least:
-                    continue
-                can, n_read = lists.candidates(queries[q], query_ids[q], k, least)
-                read += n_read
-                best[q] = _merged(scores, found, _exact_scores(lists.rows[can], queries[q]), lists.ids[can], k)
-    else:  # whole numbers too large for doubles: sums in Python integers, no bounds
-        for q, (scores, found) in enumerate(best):
-            can = np.flatnonzero(ids != query_ids[q])
-            best[q] = _merged(scores, found, _exact_scores(rows[can], queries[q]), ids[can], k)
+    for at in range(0, len(rows), group):
+        lists = Lists(ids[at : at + group], rows[at : at + group])
+        for first in range(0, len(queries), at_once):
+            some = slice(first, first + at_once)
+            least = np.array([float(x[-1]) if len(x) == k else -np.inf for x, _ in best[some]])
+            can, n_read = lists.candidates(query_ids[some], queries[some], k, least)
+            read += n_read
+            for j, own in enumerate(can.T, first):
+                best[j] = _merged(*best[j], _exact_scores(lists.rows[own], queries[j]), lists.ids[own], k)
     sizes = [len(x) for x, _ in best]
     out = [np.concatenate([x[m] for x in best]) if best else np.zeros(0, np.int64) for m in (1, 0)]
     return np.repeat(query_ids, sizes), out[0], out[1], read

@@ -218,19 +218,31 @@ def test_top_k_equals_brute_force(spark, block):
     assert Counter(map(tuple, found.collect())) == brute(rows, 50, 5)
 
 
-def test_reading_stops_early_and_loses_nothing():
-    """Entries read are far from all; groups of short vectors are not read."""
+@pytest.mark.parametrize("kind", ["few weights", "plain", "copies", "large", "signs"])
+def test_reading_stops_early_and_loses_nothing(kind):
+    """Every query's best are those of the plain product; where few dimensions carry the scores
+    most of the lists stay unread."""
     rng = np.random.default_rng(6)
-    rows = np.floor(rng.normal(size=(6000, 64)) * rng.choice([1, 1, 8], 64) * 40)
-    rows[3000:] = np.floor(rows[3000:] / 50)
-    ids = rng.permutation(6000).astype(np.int64)
-    queries = rows[:40]
-    q, c, s, read = topk_search.nra_top_k(ids, rows, ids[:40], queries, 5, group=1000)
-    assert read < 0.35 * 40 * rows.size
-    scores = rows @ queries.T
-    for j in range(40):
-        want = sorted((-scores[i, j], ids[i]) for i in range(6000) if i != j)[:5]
-        assert list(zip(-s[q == ids[j]].astype(float), c[q == ids[j]], strict=True)) == want
+    rows = np.floor(rng.normal(size=(3000, 16)) * 40)
+    if kind == "few weights":
+        rows[:, 2:] = np.floor(rows[:, 2:] / 40)
+    elif kind == "copies":
+        rows[100:2000] = rows[7]
+    elif kind == "large":
+        rows *= 2.0**40
+    elif kind == "signs":
+        rows[:, ::2] = -np.abs(rows[:, ::2])
+    ids = rng.permutation(3000).astype(np.int64)
+    queries = rows[:30].copy()
+    queries[0] = 0
+    q, c, s, read = topk_search.nra_top_k(ids, rows, ids[:30], queries, 5, group=1000)
+    whole = 30 * rows.size
+    assert read <= (0.35 if kind == "few weights" else 1) * whole
+    exact = rows.astype(object) @ queries.T.astype(object)
+    for j in range(30):
+        held = lambda x: max(-(1 << 63), min((1 << 63) - 1, int(x)))
+        want = sorted((-held(exact[i, j]), ids[i]) for i in range(3000) if i != j)[:5]
+        assert [(-int(x), i) for x, i in zip(s[q == ids[j]], c[q == ids[j]], strict=True)] == want
 
 
 def test_top_k_of_few_rows(spark):
