@@ -89,59 +89,3 @@ def drift(stats: DataFrame, asked: DataFrame, rate: float = 0.05, least: int = 1
     mean = F.when(moved, F.col("mean") + rate * (F.col("q") - F.col("mean"))).otherwise(F.col("mean"))
     std = F.when(moved, F.col("std") + rate * (F.greatest("std", 0.5 * far) - F.col("std"))).otherwise(F.col("std"))
     return stats.join(F.broadcast(of), "d", "left").select("d", mean.alias("mean"), std.alias("std"))  # a row per dimension
-
-
-def associations(vectors: DataFrame, order: str, decay: float = 0.999, column: str = "embedding") -> DataFrame:
-    """``i``, ``j``, ``value`` of the decayed sum of outer products of vectors in order.
-
-    ``S <- decay * S + e e'`` over n vectors is ``sum of decay**(n - k) e_k e_k'``, one
-    aggregation.  A vector's age is its distance in ``order`` from the last one, so order has
-    to count without gaps.
-    """
-    x = V.doubles(F.col(column))
-    last = F.broadcast(vectors.agg(F.max(order).alias("__last")))  # one row
-    rows = vectors.crossJoin(last).select(F.pow(F.lit(decay), F.col("__last") - F.col(order)).alias("w"), x.alias("x"))
-    left = rows.select("w", "x", F.posexplode("x").alias("i", "a"))
-    both = left.select("w", "i", "a", F.posexplode("x").alias("j", "b"))
-    return both.groupBy("i", "j").agg(F.sum(F.col("w") * F.col("a") * F.col("b")).alias("value"))
-
-
-def kmeans(vectors: DataFrame, k: int = 32, rounds: int = 50, tolerance: float = 1e-6, key: str = "vec_id", column: str = "embedding") -> tuple[DataFrame, list[list[float]]]:
-    """Clusters by squared distance from a deterministic farthest-point start.
-
-    The first centre is the vector nearest the mean, each next the one farthest from all centres
-    so far.  Only centres (``k`` rows) come to the driver; an empty cluster's centre is zero.
-    Returns ``key``, ``cluster`` and the centres.
-    """
-    rows = vectors.select(key, V.doubles(F.col(column)).alias("x"))
-    constant = lambda c: F.array(*[F.lit(float(v)) for v in c])
-    square = lambda a, b: V.total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))
-    n = min(k, rows.limit(k).count())
-    if n == 0:
-        return rows.select(key, F.lit(0).alias("cluster")), []
-    mean = [r["mean"] for r in dimension_stats(vectors, column).orderBy("d").collect()]
-    first = rows.orderBy(square(F.col("x"), constant(mean)), key).first()["x"]
-    centres = [list(first)]
-    while len(centres) < n:
-        far = F.array_min(F.array(*[square(F.col("x"), constant(c)) for c in centres]))
-        centres.append(list(rows.orderBy(far.desc(), F.col(key).desc()).first()["x"]))
-    assign = lambda cs: F.array_position(F.array(*[F.round(square(F.col("x"), constant(c)), 12) for c in cs]), F.array_min(F.array(*[F.round(square(F.col("x"), constant(c)), 12) for c in cs]))) - 1
-    for _ in range(rounds):
-        means = rows.select(assign(centres).alias("cluster"), F.posexplode("x").alias("d", "v")).groupBy("cluster", "d").agg(F.avg("v").alias("v")).collect()
-        moved = [[0.0] * len(c) for c in centres]
-        for r in means:
-            moved[r["cluster"]][r["d"]] = r["v"]
-        shift = max(sum((a - b) ** 2 for a, b in zip(old, new, strict=True)) ** 0.5 for old, new in zip(centres, moved, strict=True))
-        centres = moved
-        if shift < tolerance:
-            break
-    return rows.select(key, assign(centres).cast("int").alias("cluster")), centres
-
-
-def cluster_search(clusters: DataFrame, centres: list[list[float]], queries: DataFrame, probe: int, k: int) -> DataFrame:
-    """Top ``k`` by dot product among the vectors of the ``probe`` clusters nearest a query."""
-    spark = clusters.sparkSession
-    listed = F.broadcast(spark.createDataFrame(list(enumerate(centres)), "cluster int, centre array<double>"))  # a row per cluster
-    near = queries.crossJoin(listed).withColumn("near", F.row_number().over(Window.partitionBy("query_id").orderBy(V.dot(F.col("q"), F.col("centre")).desc(), "cluster"))).filter(F.col("near") <= probe)
-    scored = clusters.join(near.select("query_id", "q", "cluster"), "cluster").filter("vec_id <> query_id").select("query_id", "vec_id", V.dot(F.col("x"), F.col("q")).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))).filter(F.col("rank") <= k)

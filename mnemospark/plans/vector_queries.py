@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import clusters
 from ..operators import vectors as op
+from ..scratch import own_folder
 from .registry import query
 from .tables import table
 
@@ -58,6 +62,18 @@ def hamming_knn(spark, sf_dir):
     return op.nearest(rows.select("vec_id", "fp"), asked(rows, F.col("fp").alias("q")), V.hamming(F.col("fp"), F.col("q")), 10, descending=False)
 
 
+@query(
+    "hamming_multi_index",
+    WITH + f"""SELECT q.vec_id AS query_id, c.vec_id, bit_count(xor(q.fp, c.fp))::INTEGER AS score,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY bit_count(xor(q.fp, c.fp)), c.vec_id)::INTEGER AS rank
+    FROM fps q JOIN fps c ON q.vec_id % {EVERY} = 0 AND q.vec_id <> c.vec_id QUALIFY rank <= 10""",
+)
+def hamming_multi_index(spark, sf_dir):
+    """:func:`hamming_knn` by lookups at growing distance."""
+    rows = prints(spark, sf_dir).select("vec_id", "fp")
+    return clusters.hamming_nearest(rows, asked(rows, F.col("fp").alias("q")), 10).drop("probed")
+
+
 @query(
     "pure_semantic",
     WITH + f"""SELECT q.vec_id AS query_id, c.vec_id, (1 - bit_count(xor(q.fp, c.fp)) / 64.0)::DOUBLE AS score,
@@ -152,7 +168,7 @@ def holo16(spark, sf_dir):
     SELECT a.d::INTEGER AS i, b.d::INTEGER AS j, round(sum(a.w * a.x * b.x), 6) AS value FROM w a JOIN w b ON a.vec_id = b.vec_id GROUP BY 1, 2""",
 )
 def s_slow(spark, sf_dir):
-    return op.associations(vectors(spark, sf_dir), "vec_id").withColumn("value", F.round("value", 6))
+    return clusters.associations(vectors(spark, sf_dir), "vec_id").withColumn("value", F.round("value", 6))
 
 
 @query(
@@ -167,8 +183,8 @@ def dream_drift(spark, sf_dir):
 
 @query("kmeans_topics")
 def kmeans_topics(spark, sf_dir):
-    clusters, _ = op.kmeans(vectors(spark, sf_dir))
-    return clusters
+    found, _ = clusters.kmeans(vectors(spark, sf_dir))
+    return found
 
 
 @query("cluster_health", WITH + "SELECT label AS cluster, count(*) AS n, round(avg(s), 6) AS strength FROM (SELECT vec_id, label, sqrt(sum(x * x)) AS s FROM v GROUP BY 1, 2) GROUP BY label")
@@ -177,12 +193,19 @@ def cluster_health(spark, sf_dir):
     return rows.groupBy("cluster").agg(F.count("*").alias("n"), F.round(F.avg("s"), 6).alias("strength"))
 
 
+#: Cells of :func:`ivf_search` and how many of them a query reads.
+CELLS, PROBE = 128, 80
+
+
 @query("ivf_search")
 def ivf_search(spark, sf_dir):
+    """Cells stored by folder, the nearest of them read."""
     rows = vectors(spark, sf_dir)
-    found, centres = op.kmeans(rows)
-    clusters = found.join(rows.select("vec_id", V.doubles(F.col("embedding")).alias("x")), "vec_id")
-    return op.cluster_search(clusters, centres, asked(rows, V.doubles(F.col("embedding")).alias("q")), 24, 10).withColumn("score", F.round("score", 6))
+    _, centres = clusters.kmeans(rows, CELLS, 4)
+    path = f"{own_folder(spark)}/cells-{uuid.uuid4().hex}"
+    clusters.store_cells(rows, centres, path)
+    stored = spark.read.parquet(path)
+    return clusters.cell_search(stored, centres, asked(rows, V.doubles(F.col("embedding")).alias("q")), PROBE, 10).withColumn("score", F.round("score", 6))
 
 
 @query(

@@ -1,12 +1,13 @@
 """Golden rows, metamorphic checks and streams equal to batches."""
 
 import io
+import re
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from mnemospark.operators import catalog, components
+from mnemospark.operators import catalog, clusters, components
 from mnemospark.operators import frames as frame_ops
 from mnemospark.operators import graph, ordered, retrieval, state
 from mnemospark.operators import text as text_ops
@@ -54,28 +55,70 @@ def test_filter_then_top_equals_top_then_filter(spark, sf_dir):
     assert {r.doc_id for r in late.collect()} == {r.doc_id for r in early.collect()}
 
 
-def test_ivf_search_recalls_nearest_vectors(spark, sf_dir):
+def test_cell_search_recalls_nearest_vectors(spark, tmp_path):
+    """Recall of the ten nearest by cosine, with queries other than those of the registered search,
+    on the table of the bench; the cells that are read hold well under all rows."""
     import numpy as np
 
-    from mnemospark.plans.registry import queries
+    from mnemospark.plans.vector_queries import CELLS, PROBE
 
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()
-    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows])
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = table.select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    found = {(r.query_id, r.vec_id) for r in queries()["ivf_search"](spark, sf_dir).collect()}
+    _, centres = clusters.kmeans(table, CELLS, 4)
+    clusters.store_cells(table, centres, str(tmp_path / "cells"))
+    stored = spark.read.parquet(str(tmp_path / "cells"))
+    assert stored.count() == len(rows)
+    queries = table.filter("vec_id % 100 = 37").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"))
+    found = {(r.query_id, r.vec_id) for r in clusters.cell_search(stored, centres, queries, PROBE, 10).collect()}
     hits = total = 0
-    for q in np.flatnonzero(ids % 100 == 0):
+    for q in np.flatnonzero(ids % 100 == 37):
         scores = np.where(ids == ids[q], -np.inf, x @ x[q])
         near = ids[np.argsort(-scores)[:10]].tolist()
         hits, total = hits + sum((int(ids[q]), v) in found for v in near), total + len(near)
     assert hits >= 0.9 * total
 
 
+def test_cells_that_no_query_needs_are_not_read(spark, tmp_path):
+    rows = spark.createDataFrame([(k, [float(k % 4 == d) for d in range(4)]) for k in range(40)], "vec_id long, embedding array<double>")
+    _, centres = clusters.kmeans(rows, 4)
+    clusters.store_cells(rows, centres, str(tmp_path / "cells"))
+    asked = spark.createDataFrame([(1, [0.0, 1.0, 0.0, 0.0])], "query_id long, q array<double>")
+    found = clusters.cell_search(spark.read.parquet(str(tmp_path / "cells")), centres, asked, 1, 20)
+    assert {r.vec_id for r in found.collect()} == set(range(5, 40, 4))
+    assert re.search(r"PartitionFilters: \[[^\]]*cell#\d+ = 1", found._jdf.queryExecution().executedPlan().toString())
+
+
 def test_kmeans_finds_planted_clusters(spark):
-    rows = [(k, [float(k % 3 == d) + 0.01 * k for d in range(4)]) for k in range(30)]
-    clusters, centres = vector_ops.kmeans(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3)
-    found = {r.vec_id: r.cluster for r in clusters.collect()}
-    assert len(centres) == 3 and len({(k % 3, c) for k, c in found.items()}) == 3
+    rows = [(k, [float(k % 3 == d) + 0.01 * k for d in range(4)]) for k in range(30)] + [(99, None)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    found, centres = clusters.kmeans(table, k=3)
+    assert len(centres) == 3 and len({(r.vec_id % 3, r.cluster) for r in found.collect()}) == 3
+    again, same = clusters.kmeans(table.repartition(2), k=3)
+    assert same == centres and values(again) == values(found)
+    few = spark.createDataFrame([(1, [1.0]), (2, [1.0]), (3, [2.0])], "vec_id long, embedding array<double>")
+    assert len(clusters.kmeans(few, k=8)[1]) == 2
+    assert clusters.kmeans(few.limit(0), k=8)[1] == []
+
+
+@pytest.mark.parametrize("bits", [4, 8, 16])
+def test_hamming_lookups_equal_brute_force(spark, bits):
+    """Copies beyond k, a crowded segment, a query without neighbours, negative codes."""
+    import random
+
+    r = random.Random(bits)
+    codes = [r.getrandbits(64) for _ in range(150)]
+    codes += [codes[0] ^ 1 << b for b in range(40)] + [codes[1]] * 30 + [codes[2] & ~0xFFFF | r.getrandbits(16) for _ in range(60)]
+    signed = [c - (1 << 64) if c >> 63 else c for c in codes]
+    rows = spark.createDataFrame(list(enumerate(signed)), "vec_id long, fp long").repartition(3)
+    asked = [0, 1, 2, 5, 195, 260]
+    queries = rows.filter(F.col("vec_id").isin(asked)).select(F.col("vec_id").alias("query_id"), F.col("fp").alias("q"))
+    found = clusters.hamming_nearest(rows, queries, 7, bits=bits)
+    want = {(q, n, i, d) for q in asked for n, (d, i) in enumerate(sorted(((codes[q] ^ c).bit_count(), i) for i, c in enumerate(codes) if i != q)[:7], 1)}
+    got = found.collect()
+    assert {(x.query_id, x.rank, x.vec_id, x.score) for x in got} == want and len(got) == len(want)
+    assert min(x.probed for x in got) < len(set(codes))
 
 
 @pytest.mark.parametrize(("kind", "most"), [("long", 500_000), ("long", 40), ("string", 40)])
