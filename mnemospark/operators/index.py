@@ -339,6 +339,15 @@ class TextIndex:
         hits = self._hits(terms, "tfs", "lengths")
         return hits.select("term", "doc_id", F.col("tfs").cast("long").alias("tf"), F.col("lengths").cast("long").alias("length"))
 
+    def postings_of(self, terms: DataFrame) -> DataFrame:
+        """:meth:`postings` of a table of terms (``term``), as many as there may be: the driver
+        learns which buckets they are in, no term.  Of a stemmed index they are stems."""
+        wanted = terms.select("term").distinct()
+        numbers = [str(r.b) for r in wanted.select(_bucket(F.col("term"), self.buckets).alias("b")).distinct().collect()]
+        blocks = self._attempts("postings", POSTINGS, [e.attempt for e in self.entries.values()], f"{{{','.join(numbers or ['none'])}}}")
+        met = blocks.join(wanted, "term").select("batch", "term", F.inline(F.arrays_zip("docs", "tfs", "lengths"))).withColumnRenamed("docs", "doc_id")
+        return self._live(met).select("term", "doc_id", F.col("tfs").cast("long").alias("tf"), F.col("lengths").cast("long").alias("length"))
+
     def positions(self, terms: Sequence[str]) -> DataFrame:
         """``term``, ``doc_id``, ``pos`` (from 0) of every occurrence of the terms."""
         return self._hits(terms, "positions").select("term", "doc_id", F.explode("positions").alias("pos"))

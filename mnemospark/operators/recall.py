@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.stem import stems
+from ..scratch import written
 from . import retrieval as R
 from . import text as X
 from .graph import concept_bridge
 from .index import TextIndex
+from .state import weighted
 
 
 def phrases(query: str) -> list[str]:
@@ -54,6 +57,36 @@ def recall_fused(docs: DataFrame, query: str, k: int = 10, index: TextIndex | No
     return X.ngram_tiebreak(with_text, query)
 
 
+def recall_batch(index: TextIndex, questions: DataFrame, scope: DataFrame | None = None, state: DataFrame | None = None, k: int = 10, k1: float = 1.2, b: float = 0.75) -> tuple[DataFrame, DataFrame]:
+    """The best documents of a table of questions (``query_id``, ``text``) in one plan: ``query_id``,
+    ``rank``, ``doc_id``, ``score``; and the log to append, a row per question with its hits.
+
+    BM25 over the stored postings; ``scope`` (``doc_id``) leaves documents out before the best are
+    taken, while statistics stay those of the corpus; ``state`` (``doc_id``, ``weight``) multiplies
+    scores by what recalls have taught, 1.0 where nothing.  No text is read, and nothing written.
+    A question without known words has no hits and a log row with none.
+    """
+    words = questions.select("query_id", F.explode(T.tokens(F.coalesce("text", F.lit("")))).alias("term"))
+    asked = words.groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    if index.stemmed:
+        asked = asked.withColumn("term", F.element_at(stems(F.array("term")), 1)).groupBy("query_id", "term").agg(F.sum("times").alias("times"))
+    postings = written(index.postings_of(asked), "postings", per_core=4)
+    df = written(postings.groupBy("term").agg(F.count("*").alias("df")), "frequencies", per_core=1)
+    hits = postings if scope is None else postings.join(scope.select("doc_id").distinct(), "doc_id", "left_semi")
+    n_docs, n_terms = index.totals
+    mean = max(n_terms / n_docs, 1.0) if n_docs else 1.0
+    idf = F.log((F.lit(n_docs) + 1) / (F.col("df") + 1)) + 1
+    part = F.col("times") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
+    scored = asked.join(df, "term").join(hits, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    if state is not None:
+        scored = weighted(scored, state)
+    ranked = scored.withColumn("rank", F.row_number().over(R.Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")))
+    best = written(ranked.filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score"), "best", per_core=1)
+    kept = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id")))["doc_id"].alias("hits"))  # k a question
+    log = questions.join(kept, "query_id", "left").select("query_id", "text", F.coalesce("hits", F.array().cast(dict(kept.dtypes)["hits"])).alias("hits"))
+    return best, log
+
+
 def search_full(docs: DataFrame, query: str, k: int = 10, index: TextIndex | None = None) -> DataFrame:
     """Questions about codes by keyword, short ones by fused recall, long ones by BM25 over
     windows of words blended into their documents."""

@@ -264,3 +264,24 @@ def ask(spark, sf_dir):
     links = docs.select("doc_id", F.explode(F.array("lang", "source")).alias("concept"))
     symbols = docs.filter("doc_id % 100 = 0").select(F.concat(F.lit("symbol"), F.col("doc_id").cast("string")).alias("name"), "doc_id")
     return recall.ask(docs, "Where is symbol100 licensed under the Apache license?", links, symbols, index=text_index(spark, sf_dir)).withColumn("conf", F.round("conf", 6))
+
+
+BATCH_SQL = r"""WITH t AS MATERIALIZED (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents WHERE text IS NOT NULL),
+    s AS (SELECT doc_id, count(DISTINCT term) AS length FROM t GROUP BY 1), n AS (SELECT (SELECT count(*) FROM documents) AS n_docs, (SELECT sum(length) FROM s) / (SELECT count(*) FROM documents) AS mean),
+    q AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM benchmark) GROUP BY ALL),
+    p AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+    b AS (SELECT query_id, p.doc_id, sum(times * (ln((n_docs + 1) / (df + 1)) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score
+      FROM q JOIN f USING (term) JOIN p USING (term) JOIN s ON s.doc_id = p.doc_id CROSS JOIN n JOIN documents d ON d.doc_id = p.doc_id WHERE d.lang <> 'de' GROUP BY 1, 2),
+    w AS (SELECT query_id, doc_id, round(score * CASE WHEN doc_id % 3 = 0 THEN 1.25::DOUBLE ELSE 1 END, 6) AS score FROM b)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM w QUALIFY rank <= 10"""
+
+
+@query("recall_batch", BATCH_SQL)
+def recall_batch(spark, sf_dir):
+    """All passages of ``benchmark`` as questions, one language left out, a third of the documents
+    with a learned weight."""
+    docs = table(spark, sf_dir, "documents")
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    learned = docs.filter("doc_id % 3 = 0").select("doc_id", F.lit(1.25).alias("weight"))
+    best, _ = recall.recall_batch(text_index(spark, sf_dir), questions, docs.filter("lang <> 'de'"), learned)
+    return best.withColumn("score", F.round("score", 6))

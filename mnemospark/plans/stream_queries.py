@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.statistics import Statistics
+from ..scratch import own_folder
 from ..streaming import ingest
 from .registry import query
 from .tables import table
@@ -32,3 +36,21 @@ def incremental_idf(spark, sf_dir):
         part = words.unionByName(half.agg(F.lit(None).cast("string").alias("word"), F.count("*").alias("df")))
         deltas = part if deltas is None else deltas.unionByName(part)
     return ingest.merged_idf(deltas).withColumn("idf", F.round("idf", 6))
+
+
+@query(
+    "incremental_statistics",
+    """WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings),
+    s AS (SELECT d, x, unnest(CASE WHEN vec_id % 10 < 6 THEN [0, 1, 2] ELSE [2] END) AS stage FROM v)
+    SELECT stage, d::INTEGER AS d, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM s GROUP BY stage, d""",
+)
+def incremental_statistics(spark, sf_dir):
+    """Six tenths of the vectors, then two that the base outlives, then two that make it anew."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.lit(None).cast("string").alias("text"), "embedding")
+    store = Statistics(spark, f"{own_folder(spark)}/statistics-{uuid.uuid4().hex}")
+    out = None
+    for stage, some in enumerate(("vec_id % 10 < 6", "vec_id % 10 in (6, 7)", "vec_id % 10 in (8, 9)")):
+        store = store.append(rows.filter(some))
+        part = store.dimensions().select(F.lit(stage).alias("stage"), "d", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+        out = part if out is None else out.union(part)
+    return out

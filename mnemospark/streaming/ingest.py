@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as T
 from ..operators.index import TextIndex
+from ..operators.statistics import Statistics
 
 
 def append_frames(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -39,7 +40,7 @@ def incremental_df(stream: DataFrame, stats_path: str, checkpoint: str) -> Strea
 
 def index_texts(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Documents of a stream added to the index at ``path``, a micro-batch a batch; one that is
-    repeated after a failure overwrites its own partitions."""
+    repeated after a failure replaces itself."""
 
     def add(batch: DataFrame, number: int) -> None:
         TextIndex.open(batch.sparkSession, path).append(batch, number)
@@ -47,6 +48,16 @@ def index_texts(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def statistics(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Corpus statistics of a stream of documents, a micro-batch a batch; one that is repeated
+    after a failure replaces itself."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        Statistics(batch.sparkSession, path).append(batch, number)
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def merged_idf(deltas: DataFrame) -> DataFrame:
     """``word``, ``df``, ``idf`` from all deltas; the row without a word counts documents."""
     n = F.broadcast(deltas.filter("word is null").agg(F.sum("df").alias("n")))  # one row

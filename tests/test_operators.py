@@ -669,3 +669,55 @@ def test_median_distance_of_ties_and_even_counts(spark):
         far = np.sort(np.abs(x - x.mean(0)), axis=0)[n // 2]
         got = dict(values(vector_ops.mad_scale(rows, bins=8)))
         assert [round(got[d], 9) for d in range(3)] == [round(min(max(2 * far[d], 0.05), 0.5), 9) for d in range(3)]
+
+
+def test_statistics_by_batches(spark, tmp_path):
+    """The base stays while little is new, then equals a fresh build; frequencies are always of
+    all; a batch written again replaces itself; a stream gives what batches give."""
+    from mnemospark.operators.statistics import Statistics
+
+    rows = [(k, None if k == 7 else f"word{k % 5} common", None if k == 9 else [float(k), 1.0]) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, embedding array<double>")
+    some = lambda a, b: docs.filter(f"doc_id >= {a} and doc_id < {b}")
+    rounded = lambda df: values(df.select("d", F.round("mean", 9), F.round("std", 9)))
+    fresh = lambda part: rounded(vector_ops.dimension_stats(part.filter("embedding is not null")))
+    one = Statistics(spark, str(tmp_path / "s")).append(some(0, 10))
+    assert rounded(one.dimensions()) == fresh(some(0, 10))
+    two = one.append(some(10, 14))
+    assert two.base == one.base and rounded(two.dimensions()) == fresh(some(0, 10))
+    assert values(two.frequencies().select("word", "df")) == values(text_ops.word_idf(some(0, 14)).select("word", "df"))
+    assert values(two.append(some(10, 14), 1).frequencies()) == values(two.frequencies())
+    late = Statistics(spark, two.path).append(some(14, 20))
+    assert late.base != one.base and rounded(late.dimensions()) == fresh(docs) and late.n_docs == 20
+    assert values(late.frequencies().select("word", "idf")) == values(text_ops.word_idf(docs).select("word", "idf"))
+    assert rounded(one.dimensions()) == fresh(some(0, 10))  # a reader of the first snapshot
+    again = late.append(some(0, 5), 0)
+    assert again.n_docs == 15 and rounded(again.dimensions()) == fresh(docs.filter("doc_id < 5 or doc_id >= 10"))
+    assert Statistics(spark, str(tmp_path / "none")).frequencies().count() == 0
+
+
+def test_statistics_of_a_stream(spark, tmp_path, streamed):
+    from mnemospark.operators.statistics import Statistics
+
+    docs = spark.range(30).select(F.col("id").alias("doc_id"), F.concat(F.lit("common word"), F.col("id") % 4).alias("text"), F.array(F.col("id") * 1.0).alias("embedding"))
+    ingest.statistics(streamed(docs, 3), str(tmp_path / "s"), str(tmp_path / "c")).awaitTermination()
+    found = Statistics(spark, str(tmp_path / "s"))
+    assert found.n_docs == 30 and values(found.frequencies().select("word", "df")) == values(text_ops.word_idf(docs).select("word", "df"))
+
+
+def test_questions_in_a_batch(spark, tmp_path):
+    """As one by one; scope before the best are taken; weights; the log; empty questions."""
+    from mnemospark.operators import recall
+    from mnemospark.operators.index import TextIndex
+
+    docs = spark.createDataFrame([(k, f"red w{k % 3} w{k % 4} " + "fish " * (k % 5)) for k in range(40)], "doc_id long, text string")
+    index = TextIndex.create(spark, str(tmp_path / "i"), buckets=4).append(docs.filter("doc_id < 30")).append(docs.filter("doc_id >= 20"))
+    questions = spark.createDataFrame([("a", "red fish fish"), ("b", "w1 w2 nothing"), ("c", "zzz"), ("d", None)], "query_id string, text string")
+    best, log = recall.recall_batch(index, questions, k=6)
+    for query_id, text in (("a", "red fish fish"), ("b", "w1 w2 nothing")):
+        alone = text_ops.top(text_ops.bm25(index, text), 6, F.col("score").desc(), "doc_id").select("doc_id", F.round("score", 9))
+        assert values(best.filter(F.col("query_id") == query_id).select("doc_id", F.round("score", 9))) == values(alone)
+    assert {r.query_id: len(r.hits) for r in log.collect()} == {"a": 6, "b": 6, "c": 0, "d": 0}
+    scoped, _ = recall.recall_batch(index, questions, scope=docs.filter("doc_id in (3, 5)"), state=spark.createDataFrame([(3, 2.0)], "doc_id long, weight double"))
+    plain = {r.doc_id: r.score for r in text_ops.bm25(index, "red fish fish").collect()}
+    assert {(r.doc_id, round(r.score, 9)) for r in scoped.filter("query_id = 'a'").collect()} == {(3, round(2 * plain[3], 9)), (5, round(plain[5], 9))}
