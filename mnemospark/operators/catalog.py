@@ -42,6 +42,18 @@ def assets(parts: DataFrame) -> DataFrame:
     return parts.select("kind", F.sha2("content", 256).alias("hash"), "content").dropDuplicates(["kind", "hash"])
 
 
+def objects(asset: DataFrame, asked: DataFrame) -> DataFrame:
+    """``kind``, ``hash``, ``found``, ``content`` for every object asked (``kind``, ``hash``); one that is
+    not there, or whose content does not give its hash any more, is not found."""
+    have = asset.filter(F.sha2("content", 256) == F.col("hash")).withColumn("found", F.lit(True))
+    return asked.select("kind", "hash").distinct().join(have, ["kind", "hash"], "left").select("kind", "hash", F.coalesce("found", F.lit(False)).alias("found"), "content")
+
+
+def object_counts(asset: DataFrame) -> DataFrame:
+    """``kind``, ``n``, ``size`` in bytes of the objects there are."""
+    return asset.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.octet_length("content").cast("long")).alias("size"))
+
+
 def manifests(parts: DataFrame) -> DataFrame:
     """Per document its ordered entries: ``doc_id``, ``entries`` of (pos, kind, hash)."""
     entry = F.struct("pos", "kind", F.sha2("content", 256).alias("hash"))

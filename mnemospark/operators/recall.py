@@ -107,9 +107,13 @@ def search_full(docs: DataFrame, query: str, k: int = 10, index: TextIndex | Non
 def ask(docs: DataFrame, query: str, links: DataFrame, symbols: DataFrame, k: int = 10, index: TextIndex | None = None) -> DataFrame:
     """Hits of the symbol, text and lexical engines and of links, merged by confidence.
 
+    A symbol of a word's name counts 1.0; where a word names none, those that sound alike do, 0.92
+    at one edit and 0.55 at two.
+
     ``links`` has ``doc_id``, ``concept``; ``symbols`` has ``name``, ``doc_id``.  A document
     keeps its highest confidence; documents one concept away from the best four join behind
-    them; equal texts keep one; then the relative cut-off.  Reading changes no state.  With an
+    them; equal texts keep one; then the relative cut-off.  Where nothing stands out
+    (:func:`.retrieval.abstain`) there are no hits.  Reading changes no state.  With an
     ``index`` of ``docs`` only the texts of the best are read.
     """
     words = [w for w in dict.fromkeys(re.findall(r"\w+", query.lower())) if w not in T.QUESTION_STOPWORDS and (len(w) >= 3 or w.isdigit())]
@@ -121,9 +125,11 @@ def ask(docs: DataFrame, query: str, links: DataFrame, symbols: DataFrame, k: in
     whole = F.greatest(F.max("idf").over(R.Window.partitionBy("query_id")), F.lit(1.0))
     top = X.top(held.select(zero, "doc_id", "n_terms", "idf"), 50, F.col("idf").desc(), "doc_id")
     meaning = R.semantic_confidence(top.withColumn("score", F.col("idf") / whole))
-    named = symbols.filter(F.lower("name").isin(*words)).select(zero, "doc_id", F.lit(1.0).alias("conf"), F.lit("symbol").alias("engine")).distinct()
+    asked = docs.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")).alias("word"))
+    alike = X.fuzzy(asked, symbols.select(F.lower("name").alias("word")).distinct()).select(F.col("match").alias("low"), F.when(F.col("distance") == 0, 1.0).when(F.col("distance") == 1, 0.92).otherwise(0.55).alias("conf"))
+    named = symbols.withColumn("low", F.lower("name")).join(alike, "low").groupBy("doc_id").agg(F.max("conf").alias("conf")).select(zero, "doc_id", "conf", F.lit("symbol").alias("engine"))
     linked = links.filter(F.col("concept").isin(*words)).select(zero, "doc_id", F.lit(0.90).alias("conf"), F.lit("link").alias("engine")).distinct()
-    merged = R.candidate_merge(text, meaning, named, linked)
+    merged = R.abstain(R.candidate_merge(text, meaning, named, linked))
     seeds = X.top(merged, 4, F.col("conf").desc(), "doc_id").select("doc_id")
     bridge = concept_bridge(links, seeds).select(zero, "doc_id", F.lit(0.45).alias("conf"), F.lit("bridge").alias("engine")).distinct()
     best = X.top(R.candidate_merge(merged, bridge), 5 * k, F.col("conf").desc(), "doc_id")

@@ -208,6 +208,27 @@ def fix_score(fixes: DataFrame, least: float = 0.0) -> DataFrame:
     return ranked.select("query_id", "doc_id", "rank", F.when(F.col("rank") == 1, F.col("raw")).otherwise(0.05).alias("score"))
 
 
+def blueprint_score(rows: DataFrame, k: int, least: float = 0.0) -> DataFrame:
+    """The scorer of :func:`fix_score` over blueprints: the best ``k`` of each query from ``least``,
+    each with its own score."""
+    score = F.round(F.col("rel") * (0.3 + 0.4 * F.greatest("cos", "fp") + 0.3 * F.col("intent")), 9)
+    ranked = rows.withColumn("score", score).filter(F.col("score") >= least).withColumn("rank", F.row_number().over(_by_query(F.col("score").desc(), "doc_id")))
+    return ranked.filter(F.col("rank") <= k).select("query_id", "doc_id", "rank", "score")
+
+
+def blueprints(shapes: DataFrame) -> DataFrame:
+    """Named shapes of work (``seq``, ``shape``, ``lang``, ``content``) as documents: ``doc_id`` from shape
+    and language, the first of each, tagged."""
+    doc_id = F.lower(F.concat_ws(":", F.lit("blueprint"), "shape", "lang"))
+    first = shapes.groupBy(doc_id.alias("doc_id")).agg(F.min_by("content", "seq").alias("content"), F.min("lang").alias("lang"))
+    return first.select("doc_id", "content", F.array_compact(F.array(F.lit("blueprint"), F.concat(F.lit("lang:"), "lang"))).alias("tags"))
+
+
+def learned(have: DataFrame, new: DataFrame, overwrite: bool = False) -> DataFrame:
+    """The blueprints to write: those not there yet, since edits of the others are kept, or all."""
+    return new if overwrite else new.join(have.select("doc_id"), "doc_id", "left_anti")
+
+
 def federated(stores: Sequence[DataFrame], k: int) -> DataFrame:
     """The best ``k`` of several stores' hits; a document in more than one keeps its best."""
     best = reduce(DataFrame.unionByName, stores).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))

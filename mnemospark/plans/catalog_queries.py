@@ -52,6 +52,20 @@ def asset_dedup(spark, sf_dir):
     return op.assets(parts(spark, sf_dir)).select("kind", "hash")
 
 
+@query("object_get", WITH + "," + PARTS_SQL + """, a AS (SELECT kind, sha256(content) AS hash, any_value(content) AS content FROM parts GROUP BY ALL),
+    q AS (SELECT kind, hash FROM a UNION ALL SELECT 'other', hash FROM a) SELECT q.kind, q.hash, a.hash IS NOT NULL AS found, md5(content) AS content FROM q LEFT JOIN a ON q.kind = a.kind AND q.hash = a.hash""")
+def object_get(spark, sf_dir):
+    """Every object asked for under its own kind and under another."""
+    have = op.assets(parts(spark, sf_dir))
+    asked = have.select("kind", "hash").union(have.select(F.lit("other"), "hash"))
+    return op.objects(have, asked).select("kind", "hash", "found", F.md5("content").alias("content"))
+
+
+@query("object_count", WITH + "," + PARTS_SQL + " SELECT kind, count(*) AS n, sum(strlen(content))::BIGINT AS size FROM (SELECT DISTINCT kind, content FROM parts) GROUP BY 1")
+def object_count(spark, sf_dir):
+    return op.object_counts(op.assets(parts(spark, sf_dir)))
+
+
 @query("manifest_rebuild", WITH + "," + PARTS_SQL + " SELECT doc_id, string_agg(content, chr(10) ORDER BY pos) AS content FROM parts GROUP BY doc_id")
 def manifest_rebuild(spark, sf_dir):
     p = parts(spark, sf_dir)

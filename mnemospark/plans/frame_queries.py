@@ -97,6 +97,13 @@ def legal_hold_add(spark, sf_dir):
     return op.hold(frames(spark, sf_dir), "conv_4", "c9").select("frame_id", op.under_legal_hold(F.col("tags")).alias("held"))
 
 
+@query("legal_hold_release", WITH + "SELECT frame_id, conv_id % 7 = 0 AND conv_id <> 14 AS held, len(tags) - (conv_id = 14)::INTEGER AS n_tags FROM frames")
+def legal_hold_release(spark, sf_dir):
+    """A hold that is there, and one of a case that is not: that changes nothing."""
+    rows = op.release(op.release(frames(spark, sf_dir), "conv_14", "c1"), "conv_7", "other")
+    return rows.select("frame_id", op.under_legal_hold(F.col("tags")).alias("held"), F.size("tags").cast("long").alias("n_tags"))
+
+
 @query("set_pillar", WITH + "SELECT frame_id, CASE WHEN frame_id = 1048576 THEN 'external' ELSE pillar END AS pillar FROM frames")
 def set_pillar(spark, sf_dir):
     return op.set_pillar(frames(spark, sf_dir), 1048576, "external").select("frame_id", "pillar")

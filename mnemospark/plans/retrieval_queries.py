@@ -262,10 +262,30 @@ def search_full(spark, sf_dir):
 def ask(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     links = docs.select("doc_id", F.explode(F.array("lang", "source")).alias("concept"))
-    symbols = docs.filter("doc_id % 100 = 0").select(F.concat(F.lit("symbol"), F.col("doc_id").cast("string")).alias("name"), "doc_id")
+    symbols = docs.select(F.concat(F.lit("symbol"), F.col("doc_id").cast("string")).alias("name"), "doc_id")
     return recall.ask(docs, "Where is symbol100 licensed under the Apache license?", links, symbols, index=text_index(spark, sf_dir)).withColumn("conf", F.round("conf", 6))
 
 
+SHAPES_SQL = """f AS (SELECT doc_id // 9 AS query_id, doc_id, (n_chars % 10) / 10.0::DOUBLE * (0.3::DOUBLE + 0.4::DOUBLE * greatest(doc_id % 7, n_chars % 7) / 7.0::DOUBLE + 0.3::DOUBLE * (doc_id % 2)) AS raw FROM documents)"""
+
+
+@query("blueprint_recall", "WITH " + SHAPES_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 9) DESC, doc_id)::INTEGER AS rank FROM f WHERE round(raw, 9) >= 0.3)
+    SELECT query_id, doc_id, rank, round(raw, 6) AS score FROM r WHERE rank <= 3""")
+def blueprint_recall(spark, sf_dir):
+    n, d = F.col("n_chars"), F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").select(F.floor(d / 9).alias("query_id"), "doc_id", (n % 10 / 10.0).alias("rel"), (d % 7 / 7.0).alias("cos"), (n % 7 / 7.0).alias("fp"), (d % 2 * 1.0).alias("intent"))
+    return op.blueprint_score(rows, 3, 0.3).withColumn("score", F.round("score", 6))
+
+
+@query("blueprint_learn", """WITH s AS (SELECT p_partkey, 'blueprint:' || lower(p_type) || '-' || p_size || CASE WHEN p_brand < 'Brand#2' THEN ':' || lower(p_brand) ELSE '' END AS doc_id, p_name FROM part),
+    n AS (SELECT doc_id, arg_min(p_name, p_partkey) AS content FROM s GROUP BY doc_id), h AS (SELECT DISTINCT doc_id FROM s WHERE p_partkey % 5 = 0) SELECT doc_id, content FROM n WHERE doc_id NOT IN (SELECT doc_id FROM h)""")
+def blueprint_learn(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    shapes = part.select(F.col("p_partkey").alias("seq"), F.concat_ws("-", "p_type", "p_size").alias("shape"), F.when(F.col("p_brand") < "Brand#2", F.col("p_brand")).alias("lang"), F.col("p_name").alias("content"))
+    have = op.blueprints(shapes.filter("seq % 5 = 0"))
+    return op.learned(have, op.blueprints(shapes)).select("doc_id", "content")
+
+
 BATCH_SQL = r"""WITH t AS MATERIALIZED (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents WHERE text IS NOT NULL),
     s AS (SELECT doc_id, count(DISTINCT term) AS length FROM t GROUP BY 1), n AS (SELECT (SELECT count(*) FROM documents) AS n_docs, (SELECT sum(length) FROM s) / (SELECT count(*) FROM documents) AS mean),
     q AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM benchmark) GROUP BY ALL),

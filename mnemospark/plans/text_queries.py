@@ -327,4 +327,4 @@ def focused_passages(spark, sf_dir):
     from ..functions.stem import focused
 
     cut = focused({"license": 3.0, "version": 2.0})
-    return docs(spark, sf_dir).filter(F.lower("text").contains("license")).select("doc_id", F.posexplode(cut(F.col("text"))).alias("pos", "passage"))
+    return docs(spark, sf_dir).select("doc_id", F.posexplode(cut(F.col("text"))).alias("pos", "passage"))

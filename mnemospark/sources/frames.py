@@ -6,6 +6,9 @@ event, so the current state is a window over the history and no row is updated i
 
 from __future__ import annotations
 
+import io
+
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,6 +54,19 @@ def open_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 
 
+def to_bytes(frames: DataFrame) -> bytes:
+    """A small store as one Parquet file in memory, to be sent or embedded; it has to fit the driver."""
+    out = io.BytesIO()
+    pq.write_table(conform(frames).toArrow(), out, compression="zstd")
+    return out.getvalue()
+
+
+def open_bytes(spark: SparkSession, data: bytes) -> DataFrame:
+    """The frame table in the bytes of a Parquet file, with the schema given; other columns are
+    ignored, missing ones are null."""
+    return conform(spark.createDataFrame(pq.read_table(io.BytesIO(data))))
+
+
 def save(frames: DataFrame, path: str, mode: str = "append") -> None:
     """Append frames as zstd Parquet, one folder per pillar so that pillar filters prune."""
     conform(frames).write.mode(mode).option("compression", "zstd").partitionBy("pillar").parquet(path)

@@ -721,3 +721,32 @@ def test_questions_in_a_batch(spark, tmp_path):
     scoped, _ = recall.recall_batch(index, questions, scope=docs.filter("doc_id in (3, 5)"), state=spark.createDataFrame([(3, 2.0)], "doc_id long, weight double"))
     plain = {r.doc_id: r.score for r in text_ops.bm25(index, "red fish fish").collect()}
     assert {(r.doc_id, round(r.score, 9)) for r in scoped.filter("query_id = 'a'").collect()} == {(3, round(2 * plain[3], 9)), (5, round(plain[5], 9))}
+
+
+def test_store_from_bytes(spark, sf_dir):
+    some = frames(spark, sf_dir).limit(50)
+    data = store.to_bytes(some)
+    assert isinstance(data, bytes) and values(store.open_bytes(spark, data)) == values(store.conform(some))
+    assert store.open_bytes(spark, store.to_bytes(store.create_store(spark))).count() == 0
+
+
+def test_blueprints_are_kept_unless_told_otherwise(spark):
+    shapes = spark.createDataFrame([(2, "Sync", None, "late"), (1, "Sync", None, "first"), (3, "Sync", "Go", "go")], "seq long, shape string, lang string, content string")
+    new = retrieval.blueprints(shapes)
+    assert {(r.doc_id, r.content, tuple(r.tags)) for r in new.collect()} == {("blueprint:sync", "first", ("blueprint",)), ("blueprint:sync:go", "go", ("blueprint", "lang:Go"))}
+    have = spark.createDataFrame([("blueprint:sync",)], "doc_id string")
+    assert [r.doc_id for r in retrieval.learned(have, new).collect()] == ["blueprint:sync:go"]
+    assert retrieval.learned(have, new, overwrite=True).count() == 2
+
+
+def test_ask_takes_symbols_that_sound_alike(spark, tmp_path):
+    from mnemospark.operators import recall
+
+    docs = spark.createDataFrame([(k, f"text number {k} " + ("about fish" if k == 3 else "of nothing")) for k in range(12)], "doc_id long, text string")
+    symbols = spark.createDataFrame([("loadOrders", 5), ("loadOrder", 6), ("other", 7)], "name string, doc_id long")
+    links = spark.createDataFrame([], "doc_id long, concept string")
+    found = {r.doc_id: (r.engine, r.conf) for r in recall.ask(docs, "where is loadorder defined", links, symbols).collect()}
+    assert found[6] == ("symbol", 1.0) and 5 not in found
+    found = {r.doc_id: (r.engine, r.conf) for r in recall.ask(docs, "where is loadordrs defined", links, symbols).collect()}
+    assert found[5] == ("symbol", 0.92)
+    assert recall.ask(docs, "", links, symbols).count() == 0
