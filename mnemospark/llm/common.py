@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import written as written
@@ -56,6 +56,20 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 <<
         yield batch.slice(start)
 
 
+#: Bytes of a record batch that Spark hands to Python, about.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """From now on this session hands Python record batches of about ``most`` bytes, a row at least;
+    a lower setting stays.  Spark's own bound is 64 MB, which a task holds several times: in the
+    buffers it writes, in those it sends and in the worker."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(setting, None)
+    if now is None or not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) <= most:
+        spark.conf.set(setting, str(most))
+
+
 def raw_texts(column: pa.Array) -> Iterator[bytes]:
     """Each value of a string column as UTF-8 bytes; null as empty."""
     for value in column.cast(pa.binary()).to_pylist():

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, documents_of, raw_texts, small_batches, written
+from .common import bound_batches, bounded, documents_of, raw_texts, small_batches, written
 
 #: Weights of words are multiples of one over this.
 UNIT = float(1 << 30)
@@ -381,6 +381,7 @@ def fitted(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
     is stored once.  Of documents confirmed toxic at most ``most_positive``, by a seeded hash, are
     learned from: a bound on labelled rows.
     """
+    bound_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).filter(learnable(F.col("doc_id")))
     prior = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
     order = [F.xxhash64("doc_id", F.lit(fit.seed)), F.col("doc_id")]

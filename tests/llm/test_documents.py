@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -467,3 +468,26 @@ def test_empty_tables(empty, labels):
     assert packing.packed(empty).count() == 0
     assert tokens.length_histogram(empty).count() == 0
     assert toxicity.toxicity(empty, labels).count() == 0
+
+
+def test_record_batches_are_bounded_by_bytes(spark):
+    """Rows leave the JVM in batches of a few rows where rows are long."""
+    from mnemospark.llm import common
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        common.bound_batches(spark, 1 << 20)
+        assert spark.conf.get(setting) == str(1 << 20)
+        common.bound_batches(spark, 8 << 20)
+        assert spark.conf.get(setting) == str(1 << 20)
+
+        def sizes(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+        rows = spark.range(64, numPartitions=1).select(F.repeat(F.lit("x"), F.lit(200_000)).alias("t"))
+        found = [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+        assert sum(found) == 64 and max(found) <= 8
+    finally:
+        spark.conf.set(setting, before)
