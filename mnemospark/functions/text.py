@@ -230,6 +230,16 @@ def calls(code: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(plain, procs), lambda x: ~F.lower(x).isin("if", "for", "while", "switch", "return", "catch", "def", "class", "function", "fn", "in", "values", "exists", "and", "or", "not")))
 
 
+def without_comments(sql: Column) -> Column:
+    """SQL without block and line comments; what looks like one within a string stays."""
+    return F.regexp_replace(sql, r"(?s)('(?:[^']|'')*')|/\*.*?\*/|--[^\n]*", "$1 ")
+
+
+def code_only(sql: Column) -> Column:
+    """SQL without comments and strings, read from the left, so that each ends where it does."""
+    return F.regexp_replace(sql, r"(?s)/\*.*?\*/|--[^\n]*|'(?:[^']|'')*'", " ")
+
+
 def action_residue(text: Column) -> Column:
     """What remains of a task line without names of files, paths and identifiers."""
     return F.concat_ws(" ", F.filter(words(F.lower(text)), lambda w: ~w.rlike(r"[./\\_:]|\d")))

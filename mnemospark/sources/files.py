@@ -92,11 +92,17 @@ def sql_batches(files: DataFrame) -> DataFrame:
 
 
 def create_table_columns(batches: DataFrame) -> DataFrame:
-    """Columns of CREATE TABLE batches: ``table``, ``column``, ``type``, ``nullable``."""
-    body = F.regexp_extract("body", r"(?is)\((.*)\)\s*;?\s*$", 1)
+    """Columns of CREATE TABLE batches: ``table``, ``column``, ``type``, ``nullable``.  Comments and
+    strings are no part of them; names may stand in brackets or quotes and hold spaces; lines of
+    constraints and indexes are no columns."""
+    body = F.regexp_extract(T.code_only(F.col("body")), r"(?is)\((.*)\)\s*(?:with\s*\([^)]*\)|on\s+\[?\w+\]?|;|\s)*$", 1)
     lines = batches.filter("kind = 'table'").select(F.col("name").alias("table"), F.explode(F.split(body, r",(?![^(]*\))")).alias("line"))
-    found = lines.select("table", F.regexp_extract(F.trim("line"), r"^\[?(\w+)\]?\s+\[?(\w+)\]?(\([^)]*\))?", 1).alias("column"), F.regexp_extract(F.trim("line"), r"^\[?\w+\]?\s+\[?(\w+)\]?", 1).alias("type"), (~F.col("line").rlike("(?i)not\\s+null|primary\\s+key")).alias("nullable"))
-    return found.filter(~F.lower("column").isin("", "constraint", "primary", "foreign", "unique", "check"))
+    name = r"(?:\[[^\]]+\]|\"[^\"]+\"|\w+)"
+    bare = lambda c: F.regexp_replace(c, r"^[\[\"]|[\]\"]$", "")
+    plain = F.regexp_replace("line", r"^\s+|\s+$", "")
+    kind = F.regexp_extract(plain, rf"^{name}\s+((?:{name}\.)?{name})", 1)
+    found = lines.select("table", bare(F.regexp_extract(plain, rf"^({name})\s", 1)).alias("column"), bare(F.regexp_replace(kind, rf"^{name}\.", "")).alias("type"), (~plain.rlike(r"(?i)\bnot\s+null\b|\bprimary\s+key\b")).alias("nullable"), plain.rlike(r"(?i)^(constraint|primary|foreign|unique|check|index|period)\b").alias("other"))
+    return found.filter((F.col("column") != "") & ~F.col("other")).drop("other")
 
 
 def code_chunks(files: DataFrame) -> DataFrame:
@@ -290,13 +296,15 @@ def event_frames(events: DataFrame) -> DataFrame:
 
 def procedure_facts(batches: DataFrame) -> DataFrame:
     """What a procedure's body shows (``name``, ``body``): parameters, JSON keys it reads,
-    tables it changes, literals it compares, error codes it throws; one row per fact."""
-    of = lambda kind, pattern: F.transform(F.regexp_extract_all("body", F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value")))
+    tables it changes, literals it compares, error codes it throws; one row per fact.  Comments
+    show nothing, nor do strings what only code can say."""
+    batches = batches.select("name", T.without_comments(F.col("body")).alias("body"), T.code_only(F.col("body")).alias("code"))
+    of = lambda kind, pattern, where="code": F.transform(F.regexp_extract_all(where, F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value")))
     facts = F.concat(
         of("parameter", r"(?i)(@\w+)\s+(?:n?varchar|n?char|int|bigint|bit|decimal|date\w*|uniqueidentifier)"),
-        of("json", r"(?i)'\$\.([\w.]+)'"),
+        of("json", r"(?i)'\$\.([\w.]+)'", "body"),
         of("changes", r"(?i)\b(?:update|delete\s+from|merge\s+into|truncate\s+table)\s+(?:\[?\w+\]?\.)?\[?(\w+)"),
-        of("literal", r"(?:=|<>)\s*N?'([^']*)'"),
+        of("literal", r"(?:=|<>)\s*N?'([^']*)'", "body"),
         of("error", r"(?i)\b(?:throw|raiserror)\s*\(?\s*(\d+)"),
     )
     return batches.select("name", F.explode(F.array_distinct(facts)).alias("f")).select("name", "f.kind", "f.value")

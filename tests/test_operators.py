@@ -750,3 +750,18 @@ def test_ask_takes_symbols_that_sound_alike(spark, tmp_path):
     found = {r.doc_id: (r.engine, r.conf) for r in recall.ask(docs, "where is loadordrs defined", links, symbols).collect()}
     assert found[5] == ("symbol", 0.92)
     assert recall.ask(docs, "", links, symbols).count() == 0
+
+
+def test_sql_is_read_without_comments_and_strings(spark):
+    table_body = """CREATE TABLE dbo.T (  -- a, b (c
+        [order id] int NOT NULL DEFAULT '--, x (', /* gone int, */
+        "note" [dbo].[Text] NULL, price decimal(9, 2), kind varchar(5) DEFAULT 'it''s, so',
+        INDEX ix (price), PRIMARY KEY ([order id])) ON [PRIMARY];"""
+    found = files.create_table_columns(files.sql_batches(spark.createDataFrame([("a.sql", table_body)], "file string, text string")))
+    assert {tuple(r) for r in found.collect()} == {("dbo.T", "order id", "int", False), ("dbo.T", "note", "Text", True), ("dbo.T", "price", "decimal", True), ("dbo.T", "kind", "varchar", True)}
+    proc = "CREATE PROC p @id int AS /* UPDATE dbo.Old */ UPDATE dbo.New SET a = 'DELETE FROM dbo.Said -- no' WHERE b = 'x' -- THROW 50009, 'y', 1\nTHROW 50001, 'z', 1"
+    facts = {(r.kind, r.value) for r in files.procedure_facts(spark.createDataFrame([("p", proc)], "name string, body string")).collect()}
+    assert facts == {("parameter", "@id"), ("changes", "New"), ("literal", "DELETE FROM dbo.Said -- no"), ("literal", "x"), ("error", "50001")}
+    objects = spark.createDataFrame([("a", "SELECT '-- b' FROM c -- FROM d\n"), ("b", "x"), ("c", "SELECT 'it''s b' /* b */")], "name string, body string")
+    assert {tuple(r) for r in graph.dependency_edges(objects).collect()} == {("a", "c")}
+    assert graph.missing_references(objects).count() == 0
