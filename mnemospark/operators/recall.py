@@ -57,13 +57,15 @@ def recall_fused(docs: DataFrame, query: str, k: int = 10, index: TextIndex | No
     return X.ngram_tiebreak(with_text, query)
 
 
-def recall_batch(index: TextIndex, questions: DataFrame, scope: DataFrame | None = None, state: DataFrame | None = None, k: int = 10, k1: float = 1.2, b: float = 0.75) -> tuple[DataFrame, DataFrame]:
+def recall_batch(index: TextIndex, questions: DataFrame, scope: DataFrame | None = None, state: DataFrame | None = None, k: int = 10, k1: float = 1.2, b: float = 0.75, digits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The best documents of a table of questions (``query_id``, ``text``) in one plan: ``query_id``,
     ``rank``, ``doc_id``, ``score``; and the log to append, a row per question with its hits.
 
     BM25 over the stored postings; ``scope`` (``doc_id``) leaves documents out before the best are
     taken, while statistics stay those of the corpus; ``state`` (``doc_id``, ``weight``) multiplies
-    scores by what recalls have taught, 1.0 where nothing.  No text is read, and nothing written.
+    scores by what recalls have taught, 1.0 where nothing; with ``digits`` scores are rounded before
+    they are ranked, so those equal to so many places are ties, to the smaller ``doc_id``.  No text
+    is read, and nothing written.
     A question without known words has no hits and a log row with none.
     """
     words = questions.select("query_id", F.explode(T.tokens(F.coalesce("text", F.lit("")))).alias("term"))
@@ -80,6 +82,8 @@ def recall_batch(index: TextIndex, questions: DataFrame, scope: DataFrame | None
     scored = asked.join(df, "term").join(hits, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
     if state is not None:
         scored = weighted(scored, state)
+    if digits is not None:
+        scored = scored.withColumn("score", F.round("score", digits))
     ranked = scored.withColumn("rank", F.row_number().over(R.Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")))
     best = written(ranked.filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score"), "best", per_core=1)
     kept = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id")))["doc_id"].alias("hits"))  # k a question

@@ -303,5 +303,5 @@ def recall_batch(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     learned = docs.filter("doc_id % 3 = 0").select("doc_id", F.lit(1.25).alias("weight"))
-    best, _ = recall.recall_batch(text_index(spark, sf_dir), questions, docs.filter("lang <> 'de'"), learned)
-    return best.withColumn("score", F.round("score", 6))
+    best, _ = recall.recall_batch(text_index(spark, sf_dir), questions, docs.filter("lang <> 'de'"), learned, digits=6)
+    return best
