@@ -95,12 +95,15 @@ def links(prints: DataFrame, bucket: int = 16) -> DataFrame:
 
     All pairs of ordinary buckets; for buckets of over ``bucket`` rows enough links to keep
     connected what is connected.
+
+    Every join is hinted to sort and merge: what grows with the texts is small as a file, so that
+    Spark would broadcast it, and many times larger once hashed on the driver.
     """
     table = _index(prints, False)
     crowded = written(table.groupBy("seg", "value").count().filter(F.col("count") > bucket).select("seg", "value"), "crowded", small=True)
-    ordinary = table.join(crowded, ["seg", "value"], "left_anti").withColumnRenamed("fp", "found")
+    ordinary = table.join(crowded.hint("merge"), ["seg", "value"], "left_anti").withColumnRenamed("fp", "found")
     marked = crowded.withColumn("found", F.lit(None).cast("long"))
-    met = written(_index(prints, True).join(ordinary.union(marked), ["seg", "value"]), "met", per_core=4)
+    met = written(_index(prints, True).join(ordinary.union(marked).hint("merge"), ["seg", "value"]), "met", per_core=4)
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("found"))) <= 2
     pairs = met.filter(F.col("found").isNotNull() & (F.col("fp") != F.col("found")) & near).select(F.col("fp").alias("a"), F.col("found").alias("b"))
     # crowded buckets: members are in them by their own value (no flip), probes by at most one
@@ -110,7 +113,7 @@ def links(prints: DataFrame, bucket: int = 16) -> DataFrame:
     codes = F.when(own == F.col("value"), _flips(other, False)).otherwise(F.array(other))
     meet = hits.select("seg", "value", "fp", F.explode(codes).alias("code"))
     least = meet.groupBy("seg", "value", "code").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high").select("seg", "value", "code", "low")
-    stars = meet.join(least, ["seg", "value", "code"]).filter("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b")).distinct()
+    stars = meet.join(least.hint("merge"), ["seg", "value", "code"]).filter("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b")).distinct()
     return pairs.union(stars)
 
 
@@ -129,8 +132,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bucket: int = 16) -> Data
     prints = written(fingerprints(docs, shingle), "fingerprints", narrow=True)
     distinct = written(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig")).alias("least")), "distinct", per_core=4)
     nodes = components(links(distinct.select("fp"), bucket))
-    rooted = written(distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted", small=True)
+    rooted = written(distinct.join(nodes.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted", small=True)
     names = written(rooted.groupBy("root").agg(F.min("least").alias("lead")), "names", small=True)  # apart from its join: a giant component can then be split
-    named = rooted.select("fp", "root").join(names, "root").select("fp", "lead")
+    named = rooted.select("fp", "root").join(names.hint("merge"), "root").select("fp", "lead")
     leads = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("sig") == F.col("lead.sig"))
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("lead.doc_id").alias("component_id"), "sig", leads.alias("leads"))
+    return prints.join(named.hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("lead.doc_id").alias("component_id"), "sig", leads.alias("leads"))

@@ -70,14 +70,14 @@ def _stars(edges: DataFrame, files: int) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     least = written(least, "least", files=files)  # apart from its join, whose hubs can then be split
-    large = both.filter("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
+    large = both.filter("v > u").join(least.hint("merge"), "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
     return large.filter("a <> b").distinct()
 
 
 def _small(edges: DataFrame, files: int) -> DataFrame:
     """Small-star: connect a node and its smaller neighbours with the smallest of them."""
     least = written(edges.groupBy("b").agg(F.min("a").alias("m")), "least", files=files)
-    joined = edges.join(least, "b").select("a", "b", "m")
+    joined = edges.join(least.hint("merge"), "b").select("a", "b", "m")
     out = joined.select(F.col("m").alias("a"), F.col("a").alias("b")).union(least.select(F.col("m").alias("a"), "b"))
     return out.filter("a <> b").distinct()
 
