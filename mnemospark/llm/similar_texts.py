@@ -17,6 +17,9 @@ bucket that these links leave in several components is then settled exactly: eac
 is compared with all texts of other components, those first whose shingles most others have, so
 the original of a large group links its variants before they meet each other.  Large buckets
 are dealt as pairs of blocks.  Which links exist is always decided by the exact similarity.
+
+Joins are hinted to sort and merge, or counted first: files of fingerprints and shingles are small
+enough for Spark to broadcast them, and many times larger once hashed on the driver.
 """
 
 from __future__ import annotations
@@ -134,7 +137,7 @@ def candidates(index: DataFrame, bucket: int = 16, most_bits: int = 34) -> tuple
     crowded = written(index.join(bounded(crowds), "key", "left_semi"), "crowded", per_core=4)
     leaders = crowded.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "fp", "fp2")).alias("l"))
     leaders = written(leaders, "leaders", small=True)
-    led = crowded.join(leaders, "key").withColumn("n", entry).filter((F.col("node") != F.col("l.node")) & near(F.col("n"), F.col("l")))
+    led = crowded.join(leaders.hint("merge"), "key").withColumn("n", entry).filter((F.col("node") != F.col("l.node")) & near(F.col("n"), F.col("l")))
     return ordinary.union(led.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b"))), crowded
 
 
@@ -202,11 +205,11 @@ def crowded_links(crowded: DataFrame, sets: DataFrame, roots: DataFrame, similar
     """Links ``a``, ``b`` that connect what the similarity connects within each crowded bucket
     and ``roots`` (``node``, ``root``) does not.  A bucket of over ``block`` shingles is cut into
     blocks; each pair of blocks is a group of its own."""
-    rooted = crowded.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = written(rooted.join(sets.select("node", F.size("s").alias("n")), "node"), "crowded", per_core=4)
+    rooted = crowded.select("key", "node").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = written(rooted.join(sets.select("node", F.size("s").alias("n")).hint("merge"), "node"), "crowded", per_core=4)
     apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n").alias("total")).filter("low <> high")
     apart = written(apart.select("key", F.ceil(F.greatest(F.col("total"), F.lit(1)) / block).cast("int").alias("blocks")), "apart", small=True)
-    rows = rooted.join(apart, "key").withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    rows = rooted.join(apart.hint("merge"), "key").withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     meets = F.explode(F.filter(every, lambda k: (k != F.col("own")) | (F.col("blocks") == 1)))
     rows = rows.withColumn("met", meets).select("key", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), "node", "root")
@@ -219,7 +222,7 @@ def crowded_links(crowded: DataFrame, sets: DataFrame, roots: DataFrame, similar
         ends = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(node[ends[:, 0]], pa.int64()), "b": pa.array(node[ends[:, 1]], pa.int64())})
 
-    return rows.join(sets, "node").groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return rows.join(sets.hint("merge"), "node").groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def _two_bit_pairs(nodes: DataFrame, bucket: int) -> DataFrame:
@@ -228,8 +231,8 @@ def _two_bit_pairs(nodes: DataFrame, bucket: int) -> DataFrame:
     first = written(nodes.groupBy("fp3").agg(F.min("node").alias("low")), "first", small=True)
     near = links(first.select(F.col("fp3").alias("fp")), bucket)
     of = lambda end, name: first.select(F.col("fp3").alias(end), F.col("low").alias(name))
-    near = near.join(of("a", "na"), "a").join(of("b", "nb"), "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
-    same = nodes.select("fp3", "node").join(first, "fp3").filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    near = near.join(of("a", "na").hint("merge"), "a").join(of("b", "nb").hint("merge"), "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
+    same = nodes.select("fp3", "node").join(first.hint("merge"), "fp3").filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
     return near.union(same)
 
 
@@ -240,12 +243,12 @@ def similar_links(docs: DataFrame, rows: DataFrame, layout: Layout, similarity:
     pairs, crowded = candidates(index_rows(nodes, layout), bucket)
     pairs = written(pairs.union(_two_bit_pairs(nodes, bucket)).distinct(), "pairs", per_core=4)
     met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowded.select("node")).distinct()
-    one = nodes.join(met, "node").select("node", F.col("one.doc_id").alias("o_id"), F.col("one.sig").alias("o_sig"))
+    one = nodes.join(met.hint("merge"), "node").select("node", F.col("one.doc_id").alias("o_id"), F.col("one.sig").alias("o_sig"))
     one = written(one, "one", small=True)
     texts = documents_of(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     found = texts.join(bounded(one), texts.doc_id.eqNullSafe(one.o_id) & (texts.sig == one.o_sig))
     sets = written(shingle_sets(found, shingle).dropDuplicates(["node"]), "shingles", per_core=4)
-    both = pairs.join(sets.withColumnRenamed("node", "a"), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
+    both = pairs.join(sets.withColumnRenamed("node", "a").hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("t")).hint("merge"), "b")
     return _jaccard(both, similarity), crowded, sets
 
 
@@ -254,7 +257,7 @@ def _lifted(links: DataFrame, roots: DataFrame) -> DataFrame:
     out = links
     for end in ("a", "b"):
         of = roots.select(F.col("node").alias(end), F.col("root").alias("to"))
-        out = out.join(of, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+        out = out.join(of.hint("merge"), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
     return out.select("a", "b")
 
 
@@ -280,10 +283,10 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     # what crowded buckets add links whole components, so only their roots meet again
     more = written(crowded_links(crowded, sets, roots, similarity), "more", small=True)
     over = written(components(_lifted(more, roots)).withColumnRenamed("node", "low").withColumnRenamed("root", "over"), "over", small=True)
-    rooted = rows.select("doc_id", "sig", "node").join(roots, "node", "left").withColumn("low", F.coalesce("root", "node")).drop("root")
-    rooted = rooted.join(over, "low", "left").select("doc_id", "sig", F.coalesce("over", "low").alias("root"))
+    rooted = rows.select("doc_id", "sig", "node").join(roots.hint("merge"), "node", "left").withColumn("low", F.coalesce("root", "node")).drop("root")
+    rooted = rooted.join(over.hint("merge"), "low", "left").select("doc_id", "sig", F.coalesce("over", "low").alias("root"))
     rooted = written(rooted, "rooted", per_core=4)
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig")).alias("lead"))
     best = written(best, "best", small=True)
-    out = rooted.join(best, "root")
+    out = rooted.join(best.hint("merge"), "root")
     return out.select("doc_id", "sig", "root", (F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("sig") == F.col("lead.sig"))).alias("leads"))
