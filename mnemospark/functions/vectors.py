@@ -54,6 +54,11 @@ def asymmetric(query: Column, bits: Column) -> Column:
     return F.when(length > 0, (total(signed) / length + 1) / 2).otherwise(0.5)
 
 
+def signs(bits: Column, n: int = 64) -> Column:
+    """Sign bits as ``n`` components of 1 or -1."""
+    return F.when(bits.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda d: F.when(F.call_function("shiftright", bits, d).bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0)))
+
+
 def views(x: Column, mean: Column, scale: Column, n: int = 16) -> Column:
     """Sign bits at ``n`` thresholds around the mean, ``(i / (n - 1) - 0.5) * scale`` apart."""
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: sign_bits(x, F.zip_with(mean, scale, lambda m, s: m + (i / (n - 1) - 0.5) * s)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from . import blocks as B
 
 
 def by_dimension(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -75,9 +76,7 @@ def mean_pool(rows: DataFrame, key: str, column: str = "embedding") -> DataFrame
 
 def max_similarity(passages: DataFrame, queries: DataFrame, key: str) -> DataFrame:
     """``query_id``, ``key``, ``score``: the best dot product of any passage of a key."""
-    score = V.dot(F.col("x"), F.col("q"))
-    pairs = meeting(passages.select(key, "vec_id", V.doubles(F.col("embedding")).alias("x")), queries, "vec_id")
-    return pairs.groupBy("query_id", key).agg(F.max(score).alias("score"))
+    return B.max_dots(passages.select(key, "vec_id", V.doubles(F.col("embedding")).alias("x")), queries, key)
 
 
 def drift(stats: DataFrame, asked: DataFrame, rate: float = 0.05, least: int = 10) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import clusters
+from ..operators import blocks, clusters
 from ..operators import vectors as op
 from ..scratch import own_folder
 from .registry import query
@@ -98,7 +98,7 @@ dots AS (SELECT q.query_id, v.vec_id, sum(q.x * v.x) AS dot, sqrt(sum(q.x * q.x)
 )
 def cosine_knn(spark, sf_dir):
     rows = vectors(spark, sf_dir).select("vec_id", V.doubles(F.col("embedding")).alias("x"))
-    return op.nearest(rows, asked(rows, F.col("x").alias("q")), F.round(V.cosine(F.col("x"), F.col("q")), 6), 10)
+    return blocks.nearest(rows, asked(rows, F.col("x").alias("q")), blocks.cosines, 10)
 
 
 @query(
@@ -111,7 +111,7 @@ def cosine_knn(spark, sf_dir):
 def asym_knn(spark, sf_dir):
     rows = prints(spark, sf_dir)
     centred = F.zip_with(V.doubles(F.col("embedding")), "mean", lambda x, m: x - m)
-    return op.nearest(rows.select("vec_id", "fp"), asked(rows, centred.alias("q")), F.round(V.asymmetric(F.col("q"), F.col("fp")), 6), 10)
+    return blocks.nearest(rows.select("vec_id", V.signs(F.col("fp")).alias("x")), asked(rows, centred.alias("q")), blocks.sign_scores, 10)
 
 
 @query("truncate_l2", WITH + ", t AS (SELECT * FROM v WHERE d < 16), n AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM t GROUP BY 1) SELECT vec_id, d::INTEGER AS d, round(x / n, 6) AS x FROM t JOIN n USING (vec_id)")
