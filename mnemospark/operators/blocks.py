@@ -36,20 +36,22 @@ def alike(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[:, :d], b[:, :d]
 
 
-def dealt(rows: DataFrame, queries: DataFrame, key: str, query: str = "query_id", per_rows: int = ROWS, per_queries: int = QUERIES) -> tuple[DataFrame, DataFrame]:
+def dealt(rows: DataFrame, queries: DataFrame, key: str, query: str = "query_id", per_rows: int = ROWS, per_queries: int = QUERIES, per: tuple[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """Both sides with ``row_block`` and ``query_block``, each row under every block of queries and
     each query under every block of rows, in as many partitions as there are pairs of blocks,
-    which are small in bytes and would else be put together."""
+    which are small in bytes and would else be put together.  ``per``: a column on which the sides
+    meet and about how many values it has, so that blocks are of the rows of a value."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    n, q = rows.count(), queries.count()
+    column, values = ([per[0]], per[1]) if per else ([], 1)
+    n, q = -(-rows.count() // values), -(-queries.count() // values)
     b = max(1, -(-q // per_queries))
-    a = max(1, -(-n // per_rows), min(-(-4 * cores // b), n // 512))
+    a = max(1, -(-n // per_rows), min(-(-4 * cores // (b * values)), n // 512))
     at = lambda c, blocks: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = rows.withColumn("row_block", at(key, a)).withColumn("query_block", every(b))
     right = queries.withColumn("query_block", at(query, b)).withColumn("row_block", every(a))
-    tasks = min(a * b, 64 * cores)
-    return left.repartition(tasks, "row_block", "query_block"), right.repartition(tasks, "row_block", "query_block")
+    tasks, on = min(a * b * values, 64 * cores), [*column, "row_block", "query_block"]
+    return left.repartition(tasks, *on), right.repartition(tasks, *on)
 
 
 def best_of(scores: Callable[[slice], np.ndarray], ids: np.ndarray, query_ids: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..scratch import written
+from . import blocks
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -136,12 +137,12 @@ def store_cells(vectors: DataFrame, centres: list[list[float]], path: str, key:
 
 def cell_search(stored: DataFrame, centres: list[list[float]], queries: DataFrame, probe: int, k: int, key: str = "vec_id") -> DataFrame:
     """``query_id``, ``rank``, ``key``, ``score``: the ``k`` best by dot product among the vectors in
-    the ``probe`` cells nearest each query (``query_id``, ``q``).  Only those cells are read."""
+    the ``probe`` cells nearest each query (``query_id``, ``q``).  Only those cells are read, and each
+    meets its queries in blocks (:mod:`.blocks`)."""
     near = written(placed(queries.withColumnRenamed("q", "x"), np.array(centres), "query_id", probe).withColumnRenamed("x", "q"), "probes", per_core=1)
     cells = [r.cell for r in near.select("cell").distinct().collect()]  # as many as there are centres
-    met = stored.filter(F.col("cell").isin(cells)).join(near, "cell").filter(F.col(key) != F.col("query_id"))
-    scored = met.select("query_id", key, V.dot(F.col("x"), F.col("q")).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), key))).filter(F.col("rank") <= k)
+    left, right = blocks.dealt(stored.filter(F.col("cell").isin(cells)), near, key, per=("cell", max(1, len(centres))))
+    return blocks.top_k(left, right, ["cell", "row_block", "query_block"], blocks.dots, k, 12, key)
 
 
 def associations(vectors: DataFrame, order: str, decay: float = 0.999, column: str = "embedding") -> DataFrame:
