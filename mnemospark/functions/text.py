@@ -98,9 +98,14 @@ def word_windows(text: Column, size: int = 512, stride: int = 256) -> Column:
 
 
 def ngrams(values: Column, n: int) -> Column:
-    """Runs of ``n`` values joined by a space."""
-    starts = F.sequence(F.lit(1), F.size(values) - n + 1)
-    return F.when(F.size(values) >= n, F.transform(starts, lambda i: F.concat_ws(" ", F.slice(values, i, n)))).otherwise(F.array().cast("array<string>"))
+    """Runs of ``n`` values joined by a space.  ``values`` is bound to a variable: an expression used
+    within a lambda would be evaluated for every run."""
+
+    def runs(v: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(v) - n + 1)
+        return F.when(F.size(v) >= n, F.transform(starts, lambda i: F.concat_ws(" ", F.slice(v, i, n)))).otherwise(F.array().cast("array<string>"))
+
+    return F.get(F.transform(F.array(values), runs), F.lit(0))
 
 
 def cjk_bigrams(text: Column) -> Column:
