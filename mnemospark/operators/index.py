@@ -32,6 +32,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,8 @@ REMOVED = "doc_id {0}"
 TERMS = "term string, df long, bucket int"
 #: Documents in a block of a compacted index, about.
 BLOCK = 8192
+#: Words, and bytes of text, from which blocks are made at once: about 100 MB of arrays.
+WORDS_AT_ONCE, BYTES_AT_ONCE = 1 << 20, 2 << 20
 
 
 def _path(spark: SparkSession, path: str):
@@ -126,6 +129,20 @@ def trigram_blocks(ids: pa.Array, texts: list[str], buckets: int) -> pa.RecordBa
     return pa.record_batch({"bucket": _buckets(names, buckets), "tri": pa.array(names), "docs": _lists(blocks, ids.take(pa.array(doc[order])))})
 
 
+def _cut(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about ``most`` words or bytes of a column (a row at least), so that the
+    arrays made from a part stay small whatever Spark hands over."""
+    for batch in batches:
+        values = batch.column(column)
+        sizes = (values.value_lengths() if pa.types.is_list(values.type) else pc.binary_length(values)).fill_null(0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(sizes, dtype=np.int64), 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 class TextIndex:
     """The batches of one snapshot; whatever changes the index returns the one that follows."""
 
@@ -175,12 +192,12 @@ class TextIndex:
         sized = found.select("doc_id", (stems(all_terms) if self.stemmed else all_terms).alias("all")).select("doc_id", F.size(F.array_distinct("all")).cast("long").alias("length"), "all")
 
         def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in _cut(batches, 2, WORDS_AT_ONCE):
                 if (made := posting_blocks(b.column(0), b.column(1), b.column(2), buckets)) is not None:
                     yield made
 
         def trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in _cut(batches, 1, BYTES_AT_ONCE):
                 if (made := trigram_blocks(b.column(0), b.column(1).to_pylist(), buckets)) is not None:
                     yield made
 
