@@ -8,7 +8,6 @@ they have read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 from math import ceil, comb, log2
 
 import numpy as np
@@ -190,9 +189,10 @@ def hamming_nearest(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec
     active = written(queries.select("query_id", "q"), "asked", per_core=1)
     done, found = [], None
     for radius in range(bits + 1):
-        masks = [sum(1 << b for b in of) for of in combinations(range(bits), radius)]
+        # a table, since there may be many thousands: as literals they would fill the driver's plans
+        masks = rows.sparkSession.range(1 << bits).filter(F.bit_count("id") == radius).withColumnRenamed("id", "mask")
         asked = active.select("query_id", "q", F.explode(cut(F.col("q"))).alias("c"))
-        turned = asked.select("query_id", "q", "c.seg", F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: m.cast("long").bitwiseXOR(F.col("c.value")))).alias("value"))
+        turned = asked.crossJoin(F.broadcast(masks)).select("query_id", "q", "c.seg", F.col("mask").bitwiseXOR(F.col("c.value")).alias("value"))  # at most 2**20 longs
         met = turned.join(index, ["seg", "value"]).select("query_id", "q", "fp").distinct()
         if found is not None:
             met = met.join(found.select("query_id", "fp"), ["query_id", "fp"], "left_anti")
