@@ -121,6 +121,11 @@ def sign_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(length > 0, (q @ x.T / np.where(length > 0, length, 1) + 1) / 2, 0.5)
 
 
+def shared_signs(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Share of signs that agree, exact."""
+    return (q @ x.T + x.shape[1]) / (2 * x.shape[1])
+
+
 def max_dots(rows: DataFrame, queries: DataFrame, key: str, row: str = "vec_id") -> DataFrame:
     """``query_id``, ``key``, ``score``: the best dot product of any row (``row``, ``key``, ``x``) of a
     key; a group leaves one for each of its queries and keys."""

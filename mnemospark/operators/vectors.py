@@ -33,11 +33,13 @@ def fingerprints(vectors: DataFrame, stats: DataFrame, column: str = "embedding"
 
 def meeting(rows: DataFrame, queries: DataFrame, key: str, rows_per_block: int = 8192) -> DataFrame:
     """Every query with every row, block by block: rows are dealt to blocks by their key and
-    each block meets the queries, so no side is broadcast whatever its size."""
-    blocks = max(1, -(-rows.count() // rows_per_block))
+    each block meets the queries, so no side is broadcast whatever its size.  Blocks have partitions
+    by number: they are small in bytes, and Spark would put many into one task."""
+    n = rows.count()
+    blocks = max(1, -(-n // rows_per_block), min(4 * rows.sparkSession.sparkContext.defaultParallelism, n // 512))
     dealt = rows.withColumn("__block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
     asked = queries.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return dealt.join(asked, "__block").drop("__block")
+    return dealt.repartition(blocks, "__block").join(asked.repartition(blocks, "__block").hint("shuffle_hash"), "__block").drop("__block")
 
 
 def nearest(rows: DataFrame, queries: DataFrame, score: Column, k: int, key: str = "vec_id", query: str = "query_id", descending: bool = True) -> DataFrame:

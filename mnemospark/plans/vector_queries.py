@@ -82,7 +82,8 @@ def hamming_multi_index(spark, sf_dir):
 )
 def pure_semantic(spark, sf_dir):
     rows = prints(spark, sf_dir)
-    return op.nearest(rows.select("vec_id", "fp"), asked(rows, F.col("fp").alias("q")), 1 - V.hamming(F.col("fp"), F.col("q")) / 64.0, 50)
+    signs = rows.select("vec_id", V.signs(F.col("fp")).alias("x"))
+    return blocks.nearest(signs, asked(signs, F.col("x").alias("q")), blocks.shared_signs, 50)
 
 
 PAIR_SQL = f"""
