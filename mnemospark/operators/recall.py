@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 from functools import reduce
 from operator import or_
 
@@ -92,20 +93,52 @@ def recall_batch(index: TextIndex, questions: DataFrame, scope: DataFrame | None
 
 
 def search_full(docs: DataFrame, query: str, k: int = 10, index: TextIndex | None = None) -> DataFrame:
-    """Questions about codes by keyword, short ones by fused recall, long ones by BM25 over
-    windows of words blended into their documents."""
+    """Questions about codes by keyword, short ones by fused recall, long ones by passages.
+
+    A long one (20 words or more) takes the 50 best documents and the 100 best windows of words, and
+    raises documents by their windows; the first ten gain by word runs that only one of them holds;
+    documents of the fused recall that are not there enter at 0.9 of the best score, those of the ten
+    best passages at 0.7; then :func:`kept_ahead`."""
     parts = query.lower().split()
-    if any(w in T.CODE_WORDS or re.fullmatch(r"\d{5,10}", w) for w in parts):
+    bare = [w.rstrip(string.punctuation) for w in parts]
+    if any(w in T.CODE_WORDS or re.fullmatch(r"\d{5,10}", w) for w in bare):
         scores = X.bm25(index or docs, query).withColumn("query_id", F.lit(0))
-        counts = docs.select(F.lit(0).alias("query_id"), "doc_id", sum((T.count_of(F.col("text"), w) for w in parts if w in T.CODE_WORDS), F.lit(0)).alias("n")).filter("n > 0")
+        counts = docs.select(F.lit(0).alias("query_id"), "doc_id", sum((T.count_of(F.col("text"), w) for w in bare if w in T.CODE_WORDS), F.lit(0)).alias("n")).filter("n > 0")
         return X.top(R.needle(scores, counts).select("doc_id", "score"), k, F.col("score").desc(), "doc_id")
     if len(parts) < 20:
         return recall_fused(docs, query, k, index)
-    passages = docs.select("doc_id", F.explode(T.word_windows(F.col("text"))).alias("w")).select(F.struct("doc_id", "w.pos").alias("id"), F.col("w.part").alias("text"))
-    by_passage = X.top(X.bm25(passages.withColumnRenamed("id", "doc_id"), query), 100, F.col("score").desc(), "doc_id")
-    whole = X.bm25(index or docs, query).select(F.lit(0).alias("query_id"), "doc_id", F.col("score").alias("own"))
-    blended = R.passage_blend(whole, by_passage.select(F.lit(0).alias("query_id"), F.col("doc_id.doc_id").alias("doc_id"), "score"))
-    return X.top(blended.select("doc_id", "score"), k, F.col("score").desc(), "doc_id")
+    by_score = (F.col("score").desc(), "doc_id")
+    whole = written(X.top(X.bm25(index or docs, query), 50, *by_score), "whole", small=True)
+    passages = docs.select("doc_id", F.explode(T.word_windows(F.col("text"))).alias("w")).select(F.struct("doc_id", "w.pos").alias("doc_id"), F.col("w.part").alias("text"))
+    best = X.top(X.bm25(passages, query), 100, *by_score).select(F.col("doc_id.doc_id").alias("doc_id"), "score")
+    best = written(best, "passages", small=True)
+    zero = F.lit(0).alias("query_id")
+    blended = R.passage_blend(whole.select(zero, "doc_id", F.col("score").alias("own")), best.select(zero, "doc_id", "score")).select("doc_id", "score")
+    first = X.top(blended, 10, *by_score)
+    told = X.ngram_tiebreak(docs.select("doc_id", "text").join(F.broadcast(first), "doc_id"), query, 2, 5)  # 10 rows
+    raised = blended.join(told.select("doc_id", F.col("score").alias("more")), "doc_id", "left").select("doc_id", F.coalesce("more", "score").alias("score"))
+    ranked = written(raised, "ranked", small=True)
+    for found, share in ((recall_fused(docs, query, 50, index), 0.9), (X.top(best.groupBy("doc_id").agg(F.max("score").alias("score")), 10, *by_score), 0.7)):
+        new = found.select("doc_id").join(ranked, "doc_id", "left_anti")
+        top = ranked.agg(F.max("score").alias("score"))
+        ranked = written(ranked.union(new.crossJoin(F.broadcast(top.select(share * F.col("score")))).toDF("doc_id", "score")), "ranked", small=True)  # one row
+    return kept_ahead(ranked.join(whole.select("doc_id", F.lit(True).alias("own")), "doc_id", "left"), k)
+
+
+def kept_ahead(ranked: DataFrame, k: int, first: int = 10) -> DataFrame:
+    """The best ``k`` of a few hits (``doc_id``, ``score``, ``own``: true, or null for those that came in
+    later).  Where there are ``first`` hits or more, those that came in later do not hold one of the
+    first places while there is an own one behind them: they change places, best with best."""
+    row = lambda *order: F.row_number().over(R.Window.partitionBy(F.lit(0)).orderBy(*order))
+    placed = ranked.withColumn("own", F.coalesce("own", F.lit(False))).withColumn("place", row(F.col("score").desc(), F.col("own").desc(), "doc_id"))
+    placed = written(placed, "placed", small=True)
+    ahead = placed.filter((F.col("place") <= first) & ~F.col("own")).select(row("place").alias("pair"), F.col("place").alias("front"))
+    behind = placed.filter((F.col("place") > first) & F.col("own")).select(row("place").alias("pair"), F.col("place").alias("back"))
+    pairs = ahead.join(behind, "pair")
+    moves = pairs.select(F.col("front").alias("place"), F.col("back").alias("to")).union(pairs.select("back", "front"))
+    moved = placed.join(moves, "place", "left").withColumn("place", F.coalesce("to", "place"))
+    head = F.when(F.col("place") <= first, F.col("score")).otherwise(F.lit(None))
+    return X.top(moved, k, head.desc_nulls_last(), F.when(F.col("place") > first, F.col("place")).asc_nulls_first(), "doc_id").select("doc_id", "score")
 
 
 def ask(docs: DataFrame, query: str, links: DataFrame, symbols: DataFrame, k: int = 10, index: TextIndex | None = None) -> DataFrame:
